@@ -33,12 +33,7 @@ def suffix(threshold: float) -> str:
     return format_bound(threshold).replace(".", "_")
 
 
-def bin_index(value: Column, breaks: list[float], right: bool = False, include_lowest: bool = True) -> Column:
-    """1-based bin of the value, null outside all bins.
-
-    ``right=False`` gives ``[a,b)`` and ``include_lowest`` then closes the last
-    bin; ``right=True`` gives ``(a,b]`` and ``include_lowest`` closes the first.
-    """
+def _by_bin(value: Column, breaks: list[float], results: list, right: bool, include_lowest: bool) -> Column:
     values = check_breaks(breaks)
     last = len(values) - 1
     found = None
@@ -49,15 +44,24 @@ def bin_index(value: Column, breaks: list[float], right: bool = False, include_l
         else:
             below = value <= F.lit(high) if include_lowest and number == last else value < F.lit(high)
             inside = (value >= F.lit(low)) & below
-        found = F.when(inside, F.lit(number)) if found is None else found.when(inside, F.lit(number))
+        result = F.lit(results[number - 1])
+        found = F.when(inside, result) if found is None else found.when(inside, result)
     return found
 
 
+def bin_index(value: Column, breaks: list[float], right: bool = False, include_lowest: bool = True) -> Column:
+    """1-based bin of the value, null outside all bins.
+
+    ``right=False`` gives ``[a,b)`` and ``include_lowest`` then closes the last
+    bin; ``right=True`` gives ``(a,b]`` and ``include_lowest`` closes the first.
+    """
+    return _by_bin(value, breaks, list(range(1, len(breaks))), right, include_lowest)
+
+
 def bin_label(value: Column, breaks: list[float], names: list[str] | None = None, right: bool = False,
               include_lowest: bool = True) -> Column:
-    names = names or labels(breaks, right)
-    return F.element_at(F.array(*[F.lit(n) for n in names]),
-                        bin_index(value, breaks, right, include_lowest))
+    """Label of the value's bin, null outside all bins."""
+    return _by_bin(value, breaks, names or labels(breaks, right), right, include_lowest)
 
 
 def bin_table(spark, breaks: list[float], names: list[str] | None = None, right: bool = False) -> DataFrame:
