@@ -104,7 +104,7 @@ al as (select b.unit, string_agg(edited::varchar,'' order by b.site) as k from b
    join enough e on e.unit=b.unit group by b.unit, cell),
 sh as (select unit, k, count(*) as n from al group by 1,2),
 div as (select unit, cells, sites, count(*) as alleles, -sum(n/cells*ln(n/cells)) as entropy, max(n/cells) as top_allele_fraction,
-  -sum(n/cells*ln(n/cells))/ln(cells) as normalised_entropy from sh join enough using(unit) group by all)"""
+  -sum(n/cells*ln(n/cells))/ln(cells) as normalised_entropy from sh join enough using(unit) group by unit, cells, sites)"""
 
 
 @query("allele_diversity", "A7 F2", f"""with {_DIVERSITY.format(min_sites=3)} select unit, cells, sites, alleles, round(entropy,8) as entropy,
@@ -209,7 +209,7 @@ enough as (select dataset, unit, cells, count(*) as sites from sites group by al
 al as (select b.dataset, b.unit, string_agg(edited::varchar,'' order by b.site) as k from block b join sites s on s.dataset=b.dataset and s.unit=b.unit and s.site=b.site
    join enough e on e.unit=b.unit and e.dataset=b.dataset group by b.dataset, b.unit, cell),
 sh as (select dataset, unit, k, count(*) as n from al group by all),
-div as (select dataset, unit, cells, sites, count(*) as alleles, max(n/cells) as top, -sum(n/cells*ln(n/cells))/ln(cells) as ne from sh join enough using(dataset,unit) group by all),
+div as (select dataset, unit, cells, sites, count(*) as alleles, max(n/cells) as top, -sum(n/cells*ln(n/cells))/ln(cells) as ne from sh join enough using(dataset,unit) group by dataset, unit, cells, sites),
 dv as (select dataset, round(avg(cells),8) as comparable_cells, round(avg(sites),8) as comparable_sites, round(avg(alleles),8) as alleles_per_unit,
   round(avg(ne),8) as normalised_entropy, round(avg(top),8) as top_allele_fraction from div group by 1),
 rt as (select dataset, unit, site, sum(edited)/nullif(count(edited),0) as rate from typed group by all),
