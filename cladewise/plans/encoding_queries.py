@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as fn
+from cladewise.functions.sampling import uniform
 from cladewise.operators import encodings as en, observations as ob, organelles as og
 from cladewise.plans import views as v
 from cladewise.plans.registry import query
@@ -39,12 +40,12 @@ def _(spark, sf):
 
 
 def _windows(spark, sf):
-    return v.table(spark, sf, "part").where("p_partkey < 24").selectExpr(
-        "cast(1 + p_partkey div 6 as int) as target", "cast(p_partkey % 6 + 1 as int) as listed",
-        "cast(1 + (p_partkey * 5) % 14 as int) as position")
+    return v.table(spark, sf, "nation").selectExpr(
+        "cast(1 + n_nationkey div 7 as int) as target", "cast(n_nationkey % 7 + 1 as int) as listed",
+        "cast(1 + (n_nationkey * 5) % 14 as int) as position")
 
 
-_WIN = """win as (select cast(1+p_partkey//6 as int) as target, cast(p_partkey%6+1 as int) as listed, cast(1+(p_partkey*5)%14 as int) as position from part where p_partkey<24),
+_WIN = """win as (select cast(1+n_nationkey//7 as int) as target, cast(n_nationkey%7+1 as int) as listed, cast(1+(n_nationkey*5)%14 as int) as position from nation),
 rkd as (select target, position, row_number() over (partition by target order by listed) as rank from win where position in (select position from al))"""
 
 
@@ -111,13 +112,13 @@ def _(spark, sf):
     return en.sequences(alleles, alleles.select("cell", "unit").distinct(), "AGCTTGCAAGTC")
 
 
-@query("masked_score_matrix", "R10", f"""with {_AL}, rec as (select distinct cell, unit from al where (cell+unit)%3<>0), m as (select cell, unit, concat_ws('_',unit,position,{_TXT}) as feature, 1.0::double as value from al where allele<>0)
+@query("masked_score_matrix", "R10", f"""with {_AL}, rec as (select distinct cell, unit from al where """ + v.sql_uniform('31', "cell||'|'||unit") + f""">=0.3), m as (select cell, unit, concat_ws('_',unit,position,{_TXT}) as feature, 1.0::double as value from al where allele<>0)
 select m.* from m join rec using(cell,unit)
 union all select c.cell, f.unit, f.feature, null from (select distinct cell from al) c cross join (select distinct unit, feature from m) f where (c.cell,f.unit) not in (select (cell,unit) from rec)""".replace(
     "(c.cell,f.unit) not in (select (cell,unit) from rec)", "not exists(select 1 from rec where rec.cell=c.cell and rec.unit=f.unit)"))
 def _(spark, sf):
     alleles = _alleles(spark, sf)
-    recovered = alleles.where("(cell + unit) % 3 <> 0").select("cell", "unit").distinct()
+    recovered = alleles.where(uniform(31, "cell", "unit") >= 0.3).select("cell", "unit").distinct()
     matrix = en.unique_mutation_matrix(alleles.withColumn("u", F.col("unit")), "bc").select(
         "cell", F.regexp_extract("feature", r"^bc_(\d+)_", 1).cast("int").alias("unit"),
         F.regexp_replace("feature", "^bc_", "").alias("feature"), "value")
@@ -185,10 +186,10 @@ def _(spark, sf):
     return _r(_fractions(spark, sf))
 
 
-@query("mito_burden", "M2", f"""with {_FR}, few as (select * from fr where position<3) select c.cell, count(few.cell) as variants, round(coalesce(sum(variant_fraction),0),8) as fraction_sum,
+@query("mito_burden", "M2", f"""with {_FR}, few as (select * from fr where variant_fraction>=0.25) select c.cell, count(few.cell) as variants, round(coalesce(sum(variant_fraction),0),8) as fraction_sum,
  round(coalesce(avg(variant_fraction),0),8) as fraction_mean, round(coalesce(max(variant_fraction),0),8) as fraction_max from (select distinct cell from genomes) c left join few using(cell) group by 1""")
 def _(spark, sf):
-    return _r(og.burden(_fractions(spark, sf).where("position < 3"), v.genomes(spark, sf)))
+    return _r(og.burden(_fractions(spark, sf).where("variant_fraction >= 0.25"), v.genomes(spark, sf)))
 
 
 _PANEL = f"""{v.SQL_GENOMES}, ord as (select cell, genome, row_number() over (partition by cell order by md5('21|'||cell||'|'||genome), genome) as r from (select distinct cell, genome from genomes)),
@@ -205,21 +206,22 @@ def _(spark, sf):
     return _r(_panels(spark, sf))
 
 
-@query("mito_shared_universe", "M5", f"""with {_PANEL}, s as (select cell from (select distinct cell from genomes) where cell%4=0),
+@query("mito_shared_universe", "M5", f"""with {_PANEL}, s as (select distinct l_orderkey%200 as cell from lineitem where l_quantity>=50 and l_discount>=0.1 and l_tax>=0.07),
 u as (select distinct position, allele from pan where depth=6 and cell in (select cell from s))
 select depth, cell, position, allele, round(fraction,8) as fraction from pan where cell in (select cell from s) and (position, allele) in (select (position, allele) from u)""".replace(
     "and (position, allele) in (select (position, allele) from u)", "and exists(select 1 from u where u.position=pan.position and u.allele=pan.allele)"))
 def _(spark, sf):
-    samples = v.genomes(spark, sf).select("cell").distinct().where("cell % 4 = 0")
+    samples = v.table(spark, sf, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1 and l_tax >= 0.07").selectExpr(
+        "l_orderkey % 200 as cell").distinct()
     return _r(og.shared_universe(_panels(spark, sf), samples).select("depth", "cell", "position", "allele", "fraction"))
 
 
-@query("mito_variant_manifest", "M4 F7 F9", f"""with {_AL}, s as (select distinct position, allele from al where allele<>0), ref as (select p_partkey as position, substr('AGCTTGCAAGTC',p_partkey::int,1) as reference from part where p_partkey between 1 and 11)
+@query("mito_variant_manifest", "M4 F7 F9", f"""with {_AL}, s as (select distinct position, allele from al where allele<>0), ref as (select n_nationkey as position, nullif(substr('AGCTTGCAAGTCAGGTCCATTGCAG',n_nationkey,1),'') as reference from nation)
 select 'mt_'||position||'_'||{_TXT} as feature, s.position, allele, reference, case when allele=-1 then '-' when allele%1=0 then ['A','G','C','T'][cast(allele as int)] when allele=0.1 then '+A' else '+G' end as alternate,
  '0=not_observed;1=observed' as encoding from s left join ref using(position)""")
 def _(spark, sf):
-    ref = v.table(spark, sf, "part").where("p_partkey between 1 and 11").selectExpr(
-        "cast(p_partkey as int) as position", "substring('AGCTTGCAAGTC', cast(p_partkey as int), 1) as reference")
+    ref = v.table(spark, sf, "nation").selectExpr(
+        "n_nationkey as position", "substring('AGCTTGCAAGTCAGGTCCATTGCAG', n_nationkey, 1) as reference")
     return og.variant_manifest(_alleles(spark, sf).where("allele <> 0"), ref)
 
 

@@ -21,10 +21,10 @@ def _(spark, sf):
 select {_NODE_COLUMNS} from nodes
 union all select c||':0', cast(c as varchar), 0, null, 0.0, m, m, null, 'founder', true
 from (select distinct (select max(o_orderkey) from orders) + 5 + c_custkey as c, (select max(o_orderkey)+11 from orders) as m
-      from customer where c_nationkey < 5)""")
+      from customer)""")
 def _(spark, sf):
     top = v.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
-    quiet = v.table(spark, sf, "customer").where("c_nationkey < 5").select(
+    quiet = v.table(spark, sf, "customer").select(
         (F.col("c_custkey") + F.lit(top + 5)).alias("cell_id"))
     return lineage.build_lineage(v.divisions(spark, sf), v.end_time(spark, sf), founders=quiet)
 
@@ -193,7 +193,7 @@ ranked as (select node_id, parent_node_id, case when parent_node_id is null then
 walk as (select node_id, [child_no] as path from ranked where parent_node_id is null
   union all select r.node_id, list_append(w.path, r.child_no) from ranked r join walk w on r.parent_node_id=w.node_id),
 sampled as (select node_id, cell_id, row_number() over (order by path)-1 as place from nodes join walk using(node_id)
-  where is_terminal and cast(cell_id as bigint)%3=0),
+  where is_terminal and cell_id in (select cast(o_orderkey as varchar) from orders where o_orderstatus='F')),
 up as (select node_id, node_id as anc, parent_node_id as nxt from nodes
   union all select up.node_id, n.node_id, n.parent_node_id from up join nodes n on n.node_id=up.nxt)"""
 
@@ -250,9 +250,9 @@ def _(spark, sf):
 
 @query("pruned_forest", "L11 T4 J10", f"""with recursive {v.SQL_UP}
 select node_id, parent_node_id from nodes where node_id in (select anc from up join nodes n on n.node_id=up.node_id
- where n.is_terminal and cast(n.cell_id as bigint)%7=0)""")
+ where n.is_terminal and n.cell_id in (select cast(o_orderkey as varchar) from orders where o_orderpriority='1-URGENT'))""")
 def _(spark, sf):
-    wanted = v.nodes(spark, sf).where("is_terminal and cell_id % 7 = 0")
+    wanted = v.urgent_tips(spark, sf)
     return ancestry.prune(v.nodes(spark, sf), wanted).select("node_id", "parent_node_id")
 
 
@@ -265,7 +265,7 @@ def _(spark, sf):
 
 @query("collapsed_unary_nodes", "L12 T4", f"""with recursive {v.SQL_UP},
 p as (select node_id, parent_node_id, branch_length from nodes where node_id in (select anc from up join nodes n on n.node_id=up.node_id
- where n.is_terminal and cast(n.cell_id as bigint)%7=0)),
+ where n.is_terminal and n.cell_id in (select cast(o_orderkey as varchar) from orders where o_orderpriority='1-URGENT'))),
 k as (select parent_node_id as node_id, count(*) as c from p where parent_node_id is not null group by 1),
 f as (select p.*, coalesce(k.c,0)=1 as un from p left join k using(node_id)),
 walk as (select node_id, parent_node_id as at, branch_length as len from f where not un
@@ -274,7 +274,7 @@ select node_id, w.at as parent_node_id, w.len as branch_length from walk w left
 where w.at is null or not f.un""".replace("left join f on f.node_id=w.at", "left join f g on g.node_id=w.at").replace(
     "w.at is null or not f.un", "w.at is null or not g.un").replace("select node_id, w.at", "select w.node_id, w.at"))
 def _(spark, sf):
-    wanted = v.nodes(spark, sf).where("is_terminal and cell_id % 7 = 0")
+    wanted = v.urgent_tips(spark, sf)
     pruned = ancestry.prune(v.nodes(spark, sf), wanted)
     return ancestry.collapse_unary(pruned, "branch_length")
 

@@ -49,7 +49,17 @@ def ancestry_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sampled_tips(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.terminal_cells(nodes(spark, sf)).where("cell_id % 3 = 0")
+    """Cells that were collected: their order is finished."""
+    return lineage.terminal_cells(nodes(spark, sf)).join(
+        table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("cast(o_orderkey as string) as cell_id"),
+        "cell_id", "left_semi")
+
+
+def urgent_tips(spark: SparkSession, sf: str) -> DataFrame:
+    """Tips wanted in a pruned forest: cells of urgent orders."""
+    return nodes(spark, sf).where("is_terminal").join(
+        table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("cast(o_orderkey as string) as cell_id"),
+        "cell_id", "left_semi")
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,16 +128,39 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
         "greatest(0, c_acctbal) / 10000.0 as normalized_rf")
 
 
-def truth_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").where("o_orderkey < 511").selectExpr(
-        "o_orderkey as node", "case when o_orderkey = 0 then null else (o_orderkey - 1) div 2 end as parent")
-
-
-def estimate_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").where("o_orderkey < 511").selectExpr(
-        "o_orderkey as node",
-        "case when o_orderkey = 0 then null when o_orderkey >= 255 then 127 + (o_orderkey * 7) % 128 "
-        "else (o_orderkey - 1) div 2 end as parent")
+TREES = {("near", "truth"): 1, ("near", "estimate"): 7, ("far", "truth"): 1, ("far", "estimate"): 11}
+
+
+def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two pairs of trees over all orders: binary, with the tips dealt out differently.
+
+    Node k hangs below (k-1)/2; nodes without a child are tips.  Tip labels are
+    dealt by a multiplier, 1 for the truth.
+    """
+    n = table(spark, sf, "orders").count()
+    inner, tips = n // 2, n - n // 2
+    deals = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(r).alias("role"), F.lit(m).alias("deal"))
+                                for (p, r), m in TREES.items()])).alias("t")
+    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), deals).select("node", "t.*")
+    label = F.when(F.col("node") >= inner, F.lit(inner) + ((F.col("node") - inner) * F.col("deal")) % tips)
+    length = F.lit(1.0) + (F.col("node") * 13 % 7) / 10
+    # tips end together, so that the trees are ultrametric down to the last split
+    return base.select(
+        "pair", "role", "node",
+        F.concat_ws("/", "pair", "role", "node").alias("key"),
+        F.when(F.col("node") > 0, F.concat_ws("/", "pair", "role", F.floor((F.col("node") - 1) / 2).cast("string"))).alias("parent_key"),
+        label.alias("label"), F.when(F.col("node") == 0, 0.0).otherwise(length).alias("length"))
+
+
+SQL_TREES = """n_ as (select count(*) as n, count(*)//2 as h from orders),
+deal(pair, role, deal) as (values ('near','truth',1),('near','estimate',7),('far','truth',1),('far','estimate',11)),
+tn as (select pair, role, o_orderkey as node, pair||'/'||role||'/'||o_orderkey as key,
+  case when o_orderkey>0 then pair||'/'||role||'/'||((o_orderkey-1)//2) end as parent_key,
+  case when o_orderkey>=h then h+((o_orderkey-h)*deal)%(n-h) end as label, case when o_orderkey=0 then 0.0 else 1.0+((o_orderkey*13)%7)/10 end as length
+  from orders, n_, deal)"""
+SQL_TREE_UP = SQL_TREES + """,
+tup as (select key, label, length, key as anc, parent_key as nxt, 0 as steps from tn
+  union all select t.key, t.label, t.length, p.key, p.parent_key, steps+1 from tup t join tn p on p.key=t.nxt)"""
 
 
 # The same views in the SQL of the checks.
