@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.session import written
+
 SLICES = 32
 
 
@@ -86,7 +88,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
     )
-    return running_total(counts, keys, [value], F.col("_count"), "_upto")
+    return running_total(written(counts, "counts"), keys, [value], F.col("_count"), "_upto")
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -101,7 +103,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 def spearman(df: DataFrame, keys: list[str], left: str, right: str, name: str = "spearman",
              at_least: int = 3) -> DataFrame:
     """Spearman correlation per group over rows where both values are present."""
-    both = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, left, right)
+    both = written(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, left, right), "ranked")
     ranked = average_rank(average_rank(both, keys, left, "_rank_left"), keys, right, "_rank_right")
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"),

@@ -122,3 +122,49 @@ def interpolate(points: DataFrame, wanted: DataFrame, x: str, y: str, at: str, n
     share = F.greatest(F.lit(0.0), (F.col(at) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))
     return joined.withColumn(name, F.when(F.col("_x1").isNull(), F.col("_y0")).otherwise(
         F.col("_y0") + share * (F.col("_y1") - F.col("_y0")))).drop("_x0", "_x1", "_y0", "_y1", "_no")
+
+
+def apply_mask(values: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Values where another dataset was observed, null elsewhere."""
+    seen = observed.select(*keys).distinct().withColumn("_seen", F.lit(True))
+    return values.join(seen, keys, "left").withColumn(value, F.when(F.col("_seen"), F.col(value))).drop("_seen")
+
+
+def exclude_by_position(table: DataFrame, unit: str, positions: list[int]) -> DataFrame:
+    """Leave out units by their place in the sorted list of units."""
+    ranked = table.select(unit).distinct().withColumn("_no", F.row_number().over(Window.orderBy(unit)))  # one row per unit
+    return table.join(ranked.where(~F.col("_no").isin(positions)).select(unit), unit, "left_semi")
+
+
+def keep_listed(table: DataFrame, listed: DataFrame, keys: list[str], at_least: int = 1) -> DataFrame:
+    """Rows whose key an earlier result lists; fewer than ``at_least`` keys leave nothing."""
+    count = listed.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    return table.join(listed.select(*keys).distinct(), keys, "left_semi").where(count >= at_least)
+
+
+def map_labels(table: DataFrame, column: str, mapping: dict[str, str], keep: str) -> DataFrame:
+    """Mapped labels; the original stays in ``keep`` and unmapped labels stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return table.withColumn(keep, F.col(column)).withColumn(column, F.coalesce(F.try_element_at(names, F.col(keep)), F.col(keep)))
+
+
+def exclude_labels(table: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+    """Rows whose label matches none of the patterns, ignoring case."""
+    for pattern in patterns:
+        table = table.where(~F.col(column).rlike(f"(?i){pattern}"))
+    return table
+
+
+def apportion(table: DataFrame, keys: list[str], weight: str, order: str, total: int, name: str) -> DataFrame:
+    """Whole counts that add up to ``total`` per group, by largest remainder.
+
+    Ties go to the smaller ``order``.  Remainders are rounded to nine digits, so
+    equal shares stay equal whatever the order of addition.
+    """
+    sums = table.groupBy(*keys).agg(F.sum(weight).alias("_all"))
+    raw = table.join(sums, keys).withColumn("_raw", F.lit(float(total)) * F.col(weight) / F.col("_all")).withColumn(
+        "_floor", F.floor("_raw").cast("long")).withColumn("_rest", -F.round(F.col("_raw") - F.floor("_raw"), 9))
+    missing = raw.groupBy(*keys).agg((F.lit(total) - F.sum("_floor")).alias("_missing"))
+    ranked = number_rows(raw.drop("_all"), keys, ["_rest", order], "_no").join(missing, keys)
+    return ranked.withColumn(name, F.col("_floor") + (F.col("_no") <= F.col("_missing")).cast("long")).drop(
+        "_raw", "_floor", "_rest", "_no", "_missing")
