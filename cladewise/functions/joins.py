@@ -1,0 +1,33 @@
+"""Join against a side that is unique per key, safe when a few keys hold most rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 20_000_000
+HOT_KEYS = 500
+
+
+def hot_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, rows: int,
+             hot_rows: int | None = None) -> DataFrame:
+    """Left join to a side with one row per key; the columns of both sides keep their aliases.
+
+    Sides are aliased ``near`` and ``far``.  Above ``hot_rows`` left rows the
+    keys that hold more than 1/500 of them are split off: there are fewer than
+    500, so their right rows are broadcast while all other keys are shuffled.
+    """
+    condition = F.col(f"near.{left_key}") == F.col(f"far.{right_key}")
+    if rows <= (HOT_ROWS if hot_rows is None else hot_rows):
+        return left.alias("near").join(right.alias("far"), condition, "left")
+    hot = F.broadcast(  # fewer than HOT_KEYS keys by the threshold
+        left.groupBy(left_key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows / HOT_KEYS).select(left_key))
+    few = right.join(hot.withColumnRenamed(left_key, right_key), right_key, "left_semi").select(*right.columns)
+    many = left.join(hot, left_key, "left_semi").select(*left.columns)
+    rest = left.join(hot, left_key, "left_anti").select(*left.columns)
+    joined = many.alias("near").join(F.broadcast(few).alias("far"), condition, "left")
+    plain = rest.alias("near").join(right.alias("far"), condition, "left")
+    names = [F.col(f"near.{c}").alias(f"near_{c}") for c in left.columns] + [F.col(f"far.{c}").alias(f"far_{c}") for c in right.columns]
+    both = joined.select(*names).unionByName(plain.select(*names))
+    return both.select(F.struct(*[F.col(f"near_{c}").alias(c) for c in left.columns]).alias("near"),
+                       F.struct(*[F.col(f"far_{c}").alias(c) for c in right.columns]).alias("far"))

@@ -15,44 +15,64 @@ from pyspark.sql import functions as F
 
 from cladewise.session import written
 
-SLICES = 32
+CUTS = 32
 
 
-def _slice_by_cuts(value: Column, cuts: list) -> Column:
-    """Number of cut points at or below the value, as a balanced CASE."""
+def _wanted_slices(df: DataFrame) -> int:
+    """At least the cut count, and as many slices as a shuffle has partitions."""
+    return max(CUTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _slice_by_cuts(value: Column, cuts: list, fine: int) -> Column:
+    """Place of the value among the cut points, each gap cut in ``fine`` equal steps.
+
+    A balanced CASE finds the gap, arithmetic the step inside it, so thousands of
+    slices stay a short expression.
+    """
+
+    def step(gap: int) -> Column:
+        base = F.lit(gap * fine)
+        if fine == 1 or gap in (0, len(cuts)):
+            return base
+        low, high = cuts[gap - 1], cuts[gap]
+        return base + F.least(F.lit(fine - 1), F.floor((value - low) / (high - low) * fine).cast("int"))
 
     def descend(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low)
+            return step(low)
         middle = (low + high) // 2
         return F.when(value < F.lit(cuts[middle]), descend(low, middle)).otherwise(descend(middle + 1, high))
 
     return descend(0, len(cuts))
 
 
-def order_slice(df: DataFrame, order: str, slices: int = SLICES) -> Column:
+def order_slice(df: DataFrame, order: str, slices: int | None = None) -> Column:
     """Column that cuts ``df`` along ``order`` into slices of about equal size.
 
     Cut points of a numeric order come from one approximate quantile pass; they
     only steer the balance, never the result.  A text order must be a hex digest
-    (see ``sampling.draw_order``) and is cut on its leading digits.
+    (see ``sampling.draw_order``) and is cut on its leading digits.  The number
+    of slices follows the session's shuffle partitions.
     """
+    wanted = slices or _wanted_slices(df)
     kind = df.schema[order].dataType.typeName()
     if kind == "string":
-        return F.substring(F.col(order), 1, 2)
+        digits = 2 if wanted <= 256 else 3 if wanted <= 4096 else 4
+        return F.substring(F.col(order), 1, digits)
     value = F.col(order)
     if kind in ("timestamp", "date"):
         value = F.unix_micros(value.cast("timestamp"))
-    probabilities = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(value.cast("double"), probabilities, 1000).alias("cuts")).first()["cuts"]
+    value = value.cast("double")
+    probabilities = [i / CUTS for i in range(CUTS + 1)]
+    found = df.agg(F.percentile_approx(value, probabilities, 1000).alias("cuts")).first()["cuts"]
     cuts = sorted(set(found or []))
     if not cuts:
         return F.lit(0)
-    return F.when(value.isNull(), F.lit(-1)).otherwise(_slice_by_cuts(value.cast("double"), cuts))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(_slice_by_cuts(value, cuts, -(-wanted // CUTS)))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
-                  slices: int = SLICES) -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the rows up to this one in its group.
 
     ``order`` must be unique inside a group; its first column steers the slices.
@@ -67,7 +87,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
         .drop("_total")
     )
     if not keys:
-        offsets = F.broadcast(offsets)  # at most one row per slice (or 256 digests)
+        offsets = F.broadcast(offsets)  # one row per slice
     inside = Window.partitionBy(*by_slice).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.join(offsets, by_slice)
@@ -77,7 +97,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "row_no",
-                slices: int = SLICES) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """Row number 1.. in each group along a unique order, without one task per group."""
     return running_total(df, keys, order, F.lit(1).cast("long"), name, slices)
 

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.functions.joins import hot_join
 from cladewise.functions.ranking import running_total
 from cladewise.functions.sampling import explode_range
 from cladewise.session import written
@@ -31,13 +32,13 @@ def _doubling(links: DataFrame, payload: list[str], combine: Callable[[str], Col
     2^k-th ancestor.  ``combine(name)`` folds ``near.name`` with ``far.name``.
     """
     state = written(links.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), label)
-    limit = math.ceil(math.log2(max(state.count(), 1) + 1)) + 2
-    for _ in range(limit):
+    rows = state.count()
+    for _ in range(math.ceil(math.log2(max(rows, 1) + 1)) + 2):
         active = state.where(F.col("up").isNotNull())
         if active.isEmpty():
             return state.drop("up")
-        near, far = active.alias("near"), state.alias("far")
-        moved = near.join(far, F.col("near.up") == F.col("far.node"), "left").select(
+        # in late rounds most nodes point near the root, so a few keys hold most rows
+        moved = hot_join(active, state, "up", "node", rows).select(
             F.col("near.node"), F.col("far.up"),
             F.coalesce(F.col("far.root"), F.when(F.col("far.node").isNull(), F.col("near.up"))).alias("root"),
             *[combine(name).alias(name) for name in payload],
@@ -88,16 +89,17 @@ def subtree_sums(nodes: DataFrame, values: dict[str, Column], node: str = "node_
     names = list(values)
     state = written(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"),
                                  *[v.alias(n) for n, v in values.items()]), "subtree")
-    limit = math.ceil(math.log2(max(state.count(), 1) + 1)) + 2
-    for _ in range(limit):
+    rows = state.count()
+    for _ in range(math.ceil(math.log2(max(rows, 1) + 1)) + 2):
         active = state.where(F.col("up").isNotNull())
         if active.isEmpty():
             return state.drop("up").withColumnRenamed("node", node)
         handed = active.groupBy(F.col("up").alias("node")).agg(*[F.sum(n).alias(f"_{n}") for n in names])
-        further = state.select(F.col("node").alias("up"), F.col("up").alias("_up"))
+        moved = hot_join(state, state.select("node", "up"), "up", "node", rows).select(
+            F.col("near.node").alias("node"), F.col("far.up").alias("up"), *[F.col(f"near.{n}").alias(n) for n in names])
         state = written(
-            state.join(further, "up", "left").join(handed, "node", "left").select(
-                "node", F.col("_up").alias("up"),
+            moved.join(handed, "node", "left").select(
+                "node", "up",
                 *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).cast(state.schema[n].dataType).alias(n)
                   for n in names],
             ), "subtree")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows, percentiles
 from cladewise.functions.sampling import draw_order, explode_range, uniform_int
+from cladewise.session import written
 
 UNEDITED, EDITED, UNCALLED, NOT_CAPTURED = "0", "1", "?", "+"
 
@@ -458,12 +459,15 @@ def distinct_states(molecules: DataFrame) -> DataFrame:
 def quantile_distance(samples: DataFrame, reference: DataFrame, candidate: str, value: str = "rate",
                       steps: int = 99) -> DataFrame:
     """Mean absolute difference of the percentiles 1..99 to a reference.
-
-    Both sides are site rates, one value per recorder site.
     """
-    grid = F.array(*[F.lit(i / (steps + 1)) for i in range(1, steps + 1)])
-    wanted = reference.agg(F.percentile(value, grid).alias("q")).select("q").scalar()
-    ours = samples.groupBy(candidate).agg(F.percentile(value, grid).alias("_q")).withColumn("_r", wanted)
+    probabilities = {f"p{i}": i / (steps + 1) for i in range(1, steps + 1)}
+    together = samples.select(F.col(candidate).alias("_who"), value, F.lit(0).alias("_reference")).unionByName(
+        reference.select(F.lit(None).cast(samples.schema[candidate].dataType).alias("_who"), value, F.lit(1).alias("_reference")))
+    keyed = together.withColumn("_who", F.struct("_reference", "_who"))
+    points = percentiles(keyed, ["_who"], value, probabilities).select("_who", F.array(*probabilities).alias("_q"))
+    points = written(points, "quantiles")  # one row per candidate
+    wanted = points.where("_who._reference = 1").select("_q").scalar()
+    ours = points.where("_who._reference = 0").select(F.col("_who._who").alias(candidate), "_q").withColumn("_r", wanted)
     gaps = F.zip_with("_q", "_r", lambda a, b: F.abs(a - b))
     return ours.select(candidate, (F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / steps).alias("quantile_distance"))
 

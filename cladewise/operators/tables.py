@@ -112,16 +112,16 @@ def interpolate(points: DataFrame, wanted: DataFrame, x: str, y: str, at: str, n
     points; every wanted value meets the one bracket that holds it.
     """
     single = points.groupBy(x).agg(F.min(y).alias(y))
-    along = Window.orderBy(x)  # one row per measured point
-    brackets = single.select(
-        F.col(x).alias("_x0"), F.col(y).alias("_y0"), F.lead(x).over(along).alias("_x1"), F.lead(y).over(along).alias("_y1"),
-        F.row_number().over(along).alias("_no"))
-    inside = (F.col(at) >= F.col("_x0")) | (F.col("_no") == 1)
-    below = F.col("_x1").isNull() | (F.col(at) < F.col("_x1"))
-    joined = wanted.join(F.broadcast(brackets), inside & below)
-    share = F.greatest(F.lit(0.0), (F.col(at) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))
-    return joined.withColumn(name, F.when(F.col("_x1").isNull(), F.col("_y0")).otherwise(
-        F.col("_y0") + share * (F.col("_y1") - F.col("_y0")))).drop("_x0", "_x1", "_y0", "_y1", "_no")
+    curve = single.agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+                       .alias("c")).select("c").scalar()
+    placed = wanted.withColumn("_curve", curve).withColumn("_at", F.col(at).cast("double"))
+    placed = placed.withColumn("_no", F.size(F.filter("_curve", lambda p: p["x"] <= F.col("_at"))))
+    low = F.try_element_at("_curve", F.greatest(F.col("_no"), F.lit(1)))
+    high = F.try_element_at("_curve", F.least(F.greatest(F.col("_no") + 1, F.lit(1)), F.size("_curve")))
+    placed = placed.withColumn("_low", low).withColumn("_high", F.when(F.col("_no") == 0, low).otherwise(high))
+    share = F.coalesce(F.try_divide(F.col("_at") - F.col("_low.x"), F.col("_high.x") - F.col("_low.x")), F.lit(0.0))
+    return placed.withColumn(name, F.col("_low.y") + share * (F.col("_high.y") - F.col("_low.y"))).drop(
+        "_curve", "_at", "_no", "_low", "_high")
 
 
 def apply_mask(values: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:
