@@ -127,11 +127,9 @@ def spearman(df: DataFrame, keys: list[str], left: str, right: str, name: str =
     ranked = average_rank(average_rank(both, keys, left, "_rank_left"), keys, right, "_rank_right")
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"),
-        F.when(
-            (F.count(F.lit(1)) >= at_least)
-            & (F.stddev_pop("_rank_left") > 0) & (F.stddev_pop("_rank_right") > 0),
-            F.corr("_rank_left", "_rank_right"),
-        ).alias(name),
+        F.when(F.count(F.lit(1)) >= at_least, F.try_divide(
+            F.covar_pop("_rank_left", "_rank_right"),
+            F.stddev_pop("_rank_left") * F.stddev_pop("_rank_right"))).alias(name),
     )
 
 
