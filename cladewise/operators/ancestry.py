@@ -47,6 +47,24 @@ def _doubling(links: DataFrame, payload: list[str], combine: Callable[[str], Col
     raise LineageCycle("parent links form a cycle")
 
 
+def numbered(nodes: DataFrame, node: str, parent: str, keep: list[str] | None = None) -> DataFrame:
+    """Nodes with whole-number ids ``node_no, parent_no`` next to their names.
+
+    Long runs of joins on text ids cost more than one pass that replaces them.
+    The numbers are written down with the names, so they never change.  Parents
+    that are not in the table leave their children as roots; see
+    ``lineage.node_violations``.
+    """
+    keep = keep or []
+    if node == "node_no":
+        return nodes.select(node, parent, *keep)
+    if nodes.schema[node].dataType.typeName() == "long":
+        return nodes.select(node, parent, *keep, F.col(node).alias("node_no"), F.col(parent).alias("parent_no"))
+    base = written(nodes.select(node, parent, *keep).withColumn("node_no", F.monotonically_increasing_id()), "ids")
+    parents = base.select(F.col(node).alias(parent), F.col("node_no").alias("parent_no"))
+    return written(base.join(parents, parent, "left"), "numbered")
+
+
 def root_paths(nodes: DataFrame, node: str = "node_id", parent: str = "parent_node_id",
                sums: dict[str, str] | None = None) -> DataFrame:
     """Per node its root, depth in edges and sums of columns over the way to the root.
@@ -112,43 +130,38 @@ def chain_index(nodes: DataFrame, node: str = "node_id", parent: str = "parent_n
 
     A chain follows the child with the most descendants, so a root path meets at
     most log2(nodes) chains however deep the tree is.  Per node the table holds
-    its chain, its place in the chain, its depth and root, and ``path``: for each
-    chain from the root downwards, the place where the path leaves it.  Two
+    its chain, its place in the chain, its depth, the number of its root, and
+    ``path``: for each chain from the root downwards, the place where the path
+    leaves it.  Two
     nodes' most recent common ancestor then follows from their two rows alone.
     """
-    sizes = subtree_sums(nodes, {"_size": F.lit(1).cast("long")}, node, parent)
-    base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).join(
-        sizes.withColumnRenamed(node, "node"), "node")
+    ids = numbered(nodes, node, parent, [time] if time else [])
+    sizes = subtree_sums(ids, {"_size": F.lit(1).cast("long")}, "node_no", "parent_no").withColumnRenamed("node_no", "node")
+    base = ids.select(F.col("node_no").alias("node"), F.col("parent_no").alias("parent")).join(sizes, "node")
     heavy = base.where(F.col("parent").isNotNull()).groupBy("parent").agg(
         F.max_by("node", F.struct("_size", "node")).alias("node")).select("node", F.lit(True).alias("_heavy"))
     placed = written(base.join(heavy, "node", "left").select(
         "node", "parent", F.when(F.col("_heavy"), F.col("parent")).alias("_along")), "chains")
     places = root_paths(placed, "node", "_along").select(
         "node", F.col("root").alias("chain"), F.col("depth").alias("place"))
-    places = written(places, "chains")
 
     heads = placed.where(F.col("_along").isNull()).select(F.col("node").alias("chain"), F.col("parent").alias("exit"))
     exits = places.select(F.col("node").alias("exit"), F.col("chain").alias("up"), F.col("place").alias("_at"))
     hops = heads.join(exits, "exit", "left").select(
         F.col("chain").alias("node"), "up",
-        F.when(F.col("up").isNull(), F.array().cast("array<struct<chain:string,place:bigint>>")).otherwise(
-            F.array(F.struct(F.col("up").cast("string").alias("chain"), F.col("_at").cast("long").alias("place")))
-        ).alias("path"),
+        F.when(F.col("up").isNull(), F.array().cast("array<struct<chain:bigint,place:bigint>>")).otherwise(
+            F.array(F.struct(F.col("up").alias("chain"), F.col("_at").alias("place")))).alias("path"),
     )
     ways = _doubling(hops, ["path"], lambda n: F.when(F.col(f"far.{n}").isNull(), F.col(f"near.{n}")).otherwise(
         F.concat(F.col(f"far.{n}"), F.col(f"near.{n}"))), "ways").select(
-        F.col("node").alias("chain"), "root", "path")
+        F.col("node").alias("chain"), F.col("root").alias("root_no"), "path")
     full = places.join(ways, "chain").select(
-        F.col("node").alias(node), "root",
-        F.col("chain").cast("string").alias("chain"), "place",
-        F.concat("path", F.array(F.struct(F.col("chain").cast("string").alias("chain"),
-                                          F.col("place").cast("long").alias("place")))).alias("path"),
-    )
+        F.col("node").alias("node_no"), F.col("root_no").alias("root"), "chain", "place",
+        F.concat("path", F.array(F.struct("chain", "place"))).alias("path"))
     depth = F.aggregate("path", F.lit(-1).cast("long"), lambda total, hop: total + hop["place"] + 1)
-    full = full.withColumn("depth", depth)
-    if time is not None:
-        full = full.join(nodes.select(node, F.col(time).alias("time")), node)
-    return written(full, "index")
+    names = ids.select(*dict.fromkeys([node, "node_no"]), *([F.col(time).alias("time")] if time else []))
+    named = full.withColumn("depth", depth).join(names, "node_no")
+    return written(named if node == "node_no" else named.drop("node_no"), "index")
 
 
 def common_ancestor(pairs: DataFrame, index: DataFrame, a: str, b: str, node: str = "node_id",
@@ -237,16 +250,18 @@ def tip_intervals(nodes: DataFrame, sampled: DataFrame, child_order: str, node:
     up along the root path, not from walking the tree.
     """
     marked = nodes.join(sampled.select(F.col(node)).distinct().withColumn("_tip", F.lit(1).cast("long")), node, "left")
-    counts = subtree_sums(marked, {"tips": F.coalesce(F.col("_tip"), F.lit(0)).cast("long")}, node, parent)
+    ids = numbered(marked.withColumn("_own", F.coalesce("_tip", F.lit(0)).cast("long")), node, parent, [child_order, "_own"])
+    counts = written(subtree_sums(ids, {"tips": F.col("_own")}, "node_no", "parent_no"), "tips")
     # a sampled inner node takes the first place of its own interval
-    own = marked.select(node, parent, child_order, F.coalesce("_tip", F.lit(0)).cast("long").alias("_own")).join(counts, node)
-    siblings = own.withColumn("_family", F.coalesce(F.col(parent).cast("string"), F.lit("")))
+    own = ids.select("node_no", "parent_no", child_order, "_own").join(counts, "node_no")
+    siblings = written(own.withColumn("_family", F.coalesce(F.col("parent_no"), F.lit(-1))), "siblings")
     ahead = running_total(siblings, ["_family"], [child_order], F.col("tips"), "_upto")
-    parents = own.select(F.col(node).alias(parent), F.col("_own").alias("_parent_own"))
-    steps = ahead.join(parents, parent, "left").withColumn(
+    parents = own.select(F.col("node_no").alias("parent_no"), F.col("_own").alias("_parent_own"))
+    steps = ahead.join(parents, "parent_no", "left").withColumn(
         "_before", F.col("_upto") - F.col("tips") + F.coalesce(F.col("_parent_own"), F.lit(0)))
-    placed = root_paths(steps, node, parent, {"first_place": "_before"})
-    return counts.join(placed.select(node, "first_place"), node)
+    placed = root_paths(steps, "node_no", "parent_no", {"first_place": "_before"})
+    return counts.join(placed.select("node_no", "first_place"), "node_no").join(
+        ids.select("node_no", node), "node_no").select(node, "tips", "first_place")
 
 
 def event_cells(events: DataFrame, intervals: DataFrame, sampled: DataFrame, node: str = "node_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows, running_total, spearman
 from cladewise.functions.sampling import explode_range, uniform_int
-from cladewise.operators.ancestry import chain_index, collapse_unary, common_ancestor, prune, root_paths, subtree_sums
+from cladewise.operators.ancestry import chain_index, collapse_unary, common_ancestor, numbered, prune, root_paths, subtree_sums
 from cladewise.operators.spatial import cell_pairs
 from cladewise.session import written
 
@@ -47,14 +47,15 @@ def clades(trees: DataFrame) -> DataFrame:
     """
     tip = F.col("label").isNotNull()
     zero = F.lit(0).cast("decimal(38,0)")
-    sums = subtree_sums(trees, {
+    ids = numbered(trees, "key", "parent_key", [*TREE, "label", "length"])
+    sums = subtree_sums(ids, {
         "size": F.when(tip, 1).otherwise(0).cast("long"),
         "key_a": F.when(tip, _hash("label", "a")).otherwise(zero),
-        "key_b": F.when(tip, _hash("label", "b")).otherwise(zero)}, "key", "parent_key")
-    times = root_paths(trees, "key", "parent_key", {"split_time": "length"}).select("key", "split_time")
+        "key_b": F.when(tip, _hash("label", "b")).otherwise(zero)}, "node_no", "parent_no")
+    times = root_paths(ids, "node_no", "parent_no", {"split_time": "length"}).select("node_no", "split_time")
     totals = trees.where(tip).groupBy(*TREE).agg(F.count(F.lit(1)).alias("tips"), F.min("label").alias("first_tip"))
-    inner = trees.where(~tip).select("key", *TREE).join(sums, "key").join(times, "key").join(totals, TREE)
-    return written(inner, "clades")
+    inner = ids.where(~tip).select("node_no", "key", *TREE).join(sums, "node_no").join(times, "node_no").join(totals, TREE)
+    return written(inner.drop("node_no"), "clades")
 
 
 def clade_keys(all_clades: DataFrame) -> DataFrame:
@@ -100,8 +101,10 @@ def unrooted_rf(split_table: DataFrame) -> DataFrame:
 
 def tip_index(trees: DataFrame) -> DataFrame:
     """Ancestry index of all trees with distance from the root and the tips' labels."""
-    unit = root_paths(trees, "key", "parent_key", {"root_distance": "length"}).select("key", "root_distance")
-    return written(chain_index(trees, "key", "parent_key").join(unit, "key").join(trees.select("key", *TREE, "label"), "key"), "tips")
+    ids = numbered(trees, "key", "parent_key", [*TREE, "label", "length"])
+    way = root_paths(ids, "node_no", "parent_no", {"root_distance": "length"}).select("node_no", "root_distance")
+    index = chain_index(ids.select("node_no", "parent_no"), "node_no", "parent_no")
+    return written(index.join(way, "node_no").join(ids.select("node_no", "key", *TREE, "label"), "node_no").drop("node_no"), "tips")
 
 
 def shared_labels(trees: DataFrame) -> DataFrame:
@@ -214,18 +217,20 @@ def cut_trees(trees: DataFrame, groups: int) -> DataFrame:
     Meant for trees whose tips end together.  The cut lies right after the split
     that brings the number of branches to at least k.
     """
-    placed = written(trees.join(root_paths(trees, "key", "parent_key", {"_time": "length"}).select("key", "_time"), "key"), "placed")
-    children = placed.where(F.col("parent_key").isNotNull()).groupBy(F.col("parent_key").alias("key")).agg(
+    ids = numbered(trees, "key", "parent_key", [*TREE, "label", "length"])
+    placed = written(ids.join(root_paths(ids, "node_no", "parent_no", {"_time": "length"}).select("node_no", "_time"), "node_no"), "placed")
+    children = placed.where(F.col("parent_no").isNotNull()).groupBy(F.col("parent_no").alias("node_no")).agg(
         (F.count(F.lit(1)) - 1).alias("_gain"))
-    steps = placed.join(children, "key").groupBy(*TREE, "_time").agg(F.sum("_gain").alias("_gain"))
+    steps = placed.join(children, "node_no").groupBy(*TREE, "_time").agg(F.sum("_gain").alias("_gain"))
     grown = running_total(steps, TREE, ["_time"], F.col("_gain"), "_branches")
     cut = grown.where(F.col("_branches") + 1 >= groups).groupBy(*TREE).agg(F.min("_time").alias("_cut"))
-    parents = placed.select(F.col("key").alias("parent_key"), F.col("_time").alias("_parent_time"))
-    tops = placed.join(cut, TREE).join(parents, "parent_key", "left")
+    parents = placed.select(F.col("node_no").alias("parent_no"), F.col("_time").alias("_parent_time"))
+    tops = placed.join(cut, TREE).join(parents, "parent_no", "left")
     crosses = (F.col("_time") > F.col("_cut")) & (F.coalesce(F.col("_parent_time"), F.lit(float("-inf"))) <= F.col("_cut"))
-    way = tops.select("key", F.when(~crosses, F.col("parent_key")).alias("_next"))
-    return placed.where(F.col("label").isNotNull()).select("key", *TREE, "label").join(
-        root_paths(way, "key", "_next").select("key", F.col("root").alias("group")), "key")
+    way = tops.select("node_no", F.when(~crosses, F.col("parent_no")).alias("_next"))
+    names = placed.select(F.col("node_no").alias("root"), F.col("key").alias("group"))
+    return placed.where(F.col("label").isNotNull()).select("node_no", "key", *TREE, "label").join(
+        root_paths(way, "node_no", "_next").select("node_no", "root"), "node_no").join(names, "root").drop("node_no", "root")
 
 
 def clade_eras(keys: DataFrame) -> DataFrame:

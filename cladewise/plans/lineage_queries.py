@@ -287,17 +287,17 @@ def _(spark, sf):
 
 
 @query("nearest_sampled_edges", "L16 W6", f"""with recursive {v.SQL_UP},
-cells as (select node_id as edge, cell_id as cell, division_event%9 as depth from nodes where division_event%11 in (0,5)
-  union all select node_id, 'z'||cell_id, division_event%7 from nodes where division_event%11=0),
+cells as (select node_id as edge, cell_id as cell, division_event%9 as depth from nodes where branch_length>=200
+  union all select node_id, 'z'||cell_id, division_event%7 from nodes where branch_length>=400),
 best as (select edge, arg_max(cell, struct_pack(a:=depth, b:=cell)) as cell from cells group by 1),
 hit as (select up.node_id, arg_min(struct_pack(e:=anc, c:=cell, s:=steps), steps) as h from up join best on best.edge=up.anc group by 1)
 select n.node_id, h.e as edge, h.c as cell, case when h is null then 'unassigned' when h.s=0 then 'terminal_edge' else 'ancestor_edge' end as assignment
 from nodes n left join hit using(node_id) where n.is_terminal""")
 def _(spark, sf):
     nodes = v.nodes(spark, sf)
-    cells = nodes.where("division_event % 11 in (0, 5)").selectExpr(
+    cells = nodes.where("branch_length >= 200").selectExpr(
         "node_id as edge", "cell_id as cell", "division_event % 9 as depth").unionByName(
-        nodes.where("division_event % 11 = 0").selectExpr(
+        nodes.where("branch_length >= 400").selectExpr(
             "node_id as edge", "concat('z', cell_id) as cell", "division_event % 7 as depth"))
     return ancestry.nearest_sampled_edge(nodes.where("is_terminal"), cells, nodes)
 

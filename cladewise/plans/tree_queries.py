@@ -20,15 +20,15 @@ def _trees(spark, sf):
 
 
 def _clades(spark, sf):
-    return v.kept(spark, sf, "tree_clades", lambda: tr.clades(_trees(spark, sf)))
+    return v.kept(spark, sf, "tree_clades", lambda: tr.clades(_trees(spark, sf)), write=False)
 
 
 def _index(spark, sf):
-    return v.kept(spark, sf, "tree_index", lambda: tr.tip_index(_trees(spark, sf)))
+    return v.kept(spark, sf, "tree_index", lambda: tr.tip_index(_trees(spark, sf)), write=False)
 
 
 def _labels(spark, sf):
-    return v.kept(spark, sf, "tree_labels", lambda: tr.shared_labels(_trees(spark, sf)))
+    return v.kept(spark, sf, "tree_labels", lambda: tr.shared_labels(_trees(spark, sf)), write=False)
 
 
 # the key of a clade in SQL: its sorted tip labels as one text digest
@@ -66,12 +66,12 @@ def _(spark, sf):
     return _r(tr.unrooted_rf(tr.splits(_trees(spark, sf), _clades(spark, sf))))
 
 
-@query("shared_tip_trees", "T4 L11 L12", """with m as (select count(*) as n, count(*)//2 as h from orders)
-select pair, role, label from (select 'p'||(o_custkey%10) as pair, r as role, o_orderkey as label from orders, (values ('truth'),('estimate')) t(r))
-where not (role='estimate' and label%2=0) and label%2=1 and pair in (select 'p'||(o_custkey%10) from orders where o_orderkey%2=1 group by 1 having count(*)>=3)""")
+@query("shared_tip_trees", "T4 L11 L12", """with t as (select 'p'||(o_custkey%10) as pair, o_orderkey as label from orders where o_orderstatus<>'O')
+select pair, role, label from t, (values ('truth'),('estimate')) r(role) where pair in (select pair from t group by 1 having count(*)>=3)""")
 def _(spark, sf):
-    base = v.table(spark, sf, "orders").selectExpr("o_orderkey as label", "concat('p', o_custkey % 10) as pair", "o_custkey % 40 as mid").withColumn(
-        "role", F.explode(F.array(F.lit("truth"), F.lit("estimate")))).where("not (role = 'estimate' and label % 2 = 0)")
+    """The estimate lacks the tips of open orders, so the truth is cut down to the others."""
+    base = v.table(spark, sf, "orders").selectExpr("o_orderkey as label", "concat('p', o_custkey % 10) as pair", "o_custkey % 40 as mid", "o_orderstatus as status").withColumn(
+        "role", F.explode(F.array(F.lit("truth"), F.lit("estimate")))).where("not (role = 'estimate' and status = 'O')")
     tips = base.selectExpr("pair", "role", "concat(pair, role, 't', label) as key", "concat(pair, role, 'm', mid) as parent_key", "label", "1.0D as length")
     mids = base.select("pair", "role", "mid").distinct().selectExpr(
         "pair", "role", "concat(pair, role, 'm', mid) as key", "concat(pair, role, 'root') as parent_key", "cast(null as bigint) as label", "2.0D as length")

@@ -13,11 +13,14 @@ from cladewise.session import written
 _KEPT: dict[tuple, DataFrame] = {}
 
 
-def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per session and input folder."""
+def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
+    """A derived table written once per session and input folder.
+
+    ``write=False`` is for builders whose result is a written table already.
+    """
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _KEPT:
-        _KEPT[key] = written(build(), name)
+        _KEPT[key] = written(build(), name) if write else build()
     return _KEPT[key]
 
 
@@ -45,7 +48,7 @@ def node_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ancestry_index(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(spark, sf, "ancestry_index", lambda: ancestry.chain_index(nodes(spark, sf), time="end_time"))
+    return kept(spark, sf, "ancestry_index", lambda: ancestry.chain_index(nodes(spark, sf), time="end_time"), write=False)
 
 
 def sampled_tips(spark: SparkSession, sf: str) -> DataFrame:
