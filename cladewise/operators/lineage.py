@@ -17,6 +17,16 @@ def plain_id(value: Column) -> Column:
     return F.when(good, whole.cast("decimal(38,0)").cast("string"))
 
 
+def _sure_id(column: str) -> Column:
+    fail = F.raise_error(F.concat(F.lit(f"{column} is not a cell id: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    return F.coalesce(plain_id(F.col(column)), fail.cast("string"))
+
+
+def _within(time: Column, end_time: float) -> Column:
+    fail = F.raise_error(F.lit("a division has no time or lies after end_time")).cast("double")
+    return F.when(time.isNotNull() & (time <= F.lit(float(end_time))), time).otherwise(fail)
+
+
 def division_violations(divisions: DataFrame) -> DataFrame:
     """Rows that break a rule of a division log, with the rule.
 
@@ -78,10 +88,12 @@ def build_lineage(divisions: DataFrame, end_time: float, founder_time: float = 0
     division of a cell, in (time, seq) order, closes segment k-1, so the whole
     table follows from numbering the divisions of each cell; no replay is
     needed.  ``founders`` (column ``cell_id``) may hold cells that never divide.
+    The log must be valid (``division_violations``); an id that is none or a
+    division after ``end_time`` ends the job.
     """
     log = divisions.select(
-        F.col("time").cast("double").alias("time"), F.col("seq").cast("long").alias("seq"),
-        plain_id(F.col("parent_id")).alias("parent_id"), plain_id(F.col("daughter_id")).alias("daughter_id"),
+        _within(F.col("time").cast("double"), end_time).alias("time"), F.col("seq").cast("long").alias("seq"),
+        _sure_id("parent_id").alias("parent_id"), _sure_id("daughter_id").alias("daughter_id"),
     )
     log = number_rows(log, [], ["time", "seq"], "event_no")
     log = number_rows(log, ["parent_id"], ["time", "seq"], "nth")

@@ -46,6 +46,15 @@ def test_empty_log(spark):
     assert lineage.division_violations(log).count() == 0
 
 
+def test_bad_logs_end_the_job(spark):
+    schema = "time double, seq long, parent_id string, daughter_id string"
+    late, wrong = spark.createDataFrame([(9.0, 0, "0", "1")], schema), spark.createDataFrame([(1.0, 0, "0", "1.5")], schema)
+    with pytest.raises(Exception, match="after end_time"):
+        lineage.build_lineage(late, 3.0).collect()
+    with pytest.raises(Exception, match="not a cell id"):
+        lineage.build_lineage(wrong, 3.0).collect()
+
+
 def test_division_rules(spark, rows):
     log = spark.createDataFrame([
         (1.0, 0, "0", "1"), (-1.0, 1, "0", "2"), (2.0, 2, "3", "3"), (3.0, 3, "0", "1"), (4.0, 4, "x", "7"), (5.0, 5, "0", "1.5"),
