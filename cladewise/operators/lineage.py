@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows
+from cladewise.session import written
 
 
 def plain_id(value: Column) -> Column:
@@ -95,8 +96,9 @@ def build_lineage(divisions: DataFrame, end_time: float, founder_time: float = 0
         _within(F.col("time").cast("double"), end_time).alias("time"), F.col("seq").cast("long").alias("seq"),
         _sure_id("parent_id").alias("parent_id"), _sure_id("daughter_id").alias("daughter_id"),
     )
-    log = number_rows(log, [], ["time", "seq"], "event_no")
-    log = number_rows(log, ["parent_id"], ["time", "seq"], "nth")
+    # both numberings are read several times below, so each is written once
+    log = written(number_rows(log, [], ["time", "seq"], "event_no"), "events")
+    log = written(number_rows(log, ["parent_id"], ["time", "seq"], "nth"), "divisions")
 
     opened = log.select(
         F.inline(F.array(
