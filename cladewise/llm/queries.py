@@ -1,0 +1,152 @@
+"""The numbered queries over the given tables, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladewise.llm import (
+    byte_bpe, exact_dedup, language_id, neighbours, ngram_join, packing, sharding, token_counts, toxicity, warc,
+)
+from cladewise.llm.common import held_out, table, text_or_empty, training_fold
+from cladewise.session import scratch_path
+
+BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+NEIGHBOURS, QUERY_STEP, SHARDS, TOKEN_LIMIT = 20, 20, 16, 4096
+
+
+def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    BUILDERS[build.__name__] = build
+    return build
+
+
+@_query
+def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return exact_dedup.mark_copies(docs, F.sha2(text_or_empty(), 256).alias("text_sha256"))
+
+
+SQL["op1_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+"""
+
+
+@_query
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), f"vec_id % {QUERY_STEP} = 0", NEIGHBOURS)
+
+
+@_query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    pages = warc.read_pages(spark, path)
+    sound = F.when(F.col("complete"), F.col("record_key")).otherwise(
+        F.raise_error(F.concat(F.lit("broken record "), F.coalesce("record_id", F.lit("?")))))
+    facts = pages.select(
+        "record_id", "record_type", sound.cast("long").alias("page_id"), "refers_to",
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+    )
+    originals = facts.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"),
+        F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"),
+    ).dropDuplicates(["refers_to"])
+    # Responses refer to nothing; a key of their own keeps them apart in the join.
+    keyed = facts.withColumn("refers_to", F.coalesce("refers_to", F.concat(F.lit("none "), F.col("record_id"))))
+    return keyed.join(originals, "refers_to", "left").select(
+        "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "_digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to"),
+    )
+
+
+@_query
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, folder, "documents"), ngram_join.Rule(words=3, percent=90))
+
+
+SQL["op4_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach AS (
+  SELECT doc_id, doc_id AS near FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.near)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(near) AS component_id
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@_query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    profiles = language_id.learn(docs.where(training_fold(F.col("doc_id"))))
+    found = language_id.identified(docs.select("doc_id", "text"), profiles)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"),
+    )
+
+
+@_query
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@_query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    network = toxicity.fit(docs, table(spark, folder, "labels"))
+    found = toxicity.scored(docs.select("doc_id", "text"), network)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"),
+        (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@_query
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"),
+    )
+    return sharding.sharded(rows, ["doc_id", "text_crc32", "size"], SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@_query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(cut).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
