@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def local_session(cpus: int | str = 8, app: str = "cladewise") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CLADEWISE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cladewise-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,16 +29,18 @@ def local_session(cpus: int | str = 8, app: str = "cladewise") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where nothing is
-    named (tests, a laptop) a fresh local folder is chosen.
+    On a cluster a missing setting is an error: a folder chosen here would be on
+    one machine's disk.  A local session runs in one process and may use a
+    temporary folder of its own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="cladewise-")
-        context.setCheckpointDir(named)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cladewise-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
@@ -56,3 +60,15 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made, once its successor stands."""
+    spark = table.sparkSession
+    shared = shared_folder(spark)
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.toUri().getPath().startswith(re.sub(r"^\w+://?", "/", shared).replace("//", "/")):
+            raise ValueError(f"{folder} is not in the shared folder")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
