@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from cladewise.llm.common import by_size, interned, rows_of, text_or_empty
+from cladewise.llm.common import by_size, interned, map_runs, rows_of, text_or_empty
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 NONE = np.int32(1 << 30)
 
 
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [x.astype(np.int32) for x in encoder.encode(batch["text"].tolist())]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_runs(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -236,7 +236,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bytes": [encoder.decode(np.asarray(i)) for i in batch["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return map_runs(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -250,8 +250,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 joined = ",".join(map(str, ids.tolist())).encode()
                 out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
             frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
+            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield frame
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, schema)
+    return map_runs(docs.select("doc_id", text_or_empty().alias("text")), run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cladewise.session import written
 
@@ -104,6 +107,32 @@ def may_hold(df: DataFrame, key: Column, bits: DataFrame, slots: int = BITMAP_SL
     return flagged(df, key, bits, slots).where("_hit").drop("_hit")
 
 
+RUN_BYTES = 2_000_000
+
+
+def runs(batch: pa.RecordBatch | pa.Array, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch | pa.Array]:
+    """A batch in slices of about ``size`` bytes, without copying; at least one row each."""
+    step = max(1, int(len(batch) * size / max(batch.nbytes, 1)))
+    for start in range(0, len(batch), step):
+        yield batch.slice(start, step)
+
+
+def map_runs(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` over slices of bounded size.
+
+    Spark sends batches by number of rows, so long texts make large ones; a batch
+    stays in Arrow memory and only a slice at a time becomes Python objects.
+    """
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = run(part.to_pandas() for batch in batches for part in runs(batch))
+        for frame in frames:
+            yield pa.RecordBatch.from_pandas(frame, schema=fields, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
 def by_size(texts: list[str], chars: int = 2_000_000) -> Iterator[list[int]]:
     """The positions of the texts, in runs of about ``chars`` characters (a longer text is a run of its own)."""
     run, size = [], 0

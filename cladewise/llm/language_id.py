@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import by_size, interned, rows_of
+from cladewise.llm.common import by_size, interned, map_runs, rows_of, runs
 
 PROFILE = 400
 UNKNOWN = "und"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 
 def packed_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ class Profiles:
 def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
     """Profiles of the non-null ``lang`` values over all texts of ``docs``."""
     texts = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = texts.mapInPandas(_gram_counts, "lang string, gram long, n long")
+    counts = map_runs(texts, _gram_counts, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     # The profiles: languages x size rows.
@@ -197,11 +197,15 @@ def identified(docs: DataFrame, profiles: Profiles, text: Column | None = None)
     """``docs`` with a struct column ``_language`` (lang, score); other columns are untouched."""
     text = F.col("text") if text is None else text
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         identifier = Identifier(profiles)
         for batch in batches:
-            langs, scores = identifier.many([None if x is None or x is pd.NA else x for x in batch])
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            langs, scores = [], []
+            for part in runs(batch):
+                some = identifier.many(part.to_pylist())
+                langs += some[0]
+                scores += some[1]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return docs.withColumn("_language", predict(text))

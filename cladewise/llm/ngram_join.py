@@ -40,10 +40,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import bitmap, by_size, components, interned, may_hold, text_or_empty
+from cladewise.llm.common import bitmap, by_size, components, interned, map_runs, may_hold, text_or_empty
 from cladewise.session import written
 
-FREQUENT, CHUNK, PARTS, ROUNDS = 1 << 20, 4_000_000, 128, 3
+FREQUENT, CHUNK, PARTS, ROUNDS = 1 << 20, 2_000_000, 128, 3
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -188,21 +188,6 @@ def _near(rule: Rule) -> object:
     return run
 
 
-def _verified(rule: Rule) -> object:
-    """(a, b, set_a, set_b) -> the pairs that link."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch["set_a"], batch["set_b"]):
-                left, right = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= rule.percent * (len(left) + len(right) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return run
-
-
 class _Join:
     """The tables of one join: prefixes of class members, posting lists that hold several entries."""
 
@@ -211,7 +196,7 @@ class _Join:
         self.rule, self.docs = rule, docs
         self.tested: DataFrame | None = None
         shared = spark.sparkContext.broadcast(hot)
-        prefixes = docs.mapInPandas(_prefixes(rule, shared), "id long, n int, tokens array<long>, spread binary")
+        prefixes = map_runs(docs, _prefixes(rule, shared), "id long, n int, tokens array<long>, spread binary")
         self.sets = written(prefixes.join(members, "id", "left_semi"), "prefixes")
         entries = self.sets.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
         # The hub of a list: the entry nearest to the front of its set.
@@ -252,16 +237,18 @@ class _Join:
 
         def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                sets = [x.tobytes() for x in sets_of(batch["text"].tolist(), rule.words)]
+                sets = [x.view(np.int64) for x in sets_of(batch["text"].tolist(), rule.words)]
                 yield pd.DataFrame({"id": batch["doc_id"], "grams": sets})
 
         texts = may_hold(self.docs, F.col("doc_id"), written(bitmap(named, F.col("id")), "named"))
         # A document that repeats is made once for each of its different sets.
-        sets = texts.mapInPandas(make, "id long, grams binary").join(named, "id", "left_semi")
+        sets = map_runs(texts, make, "id long, grams array<long>").join(named, "id", "left_semi")
         sets = written(sets.withColumn("_h", F.xxhash64("grams")).dropDuplicates(["id", "_h"]).drop("_h"), "sets")
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("grams").alias(f"set_{side}")), side)
-        return written(pairs.mapInPandas(_verified(rule), "a long, b long"), "links")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        either = F.size("set_a") + F.size("set_b") - both
+        return written(pairs.where(100 * both.cast("long") >= rule.percent * either.cast("long")).select("a", "b"), "links")
 
     def labelled(self, labels: DataFrame | None) -> DataFrame:
         """The lists with the component of each entry and of its hub."""
@@ -307,7 +294,7 @@ def linked_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     summary = written(
-        texts.mapInPandas(_summaries(rule), "kind int, key long, count long, a long, b long"), "summaries"
+        map_runs(texts, _summaries(rule), "kind int, key long, count long, a long, b long"), "summaries"
     )
     rows = summary.where("kind = 0").select(F.col("key").alias("doc_id"), F.col("count").alias("n_shingles"), "a", "b")
     hot = frequent(summary.where("kind = 1").select("key", "count"))

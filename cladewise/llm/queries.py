@@ -54,13 +54,13 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
         "record_id", "record_type", sound.cast("long").alias("page_id"), "refers_to",
         F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
     )
-    originals = facts.where("record_type = 'response'").select(
+    sources = facts.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"),
         F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"),
     ).dropDuplicates(["refers_to"])
     # Responses refer to nothing; a key of their own keeps them apart in the join.
     keyed = facts.withColumn("refers_to", F.coalesce("refers_to", F.concat(F.lit("none "), F.col("record_id"))))
-    return keyed.join(originals, "refers_to", "left").select(
+    return keyed.join(sources, "refers_to", "left").select(
         "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "_digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to"),
     )

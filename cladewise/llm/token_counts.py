@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import bitmap, may_hold, text_or_empty
+from cladewise.llm.common import bitmap, map_runs, may_hold, text_or_empty
 from cladewise.session import scratch_path
 
 CACHE = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
@@ -49,7 +49,7 @@ def _counter(path: str):
 
 
 def encoded_counts(texts: DataFrame, path: str, chunk: int = 64) -> DataFrame:
-    """(content_sha256, text) -> (content_sha256, n_tokens); the texts go through the library in small chunks."""
+    """(content_sha256, text) -> (content_sha256, n_tokens); texts go through the library in small chunks."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = _counter(path)
@@ -58,7 +58,7 @@ def encoded_counts(texts: DataFrame, path: str, chunk: int = 64) -> DataFrame:
             counts = [n for i in range(0, len(bodies), chunk) for n in counter(bodies[i:i + chunk])]
             yield pd.DataFrame({"content_sha256": batch["content_sha256"], "n_tokens": counts})
 
-    return texts.select("content_sha256", "text").mapInPandas(count, "content_sha256 string, n_tokens long")
+    return map_runs(texts.select("content_sha256", "text"), count, "content_sha256 string, n_tokens long")
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:

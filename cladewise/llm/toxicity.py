@@ -23,18 +23,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import language_id
-from cladewise.llm.common import by_size, training_fold
+from cladewise.llm.common import by_size, runs, training_fold
 
 PER_CLASS, LEARN_CHARS = 5_000, 20_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
 STEPS, BATCH, RATE = 1_000, 32, 0.08
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
 def word_rows(word: str) -> tuple[int, int]:
@@ -230,14 +230,16 @@ def scored(docs: DataFrame, net: Network | None, text: Column | None = None) ->
         return docs.withColumn("_toxicity", F.lit(0.0))
     text = F.col("text") if text is None else text
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, identifier = WordRows(), language_id.Identifier(net.profiles)
+        base = net.thresholds[""]
         for batch in batches:
-            texts = ["" if x is None or x is pd.NA else x for x in batch]
-            langs, _ = identifier.many(texts)
-            base = net.thresholds[""]
-            odds = [net.log_odds(rows) - net.thresholds.get(lang, base) for rows, lang in zip(words.texts(texts), langs)]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+            odds = []
+            for part in runs(batch):
+                texts = [x or "" for x in part.to_pylist()]
+                langs, _ = identifier.many(texts)
+                odds += [net.log_odds(rows) - net.thresholds.get(lang, base) for rows, lang in zip(words.texts(texts), langs)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=np.float64), -30, 30))), pa.float64())
 
     return docs.withColumn("_toxicity", score(text))

@@ -2,7 +2,7 @@
 
 Writing.  Each page becomes an HTTP response with chunked transfer framing.  A
 block longer than ``segment_bytes`` is cut into a first record and continuation
-records (origin identifier, segment number, total length on the last one).  Of
+records (identifier of the first, segment number, total length on the last one).  Of
 pages with equal payloads of at least ``revisit_bytes`` the one with the largest
 key is written in full and the others as revisit records that refer to it.
 Archives are gzip files of Spark's own writer, one per partition, in any store
@@ -11,7 +11,7 @@ that Spark writes to.
 Reading.  Files are cut at the version line of records, so that no file needs to
 fit a task's memory.  Payloads can't forge that line: wherever a payload holds
 ``WARC/1.1`` a new chunk begins inside it.  Continuation records are grouped by
-their origin identifier and put in order of their segment numbers, gaps and the
+the identifier of their first record and put in order of their segment numbers, gaps and the
 total length are verified, and chunked framing is decoded.
 
 Defined cases: a null payload is an empty one; a null key leaves the key field
@@ -26,9 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewise.llm.common import map_runs, runs
+
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES = 32_768, 4_096, 1_000
@@ -37,7 +40,7 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-En
 
 RECORD = (
     "record_id string, record_type string, uri string, record_key string, refers_to string, digest string, "
-    "segment int, origin string, total_length long, block binary, whole boolean"
+    "segment int, first_id string, total_length long, block binary, whole boolean"
 )
 
 
@@ -86,34 +89,34 @@ def write_archives(
         F.octet_length(body).alias("n"),
     )
     rows = rows.withColumn("id", _identifier(F.col("key").cast("string"), F.col("uri"), F.col("digest")))
-    originals = (
+    sources = (
         rows.where(F.col("n") >= revisit_bytes).groupBy("digest")
-        .agg(F.count("*").alias("_rows"), F.max(F.struct("key", "id"))["id"].alias("original"))
-        .where("_rows > 1").select("digest", "original")
+        .agg(F.count("*").alias("_rows"), F.max(F.struct("key", "id"))["id"].alias("source"))
+        .where("_rows > 1").select("digest", "source")
     )
-    rows = rows.join(originals, "digest", "left")
-    revisit = F.col("original").isNotNull() & (F.col("original") != F.col("id"))
+    rows = rows.join(sources, "digest", "left")
+    revisit = F.col("source").isNotNull() & (F.col("source") != F.col("id"))
     block = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(_framed(F.col("body"), chunk_bytes)))
     rows = rows.select(
-        "key", "uri", "digest", "id", F.when(revisit, F.col("original")).alias("original"),
+        "key", "uri", "digest", "id", F.when(revisit, F.col("source")).alias("source"),
         block.cast("binary").alias("block"),
     )
     # One row per segment; a block of at most segment_bytes is a single one.
     pieces = rows.select(
-        "key", "uri", "digest", "id", "original", F.octet_length("block").alias("total"),
+        "key", "uri", "digest", "id", "source", F.octet_length("block").alias("total"),
         F.posexplode(_slices(F.col("block"), segment_bytes)).alias("at", "piece"),
     )
     parts = F.ceil(F.col("total") / F.lit(segment_bytes)).cast("int")
     first, several = F.col("at") == 0, parts > 1
-    kind = F.when(~first, "continuation").when(F.col("original").isNotNull(), "revisit").otherwise("response")
+    kind = F.when(~first, "continuation").when(F.col("source").isNotNull(), "revisit").otherwise("response")
     own = F.when(first, F.col("id")).otherwise(_identifier(F.col("id"), F.col("at").cast("string")))
     record = F.concat(
         F.lit(f"{VERSION}\r\n"),
         _field("WARC-Type", kind), _field("WARC-Record-ID", own), _field("WARC-Date", F.lit(DATE)),
         _field("WARC-Target-URI", F.col("uri")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        _field("WARC-Refers-To", F.when(first, F.col("original"))),
-        _field("WARC-Profile", F.when(first & F.col("original").isNotNull(), F.lit(PROFILE))),
+        _field("WARC-Refers-To", F.when(first, F.col("source"))),
+        _field("WARC-Profile", F.when(first & F.col("source").isNotNull(), F.lit(PROFILE))),
         _field("WARC-Segment-Number", F.when(several, (F.col("at") + 1).cast("string"))),
         _field("WARC-Segment-Origin-ID", F.when(~first, F.col("id"))),
         _field("WARC-Segment-Total-Length", F.when(several & (F.col("at") + 1 == parts), F.col("total").cast("string"))),
@@ -150,21 +153,21 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``, as they stand; columns of RECORD."""
     raw = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).select(F.col("value").cast("binary").alias("value"))
-    return raw.mapInPandas(_parsed, RECORD)
+    return map_runs(raw, _parsed, RECORD)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
     """Whole records: segments joined in order; complete is false where one is missing or the length is wrong."""
     alone = records.where("segment = 0").withColumn("complete", F.col("whole"))
-    segments = records.where("segment > 0").withColumn("_origin", F.coalesce("origin", "record_id"))
+    segments = records.where("segment > 0").withColumn("_first", F.coalesce("first_id", "record_id"))
     # Rows that repeat a segment are taken once; a record written n times stays n rows.
-    once = segments.groupBy("_origin", "segment").agg(
+    once = segments.groupBy("_first", "segment").agg(
         F.count("*").alias("_rows"), F.first("block").alias("block"), F.min("whole").alias("whole"),
         F.max("total_length").alias("total_length"),
         *[F.first(c).alias(c) for c in ("record_type", "uri", "record_key", "refers_to", "digest")],
     )
     start = F.col("segment") == 1
-    joined = once.groupBy("_origin").agg(
+    joined = once.groupBy("_first").agg(
         F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("segment", "block"))), lambda s: _text(s["block"])
         ), "").cast("binary").alias("block"),
@@ -175,7 +178,7 @@ def reassembled(records: DataFrame) -> DataFrame:
     )
     complete = F.col("whole") & (F.col("_parts") == F.col("_last")) & (F.octet_length("block") == F.col("total_length"))
     columns = ["record_id", "record_type", "uri", "record_key", "refers_to", "digest", "block", "complete"]
-    joined = joined.withColumn("complete", complete).withColumn("record_id", F.col("_origin"))
+    joined = joined.withColumn("complete", complete).withColumn("record_id", F.col("_first"))
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_rows", F.lit(1)).cast("int"))))
     return alone.select(columns).unionByName(joined.select(columns))
 
@@ -210,10 +213,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has no payload of its own (null).
     """
-    def decode(blocks: pd.Series) -> pd.Series:
-        return pd.Series([http_payload(bytes(b)) for b in blocks], dtype=object)
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([http_payload(b or b"") for part in runs(batch) for b in part.to_pylist()], pa.binary())
 
     records = reassembled(read_records(spark, path))
-    decoded = F.when(F.col("complete") & (F.col("record_type") == "response"), F.pandas_udf(decode, "binary")("block"))
+    decoded = F.when(F.col("complete") & (F.col("record_type") == "response"), decode("block"))
     out = records.withColumn("payload", decoded).drop("block")
     return out.withColumn("complete", F.col("complete") & ((F.col("record_type") != "response") | F.col("payload").isNotNull()))
