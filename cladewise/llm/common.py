@@ -107,7 +107,18 @@ def may_hold(df: DataFrame, key: Column, bits: DataFrame, slots: int = BITMAP_SL
     return flagged(df, key, bits, slots).where("_hit").drop("_hit")
 
 
-RUN_BYTES = 2_000_000
+RUN_BYTES, BATCH_ROWS = 2_000_000, 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send at most ``BATCH_ROWS`` rows to Python at a time.
+
+    The default of 10,000 rows is a bound on rows only: with texts of a megabyte
+    one batch would hold gigabytes.  A smaller setting of the caller stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def runs(batch: pa.RecordBatch | pa.Array, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch | pa.Array]:
@@ -123,12 +134,14 @@ def map_runs(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     Spark sends batches by number of rows, so long texts make large ones; a batch
     stays in Arrow memory and only a slice at a time becomes Python objects.
     """
+    small_batches(df.sparkSession)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = run(part.to_pandas() for batch in batches for part in runs(batch))
         for frame in frames:
             yield pa.RecordBatch.from_pandas(frame, schema=fields, preserve_index=False)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(mapped, schema)
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import by_size, interned, map_runs, rows_of, runs
+from cladewise.llm.common import by_size, interned, map_runs, rows_of, runs, small_batches
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -196,6 +196,7 @@ class Identifier:
 def identified(docs: DataFrame, profiles: Profiles, text: Column | None = None) -> DataFrame:
     """``docs`` with a struct column ``_language`` (lang, score); other columns are untouched."""
     text = F.col("text") if text is None else text
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -66,6 +66,14 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SQL["op3_warc"] = """
+SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN last END AS refers_to
+FROM (SELECT *, strlen(body) >= 1000 AND page_id <> last AS revisit FROM (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages))
+"""
+
+
 @_query
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, folder, "documents"), ngram_join.Rule(words=3, percent=90))
@@ -144,6 +152,36 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _feistel_sql(rounds: int, seed: int) -> str:
+    """The columns of one pass over ``x``, as nested selects from ``walk``."""
+    inner = "SELECT n, x % a AS l, x // a AS r, a, b FROM walk, domain WHERE x >= rows OR step = 0"
+    for step in range(rounds):
+        moved, other, side = ("l", "r", "a") if step % 2 == 0 else ("r", "l", "b")
+        draw = f"('0x' || substr(md5('{seed}-{step}-' || {other}), 1, 13))::BIGINT"
+        inner = f"SELECT n, ({moved} + {draw} % {side}) % {side} AS {moved}, {other}, a, b FROM ({inner})"
+    return f"SELECT n, r * a + l AS x, 1 AS step FROM ({inner})"
+
+
+SQL["op9_sharding"] = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+body AS (SELECT doc_id, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+facts AS (
+  SELECT doc_id, strlen(body) + 1 AS size, xor(4294967295, list_reduce(
+    [4294967295] || [('0x' || substr(digits, 2 * i + 1, 2))::BIGINT for i in range(strlen(body))],
+    lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1]))) AS text_crc32
+  FROM body, crc_table),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS n FROM facts),
+domain AS (SELECT rows, a, (rows + a - 1) // a AS b FROM (SELECT count(*) AS rows, ceil(sqrt(count(*)))::BIGINT AS a FROM documents)),
+walk AS (SELECT n, n AS x, 0 AS step FROM numbered UNION ALL {_feistel_sql(sharding.ROUNDS, 1)}),
+placed AS (SELECT n, x FROM walk, domain WHERE step = 1 AND x < rows)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % 16)::INT AS shard, x // 16 AS slot, NULL::INT AS grown_shard
+FROM numbered JOIN placed USING (n)
+"""
+
+
 @_query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

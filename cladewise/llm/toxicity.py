@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import language_id
-from cladewise.llm.common import by_size, runs, training_fold
+from cladewise.llm.common import by_size, runs, small_batches, training_fold
 
 PER_CLASS, LEARN_CHARS = 5_000, 20_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
@@ -229,6 +229,7 @@ def scored(docs: DataFrame, net: Network | None, text: Column | None = None) ->
     if net is None:
         return docs.withColumn("_toxicity", F.lit(0.0))
     text = F.col("text") if text is None else text
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import map_runs, runs
+from cladewise.llm.common import map_runs, runs, small_batches
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -213,6 +213,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has no payload of its own (null).
     """
+    small_batches(spark)
+
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
