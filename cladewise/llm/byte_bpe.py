@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 
 from cladewise.llm.common import by_size, interned, map_runs, rows_of, text_or_empty
 
-CACHED_WORDS = 200_000
+#: Words kept by a worker; characters whose distinct words are replayed together.
+CACHED_WORDS, RUN_CHARS = 300_000, 8_000_000
 NONE = np.int32(1 << 30)
 
 
@@ -187,7 +188,7 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        for some in by_size(texts):
+        for some in by_size(texts, RUN_CHARS):
             strings, codes, bounds = self.strings([texts[i] for i in some])
             findall = self.word.findall
             words = [[s] if s.isalpha() or s[:1] == " " and s[1:].isalpha() else findall(s) for s in strings]
@@ -225,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [x.astype(np.int32) for x in encoder.encode(batch["text"].tolist())]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
 
-    return map_runs(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, ids array<int>")
+    return map_runs(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, ids array<int>", RUN_CHARS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -254,4 +255,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield frame
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_runs(docs.select("doc_id", text_or_empty().alias("text")), run, schema)
+    return map_runs(docs.select("doc_id", text_or_empty().alias("text")), run, schema, RUN_CHARS)

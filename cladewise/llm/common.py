@@ -128,17 +128,33 @@ def runs(batch: pa.RecordBatch | pa.Array, size: int = RUN_BYTES) -> Iterator[pa
         yield batch.slice(start, step)
 
 
-def map_runs(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``mapInPandas`` over slices of bounded size.
-
-    Spark sends batches by number of rows, so long texts make large ones; a batch
-    stays in Arrow memory and only a slice at a time becomes Python objects.
+def regrouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches cut and put together to tables of about ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        for part in runs(batch, size):
+            held.append(part)
+            total += part.nbytes
+            if total >= size:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def map_runs(
+    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, size: int = RUN_BYTES,
+) -> DataFrame:
+    """``mapInPandas`` over tables of about ``size`` bytes, whatever the length of texts.
+
+    Spark sends batches by number of rows, so long texts make large ones and
+    short texts small ones.
     """
     small_batches(df.sparkSession)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = run(part.to_pandas() for batch in batches for part in runs(batch))
+        frames = run(part.to_pandas() for part in regrouped(batches, size))
         for frame in frames:
             yield pa.RecordBatch.from_pandas(frame, schema=fields, preserve_index=False)
         pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm.common import map_runs, text_or_empty
-from cladewise.llm.word_ids import word_encoder
+from cladewise.llm.word_ids import RUN_CHARS, word_encoder
 from cladewise.session import written
 
 WINDOW, GRAIN, GROUP_TOKENS, END_ID = 2048, 512, 1 << 20, 1
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN,
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         text_or_empty().alias("text"),
     )
-    return map_runs(rows, cut, PIECES)
+    return map_runs(rows, cut, PIECES, RUN_CHARS)
 
 
 def differenced(sizes: np.ndarray, k: int) -> np.ndarray:

@@ -20,8 +20,8 @@ import regex
 
 from cladewise.llm.common import by_size, interned, rows_of
 
-CACHED_WORDS = 200_000
-BATCH = 512
+#: Words kept by a worker; strings encoded at a time; characters whose distinct strings are looked up together.
+CACHED_WORDS, BATCH, RUN_CHARS = 400_000, 512, 8_000_000
 
 #: Plain Latin text: no combining marks, no spaces but these, no letter whose lower case depends on its place.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įĲ-ɏ]*")
@@ -85,7 +85,7 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        for some in by_size(texts):
+        for some in by_size(texts, RUN_CHARS):
             plain = [i for i in some if PLAIN.fullmatch(texts[i]) and not any(s in texts[i] for s in self.special)]
             for i, ids in zip(plain, self.plain_ids([texts[i] for i in plain])):
                 out[i] = ids
