@@ -63,8 +63,11 @@ def copy_groups(docs: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame, suspects: DataFrame, groups: DataFrame, carry: list[Column | str]) -> DataFrame:
+    return _grouped(_digested(docs, suspects, carry), groups)
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row with its group; rows of no group join on a key of their own, so that none gathers them."""
-    rows = _digested(docs, suspects, carry)
     own = F.concat(F.lit("id "), F.coalesce(F.col("_id").cast("string"), F.rand(1).cast("string")))
     rows = rows.withColumn("_key", F.coalesce("_sha", own)).drop("_sha")
     alone = F.col("group_size").isNull()
@@ -89,9 +92,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     suspects = _suspects(docs)
     groups = _groups(docs, suspects)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    kept = _classified(docs, suspects, groups, [row]).where("kept")
+    # Only suspects meet the groups; all others are unique and stay where they are.
+    rows = _digested(docs, suspects, [row])
+    alone = rows.where("_sha is null").select("_row")
+    kept = _grouped(rows.where("_sha is not null"), groups).where("kept")
     if not groups.where("_keep_rows > 1").isEmpty():
         order = Window.partitionBy("_key").orderBy(F.to_json("_row"))
         repeated = kept.where("_keep_rows > 1").withColumn("_n", F.row_number().over(order)).where("_n = 1")
         kept = kept.where("_keep_rows is null or _keep_rows = 1").unionByName(repeated.drop("_n"))
-    return kept.select("_row.*")
+    return kept.select("_row").unionByName(alone).select("_row.*")

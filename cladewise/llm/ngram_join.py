@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from cladewise.llm.common import bitmap, by_size, components, interned, map_runs, may_hold, text_or_empty
 from cladewise.session import written
 
-FREQUENT, CHUNK, PARTS, ROUNDS = 1 << 20, 2_000_000, 128, 3
+FREQUENT, CHUNK, PARTS, ROUNDS = 1 << 20, 2_000_000, 128, 2
 _ODD = 0x9E3779B97F4A7C15
 
 

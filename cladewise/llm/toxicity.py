@@ -23,13 +23,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import language_id
-from cladewise.llm.common import by_size, runs, small_batches, training_fold
+from cladewise.llm.common import by_size, map_runs, runs, small_batches, training_fold
+from cladewise.session import written
 
 PER_CLASS, LEARN_CHARS = 5_000, 20_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
@@ -37,33 +39,35 @@ STEPS, BATCH, RATE = 1_000, 32, 0.08
 CACHED_WORDS = 100_000
 
 
-def word_rows(word: str) -> tuple[int, int]:
-    """The two embedding rows of a word."""
-    stem = word[:STEM_LETTERS]
-    return (xxhash.xxh64_intdigest(word) % BUCKETS, BUCKETS + xxhash.xxh64_intdigest(stem, 1) % STEMS)
+def word_code(word: str) -> int:
+    """The two embedding rows of a word in one number."""
+    return xxhash.xxh64_intdigest(word) % BUCKETS * STEMS + xxhash.xxh64_intdigest(word[:STEM_LETTERS], 1) % STEMS
 
 
-class WordRows:
-    """Texts as rows of the embedding; words already met are kept."""
+def embedding_rows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return codes // STEMS, BUCKETS + codes % STEMS
+
+
+class WordCodes:
+    """Texts as codes of their words; words already met are kept."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, 2), dtype=np.int32)
+        self.codes = np.zeros(0, dtype=np.int32)
 
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         for run in by_size(texts):
             distinct, codes, bounds = language_id.split_words([texts[i] for i in run])
             if len(self.known) > CACHED_WORDS:
-                self.known, self.rows = {}, self.rows[:0]
+                self.known, self.codes = {}, self.codes[:0]
             if fresh := [w for w in distinct if w not in self.known]:
                 self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-                found = np.array([word_rows(w) for w in fresh], dtype=np.int32)
-                self.rows = np.concatenate([self.rows, found])
+                self.codes = np.concatenate([self.codes, np.array([word_code(w) for w in fresh], dtype=np.int32)])
             at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
             blank = distinct.index("") if "" in distinct else -1
             for a, b in zip(bounds, bounds[1:]):
                 own = codes[a:b]
-                yield self.rows[at[own[own != blank]]]
+                yield self.codes[at[own[own != blank]]]
 
 
 @dataclass
@@ -96,9 +100,10 @@ class Network:
         n = len(vectors) - width + 1
         return sum(vectors[j:j + n] @ parts[j] for j in range(width))
 
-    def pool(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pool(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Greatest responses of a text, the places where they stand, and the word vectors."""
-        vectors = self.embed[rows[:, 0]] + self.embed[rows[:, 1]]
+        whole, stem = embedding_rows(codes)
+        vectors = self.embed[whole] + self.embed[stem]
         best, where = [], []
         for width in WIDTHS:
             r = self.responses(vectors, width)
@@ -107,10 +112,10 @@ class Network:
             where.append(at)
         return np.concatenate(best), np.concatenate(where), vectors
 
-    def log_odds(self, rows: np.ndarray) -> float:
-        if not len(rows):
+    def log_odds(self, codes: np.ndarray) -> float:
+        if not len(codes):
             return self.bias
-        best, _, _ = self.pool(rows)
+        best, _, _ = self.pool(codes)
         return float(np.maximum(best + self.shift, 0) @ self.out + self.bias)
 
 
@@ -149,8 +154,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Network
                         g, p = through[own][inside], place[inside]
                         d_filters[width][j * DIM:(j + 1) * DIM, inside] += vectors[p].T * g
                         slope = parts[j][:, inside].T * g[:, None]
-                        for column in (0, 1):
-                            touched.append(texts[i][p, column])
+                        for rows in embedding_rows(texts[i][p]):
+                            touched.append(rows)
                             slopes.append(slope)
             touched, slopes = np.concatenate(touched), np.concatenate(slopes)
             rows, place = np.unique(touched, return_inverse=True)
@@ -199,23 +204,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = WordCodes()
+    for batch in batches:
+        codes = [c.astype("<i4").tobytes() for c in words.texts(batch["text"].tolist())]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "lang": batch["lang"], "codes": codes})
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
-    """The classifier, or None where one of the classes has no labelled text."""
-    sample = labelled_sample(docs, labels, per_class)
-    frame = sample.orderBy("doc_id").toPandas()
+    """The classifier, or None where one of the classes has no labelled text.
+
+    Texts become word codes in tasks; the driver gets four bytes a word.
+    """
+    sample = written(labelled_sample(docs, labels, per_class), "labelled")
+    profiles = language_id.learn(sample)
+    known = language_id.identified(sample, profiles).select("doc_id", "toxic", "text", F.col("_language.lang").alias("lang"))
+    frame = map_runs(known, _coded, "doc_id long, toxic int, lang string, codes binary").toPandas().sort_values("doc_id")
     y = frame["toxic"].to_numpy(dtype=np.int64)
     if len(np.unique(y)) < 2:
         return None
-    texts = frame["text"].tolist()
-    rows = list(WordRows().texts(texts))
+    texts = [np.frombuffer(c, dtype="<i4") for c in frame["codes"]]
     apart = np.array([xxhash.xxh64_intdigest(str(d), 5) % 4 == 0 for d in frame["doc_id"]])
     if len(np.unique(y[~apart])) < 2 or len(np.unique(y[apart])) < 2:
         apart = np.zeros(len(y), dtype=bool)
-    net = train([r for r, a in zip(rows, apart) if not a], y[~apart])
-    net.profiles = language_id.learn(docs.sparkSession.createDataFrame(frame[["lang", "text"]], "lang string, text string"))
+    net = train([t for t, a in zip(texts, apart) if not a], y[~apart])
+    net.profiles = profiles
     check = np.flatnonzero(apart) if apart.any() else np.arange(len(y))
-    odds = np.array([net.log_odds(rows[i]) for i in check])
-    langs = np.array(language_id.Identifier(net.profiles).many([texts[i] for i in check])[0])
+    odds, langs = np.array([net.log_odds(texts[i]) for i in check]), frame["lang"].to_numpy()[check]
     net.thresholds = {"": best_threshold(odds, y[check])}
     for lang in sorted(set(langs)):
         own = langs == lang
@@ -233,14 +248,14 @@ def scored(docs: DataFrame, net: Network | None, text: Column | None = None) ->
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, identifier = WordRows(), language_id.Identifier(net.profiles)
+        words, identifier = WordCodes(), language_id.Identifier(net.profiles)
         base = net.thresholds[""]
         for batch in batches:
             odds = []
             for part in runs(batch):
                 texts = [x or "" for x in part.to_pylist()]
                 langs, _ = identifier.many(texts)
-                odds += [net.log_odds(rows) - net.thresholds.get(lang, base) for rows, lang in zip(words.texts(texts), langs)]
+                odds += [net.log_odds(codes) - net.thresholds.get(lang, base) for codes, lang in zip(words.texts(texts), langs)]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=np.float64), -30, 30))), pa.float64())
 
     return docs.withColumn("_toxicity", score(text))
