@@ -132,6 +132,11 @@ class MergeReplay:
                 at = at[taken]
             gone = right[at]
             after = right[gone]
+            # Where one merge stands right before another, the pair of the two could have come first.
+            close = np.flatnonzero(right[gone[:-1]] == at[1:])
+            if len(close):
+                between = self.rank_of(np.full(len(close), rank), symbol[after[close]])
+                odd.update(word[at[close[between < rank]]].tolist())
             symbol[at] = rank
             alive[gone] = False
             right[at] = after

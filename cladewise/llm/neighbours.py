@@ -219,7 +219,7 @@ def nearest(table: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     lists = max(1, min(MAX_LISTS, number // PER_LIST))
     # The sample that the centroids are fitted on: bounded by MAX_LISTS * SAMPLE_PER_LIST vectors.
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(lists * SAMPLE_PER_LIST).select("vector").toPandas()
-    vectors = np.array(sample["vector"].tolist(), dtype=np.float64).reshape(len(sample), -1)
+    vectors = np.array(sample["vector"].tolist(), dtype=np.float64)
     if not len(vectors):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blank = Centroids(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64), scale)
