@@ -4,8 +4,8 @@ The distinct words of many documents are laid out as one array of symbols.  An
 inverted index holds, for each mergeable pair, the positions where it stands.
 Pairs are taken in rank order; a merge is applied to all its positions at once
 and only the pairs left and right of a merged position are looked up anew and
-entered into the index.  Words stay in a bounded dictionary of the worker, so
-that a task replays the merges for words it has not met.
+entered into the index.  Words stay in a bounded dictionary, so that a task only
+replays the merges for words it has not met.
 
 Ids are those of the rank file: a pair of neighbours can merge if the bytes of
 both together are a token, the lowest rank first, the leftmost first among
@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from cladewise.llm.common import by_size, interned, map_runs, rows_of, text_or_empty
 
-#: Words kept by a worker; characters whose distinct words are replayed together.
+#: Words kept by a task; characters whose distinct words are replayed together.
 CACHED_WORDS, RUN_CHARS = 300_000, 8_000_000
 NONE = np.int32(1 << 30)
 
@@ -216,17 +215,11 @@ class ByteEncoder:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=1)
-def byte_encoder(path: str, pattern: str) -> ByteEncoder:
-    """The encoder of this Python worker; its words serve all tasks that the worker runs."""
-    return ByteEncoder(path, pattern)
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, ids (array of int), no special tokens; a null text is an empty one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = byte_encoder(path, pattern)
+        encoder = ByteEncoder(path, pattern)
         for batch in batches:
             ids = [x.astype(np.int32) for x in encoder.encode(batch["text"].tolist())]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
@@ -238,7 +231,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) -> (doc_id, bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = byte_encoder(path, pattern)
+        encoder = ByteEncoder(path, pattern)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bytes": [encoder.decode(np.asarray(i)) for i in batch["ids"]]})
 
@@ -249,7 +242,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the decoded bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = byte_encoder(path, pattern)
+        encoder = ByteEncoder(path, pattern)
         for batch in batches:
             out = []
             for ids in encoder.encode(batch["text"].tolist()):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,6 +130,15 @@ def runs(batch: pa.RecordBatch | pa.Array, size: int = RUN_BYTES) -> Iterator[pa
         yield batch.slice(start, step)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, for Python workers stay alive between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def regrouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Batches cut and put together to tables of about ``size`` bytes."""
     held, total = [], 0
@@ -157,7 +168,7 @@ def map_runs(
         frames = run(part.to_pandas() for part in regrouped(batches, size))
         for frame in frames:
             yield pa.RecordBatch.from_pandas(frame, schema=fields, preserve_index=False)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(mapped, schema)
 

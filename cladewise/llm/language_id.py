@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import by_size, interned, map_runs, rows_of, runs, small_batches
+from cladewise.llm.common import by_size, give_back, interned, map_runs, rows_of, runs, small_batches
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -208,5 +208,7 @@ def identified(docs: DataFrame, profiles: Profiles, text: Column | None = None)
                 langs += some[0]
                 scores += some[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        del identifier
+        give_back()
 
     return docs.withColumn("_language", predict(text))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm.common import map_runs, text_or_empty
-from cladewise.llm.word_ids import RUN_CHARS, word_encoder
+from cladewise.llm.word_ids import RUN_CHARS, WordEncoder
 from cladewise.session import written
 
 WINDOW, GRAIN, GROUP_TOKENS, END_ID = 2048, 512, 1 << 20, 1
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN,
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = word_encoder(path)
+        encoder = WordEncoder(path)
         for batch in batches:
             out: list[tuple] = []
             for row, doc, ids in zip(batch["row"], batch["doc_id"], encoder.ids(batch["text"].tolist())):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import language_id
-from cladewise.llm.common import by_size, map_runs, runs, small_batches, training_fold
+from cladewise.llm.common import by_size, give_back, map_runs, runs, small_batches, training_fold
 from cladewise.session import written
 
 PER_CLASS, LEARN_CHARS = 5_000, 20_000
@@ -257,5 +257,7 @@ def scored(docs: DataFrame, net: Network | None, text: Column | None = None) ->
                 langs, _ = identifier.many(texts)
                 odds += [net.log_odds(codes) - net.thresholds.get(lang, base) for codes, lang in zip(words.texts(texts), langs)]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=np.float64), -30, 30))), pa.float64())
+        del words, identifier
+        give_back()
 
     return docs.withColumn("_toxicity", score(text))

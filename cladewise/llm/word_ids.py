@@ -10,7 +10,6 @@ normalisation depends on neighbours, or special tokens) go to the library whole.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 
 from cladewise.llm.common import by_size, interned, rows_of
 
-#: Words kept by a worker; strings encoded at a time; characters whose distinct strings are looked up together.
+#: Words kept by a task; strings encoded at a time; characters whose distinct strings are looked up together.
 CACHED_WORDS, BATCH, RUN_CHARS = 400_000, 512, 8_000_000
 
 #: Plain Latin text: no combining marks, no spaces but these, no letter whose lower case depends on its place.
@@ -92,9 +91,3 @@ class WordEncoder:
             for i in set(some).difference(plain):
                 out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u4")
         return out
-
-
-@lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker; its words serve all tasks that the worker runs."""
-    return WordEncoder(path)
