@@ -62,11 +62,3 @@ def bin_label(value: Column, breaks: list[float], names: list[str] | None = None
               include_lowest: bool = True) -> Column:
     """Label of the value's bin, null outside all bins."""
     return _by_bin(value, breaks, names or labels(breaks, right), right, include_lowest)
-
-
-def bin_table(spark, breaks: list[float], names: list[str] | None = None, right: bool = False) -> DataFrame:
-    """The breaks as a small table ``bin_no, bin_label, low, high``."""
-    names = names or labels(breaks, right)
-    values = check_breaks(breaks)
-    rows = [(i + 1, names[i], values[i], values[i + 1]) for i in range(len(names))]
-    return spark.createDataFrame(rows, "bin_no int, bin_label string, low double, high double")

@@ -1,84 +1,33 @@
 """Orders, ranks and exact quantiles that do not need one task per group.
 
-A plain window pulls a whole group into one task.  Here a group is cut into
-slices of its order first: slice totals give every slice its offset, and the
-window only runs inside (group, slice).  A group that holds a third of the
-rows is then spread over as many tasks as there are slices.
+A plain window pulls a whole group into one task.  Here rows are cut into slices
+of their order first, by one range partitioning over group and order: slice
+totals give every slice its offset, and the window only runs inside (group,
+slice).  A group that holds a third of the rows is then spread over as many
+tasks as its share of the slices, whatever type its order has.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.session import written
 
-CUTS = 32
-
-
-def _wanted_slices(df: DataFrame) -> int:
-    """At least the cut count, and as many slices as a shuffle has partitions."""
-    return max(CUTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _slice_by_cuts(value: Column, cuts: list, fine: int) -> Column:
-    """Place of the value among the cut points, each gap cut in ``fine`` equal steps.
-
-    A balanced CASE finds the gap, arithmetic the step inside it, so thousands of
-    slices stay a short expression.
-    """
-
-    def step(gap: int) -> Column:
-        base = F.lit(gap * fine)
-        if fine == 1 or gap in (0, len(cuts)):
-            return base
-        low, high = cuts[gap - 1], cuts[gap]
-        return base + F.least(F.lit(fine - 1), F.floor((value - low) / (high - low) * fine).cast("int"))
-
-    def descend(low: int, high: int) -> Column:
-        if low == high:
-            return step(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(cuts[middle]), descend(low, middle)).otherwise(descend(middle + 1, high))
-
-    return descend(0, len(cuts))
-
-
-def order_slice(df: DataFrame, order: str, slices: int | None = None) -> Column:
-    """Column that cuts ``df`` along ``order`` into slices of about equal size.
-
-    Cut points of a numeric order come from one approximate quantile pass; they
-    only steer the balance, never the result.  A text order must be a hex digest
-    (see ``sampling.draw_order``) and is cut on its leading digits.  The number
-    of slices follows the session's shuffle partitions.
-    """
-    wanted = slices or _wanted_slices(df)
-    kind = df.schema[order].dataType.typeName()
-    if kind == "string":
-        digits = 2 if wanted <= 256 else 3 if wanted <= 4096 else 4
-        return F.substring(F.col(order), 1, digits)
-    value = F.col(order)
-    if kind in ("timestamp", "date"):
-        value = F.unix_micros(value.cast("timestamp"))
-    value = value.cast("double")
-    probabilities = [i / CUTS for i in range(CUTS + 1)]
-    found = df.agg(F.percentile_approx(value, probabilities, 1000).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(found or []))
-    if not cuts:
-        return F.lit(0)
-    return F.when(value.isNull(), F.lit(-1)).otherwise(_slice_by_cuts(value, cuts, -(-wanted // CUTS)))
-
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
                   slices: int | None = None) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the rows up to this one in its group.
 
-    ``order`` must be unique inside a group; its first column steers the slices.
-    Group keys must not be null.
+    ``order`` must be unique inside a group; group keys must not be null.  The
+    input is read once: its slices are written, so that a lost executor can't
+    cut them anew.  The number of slices follows the session's shuffle
+    partitions.
     """
-    cut = df.withColumn("_slice", order_slice(df, order[0], slices)).withColumn("_value", value)
+    wanted = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(
+        df.withColumn("_value", value).repartitionByRange(wanted, *keys, *order).withColumn("_slice", F.spark_partition_id()),
+        "slices")
     by_slice = keys + ["_slice"]
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -122,15 +71,32 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 def spearman(df: DataFrame, keys: list[str], left: str, right: str, name: str = "spearman",
              at_least: int = 3) -> DataFrame:
-    """Spearman correlation per group over rows where both values are present."""
-    both = written(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, left, right), "ranked")
-    ranked = average_rank(average_rank(both, keys, left, "_rank_left"), keys, right, "_rank_right")
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.when(F.count(F.lit(1)) >= at_least, F.try_divide(
-            F.covar_pop("_rank_left", "_rank_right"),
-            F.stddev_pop("_rank_left") * F.stddev_pop("_rank_right"))).alias(name),
-    )
+    """Spearman correlation per group over rows where both values are present.
+
+    Equal pairs of values are counted first, and ranks and moments are taken of
+    the counts: ties make the data smaller instead of gathering on one key.
+    """
+    counts = written(
+        df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(*keys, left, right)
+        .agg(F.count(F.lit(1)).alias("_n")), "ranked")
+
+    def ranks(value: str, rank: str) -> DataFrame:
+        per = counts.groupBy(*keys, value).agg(F.sum("_n").alias("_count"))
+        placed = running_total(per, keys, [value], F.col("_count"), "_upto")
+        return placed.select(*keys, value, (F.col("_upto") - (F.col("_count") - 1) / F.lit(2.0)).alias(rank))
+
+    ranked = counts.join(ranks(left, "_x"), keys + [left]).join(ranks(right, "_y"), keys + [right])
+    n, x, y = F.col("_n"), F.col("_x"), F.col("_y")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum(n).alias("pairs"), F.sum(n * x).alias("_sx"), F.sum(n * y).alias("_sy"), F.sum(n * x * y).alias("_sxy"),
+        F.sum(n * x * x).alias("_sxx"), F.sum(n * y * y).alias("_syy"),
+        ((F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))).alias("_vary"))
+
+    def moment(product: str, a: str, b: str) -> Column:
+        return F.col(product) / F.col("pairs") - F.col(a) / F.col("pairs") * F.col(b) / F.col("pairs")
+
+    rho = moment("_sxy", "_sx", "_sy") / F.sqrt(moment("_sxx", "_sx", "_sx") * moment("_syy", "_sy", "_sy"))
+    return sums.select(*keys, "pairs", F.when((F.col("pairs") >= at_least) & F.col("_vary"), rho).alias(name))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
@@ -158,7 +124,3 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
         (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n)
         for n in wanted
     ])
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -130,20 +130,30 @@ def parse_condition_id(identifier: Column) -> dict[str, Column]:
 
 
 def result_name_fields(name: Column) -> dict[str, Column]:
-    """Fields of a result file name, found by what stands before or after them.
+    """Fields of a result file name: tokens between underscores, each tag next to its value.
 
-    The ``_samp_`` block repeats ``type-rate`` pairs; every type gets its own rate.
+    ``ints`` follows its number, every other tag stands before its value.  After
+    ``samp`` come ``type-rate`` tokens, one for each type, until another tag.
     """
-    def pick(pattern: str, kind: str = "string") -> Column:
-        return F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).try_cast(kind)
+    tokens = F.split(F.regexp_replace(name, r"\.[A-Za-z]+$", ""), "_")
 
-    block = F.regexp_extract(name, r"_samp_([^_]+-[0-9.]+(?:_[^_]+-[0-9.]+)*)", 1)
-    pairs = F.regexp_extract_all(block, F.lit(r"(?:^|_)([^_]+-[0-9.]+)"), 1)
+    def beside(tag: str, step: int) -> Column:
+        at = F.array_position(tokens, tag)
+        return F.when(at > 0, F.try_element_at(tokens, (at + step).cast("int")))
+
+    def is_rate(token: Column) -> Column:
+        return F.substring_index(token, "-", -1).try_cast("double").isNotNull() & token.contains("-")
+
+    behind = F.filter(tokens, lambda x, i: i >= F.array_position(tokens, "samp"))
+    stop = F.array_position(F.transform(behind, is_rate), False)
+    rates = F.when(F.array_position(tokens, "samp") > 0, F.when(stop > 0, F.slice(behind, 1, (stop - 1).cast("int"))).otherwise(behind))
+    shown = F.transform(F.coalesce(rates, F.array().cast("array<string>")), lambda x: F.concat(
+        F.substr(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, "-", -1)) - 1), F.lit(": "), F.substring_index(x, "-", -1)))
     return {
-        "timept": pick(r"time_(\d+(?:\.\d+)?)"), "max_ints": pick(r"(\d+)_ints_", "int"),
-        "int_recprob": pick(r"_RP_(.+)_samp", "double"), "condense_deletions": pick(r"_CD_([A-Z])"),
-        "af_threshold": pick(r"_AF_(\d+(?:\.\d+)?)"), "binarize": pick(r"_B_([A-Z])"),
-        "cell_rec_fracs": F.array_join(F.transform(pairs, lambda p: F.regexp_replace(p, "-([0-9.]+)$", ": $1")), ", "),
+        "timept": beside("time", 1), "max_ints": beside("ints", -1).try_cast("int"),
+        "int_recprob": beside("RP", 1).try_cast("double"), "condense_deletions": beside("CD", 1),
+        "af_threshold": beside("AF", 1), "binarize": beside("B", 1),
+        "cell_rec_fracs": F.array_join(shown, ", "),
     }
 
 
@@ -152,10 +162,6 @@ def delimited_numbers(text: Column, separator: str = ";") -> Column:
     return F.transform(F.split(text, separator), lambda x: F.trim(x).try_cast("double"))
 
 
-def positive_hash(text: Column) -> Column:
-    return F.md5(text.cast("string"))
-
-
 def seed_for(base_seed: int, *parts: int) -> int:
     """Seed of a sub-run: modular mix that stays within the range of a 32-bit seed."""
     value = base_seed

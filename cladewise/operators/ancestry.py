@@ -12,48 +12,60 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.functions.joins import hot_join
 from cladewise.functions.ranking import running_total
 from cladewise.functions.sampling import explode_range
-from cladewise.session import written
+from cladewise.session import discard, written
 
 
 class LineageCycle(ValueError):
     """The parent links never reach a root."""
 
 
-def _doubling(links: DataFrame, payload: list[str], combine: Callable[[str], Column], label: str) -> DataFrame:
+def _to_ancestor(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join of ``near.up`` to ``far.node``, which is unique.
+
+    In late rounds most nodes point near a root, so a few keys hold most rows of
+    the left side; adaptive execution splits such partitions.
+    """
+    return left.alias("near").join(right.alias("far"), F.col("near.up") == F.col("far.node"), "left")
+
+
+def _doubling(links: DataFrame, payload: list[str], combine: Callable[[str], Column], label: str, strict: bool) -> DataFrame:
     """Follow ``up`` to the root for every node, folding payload columns on the way.
 
     ``links`` holds ``node, up`` and the payload; in round k ``up`` is the
     2^k-th ancestor.  ``combine(name)`` folds ``near.name`` with ``far.name``.
+    A parent that is not a node is an error, or (not ``strict``) the root.
     """
+    absent = F.col("near.up")
+    if strict:
+        absent = F.raise_error(F.concat(F.lit("the parent "), F.col("near.up").cast("string"), F.lit(" is not in the table")))
     state = written(links.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), label)
     rows = state.count()
     for _ in range(math.ceil(math.log2(max(rows, 1) + 1)) + 2):
         active = state.where(F.col("up").isNotNull())
         if active.isEmpty():
             return state.drop("up")
-        # in late rounds most nodes point near the root, so a few keys hold most rows
-        moved = hot_join(active, state, "up", "node", rows).select(
+        moved = _to_ancestor(active, state).select(
             F.col("near.node"), F.col("far.up"),
-            F.coalesce(F.col("far.root"), F.when(F.col("far.node").isNull(), F.col("near.up"))).alias("root"),
+            F.when(F.col("far.node").isNull(), absent).otherwise(F.col("far.root")).alias("root"),
             *[combine(name).alias(name) for name in payload],
         )
-        state = written(state.where(F.col("up").isNull()).unionByName(moved), label)
+        before, state = state, written(state.where(F.col("up").isNull()).unionByName(moved), label)
+        discard(before)
     raise LineageCycle("parent links form a cycle")
 
 
-def numbered(nodes: DataFrame, node: str, parent: str, keep: list[str] | None = None) -> DataFrame:
+def numbered(nodes: DataFrame, node: str, parent: str, keep: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Nodes with whole-number ids ``node_no, parent_no`` next to their names.
 
     Long runs of joins on text ids cost more than one pass that replaces them.
-    The numbers are written down with the names, so they never change.  Parents
-    that are not in the table leave their children as roots; see
-    ``lineage.node_violations``.
+    The numbers are written down with the names, so they never change.  A parent
+    that is not in the table is an error, or (not ``strict``) leaves its children
+    as roots; ``lineage.node_violations`` lists such nodes.
     """
     keep = keep or []
     if node == "node_no":
@@ -62,14 +74,20 @@ def numbered(nodes: DataFrame, node: str, parent: str, keep: list[str] | None =
         return nodes.select(node, parent, *keep, F.col(node).alias("node_no"), F.col(parent).alias("parent_no"))
     base = written(nodes.select(node, parent, *keep).withColumn("node_no", F.monotonically_increasing_id()), "ids")
     parents = base.select(F.col(node).alias(parent), F.col("node_no").alias("parent_no"))
-    return written(base.join(parents, parent, "left"), "numbered")
+    joined = base.join(parents, parent, "left")
+    if strict:
+        lost = F.col(parent).isNotNull() & F.col("parent_no").isNull()
+        joined = joined.withColumn("parent_no", F.when(lost, F.raise_error(F.concat(
+            F.lit("the parent "), F.col(parent).cast("string"), F.lit(" is not in the table")))).otherwise(F.col("parent_no")))
+    return written(joined, "numbered")
 
 
 def root_paths(nodes: DataFrame, node: str = "node_id", parent: str = "parent_node_id",
-               sums: dict[str, str] | None = None) -> DataFrame:
+               sums: dict[str, str] | None = None, strict: bool = True) -> DataFrame:
     """Per node its root, depth in edges and sums of columns over the way to the root.
 
     ``sums`` maps output names to value columns; a node's own value counts.
+    A parent that is not in the table is an error, or (not ``strict``) the root.
     """
     sums = sums or {}
     links = nodes.select(
@@ -78,7 +96,7 @@ def root_paths(nodes: DataFrame, node: str = "node_id", parent: str = "parent_no
         *[F.col(column).alias(name) for name, column in sums.items()],
     )
     done = _doubling(links, ["depth", *sums],
-                     lambda n: F.col(f"near.{n}") + F.coalesce(F.col(f"far.{n}"), F.lit(0)), "paths")
+                     lambda n: F.col(f"near.{n}") + F.coalesce(F.col(f"far.{n}"), F.lit(0)), "paths", strict)
     return done.withColumnRenamed("node", node)
 
 
@@ -113,14 +131,15 @@ def subtree_sums(nodes: DataFrame, values: dict[str, Column], node: str = "node_
         if active.isEmpty():
             return state.drop("up").withColumnRenamed("node", node)
         handed = active.groupBy(F.col("up").alias("node")).agg(*[F.sum(n).alias(f"_{n}") for n in names])
-        moved = hot_join(state, state.select("node", "up"), "up", "node", rows).select(
+        moved = _to_ancestor(state, state.select("node", "up")).select(
             F.col("near.node").alias("node"), F.col("far.up").alias("up"), *[F.col(f"near.{n}").alias(n) for n in names])
-        state = written(
+        before, state = state, written(
             moved.join(handed, "node", "left").select(
                 "node", "up",
                 *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).cast(state.schema[n].dataType).alias(n)
                   for n in names],
             ), "subtree")
+        discard(before)
     raise LineageCycle("parent links form a cycle")
 
 
@@ -153,7 +172,7 @@ def chain_index(nodes: DataFrame, node: str = "node_id", parent: str = "parent_n
             F.array(F.struct(F.col("up").alias("chain"), F.col("_at").alias("place")))).alias("path"),
     )
     ways = _doubling(hops, ["path"], lambda n: F.when(F.col(f"far.{n}").isNull(), F.col(f"near.{n}")).otherwise(
-        F.concat(F.col(f"far.{n}"), F.col(f"near.{n}"))), "ways").select(
+        F.concat(F.col(f"far.{n}"), F.col(f"near.{n}"))), "ways", True).select(
         F.col("node").alias("chain"), F.col("root").alias("root_no"), "path")
     full = places.join(ways, "chain").select(
         F.col("node").alias("node_no"), F.col("root_no").alias("root"), "chain", "place",
@@ -216,20 +235,16 @@ def pair_relations(pairs: DataFrame, index: DataFrame, a: str = "node_a", b: str
     )
 
 
-def ancestor_closure(nodes: DataFrame, max_rows: int, node: str = "node_id",
+def ancestor_closure(nodes: DataFrame, wanted: DataFrame, node: str = "node_id",
                      parent: str = "parent_node_id") -> DataFrame:
-    """All (node, ancestor, steps) rows, the node itself at 0 steps.
+    """All (node, ancestor, steps) rows of the wanted nodes, the node itself at 0 steps.
 
-    The number of rows is the sum of depths plus nodes; it is checked against
-    ``max_rows`` first, because a comb makes it quadratic.  Queries that only
-    need inheritance should use ``tip_intervals`` instead.
+    The rows are the depths of the wanted nodes added up; queries that only need
+    inheritance should use ``tip_intervals`` instead.
     """
-    depths = root_paths(nodes, node, parent)
-    rows = depths.agg(F.sum(F.col("depth") + 1)).first()[0] or 0
-    if rows > max_rows:
-        raise ValueError(f"closure would hold {rows} rows, above the limit of {max_rows}")
     lifts = lift_table(nodes, node, parent)
-    reach = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).cast("long").alias("steps"))
+    reach = nodes.join(wanted.select(node).distinct(), node, "left_semi").select(
+        F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).cast("long").alias("steps"))
     top = lifts.agg(F.max("level")).first()[0]
     for level in range((top if top is not None else -1) + 1):
         jump = lifts.where(F.col("level") == level).select(
@@ -298,9 +313,36 @@ def union_events(tables: dict[str, DataFrame], order: dict[str, list[str]], inte
         "descendant_terminal_cells", F.coalesce("descendant_terminal_cells", F.lit(0).cast("long")))
 
 
-def terminal_genotypes(event_rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """State each cell ends with: the last inherited event per place wins."""
-    return event_rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+def terminal_genotypes(events: DataFrame, intervals: DataFrame, sampled: DataFrame, keys: list[str], value: str,
+                       order: list[str], node: str = "node_id", cell: str = "cell_id") -> DataFrame:
+    """State each sampled cell ends with: of the events at a place, the nearest above the cell wins.
+
+    Of several events on one node the last in ``order`` counts.  ``intervals``
+    has ``depth`` besides ``tips`` and ``first_place``.  The intervals of a
+    place's events are nested, so opening and closing boundaries cut the cells
+    into runs with one innermost event each; only those runs are listed, and the
+    rows stay near the events and the results however deep events are nested.
+    """
+    last = events.groupBy(*keys, node).agg(F.max_by(value, F.struct(*order)).alias("_state"))
+    held = last.join(intervals.where("tips > 0").select(node, "tips", "first_place", "depth"), node)
+    # at one place closings come before openings, the deeper closing and the shallower opening first
+    edges = held.select(*keys, F.inline(F.array(
+        F.struct(F.col("first_place").alias("_at"), F.lit(1).alias("_turn"), F.col("depth").alias("_rank"), F.col("_state")),
+        F.struct((F.col("first_place") + F.col("tips")).alias("_at"), F.lit(-1).alias("_turn"),
+                 (-F.col("depth")).alias("_rank"), F.lit(None).cast(last.schema["_state"].dataType).alias("_state")))))
+    along = ["_at", "_turn", "_rank"]
+    leveled = running_total(edges, keys, along, F.col("_turn").cast("long"), "_level")
+    placed = written(running_total(leveled, keys, along, F.lit(1).cast("long"), "_no"), "boundaries")
+    following = placed.select(*keys, (F.col("_no") - 1).alias("_no"), F.col("_at").alias("_until"))
+    # after a closing, the event that opened the level last is the innermost again
+    same_level = Window.partitionBy(*keys, "_level").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.last(F.when(F.col("_turn") == 1, F.struct(F.col("_state").alias("v"))), True).over(same_level)
+    active = placed.where("_level > 0").withColumn("_active", opened).join(following, [*keys, "_no"])
+    run = active.select(*keys, "_at", F.col("_active.v").alias(value), (F.col("_until") - F.col("_at")).alias("_cells"))
+    listed = explode_range(run.where("_cells > 0"), "_cells", "_step")
+    tips = sampled.select(node, cell).join(intervals.select(node, "first_place"), node).select(
+        cell, F.col("first_place").alias("_place"))
+    return listed.withColumn("_place", F.col("_at") + F.col("_step")).join(tips, "_place").select(cell, *keys, value)
 
 
 def unknown_tips(wanted: DataFrame, nodes: DataFrame, node: str = "node_id") -> DataFrame:

@@ -41,6 +41,7 @@ def long_comparison(molecules: DataFrame, dataset: str) -> DataFrame:
 
 def headline(molecules: DataFrame, dataset: str, real: str = "real", simulated: str = "simulated") -> DataFrame:
     """Headline metrics of the two sets and their ratio."""
+    # The names of the metrics.
     targets = _target_table(molecules, dataset).groupBy(dataset).agg(
         F.avg("rate").alias("mean per-target editing rate"),
         (F.max("rate") - F.min("rate")).alias("spread of per-target rate"),

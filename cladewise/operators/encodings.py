@@ -50,7 +50,7 @@ def window_bitmask(alleles: DataFrame, ranked: DataFrame) -> DataFrame:
     edited = alleles.where(F.col("allele") != 0).select("cell", "unit", "position").distinct()
     bits = F.expr("shiftleft(1L, rank - 1)")
     # the layout has one row per window position of the recorder
-    placed = edited.join(F.broadcast(ranked.select("target", "position", bits.alias("_bit"))), "position")
+    placed = edited.join(ranked.select("target", "position", bits.alias("_bit")), "position")
     return placed.groupBy("cell", F.concat(F.lit("int_"), "unit", F.lit("_target_"), "target").alias("feature")).agg(
         F.sum("_bit").alias("value"))
 
@@ -59,6 +59,7 @@ def target_layout(ranked: DataFrame, is_mark: bool = False) -> DataFrame:
     """Targets with their positions as text and how their states are encoded."""
     listed = F.array_sort(F.collect_list(F.struct("rank", "position")))
     text = F.array_join(F.transform(listed, lambda s: s["position"].cast("string")), ";")
+    # The texts that tell readers how states are written.
     encoding = ("0=unedited;1=assigned_mark" if is_mark
                 else "nonzero integer bitmask over logical_positions in listed order; 0=unedited")
     return ranked.groupBy("target").agg(text.alias("logical_positions")).withColumn("encoding", F.lit(encoding))

@@ -103,9 +103,9 @@ def build_lineage(divisions: DataFrame, end_time: float, founder_time: float = 0
     opened = log.select(
         F.inline(F.array(
             F.struct(F.col("parent_id").alias("cell_id"), F.col("nth").alias("segment"),
-                     F.lit("continuing_parent").alias("origin")),
+                     F.lit("continuing_parent").alias("opened_as")),
             F.struct(F.col("daughter_id").alias("cell_id"), F.lit(0).cast("long").alias("segment"),
-                     F.lit("new_daughter").alias("origin")),
+                     F.lit("new_daughter").alias("opened_as")),
         )),
         F.col("time").alias("birth_time"), F.col("event_no").alias("opening_event"),
         F.concat_ws(":", "parent_id", (F.col("nth") - 1).cast("string")).alias("parent_node_id"),
@@ -115,7 +115,7 @@ def build_lineage(divisions: DataFrame, end_time: float, founder_time: float = 0
         cells = cells.unionByName(founders.select(plain_id(F.col("cell_id")).alias("cell_id")))
     born = log.select(F.col("daughter_id").alias("cell_id"))
     first = cells.distinct().join(born, "cell_id", "left_anti").select(
-        "cell_id", F.lit(0).cast("long").alias("segment"), F.lit("founder").alias("origin"),
+        "cell_id", F.lit(0).cast("long").alias("segment"), F.lit("founder").alias("opened_as"),
         F.lit(float(founder_time)).alias("birth_time"),
         F.lit(None).cast("long").alias("opening_event"), F.lit(None).cast("string").alias("parent_node_id"),
     )
@@ -130,7 +130,7 @@ def build_lineage(divisions: DataFrame, end_time: float, founder_time: float = 0
         "cell_id", "segment", "parent_node_id", "birth_time", end.alias("end_time"),
         (end - F.col("birth_time")).alias("branch_length"),
         F.coalesce("closing_event", "opening_event").alias("division_event"),
-        "origin", F.col("closing_event").isNull().alias("is_terminal"),
+        "opened_as", F.col("closing_event").isNull().alias("is_terminal"),
     )
 
 
@@ -174,7 +174,7 @@ def active_at_checkpoints(nodes: DataFrame, times: list[float], cell_type: str =
         F.col(cell_type).alias("cell_type"),
         F.inline(F.array(
             F.struct(first_seen(F.col("birth_time")).alias("step"), F.lit(1).alias("gain"), F.lit(1).alias("opened"),
-                     F.when(F.col("origin") == "new_daughter", 1).otherwise(0).alias("events")),
+                     F.when(F.col("opened_as") == "new_daughter", 1).otherwise(0).alias("events")),
             F.struct(F.when(~F.col(alive), first_seen(F.col("end_time"))).alias("step"),
                      F.lit(-1).alias("gain"), F.lit(0).alias("opened"), F.lit(0).alias("events")),
         )),

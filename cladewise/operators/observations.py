@@ -124,7 +124,7 @@ def allele_diversity(typed: DataFrame, min_observed: float = 0.5, min_cells: int
     width = typed.groupBy("unit").agg(F.count_distinct("site").alias("_width"))
     captured = (
         seen.groupBy("unit", "cell").agg(F.count(F.lit(1)).alias("_seen"))
-        .join(F.broadcast(width), "unit")  # one row per unit of the recorder
+        .join(width, "unit")
         .where(F.col("_seen") / F.col("_width") >= min_observed).select("unit", "cell"))
     units = captured.groupBy("unit").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= min_cells)
     block = seen.join(captured, ["unit", "cell"], "left_semi")
@@ -163,8 +163,8 @@ def site_pairs(sites: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
     """Sampled site pairs within one unit or between units, without repetition.
 
     Sites are put in (unit, site) order; a site's partners are a run of later
-    ranks.  If the stratum holds at most four times the wanted pairs they are
-    all listed and cut in hash order, else distinct random pairs are drawn.
+    ranks.  The pairs are listed by number, spread over the tasks, and the first
+    ``wanted`` in hash order are kept, whatever their number.
     """
     order = Window.orderBy("unit", "site")  # as many rows as the recorder has sites
     unit = Window.partitionBy("unit")
@@ -174,16 +174,8 @@ def site_pairs(sites: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
     first, count = ((F.col("rank") + 1, F.col("_last") - F.col("rank")) if stratum == "within"
                     else (F.col("_last") + 1, F.col("_all") - F.col("_last")))
     ranked = ranked.withColumn("_first", first.cast("long")).withColumn("_partners", count.cast("long"))
-    total = ranked.agg(F.sum("_partners").alias("pairs"), F.count(F.lit(1)).alias("sites")).first()
-    pairs, n = int(total["pairs"] or 0), int(total["sites"] or 0)
-    if pairs <= 4 * wanted:
-        indices = explode_range(ranked.select("rank", "_first", "_partners"), "_partners", "_i").select(
-            F.col("rank").alias("rank_a"), (F.col("_first") + F.col("_i")).alias("rank_b"))
-    else:
-        draws = int(5 * wanted * (n * (n - 1) / 2) / pairs) + 1
-        drawn = sites.sparkSession.range(draws).select(
-            (uniform_int(f"{seed}a", n, "id") + 1).alias("x"), (uniform_int(f"{seed}b", n, "id") + 1).alias("y"))
-        indices = drawn.where("x <> y").select(F.least("x", "y").alias("rank_a"), F.greatest("x", "y").alias("rank_b")).distinct()
+    indices = explode_range(ranked.select("rank", "_first", "_partners"), "_partners", "_i").select(
+        F.col("rank").alias("rank_a"), (F.col("_first") + F.col("_i")).alias("rank_b"))
     left = ranked.select(F.col("rank").alias("rank_a"), F.col("unit").alias("unit_a"), F.col("site").alias("site_a"))
     right = ranked.select(F.col("rank").alias("rank_b"), F.col("unit").alias("unit_b"), F.col("site").alias("site_b"))
     found = indices.join(left, "rank_a").join(right, "rank_b")
@@ -199,8 +191,7 @@ def pair_gametes(typed: DataFrame, pairs: DataFrame) -> DataFrame:
     seen = typed.where(F.col("edited").isNotNull()).select("cell", "unit", "site", "edited")
     left = seen.selectExpr("cell", "unit as unit_a", "site as site_a", "edited as a")
     right = seen.selectExpr("cell", "unit as unit_b", "site as site_b", "edited as b")
-    # the pair list is no longer than the number of sampled pairs
-    both = left.join(F.broadcast(pairs), ["unit_a", "site_a"]).join(right, ["cell", "unit_b", "site_b"])
+    both = left.join(pairs, ["unit_a", "site_a"]).join(right, ["cell", "unit_b", "site_b"])
     return both.groupBy("stratum", "unit_a", "site_a", "unit_b", "site_b").agg(*[
         count_where((F.col("a") == x) & (F.col("b") == y)).alias(f"n{x}{y}") for x in (0, 1) for y in (0, 1)])
 
@@ -275,17 +266,11 @@ def unit_pair_statistics(typed: DataFrame, wanted: int, seed, at_least: int = 20
     ranked = sites.select("unit", "site", F.row_number().over(unit.orderBy("site")).alias("rank"),
                           F.count(F.lit(1)).over(unit).alias("_n")).where(F.col("_n") >= min_sites)
     totals = ranked.select("unit", "_n").distinct().withColumn("_pairs", (F.col("_n") * (F.col("_n") - 1) / 2).cast("long"))
-    every = totals.where(F.col("_pairs") <= 4 * wanted)
-    listed = explode_range(every, "_pairs", "_i").withColumn(
+    listed = explode_range(totals, "_pairs", "_i").withColumn(
         "rank_b", (F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + 8 * F.col("_i"))) / 2) + 1).cast("long")).withColumn(
         "rank_a", (F.col("_i") - (F.col("rank_b") - 1) * (F.col("rank_b") - 2) / 2 + 1).cast("long")).select(
         "unit", "rank_a", "rank_b")
-    many = totals.where(F.col("_pairs") > 4 * wanted).withColumn("_draws", F.lit(5 * wanted).cast("long"))
-    drawn = explode_range(many, "_draws", "_i").select(
-        "unit", (uniform_int(f"{seed}a", F.col("_n"), "unit", "_i") + 1).alias("x"),
-        (uniform_int(f"{seed}b", F.col("_n"), "unit", "_i") + 1).alias("y")).where("x <> y").select(
-        "unit", F.least("x", "y").alias("rank_a"), F.greatest("x", "y").alias("rank_b")).distinct()
-    named = listed.unionByName(drawn).join(
+    named = listed.join(
         ranked.selectExpr("unit", "rank as rank_a", "site as site_a"), ["unit", "rank_a"]).join(
         ranked.selectExpr("unit", "rank as rank_b", "site as site_b"), ["unit", "rank_b"]).withColumn(
         "_order", draw_order(seed, "unit", "site_a", "site_b"))

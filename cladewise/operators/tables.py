@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows
+from cladewise.session import written
 
 
 def share_of_total(table: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
@@ -80,12 +81,11 @@ def ordered_category(value: Column, levels: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(x) for x in levels]), value), F.lit(0).cast("long"))
 
 
-def parameter_grid(spark, **values: list) -> DataFrame:
-    """Every combination of parameter values, one row each."""
-    grid = spark.range(1).drop("id")
+def parameter_grid(base: DataFrame, **values: list) -> DataFrame:
+    """Every row of ``base`` with every combination of parameter values."""
     for name, items in values.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(i) for i in items])))
-    return grid
+        base = base.withColumn(name, F.explode(F.array(*[F.lit(i) for i in items])))
+    return base
 
 
 def best_rows(table: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -108,20 +108,34 @@ def empirical_cdf(table: DataFrame, keys: list[str], value: str, name: str) -> D
 def interpolate(points: DataFrame, wanted: DataFrame, x: str, y: str, at: str, name: str) -> DataFrame:
     """Linear interpolation through a response curve, clamped at its ends.
 
-    Of repeated x the smallest y stays.  The curve is a small table of measured
-    points; every wanted value meets the one bracket that holds it.
+    Of repeated x the smallest y stays; where the wanted place is null the result
+    is null.  Points and wanted rows are put in one order and cut into slices;
+    the last point before a row and the first one behind it come from its own
+    slice or from the nearest slice that holds points.
     """
-    single = points.groupBy(x).agg(F.min(y).alias(y))
-    curve = single.agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
-                       .alias("c")).select("c").scalar()
-    placed = wanted.withColumn("_curve", curve).withColumn("_at", F.col(at).cast("double"))
-    placed = placed.withColumn("_no", F.size(F.filter("_curve", lambda p: p["x"] <= F.col("_at"))))
-    low = F.try_element_at("_curve", F.greatest(F.col("_no"), F.lit(1)))
-    high = F.try_element_at("_curve", F.least(F.greatest(F.col("_no") + 1, F.lit(1)), F.size("_curve")))
-    placed = placed.withColumn("_low", low).withColumn("_high", F.when(F.col("_no") == 0, low).otherwise(high))
-    share = F.coalesce(F.try_divide(F.col("_at") - F.col("_low.x"), F.col("_high.x") - F.col("_low.x")), F.lit(0.0))
-    return placed.withColumn(name, F.col("_low.y") + share * (F.col("_high.y") - F.col("_low.y"))).drop(
-        "_curve", "_at", "_no", "_low", "_high")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col("_y").cast("double").alias("y"))
+    curve = points.where(F.col(x).isNotNull()).groupBy(x).agg(F.min(y).alias("_y")).select(point.alias("_point"))
+    rows = wanted.select(F.struct(*wanted.columns).alias("_row"), F.col(at).cast("double").alias("_at"))
+    both = rows.unionByName(curve.withColumn("_at", F.col("_point.x")), allowMissingColumns=True)
+    order = ["_at", F.col("_row").isNotNull(), "_draw"]
+    placed = written(both.withColumn("_draw", F.rand(3)).repartitionByRange(parts, *order).withColumn(
+        "_slice", F.spark_partition_id()), "curve")
+    # one row per slice
+    ends = placed.groupBy("_slice").agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
+    near = Window.orderBy("_slice")
+    ends = ends.select(
+        "_slice", F.last("_last", True).over(near.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(near.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    inside = Window.partitionBy("_slice").orderBy(*order)
+    low = F.coalesce(F.last("_point", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    high = F.coalesce(F.first("_point", True).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("_behind"))
+    found = placed.join(F.broadcast(ends), "_slice").withColumn("_low", low).withColumn("_high", high).where("_row is not null")
+    share = (F.col("_at") - F.col("_low.x")) / (F.col("_high.x") - F.col("_low.x"))
+    value = F.when(F.col("_at").isNull(), None).when(F.col("_low").isNull(), F.col("_high.y")).when(
+        F.col("_high").isNull(), F.col("_low.y")).otherwise(
+        F.col("_low.y") + share * (F.col("_high.y") - F.col("_low.y")))
+    return found.select("_row.*", value.alias(name))
 
 
 def apply_mask(values: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -143,7 +157,7 @@ def keep_listed(table: DataFrame, listed: DataFrame, keys: list[str], at_least:
 
 
 def map_labels(table: DataFrame, column: str, mapping: dict[str, str], keep: str) -> DataFrame:
-    """Mapped labels; the original stays in ``keep`` and unmapped labels stay as they are."""
+    """Mapped labels; the old one stays in ``keep`` and unmapped labels stay as they are."""
     names = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     return table.withColumn(keep, F.col(column)).withColumn(column, F.coalesce(F.try_element_at(names, F.col(keep)), F.col(keep)))
 
@@ -168,3 +182,17 @@ def apportion(table: DataFrame, keys: list[str], weight: str, order: str, total:
     ranked = number_rows(raw.drop("_all"), keys, ["_rest", order], "_no").join(missing, keys)
     return ranked.withColumn(name, F.col("_floor") + (F.col("_no") <= F.col("_missing")).cast("long")).drop(
         "_raw", "_floor", "_rest", "_no", "_missing")
+
+
+def paired_runs(wanted: DataFrame, first: DataFrame, second: DataFrame, run: str, same: list[str], one: str, two: str) -> DataFrame:
+    """Features of both runs side by side for each wanted pair whose conditions agree.
+
+    ``wanted`` names the pairs as ``<one>_run`` and ``<two>_run``; the columns of
+    ``same`` must be equal and appear once, all others take the prefix of their side.
+    """
+    def side(table: DataFrame, tag: str) -> DataFrame:
+        return table.select(*same, *[F.col(c).alias(f"{tag}_{c}") for c in table.columns if c not in same])
+
+    left, right = side(first.withColumnRenamed(run, "run"), one), side(second.withColumnRenamed(run, "run"), two)
+    joined = wanted.join(left, f"{one}_run").join(right, [f"{two}_run", *same])
+    return joined.withColumn("joint_id", F.concat_ws("_", F.lit("J"), f"{one}_run", f"{two}_run"))

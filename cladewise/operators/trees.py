@@ -17,6 +17,9 @@ from cladewise.operators.spatial import cell_pairs
 from cladewise.session import written
 
 TREE = ["pair", "role"]
+#: Draws behind sampled metrics, as published, and the numbers of clones that trees are cut into.
+DRAWS, CLONES = 20_000, (5, 10, 25)
+#: The names of the eras.
 ERAS = ["earliest", "early", "late", "latest"]
 
 
@@ -38,24 +41,35 @@ def shared_tip_trees(trees: DataFrame, min_tips: int = 3) -> DataFrame:
     return flat.join(trees.select("key", *TREE, "label"), "key")
 
 
-def clades(trees: DataFrame) -> DataFrame:
-    """Non-trivial clades of every tree: size, split time and a key of the tip set.
+def tree_table(trees: DataFrame) -> DataFrame:
+    """All nodes with what the metrics need, from one numbering, one subtree pass and one path pass.
 
-    The key is a pair of sums of 64-bit hashes over the tips, so a clade of any
-    size costs as much as a small one.  The root's clade and single tips are
-    left out, as both trees always share them.
+    Columns node_no, parent_no, key, parent_key, pair, role, label, length; size
+    (tips below), key_a and key_b (sums of 64-bit hashes over those tips, so a
+    clade of any size costs as much as a small one), holds (whether the first
+    tip is below), tips, first_tip; depth and root_distance.
     """
     tip = F.col("label").isNotNull()
     zero = F.lit(0).cast("decimal(38,0)")
-    ids = numbered(trees, "key", "parent_key", [*TREE, "label", "length"])
-    sums = subtree_sums(ids, {
+    totals = trees.where(tip).groupBy(*TREE).agg(F.count(F.lit(1)).alias("tips"), F.min("label").alias("first_tip"))
+    ids = numbered(trees.select("key", "parent_key", *TREE, "label", "length"), "key", "parent_key", [*TREE, "label", "length"])
+    placed = ids.join(totals, TREE, "left")
+    sums = subtree_sums(placed, {
         "size": F.when(tip, 1).otherwise(0).cast("long"),
         "key_a": F.when(tip, _hash("label", "a")).otherwise(zero),
-        "key_b": F.when(tip, _hash("label", "b")).otherwise(zero)}, "node_no", "parent_no")
-    times = root_paths(ids, "node_no", "parent_no", {"split_time": "length"}).select("node_no", "split_time")
-    totals = trees.where(tip).groupBy(*TREE).agg(F.count(F.lit(1)).alias("tips"), F.min("label").alias("first_tip"))
-    inner = ids.where(~tip).select("node_no", "key", *TREE).join(sums, "node_no").join(times, "node_no").join(totals, TREE)
-    return written(inner.drop("node_no"), "clades")
+        "key_b": F.when(tip, _hash("label", "b")).otherwise(zero),
+        "holds": F.coalesce((F.col("label") == F.col("first_tip")).cast("long"), F.lit(0).cast("long"))}, "node_no", "parent_no")
+    ways = root_paths(ids, "node_no", "parent_no", {"root_distance": "length"}).select("node_no", "depth", "root_distance")
+    return written(placed.join(sums, "node_no").join(ways, "node_no"), "tree_table")
+
+
+def clades(table: DataFrame) -> DataFrame:
+    """Clade of every inner node: size, split time and a key of the tip set.
+
+    Single tips are left out, as both trees always share them.
+    """
+    return table.where(F.col("label").isNull()).select(
+        "key", *TREE, "size", "key_a", "key_b", F.col("root_distance").alias("split_time"), "holds", "tips", "first_tip")
 
 
 def clade_keys(all_clades: DataFrame) -> DataFrame:
@@ -63,48 +77,49 @@ def clade_keys(all_clades: DataFrame) -> DataFrame:
         *TREE, "key", "key_a", "key_b", "size", "split_time")
 
 
-def rooted_scores(all_clades: DataFrame) -> DataFrame:
-    """Rooted RF, precision and recall per pair."""
-    keys = clade_keys(all_clades)
+def tree_pairs(table: DataFrame) -> DataFrame:
+    return table.select("pair").distinct()
+
+
+def rooted_scores(table: DataFrame) -> DataFrame:
+    """Rooted RF, precision and recall per pair; a pair without any clade stays, with nulls."""
+    keys = clade_keys(clades(table))
     per_clade = keys.groupBy("pair", "key_a", "key_b", "size").agg(
         F.count(F.when(F.col("role") == "truth", 1)).alias("t"), F.count(F.when(F.col("role") == "estimate", 1)).alias("e"))
     counts = per_clade.groupBy("pair").agg(
         F.sum("t").alias("truth_clades"), F.sum("e").alias("estimate_clades"),
         F.count(F.when((F.col("t") > 0) & (F.col("e") > 0), 1)).alias("shared_clades"))
+    counts = tree_pairs(table).join(counts, "pair", "left").na.fill(0, ["truth_clades", "estimate_clades", "shared_clades"])
     s, t, e = F.col("shared_clades"), F.col("truth_clades"), F.col("estimate_clades")
     return counts.select("pair", "truth_clades", "estimate_clades", "shared_clades",
                          (1 - F.try_divide(2 * s, t + e)).alias("rooted_rf"),
                          F.try_divide(s, e).alias("clade_precision"), F.try_divide(s, t).alias("clade_recall"))
 
 
-def splits(trees: DataFrame, all_clades: DataFrame) -> DataFrame:
+def splits(table: DataFrame) -> DataFrame:
     """Non-trivial bipartitions, named by the side without the first tip."""
-    first = trees.join(all_clades.select(*TREE, "first_tip").distinct(), TREE).withColumn(
-        "_first", F.coalesce((F.col("label") == F.col("first_tip")).cast("long"), F.lit(0).cast("long")))
-    holds = subtree_sums(first, {"_holds": F.col("_first")}, "key", "parent_key")
-    whole = all_clades.where(F.col("size") == F.col("tips")).groupBy(*TREE).agg(
+    inner = clades(table)
+    whole = inner.where(F.col("size") == F.col("tips")).groupBy(*TREE).agg(
         F.max("key_a").alias("all_a"), F.max("key_b").alias("all_b"))
-    sides = all_clades.join(holds, "key").join(whole, TREE).where(
-        (F.col("size") >= 2) & (F.col("tips") - F.col("size") >= 2))
-    flip = F.col("_holds") > 0
+    sides = inner.join(whole, TREE).where((F.col("size") >= 2) & (F.col("tips") - F.col("size") >= 2))
+    flip = F.col("holds") > 0
     return sides.select(
         *TREE, F.when(flip, F.col("all_a") - F.col("key_a")).otherwise(F.col("key_a")).alias("key_a"),
         F.when(flip, F.col("all_b") - F.col("key_b")).otherwise(F.col("key_b")).alias("key_b")).distinct()
 
 
-def unrooted_rf(split_table: DataFrame) -> DataFrame:
-    """Splits in one tree only over all splits of both."""
-    per = split_table.groupBy("pair", "key_a", "key_b").agg(F.count(F.lit(1)).alias("_n"))
-    return per.groupBy("pair").agg(F.try_divide(
+def unrooted_rf(table: DataFrame) -> DataFrame:
+    """Splits in one tree only over all splits of both; a pair without any split stays, with null."""
+    per = splits(table).groupBy("pair", "key_a", "key_b").agg(F.count(F.lit(1)).alias("_n"))
+    found = per.groupBy("pair").agg(F.try_divide(
         F.count(F.when(F.col("_n") == 1, 1)), F.sum("_n")).alias("unrooted_rf"))
+    return tree_pairs(table).join(found, "pair", "left")
 
 
-def tip_index(trees: DataFrame) -> DataFrame:
+def tip_index(table: DataFrame) -> DataFrame:
     """Ancestry index of all trees with distance from the root and the tips' labels."""
-    ids = numbered(trees, "key", "parent_key", [*TREE, "label", "length"])
-    way = root_paths(ids, "node_no", "parent_no", {"root_distance": "length"}).select("node_no", "root_distance")
-    index = chain_index(ids.select("node_no", "parent_no"), "node_no", "parent_no")
-    return written(index.join(way, "node_no").join(ids.select("node_no", "key", *TREE, "label"), "node_no").drop("node_no"), "tips")
+    index = chain_index(table.select("node_no", "parent_no"), "node_no", "parent_no")
+    return written(index.join(table.select("node_no", "key", *TREE, "label", "root_distance"), "node_no").drop("node_no"), "tips")
 
 
 def shared_labels(trees: DataFrame) -> DataFrame:
@@ -151,7 +166,7 @@ def _agreement(verdicts: DataFrame, name: str) -> DataFrame:
         F.avg((F.col("_t") == F.col("_e")).cast("int")).alias(name))
 
 
-def triplet_agreement(labels: DataFrame, index: DataFrame, samples: int, seed) -> DataFrame:
+def triplet_agreement(labels: DataFrame, index: DataFrame, seed, samples: int = DRAWS) -> DataFrame:
     """Share of sampled triples with the same cherry; unresolved triples are left out (T5)."""
     depths = _meeting_depths(draw_tips(labels, 3, samples, seed), index, [(0, 1), (0, 2), (1, 2)])
     top = F.greatest("d0", "d1", "d2")
@@ -159,22 +174,23 @@ def triplet_agreement(labels: DataFrame, index: DataFrame, samples: int, seed) -
     return _agreement(depths.withColumn("verdict", F.when(top > F.least("d0", "d1", "d2"), winner)), "triplet_agreement")
 
 
-def ordering_agreement(labels: DataFrame, index: DataFrame, samples: int, seed) -> DataFrame:
+def ordering_agreement(labels: DataFrame, index: DataFrame, seed, samples: int = DRAWS) -> DataFrame:
     """Share of sampled disjoint couples ordered alike; ties are left out."""
     depths = _meeting_depths(draw_tips(labels, 4, samples, seed), index, [(0, 1), (2, 3)])
     order = F.signum(F.col("d0") - F.col("d1"))
     return _agreement(depths.withColumn("verdict", F.when(order != 0, order)), "ordering_agreement")
 
 
-def cophenetic_spearman(labels: DataFrame, index: DataFrame, seed, max_pairs: int) -> DataFrame:
+def cophenetic_spearman(labels: DataFrame, index: DataFrame, seed, pairs: str | int = DRAWS) -> DataFrame:
     """Spearman correlation of tip-to-tip path lengths between the trees of each pair.
 
-    All tip pairs up to ``max_pairs``, else that many drawn pairs.
+    ``pairs`` is "all" or the number of tip pairs to draw; ``pairs`` of a row is
+    the number that it rests on.
     """
-    pairs = cell_pairs(labels, ["pair"], "tip_no", ["label"], seed, max_pairs, max_pairs).select(
+    drawn = cell_pairs(labels, ["pair"], "tip_no", ["label"], seed, pairs).select(
         "pair", "pair_no", "label_a", "label_b")
     tips = index.where(F.col("label").isNotNull()).select("pair", "role", "label", "key")
-    rows = pairs.withColumn("role", F.explode(F.array(F.lit("truth"), F.lit("estimate"))))
+    rows = drawn.withColumn("role", F.explode(F.array(F.lit("truth"), F.lit("estimate"))))
     for side in ("a", "b"):
         rows = rows.join(tips.withColumnRenamed("label", f"label_{side}").withColumnRenamed("key", f"key_{side}"),
                          ["pair", "role", f"label_{side}"])
@@ -211,14 +227,14 @@ def adjusted_rand(labelled: DataFrame, keys: list[str], left: str, right: str) -
         F.try_divide(F.col("_s") - expected, middle - expected)).alias("adjusted_rand"))
 
 
-def cut_trees(trees: DataFrame, groups: int) -> DataFrame:
+def cut_trees(table: DataFrame, groups: int) -> DataFrame:
     """Group label of every tip when each tree is cut at the time that leaves k branches.
 
     Meant for trees whose tips end together.  The cut lies right after the split
-    that brings the number of branches to at least k.
+    that brings the number of branches to at least k; times are told apart to
+    nine digits.
     """
-    ids = numbered(trees, "key", "parent_key", [*TREE, "label", "length"])
-    placed = written(ids.join(root_paths(ids, "node_no", "parent_no", {"_time": "length"}).select("node_no", "_time"), "node_no"), "placed")
+    placed = table.withColumn("_time", F.round("root_distance", 9)).drop("root_distance")
     children = placed.where(F.col("parent_no").isNotNull()).groupBy(F.col("parent_no").alias("node_no")).agg(
         (F.count(F.lit(1)) - 1).alias("_gain"))
     steps = placed.join(children, "node_no").groupBy(*TREE, "_time").agg(F.sum("_gain").alias("_gain"))
@@ -233,6 +249,19 @@ def cut_trees(trees: DataFrame, groups: int) -> DataFrame:
         root_paths(way, "node_no", "_next").select("node_no", "root"), "node_no").join(names, "root").drop("node_no", "root")
 
 
+def clone_agreement(table: DataFrame, groups: tuple[int, ...] = CLONES) -> DataFrame:
+    """Adjusted Rand index of the clones of both trees, cut into each number of groups."""
+    found = tree_pairs(table)
+    for k in groups:
+        cut = cut_trees(table, k)
+        both = cut.groupBy("pair", "label").agg(*[
+            F.max(F.when(F.col("role") == r, F.col("group"))).alias(r) for r in ("truth", "estimate")])
+        shared = both.where("truth is not null and estimate is not null")
+        scores = adjusted_rand(shared, ["pair"], "truth", "estimate").select("pair", F.col("adjusted_rand").alias(f"clone_ari_k{k}"))
+        found = found.join(scores, "pair", "left")
+    return found
+
+
 def clade_eras(keys: DataFrame) -> DataFrame:
     """Truth clades with their era: quartile of split time within the tree.
 
@@ -270,15 +299,20 @@ def era_description(keys: DataFrame) -> DataFrame:
     return base.join(percentiles(placed, [*TREE, "era"], "size", {"size_median": 0.5}), [*TREE, "era"])
 
 
-def score_pairs(trees: DataFrame, samples: int, seed, max_pairs: int) -> DataFrame:
-    """One row of every metric per tree pair."""
-    all_clades = clades(trees)
-    index, labels = tip_index(trees), shared_labels(trees)
+def score_pairs(trees: DataFrame, seed, draws: int = DRAWS) -> DataFrame:
+    """One row of every metric per tree pair.
+
+    Triplets, orderings and path lengths rest on ``draws`` draws; ``drawn_pairs``
+    is the number of tip pairs behind the correlation of path lengths.
+    """
+    table = tree_table(trees)
+    index, labels = tip_index(table), shared_labels(trees)
     return (
-        rooted_scores(all_clades).join(unrooted_rf(splits(trees, all_clades)), "pair", "left")
-        .join(triplet_agreement(labels, index, samples, f"{seed}t"), "pair", "left")
-        .join(ordering_agreement(labels, index, samples, f"{seed}o"), "pair", "left")
-        .join(cophenetic_spearman(labels, index, f"{seed}c", max_pairs).drop("pairs"), "pair", "left"))
+        rooted_scores(table).join(unrooted_rf(table), "pair", "left")
+        .join(triplet_agreement(labels, index, f"{seed}t", draws), "pair", "left")
+        .join(ordering_agreement(labels, index, f"{seed}o", draws), "pair", "left")
+        .join(cophenetic_spearman(labels, index, f"{seed}c", draws).withColumnRenamed("pairs", "drawn_pairs"), "pair", "left")
+        .join(clone_agreement(table), "pair", "left"))
 
 
 def manhattan_pairs(characters: DataFrame, pairs: DataFrame, width: Column) -> DataFrame:

@@ -18,12 +18,12 @@ def _r(df, digits=8):
 def _alleles(spark, sf):
     """One allele per cell, unit and position."""
     return v.table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 200 as cell", "cast(1 + l_suppkey % 5 as int) as unit", "cast(1 + l_partkey % 12 as int) as position",
+        "l_orderkey div 8 as cell", "cast(1 + l_suppkey % 5 as int) as unit", "cast(1 + l_partkey % 12 as int) as position",
         "case l_partkey % 7 when 0 then -1.0D when 1 then 0.0D when 2 then 0.1D when 3 then 0.24D else cast(l_partkey % 7 - 3 as double) end as allele"
     ).groupBy("cell", "unit", "position").agg(F.max("allele").alias("allele"))
 
 
-_AL = """al as (select cell, unit, position, max(allele) as allele from (select l_orderkey%200 as cell, cast(1+l_suppkey%5 as int) as unit, cast(1+l_partkey%12 as int) as position,
+_AL = """al as (select cell, unit, position, max(allele) as allele from (select l_orderkey//8 as cell, cast(1+l_suppkey%5 as int) as unit, cast(1+l_partkey%12 as int) as position,
  case l_partkey%7 when 0 then -1.0 when 1 then 0.0 when 2 then 0.1 when 3 then 0.24 else l_partkey%7-3 end::double as allele from lineitem) group by 1,2,3)"""
 _TXT = "case when allele%1=0 then cast(cast(allele as bigint) as varchar) else cast(allele as varchar) end"
 
@@ -125,12 +125,12 @@ def _(spark, sf):
     return en.mask_unrecovered(matrix, alleles, recovered)
 
 
-@query("deletion_runs", "R11 W1", """with d as (select distinct l_orderkey%200 as cell, l_suppkey%5 as unit, l_partkey%40 as position from lineitem where l_returnflag='A'),
+@query("deletion_runs", "R11 W1", """with d as (select distinct l_orderkey//8 as cell, l_suppkey%5 as unit, l_partkey%40 as position from lineitem where l_returnflag='A'),
 g as (select *, position-row_number() over (partition by cell, unit order by position) as run from d)
 select cell, unit, max(position) as position, 'd'||count(*) as value from g group by cell, unit, run""")
 def _(spark, sf):
     return en.deletion_runs(v.table(spark, sf, "lineitem").where("l_returnflag = 'A'").selectExpr(
-        "l_orderkey % 200 as cell", "l_suppkey % 5 as unit", "l_partkey % 40 as position"))
+        "l_orderkey div 8 as cell", "l_suppkey % 5 as unit", "l_partkey % 40 as position"))
 
 
 @query("weighted_heteroplasmy_burden", "R12", f"""with {_AL}, m as (select cell, f as feature, n/u as value from (select cell, concat_ws('_','mt',position,{_TXT}) as f, count(*) as n from al where allele<>0 group by 1,2)
@@ -186,10 +186,10 @@ def _(spark, sf):
     return _r(_fractions(spark, sf))
 
 
-@query("mito_burden", "M2", f"""with {_FR}, few as (select * from fr where variant_fraction>=0.25) select c.cell, count(few.cell) as variants, round(coalesce(sum(variant_fraction),0),8) as fraction_sum,
+@query("mito_burden", "M2", f"""with {_FR}, few as (select * from fr) select c.cell, count(few.cell) as variants, round(coalesce(sum(variant_fraction),0),8) as fraction_sum,
  round(coalesce(avg(variant_fraction),0),8) as fraction_mean, round(coalesce(max(variant_fraction),0),8) as fraction_max from (select distinct cell from genomes) c left join few using(cell) group by 1""")
 def _(spark, sf):
-    return _r(og.burden(_fractions(spark, sf).where("variant_fraction >= 0.25"), v.genomes(spark, sf)))
+    return _r(og.burden(_fractions(spark, sf), v.genomes(spark, sf)))
 
 
 _PANEL = f"""{v.SQL_GENOMES}, ord as (select cell, genome, row_number() over (partition by cell order by md5('21|'||cell||'|'||genome), genome) as r from (select distinct cell, genome from genomes)),
@@ -206,13 +206,13 @@ def _(spark, sf):
     return _r(_panels(spark, sf))
 
 
-@query("mito_shared_universe", "M5", f"""with {_PANEL}, s as (select distinct l_orderkey%200 as cell from lineitem where l_quantity>=50 and l_discount>=0.1 and l_tax>=0.07),
+@query("mito_shared_universe", "M5", f"""with {_PANEL}, s as (select distinct l_orderkey//8 as cell from lineitem where l_quantity>=50 and l_discount>=0.1 and l_tax>=0.07),
 u as (select distinct position, allele from pan where depth=6 and cell in (select cell from s))
 select depth, cell, position, allele, round(fraction,8) as fraction from pan where cell in (select cell from s) and (position, allele) in (select (position, allele) from u)""".replace(
     "and (position, allele) in (select (position, allele) from u)", "and exists(select 1 from u where u.position=pan.position and u.allele=pan.allele)"))
 def _(spark, sf):
     samples = v.table(spark, sf, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1 and l_tax >= 0.07").selectExpr(
-        "l_orderkey % 200 as cell").distinct()
+        "l_orderkey div 8 as cell").distinct()
     return _r(og.shared_universe(_panels(spark, sf), samples).select("depth", "cell", "position", "allele", "fraction"))
 
 
@@ -227,11 +227,11 @@ def _(spark, sf):
 
 def _haplotypes(spark, sf):
     return v.table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 300 as cell", "l_suppkey % 4 as species", "l_suppkey % 4 < 3 and l_orderkey % 7 > 0 as labeled",
+        "l_orderkey div 4 as cell", "l_suppkey % 4 as species", "l_suppkey % 4 < 3 and l_orderkey % 7 > 0 as labeled",
         "lpad(bin(l_partkey % 64), 6, '0') as haplotype", "cast(l_quantity as bigint) % 3 as count")
 
 
-_HAP = """hap as (select l_orderkey%300 as cell, l_suppkey%4 as species, l_suppkey%4<3 and l_orderkey%7>0 as labeled, lpad(bin(l_partkey%64),6,'0') as haplotype,
+_HAP = """hap as (select l_orderkey//4 as cell, l_suppkey%4 as species, l_suppkey%4<3 and l_orderkey%7>0 as labeled, lpad(bin(l_partkey%64),6,'0') as haplotype,
  cast(l_quantity as bigint)%3 as count from lineitem)"""
 
 
@@ -265,22 +265,22 @@ def _(spark, sf):
     return og.variants_at_thresholds(_fractions(spark, sf), [0.1, 0.2, 0.5])
 
 
-@query("variant_sharing", "M10 J18", f"""with {_FR}, p as (select position, allele, count(distinct cell) as cells, count(distinct cell%3) as founders from fr where variant_fraction>=0.5 group by 1,2)
+@query("variant_sharing", "M10 J18", f"""with {_FR}, p as (select position, allele, count(distinct cell) as cells, count(distinct cell%3) as founders from fr group by 1,2)
 select count(*) as shared_variants, round(avg((founders=1)::int),8) as founder_private_share, max(founders) as max_founders from p where cells>=5""")
 def _(spark, sf):
     founders = v.genomes(spark, sf).select("cell").distinct().withColumn("founder", F.col("cell") % 3)
-    return _r(og.variant_sharing(_fractions(spark, sf).where("variant_fraction >= 0.5"), founders))
+    return _r(og.variant_sharing(_fractions(spark, sf), founders))
 
 
-@query("cell_covariates", "J2 A8 M2 M6", f"""with {v.SQL_NODES}, {_AL}, {_HAP}, b as (select cell, count(*) filter (allele<>0) as edits from al where unit<4 group by 1),
-e as (select cell, sum(count)::bigint as total_copies from hap where species=1 group by 1)
+@query("cell_covariates", "J2 A8 M2 M6", f"""with {v.SQL_NODES}, {_AL}, {_HAP}, b as (select cell, count(*) filter (allele<>0) as edits from al group by 1),
+e as (select cell, sum(count)::bigint as total_copies from hap group by 1)
 select cast(n.cell_id as bigint) as cell, n.birth_time, coalesce(edits,0) as edits, coalesce(total_copies,0) as total_copies, d.static_id
 from nodes n left join b on b.cell=cast(n.cell_id as bigint) left join e on e.cell=cast(n.cell_id as bigint)
 left join (select n_nationkey as cell, n_name as static_id from nation) d on d.cell=cast(n.cell_id as bigint) where n.is_terminal""")
 def _(spark, sf):
     tips = v.nodes(spark, sf).where("is_terminal").selectExpr("cast(cell_id as bigint) as cell", "birth_time")
-    burden = _alleles(spark, sf).where("unit < 4").groupBy("cell").agg(F.count(F.when(F.col("allele") != 0, 1)).alias("edits"))
-    copies = _haplotypes(spark, sf).where("species = 1").groupBy("cell").agg(F.sum("count").alias("total_copies"))
+    burden = _alleles(spark, sf).groupBy("cell").agg(F.count(F.when(F.col("allele") != 0, 1)).alias("edits"))
+    copies = _haplotypes(spark, sf).groupBy("cell").agg(F.sum("count").alias("total_copies"))
     names = v.table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) as cell", "n_name as static_id")
     return og.covariates(tips, {"barcode": (burden, {"edits": 0}), "ecdna": (copies, {"total_copies": 0}),
                                 "names": (names, {"static_id": None})})

@@ -9,7 +9,7 @@ from cladewise.plans import views as v
 from cladewise.plans.registry import query
 
 _NODE_COLUMNS = ("node_id, cell_id, segment, parent_node_id, birth_time, end_time, branch_length, "
-                 "division_event, origin, is_terminal")
+                 "division_event, opened_as, is_terminal")
 
 
 @query("event_resolved_lineage", "L1 W1 O1", f"with {v.SQL_NODES} select {_NODE_COLUMNS} from nodes")
@@ -137,21 +137,18 @@ def _(spark, sf):
     return ancestry.lift_table(v.nodes(spark, sf))
 
 
-_PAIRS = """pairs as (select o_orderkey as pair, (select node_id from last_seg where node_key=(o_orderkey*31)%1500) as node_a,
-  (select node_id from last_seg where node_key=(o_orderkey*17+5)%1500) as node_b from orders)"""
-
-
 def _pairs(spark, sf):
     last = v.nodes(spark, sf).where("is_terminal").selectExpr("cast(cell_id as bigint) as k", "node_id")
-    drawn = v.table(spark, sf, "orders").selectExpr(
-        "o_orderkey as pair", "(o_orderkey * 31) % 1500 as ka", "(o_orderkey * 17 + 5) % 1500 as kb")
+    orders = v.table(spark, sf, "orders")
+    n = orders.count()
+    drawn = orders.selectExpr("o_orderkey as pair", f"(o_orderkey * 31) % {n} as ka", f"(o_orderkey * 17 + 5) % {n} as kb")
     return drawn.join(last.selectExpr("k as ka", "node_id as node_a"), "ka").join(
         last.selectExpr("k as kb", "node_id as node_b"), "kb").select("pair", "node_a", "node_b")
 
 
 _MRCA = f"""{v.SQL_UP}, last_seg as (select cast(cell_id as bigint) as node_key, node_id from nodes where is_terminal),
 pairs as (select o_orderkey as pair, a.node_id as node_a, b.node_id as node_b from orders
-  join last_seg a on a.node_key=(o_orderkey*31)%1500 join last_seg b on b.node_key=(o_orderkey*17+5)%1500),
+  join last_seg a on a.node_key=(o_orderkey*31)%(select count(*) from orders) join last_seg b on b.node_key=(o_orderkey*17+5)%(select count(*) from orders)),
 want as (select distinct node_a, node_b from pairs),
 upx as (select up.* from up where node_id in (select node_a from want union select node_b from want)),
 met as (select p.node_a, p.node_b, arg_min(x.anc, x.steps) as mrca, min(x.steps+y.steps) as dd
@@ -170,11 +167,11 @@ def _(spark, sf):
 
 
 @query("cophenetic_pairs", "L15", f"""with recursive {_MRCA},
-dist as (select node_id, sum(b.branch_length) as d from up join nodes b on b.node_id=up.anc group by 1)
+dn as (select node_id, branch_length as d from nodes where parent_node_id is null
+  union all select n.node_id, dn.d+n.branch_length from nodes n join dn on n.parent_node_id=dn.node_id)
 select pair, p.node_a, p.node_b, a.d+b.d-2*m.d as path_length
 from pairs p join met on met.node_a=p.node_a and met.node_b=p.node_b
-join dist m on m.node_id=mrca join dist a on a.node_id=p.node_a join dist b on b.node_id=p.node_b""".replace(
-    "select node_id, sum(b.branch_length)", "select up.node_id, sum(b.branch_length)"))
+join dn m on m.node_id=mrca join dn a on a.node_id=p.node_a join dn b on b.node_id=p.node_b""")
 def _(spark, sf):
     index = v.ancestry_index(spark, sf).join(v.node_paths(spark, sf).select("node_id", "root_distance"), "node_id")
     return ancestry.common_ancestor(_pairs(spark, sf), index, "node_a", "node_b", carry=["root_distance"]).where(
@@ -182,9 +179,10 @@ def _(spark, sf):
                                    "root_distance_a + root_distance_b - 2 * mrca_root_distance as path_length")
 
 
-@query("ancestor_closure", "L6", f"with recursive {v.SQL_UP} select node_id, anc as ancestor, steps from up")
+@query("ancestor_closure", "L6", f"""with recursive {v.SQL_UP} select up.node_id, anc as ancestor, steps from up join nodes n using(node_id)
+where n.is_terminal and n.cell_id in (select cast(o_orderkey as varchar) from orders where o_orderpriority='1-URGENT')""")
 def _(spark, sf):
-    return ancestry.ancestor_closure(v.nodes(spark, sf), max_rows=50_000_000)
+    return ancestry.ancestor_closure(v.nodes(spark, sf), v.urgent_tips(spark, sf))
 
 
 _SAMPLED = f"""{v.SQL_NODES},
@@ -238,14 +236,15 @@ def _(spark, sf):
         "descendant_terminal_cells")
 
 
-@query("terminal_genotypes", "L10 R1", f"""with recursive {_SAMPLED}, {v.SQL_EVENTS}
-select s.cell_id, integration, position, arg_max(allele, struct_pack(a:=node_key, b:=seq, c:=allele)) as allele
-from events_ e join up on up.anc=e.node_id join sampled s on s.node_id=up.node_id group by all""")
+@query("terminal_genotypes", "L10 R1", f"""with recursive {_SAMPLED}, {v.SQL_EVENTS},
+above as (select node_id, node_id as anc, parent_node_id as nxt, 0 as steps from nodes
+  union all select above.node_id, n.node_id, n.parent_node_id, steps+1 from above join nodes n on n.node_id=above.nxt)
+select s.cell_id, integration, position, arg_max(allele, struct_pack(a:=-steps, b:=seq, c:=allele)) as allele
+from events_ e join above up on up.anc=e.node_id join sampled s on s.node_id=up.node_id group by all""")
 def _(spark, sf):
-    events = v.mutation_events(spark, sf).select("node_key", "seq", "integration", "position", "allele", "node_id")
-    rows = ancestry.event_cells(events, v.intervals(spark, sf), v.sampled_tips(spark, sf))
-    return ancestry.terminal_genotypes(rows, ["cell_id", "integration", "position"], "allele",
-                                       ["node_key", "seq", "allele"])
+    events = v.mutation_events(spark, sf).select("seq", "integration", "position", "allele", "node_id")
+    placed = v.intervals(spark, sf).join(v.node_paths(spark, sf).select("node_id", "depth"), "node_id")
+    return ancestry.terminal_genotypes(events, placed, v.sampled_tips(spark, sf), ["integration", "position"], "allele", ["seq", "allele"])
 
 
 @query("pruned_forest", "L11 T4 J10", f"""with recursive {v.SQL_UP}

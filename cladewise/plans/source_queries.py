@@ -13,12 +13,14 @@ from cladewise.session import scratch_path
 from cladewise.sources import characters as ch, files as fi, newick as nw, parameters as pa
 
 
-@query("division_log_round_trip", "S1 S2 S4", "select cast(o_orderkey+1 as double) as time, cast(o_orderkey//2 as varchar) as parent_id, cast(o_orderkey+4 as varchar) as daughter_id from orders")
+@query("division_log_round_trip", "S1 S2 S4", "select cast(o_orderkey+1 as double) as time, row_number() over (order by o_orderkey) as seq, cast(o_orderkey//2 as varchar) as parent_id, cast(o_orderkey+4 as varchar) as daughter_id from orders")
 def _(spark, sf):
     path = scratch_path(spark, "divisions") + ".csv.gz"
     log = v.divisions(spark, sf).selectExpr("time as ` time `", "parent_id as `parent_ID `", "daughter_id as daughter_ID", "seq as extra")
-    fi.write_table(log, path)
-    return fi.read_divisions(spark, path[:-3]).drop("seq")
+    # many files of unequal size, in the order of their names
+    uneven = log.repartitionByRange(7, F.sqrt("extra")).sortWithinPartitions("extra")
+    fi.write_table(uneven, path)
+    return fi.read_divisions(spark, path[:-3])
 
 
 @query("tab_separated_round_trip", "S3", "select c_custkey, c_name, c_acctbal from customer")

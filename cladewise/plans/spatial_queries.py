@@ -184,7 +184,7 @@ d as (select i as pair_no, 1+cast(floor({v.sql_uniform('9a', 'i')}*n) as bigint)
 select pair_no, a.cell as cell_a, b.cell as cell_b, 'uniform_pairs_with_replacement' as sampling_mode, n*(n-1)//2 as total_pairs
 from e join rk a on a.r=least(x,y) join rk b on b.r=greatest(x,y), n""")
 def _(spark, sf):
-    return sp.cell_pairs(v.cells_xyz(spark, sf), [], "cell", [], 9, max_exact=1000, max_drawn=400).select(
+    return sp.cell_pairs(v.cells_xyz(spark, sf), [], "cell", [], 9, 400).select(
         "pair_no", "cell_a", "cell_b", "sampling_mode", "total_pairs")
 
 
@@ -310,7 +310,7 @@ btw as (select distance_bin, count(*) as pairs, avg(d) as mean_distance, avg((fa
 
 
 def _between(spark, sf):
-    return sp.same_founder_by_distance(v.cells_xyz(spark, sf), [], "cell", "founder", _FB, 2, 4, sp.MAX_PAIRS)
+    return sp.same_founder_by_distance(v.cells_xyz(spark, sf), [], "cell", "founder", _FB, 2, 4, "all")
 
 
 @query("same_founder_by_distance", "V13 J7", f"with {_FOUNDER} select distance_bin, pairs, {_round_sql(['mean_distance', 'same_founder_fraction', 'null_same_founder_fraction'])} from btw")
@@ -328,7 +328,7 @@ select distance_bin, count(*) as groups, sum(pairs)::bigint as pairs, round(avg(
 @query("same_founder_bin_summary", "V15 X1", f"with {_ORG}")
 def _(spark, sf):
     cells = v.cells_xyz(spark, sf).withColumn("organoid", F.col("cell") % 4)
-    per = sp.same_founder_by_distance(cells, ["organoid"], "cell", "founder", _FB, 1, 4, sp.MAX_PAIRS)
+    per = sp.same_founder_by_distance(cells, ["organoid"], "cell", "founder", _FB, 1, 4, "all")
     error = F.stddev_samp("same_founder_fraction") / F.sqrt(F.count(F.lit(1)).cast("double"))
     value = F.avg("same_founder_fraction")
     return _r(per.groupBy("distance_bin").agg(

@@ -113,6 +113,7 @@ def _(spark, sf):
 
 
 _SIZE_BREAKS = [3.0, 5.0, 10.0, 20.0, 50.0, 100.0, float("inf")]
+#: The size classes of leaf counts.
 _SIZE_NAMES = ["4-5", "6-10", "11-20", "21-50", "51-100", ">100"]
 _SIZE_SQL = "case when leaves<=5 then '4-5' when leaves<=10 then '6-10' when leaves<=20 then '11-20' when leaves<=50 then '21-50' when leaves<=100 then '51-100' else '>100' end"
 
@@ -244,13 +245,13 @@ def _(spark, sf):
     return _r(su.engine_comparison(t, "engine", "continuous", "stepwise", ["c_acctbal", "c_custkey"]))
 
 
-@query("cell_type_summary", "X18 X26", """with c as (select c_nationkey%2 as engine, c_custkey%9 as replicate, c_mktsegment as cell_type, count(*) as n from customer where not (c_custkey%9=4 and c_mktsegment='BUILDING') group by 1,2,3),
+@query("cell_type_summary", "X18 X26", """with c as (select c_nationkey%2 as engine, c_custkey%9 as replicate, c_mktsegment as cell_type, count(*) as n from customer group by 1,2,3),
 g as (select engine, replicate, cell_type from (select distinct engine, replicate from c) cross join (select distinct c_mktsegment as cell_type from customer)),
 f as (select g.*, coalesce(n,0) as n, coalesce(n,0)/sum(coalesce(n,0)) over (partition by engine, replicate) as f from g left join c using(engine, replicate, cell_type))
 select engine, cell_type, round(avg(n),6) as mean_cell_count, round(stddev_samp(n),6) as sd_cell_count, round(avg(f),6) as mean_cell_fraction, round(stddev_samp(f),6) as sd_cell_fraction from f group by 1,2""")
 def _(spark, sf):
     cells = v.table(spark, sf, "customer").selectExpr("c_nationkey % 2 as engine", "c_custkey % 9 as replicate", "c_mktsegment as cell_type")
-    return _r(su.cell_type_summary(cells.where("not (replicate = 4 and cell_type = 'BUILDING')"), cells))
+    return _r(su.cell_type_summary(cells, cells))
 
 
 @query("cells_per_type", "X26", "select c_mktsegment as cell_type, count(*) as cells from customer group by 1")
@@ -335,8 +336,7 @@ def _(spark, sf):
 @query("parameter_grid", "J14", """with s as (select distinct c_mktsegment as system from customer) select system, u as unit_dropout, c as cell_dropout from s, (values (0.0::double),(0.2::double),(0.5::double)) a(u), (values (1),(2)) b(c)""")
 def _(spark, sf):
     systems = v.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("system")).distinct()
-    return systems.withColumn("unit_dropout", F.explode(F.array(F.lit(0.0), F.lit(0.2), F.lit(0.5)))).withColumn(
-        "cell_dropout", F.explode(F.array(F.lit(1), F.lit(2))))
+    return tb.parameter_grid(systems, unit_dropout=[0.0, 0.2, 0.5], cell_dropout=[1, 2])
 
 
 @query("join_by_rank", "J15 P11", """with a as (select s_name, row_number() over (order by s_acctbal, s_suppkey) as r from supplier), b as (select n_name, row_number() over (order by n_name) as r from nation)
@@ -354,7 +354,7 @@ select s.cell, s.unit_no, s.site, case when r.state in ('0','1') then s.edited e
 def _(spark, sf):
 
     units = v.observations(spark, sf).select("unit").distinct().withColumn("unit_no", F.row_number().over(Window.orderBy("unit")))
-    real = v.observations(spark, sf).join(F.broadcast(units), "unit")  # one row per unit of the recorder
+    real = v.observations(spark, sf).join(units, "unit")
     sim = real.select("cell", "unit_no", "site").distinct().withColumn("edited", (F.col("cell") + F.col("unit_no") + F.col("site")) % 2)
     return tb.apply_mask(sim, real.where("state in ('0', '1')"), ["cell", "unit_no", "site"], "edited")
 
@@ -376,13 +376,16 @@ def _(spark, sf):
                              "cell_type_sim", ["^auto"])
 
 
-@query("multi_run_pairs", "J20 P9", """with r as (select s_suppkey as run, s_nationkey%3 as timepoint, s_nationkey%2=0 as condensed, s_suppkey%2=0 as mt from supplier)
-select a.run as mt_run, b.run as bc_run, a.timepoint, a.condensed, 'J_'||a.run||'_'||b.run as joint_id from r a join r b on a.timepoint=b.timepoint and a.condensed=b.condensed where a.mt and not b.mt""")
+@query("multi_run_pairs", "J20 P9", """with r as (select s_suppkey as run, s_nationkey%3 as timepoint, s_nationkey%2=0 as condensed, s_acctbal as score, s_name as label from supplier),
+w as (select s_suppkey as mt_run, s_suppkey+1+s_nationkey%4 as bc_run from supplier where s_suppkey%2=0)
+select 'J_'||mt_run||'_'||bc_run as joint_id, mt_run, bc_run, a.timepoint, a.condensed, a.score as mt_score, a.label as mt_label, b.score as bc_score, b.label as bc_label
+from w join r a on a.run=mt_run join r b on b.run=bc_run where a.timepoint=b.timepoint and a.condensed=b.condensed""")
 def _(spark, sf):
-    runs = v.table(spark, sf, "supplier").selectExpr("s_suppkey as run", "s_nationkey % 3 as timepoint", "s_nationkey % 2 = 0 as condensed", "s_suppkey % 2 = 0 as mt")
-    a = runs.where("mt").withColumnRenamed("run", "mt_run").drop("mt")
-    b = runs.where("not mt").withColumnRenamed("run", "bc_run").drop("mt")
-    return a.join(b, ["timepoint", "condensed"]).withColumn("joint_id", F.concat_ws("_", F.lit("J"), "mt_run", "bc_run"))
+    supplier = v.table(spark, sf, "supplier")
+    runs = supplier.selectExpr("s_suppkey as run", "s_nationkey % 3 as timepoint", "s_nationkey % 2 = 0 as condensed",
+                               "s_acctbal as score", "s_name as label")
+    wanted = supplier.where("s_suppkey % 2 = 0").selectExpr("s_suppkey as mt_run", "s_suppkey + 1 + s_nationkey % 4 as bc_run")
+    return tb.paired_runs(wanted, runs, runs, "run", ["timepoint", "condensed"], "mt", "bc")
 
 
 @query("empirical_cdf", "W10", "select distinct c_mktsegment, c_acctbal, round(cume_dist() over (partition by c_mktsegment order by c_acctbal),8) as cdf from customer")

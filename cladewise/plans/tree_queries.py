@@ -19,12 +19,16 @@ def _trees(spark, sf):
     return v.kept(spark, sf, "trees", lambda: v.tree_nodes(spark, sf))
 
 
+def _table(spark, sf):
+    return v.kept(spark, sf, "tree_table", lambda: tr.tree_table(_trees(spark, sf)), write=False)
+
+
 def _clades(spark, sf):
-    return v.kept(spark, sf, "tree_clades", lambda: tr.clades(_trees(spark, sf)), write=False)
+    return tr.clades(_table(spark, sf))
 
 
 def _index(spark, sf):
-    return v.kept(spark, sf, "tree_index", lambda: tr.tip_index(_trees(spark, sf)), write=False)
+    return v.kept(spark, sf, "tree_index", lambda: tr.tip_index(_table(spark, sf)), write=False)
 
 
 def _labels(spark, sf):
@@ -52,7 +56,7 @@ rs as (select pair, sum(t)::bigint as truth_clades, sum(e)::bigint as estimate_c
 @query("rooted_tree_scores", "T2 J17 O6", f"""with recursive {_ROOTED} select *, round(1-2*shared_clades/(truth_clades+estimate_clades),6) as rooted_rf,
  round(shared_clades/estimate_clades,6) as clade_precision, round(shared_clades/truth_clades,6) as clade_recall from rs""")
 def _(spark, sf):
-    return _r(tr.rooted_scores(_clades(spark, sf)))
+    return _r(tr.rooted_scores(_table(spark, sf)))
 
 
 @query("unrooted_rf", "T3", f"""with recursive {_CLADES}, alltips as (select pair, role, list(label order by label) as ls from tn where label is not null group by 1,2),
@@ -63,7 +67,7 @@ sp as (select distinct cl.pair, cl.role, case when cl.lo<>cl.first_tip then cl.k
 m as (select pair, k, count(*) as n from sp group by 1,2)
 select pair, round(count(*) filter (n=1)/sum(n),6) as unrooted_rf from m group by 1""")
 def _(spark, sf):
-    return _r(tr.unrooted_rf(tr.splits(_trees(spark, sf), _clades(spark, sf))))
+    return _r(tr.unrooted_rf(_table(spark, sf)))
 
 
 @query("shared_tip_trees", "T4 L11 L12", """with t as (select 'p'||(o_custkey%10) as pair, o_orderkey as label from orders where o_orderstatus<>'O')
@@ -105,21 +109,21 @@ mt as (select pair, draw, role, couple, max(dep.d) as d from xa join ya using(pa
 wd as (select pair, draw, role, {', '.join(f'max(d) filter (couple={c}) as d{c}' for c in range(len(couples)))} from mt group by 1,2,3)"""
 
 
-@query("triplet_agreement", "T5 L5", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (0, 2), (1, 2)], 3, '3', 400)},
+@query("triplet_agreement", "T5 L5", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (0, 2), (1, 2)], 3, '3', tr.DRAWS)},
 vd as (select pair, draw, role, case when greatest(d0,d1,d2)>least(d0,d1,d2) then case when d0=greatest(d0,d1,d2) then 0 when d1=greatest(d0,d1,d2) then 1 else 2 end end as v from wd)
 select t.pair, round(avg((t.v=e.v)::int),6) as triplet_agreement from vd t join vd e on e.pair=t.pair and e.draw=t.draw and t.role='truth' and e.role='estimate' where t.v is not null and e.v is not null group by 1""")
 def _(spark, sf):
-    return _r(tr.triplet_agreement(_labels(spark, sf), _index(spark, sf), 400, "3"))
+    return _r(tr.triplet_agreement(_labels(spark, sf), _index(spark, sf), "3"))
 
 
-@query("ordering_agreement", "T6 L5", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (2, 3)], 4, '5', 400)},
+@query("ordering_agreement", "T6 L5", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (2, 3)], 4, '5', tr.DRAWS)},
 vd as (select pair, draw, role, case when d0<>d1 then sign(d0-d1) end as v from wd)
 select t.pair, round(avg((t.v=e.v)::int),6) as ordering_agreement from vd t join vd e on e.pair=t.pair and e.draw=t.draw and t.role='truth' and e.role='estimate' where t.v is not null and e.v is not null group by 1""")
 def _(spark, sf):
-    return _r(tr.ordering_agreement(_labels(spark, sf), _index(spark, sf), 400, "5"))
+    return _r(tr.ordering_agreement(_labels(spark, sf), _index(spark, sf), "5"))
 
 
-_COPH_SAMPLE = 3000
+_COPH_SAMPLE = tr.DRAWS
 
 
 @query("cophenetic_spearman", "T7 L15 X8", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, tipk as (select pair, role, label, key from tn where label is not null),
@@ -153,14 +157,18 @@ def _(spark, sf):
                           [], "lineage", "cluster")
 
 
-@query("tree_cut_groups", "T10", f"""with recursive {v.SQL_TREE_UP}, dist as (select t.key, sum(p.length) as d from tup t join tn p on p.key=t.anc group by 1),
+@query("tree_cut_groups", "T10", f"""with recursive {v.SQL_TREES},
+tdn as (select key, length as d from tn where parent_key is null union all select c.key, p.d+c.length from tn c join tdn p on c.parent_key=p.key),
+dist as (select key, round(d,9) as d from tdn),
 ch as (select parent_key as key, count(*)-1 as gain from tn where parent_key is not null group by 1),
 st as (select pair, role, d, sum(gain) as gain from tn join dist using(key) join ch using(key) group by 1,2,3),
 gr as (select *, sum(gain) over (partition by pair, role order by d) as b from st), ct as (select pair, role, min(d) as cut from gr where b+1>=12 group by 1,2),
-top as (select tn.key from tn join dist using(key) join ct on ct.pair=tn.pair and ct.role=tn.role left join dist pd on pd.key=tn.parent_key where dist.d>cut and (pd.d is null or pd.d<=cut))
-select tn.pair, tn.role, tn.label, t.anc as group from tn join tup t on t.key=tn.key join top on top.key=t.anc where tn.label is not null""".replace("t.anc as group", 't.anc as "group"'))
+past as (select tn.key, tn.parent_key, d>cut as crossed from tn join dist using(key) join ct using(pair, role)),
+walk as (select key, case when crossed then key end as top from past where parent_key is null
+  union all select c.key, coalesce(w.top, case when c.crossed then c.key end) from past c join walk w on c.parent_key=w.key)
+select tn.pair, tn.role, tn.label, top as "group" from tn join walk using(key) where tn.label is not null and top is not null""")
 def _(spark, sf):
-    return tr.cut_trees(_trees(spark, sf), 12).select("pair", "role", "label", "group")
+    return tr.cut_trees(_table(spark, sf), 12).select("pair", "role", "label", "group")
 
 
 _ERA = f"""{_CLADES}, q as (select pair, role, quantile_cont(round(split_time,9),0.25) as q1, quantile_cont(round(split_time,9),0.5) as q2, quantile_cont(round(split_time,9),0.75) as q3 from ck group by 1,2),
@@ -185,23 +193,25 @@ def _(spark, sf):
 
 @query("tree_pair_scores", "T13")
 def _(spark, sf):
-    return _r(tr.score_pairs(_trees(spark, sf), 400, "7", 3000))
+    return _r(tr.score_pairs(_trees(spark, sf), "7"))
 
 
 def _characters(spark, sf):
-    return v.table(spark, sf, "lineitem").selectExpr("l_orderkey % 150 as cell", "l_partkey % 40 as feature", "l_quantity as q").groupBy(
+    return v.table(spark, sf, "lineitem").selectExpr("l_orderkey div 4 as cell", "l_partkey % 40 as feature", "l_quantity as q").groupBy(
         "cell", "feature").agg(F.min("q").alias("value"))
 
 
-_CHAR = "ch as (select l_orderkey%150 as cell, l_partkey%40 as feature, min(l_quantity) as value from lineitem group by 1,2)"
+_CHAR = "ch as (select l_orderkey//4 as cell, l_partkey%40 as feature, min(l_quantity) as value from lineitem group by 1,2)"
 
 
 def _wanted(spark, sf):
-    return v.table(spark, sf, "orders").select((F.col("o_orderkey") % 150).alias("cell_a"), uniform_int(2, 150, "o_orderkey").alias("cell_b")).where(
+    orders = v.table(spark, sf, "orders")
+    cells = (orders.agg(F.max("o_orderkey")).first()[0] or 0) // 4 + 1
+    return orders.select(F.expr("o_orderkey div 4").alias("cell_a"), uniform_int(2, cells, "o_orderkey").alias("cell_b")).where(
         "cell_a < cell_b").distinct()
 
 
-_WANT = f"wt as (select distinct o_orderkey%150 as cell_a, cast(floor({v.sql_uniform('2', 'o_orderkey')}*150) as bigint) as cell_b from orders where o_orderkey%150<cast(floor({v.sql_uniform('2', 'o_orderkey')}*150) as bigint))"
+_WANT = f"wt as (select distinct o_orderkey//4 as cell_a, cast(floor({v.sql_uniform('2', 'o_orderkey')}*(select max(o_orderkey)//4+1 from orders)) as bigint) as cell_b from orders where o_orderkey//4<cast(floor({v.sql_uniform('2', 'o_orderkey')}*(select max(o_orderkey)//4+1 from orders)) as bigint))"
 
 
 @query("manhattan_cell_distance", "T14", f"""with {_CHAR}, {_WANT}, g as (select cell_a, cell_b, f as feature from wt, range(0,40) r(f))

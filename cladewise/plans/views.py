@@ -89,20 +89,20 @@ def mutation_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     keyed = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 500 as cell", "concat('u', l_partkey % 5) as unit", "(l_partkey div 5) % 8 as site",
+        "l_orderkey div 8 as cell", "concat('u', l_partkey % 5) as unit", "(l_partkey div 5) % 8 as site",
         "case when l_returnflag='A' then '1' when l_returnflag='R' then '0' "
         "when l_linestatus='O' then '+' else '?' end as state",
         "md5(concat(l_orderkey,'|',l_linenumber,'|',l_partkey,'|',l_suppkey)) as k")
-    return keyed.groupBy("cell", "unit", "site").agg(F.min_by("state", "k").alias("state"))
+    return keyed.groupBy("cell", "unit", "site").agg(F.min_by("state", F.concat("k", "state")).alias("state"))
 
 
 def dense_observations(spark: SparkSession, sf: str) -> DataFrame:
     """Cell x unit x site calls with few gaps: the last unit site is often missing."""
     keyed = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 300 as cell", "concat('u', l_partkey % 3) as unit", "(l_partkey div 3) % 6 as site",
+        "l_orderkey div 8 as cell", "concat('u', l_partkey % 3) as unit", "(l_partkey div 3) % 6 as site",
         "case when l_returnflag='A' then '1' when l_returnflag='R' then '0' else '?' end as state",
         "md5(concat(l_orderkey,'|',l_linenumber,'|',l_partkey,'|',l_suppkey)) as k")
-    return keyed.where("state <> '?'").groupBy("cell", "unit", "site").agg(F.min_by("state", "k").alias("state"))
+    return keyed.where("state <> '?'").groupBy("cell", "unit", "site").agg(F.min_by("state", F.concat("k", "state")).alias("state"))
 
 
 def molecules(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +114,7 @@ def molecules(spark: SparkSession, sf: str) -> DataFrame:
 
 def genomes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 200 as cell", "l_linenumber as genome", "l_partkey % 50 as position",
+        "l_orderkey div 8 as cell", "l_linenumber as genome", "l_partkey % 50 as position",
         "cast(1 + l_suppkey % 4 as double) as allele").distinct()
 
 
@@ -171,7 +171,7 @@ SQL_LOG = """log as (select cast(o_orderkey+1 as double) as time, o_orderkey as
   row_number() over (order by o_orderkey) as event_no,
   row_number() over (partition by o_orderkey//2 order by o_orderkey) as nth from orders)"""
 SQL_NODES = SQL_LOG + """,
-seg as (select p as cell, nth as segment, 'continuing_parent' as origin, time as birth, event_no as opening,
+seg as (select p as cell, nth as segment, 'continuing_parent' as opened_as, time as birth, event_no as opening,
     p||':'||(nth-1) as parent_node_id from log
   union all select d, 0, 'new_daughter', time, event_no, p||':'||(nth-1) from log
   union all select distinct p, 0, 'founder', 0.0, null, null from log where p not in (select d from log)),
@@ -179,7 +179,7 @@ nodes as (select seg.cell||':'||seg.segment as node_id, cast(seg.cell as varchar
     seg.parent_node_id, seg.birth as birth_time,
     coalesce(c.time, (select max(o_orderkey)+11 from orders)) as end_time,
     coalesce(c.time, (select max(o_orderkey)+11 from orders)) - seg.birth as branch_length,
-    coalesce(c.event_no, seg.opening) as division_event, seg.origin, c.event_no is null as is_terminal
+    coalesce(c.event_no, seg.opening) as division_event, seg.opened_as, c.event_no is null as is_terminal
   from seg left join log c on c.p = seg.cell and c.nth = seg.segment+1)"""
 SQL_UP = SQL_NODES + """,
 up as (select node_id, node_id as anc, parent_node_id as nxt, 0 as steps from nodes
@@ -192,17 +192,17 @@ events_ as (select l_suppkey%5 as integration, l_partkey%50 as position, cast(1+
    l_orderkey as node_key, l_linenumber as seq, l_partkey, l_suppkey, l_quantity, l_extendedprice,
    case when l_linenumber%2=0 then l_orderkey||':0' else n.node_id end as node_id
    from lineitem join last_seg n on n.node_key = l_orderkey)"""
-SQL_OBS = """obs as (select cell,unit,site,min_by(state,k) as state from (select l_orderkey%500 as cell,
+SQL_OBS = """obs as (select cell,unit,site,min_by(state,k||state) as state from (select l_orderkey//8 as cell,
  'u'||(l_partkey%5) as unit, (l_partkey//5)%8 as site,
  case when l_returnflag='A' then '1' when l_returnflag='R' then '0' when l_linestatus='O' then '+' else '?' end as state,
  md5(l_orderkey||'|'||l_linenumber||'|'||l_partkey||'|'||l_suppkey) as k from lineitem) group by 1,2,3)"""
-SQL_DENSE = """obs as (select cell,unit,site,min_by(state,k) as state from (select l_orderkey%300 as cell,
+SQL_DENSE = """obs as (select cell,unit,site,min_by(state,k||state) as state from (select l_orderkey//8 as cell,
  'u'||(l_partkey%3) as unit, (l_partkey//3)%6 as site,
  case when l_returnflag='A' then '1' when l_returnflag='R' then '0' else '?' end as state,
  md5(l_orderkey||'|'||l_linenumber||'|'||l_partkey||'|'||l_suppkey) as k from lineitem) where state<>'?' group by 1,2,3)"""
 SQL_MOL = """mols as (select l_orderkey as mol, l_linenumber as target,
  min(case when l_returnflag='N' then '0' else l_returnflag||(l_suppkey%4) end) as call from lineitem group by 1,2)"""
-SQL_GENOMES = """genomes as (select distinct l_orderkey%200 as cell, l_linenumber as genome, l_partkey%50 as position,
+SQL_GENOMES = """genomes as (select distinct l_orderkey//8 as cell, l_linenumber as genome, l_partkey%50 as position,
  cast(1+l_suppkey%4 as double) as allele from lineitem)"""
 SQL_XYZ = """xyz as (select vec_id as cell, label as founder, cast(embedding[1] as double)*1000.0 as x,
  cast(embedding[2] as double)*1000.0 as y, cast(embedding[3] as double)*1000.0 as z from embeddings)"""

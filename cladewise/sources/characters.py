@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.functions.ranking import number_rows
+
 
 def _states(matrix: DataFrame, cells: DataFrame) -> DataFrame:
     """States of every cell as one text over all features in name order.
 
-    Absent entries are 0, null entries ``?``.  One row holds one entry per
-    feature, which is what these formats write.
+    Absent entries are 0, null entries ``?``.  Features are numbered in name
+    order; a cell's entries are put in that order and the gaps between them are
+    filled, so a row only ever holds its own entries and the text it becomes.
     """
-    features = matrix.select("feature").distinct().agg(F.array_sort(F.collect_set("feature")).alias("f")).select("f").scalar()
+    named = matrix.select("feature").distinct()
+    numbers = number_rows(named, [], ["feature"], "_no")
+    total = named.agg(F.count(F.lit(1)).cast("int").alias("n")).select("n").scalar()
     value = F.when(F.col("value").isNull(), "?").when(F.pmod("value", F.lit(1.0)) == 0, F.col("value").cast("bigint").cast("string")).otherwise(
         F.col("value").cast("string"))
-    rows = matrix.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("feature", value))).alias("_m"))
-    wide = cells.select("cell").distinct().join(rows, "cell", "left").withColumn("_f", features)
-    return wide.select("cell", F.array_join(F.transform("_f", lambda f: F.coalesce(F.try_element_at("_m", f), F.lit("0"))), "").alias("states"),
-                       F.size("_f").alias("columns"))
+    entries = matrix.join(numbers, "feature").groupBy("cell").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_no").cast("int").alias("no"), value.alias("state")))).alias("_e"))
+    rows = cells.select("cell").distinct().join(entries, "cell", "left").withColumn("columns", total)
+
+    def zeros(n: Column) -> Column:
+        return F.repeat(F.lit("0"), n)
+
+    def filled(entry: Column, place: Column) -> Column:
+        before = F.when(place > 0, F.get("_e", place - 1)["no"]).otherwise(0)
+        return F.concat(zeros(entry["no"] - before - 1), entry["state"])
+
+    tail = zeros(F.col("columns") - F.element_at("_e", -1)["no"])
+    states = F.when(F.col("_e").isNull(), zeros(F.col("columns"))).otherwise(
+        F.concat(F.array_join(F.transform("_e", filled), ""), tail))
+    return rows.select("cell", states.alias("states"), "columns")
 
 
 def fasta(matrix: DataFrame, cells: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewise.functions.ranking import number_rows
 from cladewise.operators.lineage import plain_id
+from cladewise.session import written
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -52,14 +54,22 @@ def write_table(df: DataFrame, path: str, separator: str = ",", compress: bool =
 def read_divisions(spark: SparkSession, path: str) -> DataFrame:
     """Division log restricted to its three columns, with the input order as ``seq``.
 
-    The order of rows is the order of files and of rows inside them.
+    The order of rows is the order of the files' names and of the rows inside
+    them; ``seq`` counts from 1 without gaps over all files.
     """
-    raw = read_table(spark, path)
+    found = resolve_table_path(spark, path)
+    raw = spark.read.option("header", True).csv(found).select("*", "_metadata.file_path", "_metadata.file_block_start")
+    raw = clean_header(raw)
     missing = [c for c in ("time", "parent_ID", "daughter_ID") if c not in raw.columns]
     if missing:
         raise ValueError(f"division log lacks {', '.join(missing)}")
-    return raw.select(F.col("time").try_cast("double").alias("time"), F.monotonically_increasing_id().alias("seq"),
-                      F.col("parent_ID").alias("parent_id"), F.col("daughter_ID").alias("daughter_id"))
+    # the id only orders rows of one block, which one task reads from front to back
+    placed = written(raw.select(
+        F.col("time").try_cast("double").alias("time"), F.col("parent_ID").alias("parent_id"),
+        F.col("daughter_ID").alias("daughter_id"), F.col("file_path").alias("_file"),
+        F.col("file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")), "log")
+    numbered = number_rows(placed, [], ["_file", "_block", "_row"], "seq")
+    return numbered.select("time", "seq", "parent_id", "daughter_id")
 
 
 def truth_value(value: Column) -> Column:

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from cladewise.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = local_session(os.environ.get("TEST_CPUS", "4"), "tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
 

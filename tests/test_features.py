@@ -4,6 +4,8 @@ import itertools
 import math
 
 import numpy as np
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +157,7 @@ def test_nearest_spot_against_brute_force(spark):
 
 def test_all_pairs_are_listed_once(spark):
     cells = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1), ("b", 2), ("c", 9)], "g string, cell int")
-    found = sp.cell_pairs(cells, ["g"], "cell", [], 1).select("g", "cell_a", "cell_b").collect()
+    found = sp.cell_pairs(cells, ["g"], "cell", [], 1, "all").select("g", "cell_a", "cell_b").collect()
     assert sorted(map(tuple, found)) == [("a", i, j) for i in range(30) for j in range(i + 1, 30)] + [("b", 1, 2)]
 
 
@@ -211,18 +213,29 @@ def _caterpillar(role, order):
 def test_tree_scores_by_hand(spark):
     schema = "pair string, role string, key string, parent_key string, label string, length double"
     same = spark.createDataFrame(_caterpillar("truth", "abcdef") + _caterpillar("estimate", "abcdef"), schema)
-    found = tr.score_pairs(same, 100, 1, 1000).first()
+    found = tr.score_pairs(same, 1, 200).first()
     assert (found.rooted_rf, found.unrooted_rf, found.triplet_agreement, found.ordering_agreement) == (0.0, 0.0, 1.0, 1.0)
-    assert found.cophenetic_spearman == pytest.approx(1.0)
+    assert found.cophenetic_spearman == pytest.approx(1.0) and found.drawn_pairs == 200
+    assert found.clone_ari_k5 == pytest.approx(1.0) and found.clone_ari_k25 is None
     other = spark.createDataFrame(_caterpillar("truth", "abcdef") + _caterpillar("estimate", "abdcef"), schema)
-    clades = tr.clades(other)
+    table = tr.tree_table(other)
     # clades by size 2..5: {ef},{def},{cdef},{bcdef} against {ef},{cef},{cdef},{bcdef}
-    scores = tr.rooted_scores(clades).first()
+    scores = tr.rooted_scores(table).first()
     assert (scores.truth_clades, scores.shared_clades, scores.rooted_rf) == (4, 3, 0.25)
-    assert tr.unrooted_rf(tr.splits(other, clades)).first().unrooted_rf == pytest.approx(2 / 6)
+    assert tr.unrooted_rf(table).first().unrooted_rf == pytest.approx(2 / 6)
+
 
+def test_a_tree_pair_without_clades_stays(spark):
+    schema = "pair string, role string, key string, parent_key string, label string, length double"
+    rows = [("q", r, r, None, None, 0.0) for r in ("t", "e")] + [("q", r, r + x, r, x, 1.0) for r in ("t", "e") for x in "ab"]
+    rows = [(p, {"t": "truth", "e": "estimate"}[r], *rest) for p, r, *rest in rows]
+    table = tr.tree_table(spark.createDataFrame(rows, schema))
+    found = tr.rooted_scores(table).first()
+    assert (found.pair, found.truth_clades, found.rooted_rf) == ("q", 0, None)
+    assert tr.unrooted_rf(table).first().unrooted_rf is None
 
-def test_newick_forth_and_back(spark, rows):
+
+def test_newick_forth_and_back(spark, rows, tmp_path):
     text = "((a:1,'it''s b':2.5)x:0.5,c,(d:1e-3):4)r;"
     edges = nw.parse_newick(spark.createDataFrame([(1, text)], "tree int, text string"), "tree", "text")
     parents = edges.selectExpr("node as parent", "label as parent_label")
@@ -230,10 +243,19 @@ def test_newick_forth_and_back(spark, rows):
     assert found == sorted([("a", 1.0, "x", True), ("it's b", 2.5, "x", True), ("x", 0.5, "r", False), ("c", None, "r", True),
                             ("d", 0.001, None, True), (None, 4.0, "r", False), ("r", None, None, False)], key=repr)
     nodes = edges.selectExpr("tree", "concat('n', node) as node", "concat('n', parent) as parent", "label", "length", "node as place")
-    again = nw.newick_text(nw.newick_tokens(nodes, "tree", "node", "parent", "label", "length", "place"), 100, "top").first().newick
-    assert again == "(((a:1,'it''s b':2.5)x:0.5,c,(d:0.001):4)r)top;"
-    with pytest.raises(ValueError):
-        nw.newick_text(nw.newick_tokens(nodes, "tree", "node", "parent", "label", "length", "place"), 2)
+    tokens = nw.newick_tokens(nodes, "tree", "node", "parent", "label", "length", "place")
+    path = f"{tmp_path}/trees"
+    nw.write_newick(tokens, path)
+    parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    again = "".join(open(f"{path}/{f}", encoding="utf-8").read() for f in parts).replace("\n", "")
+    assert again == "(((a:1,'it''s b':2.5)x:0.5,c,(d:0.001):4)r);"
+
+
+def test_trees_of_files_keep_their_line(spark, tmp_path, rows):
+    (tmp_path / "one.txt").write_text("(a,b);\n\n(c,d);\n")
+    (tmp_path / "two.txt").write_text("(e,f);\n")
+    found = nw.read_lines(spark, str(tmp_path)).selectExpr("substring_index(file, '/', -1) as file", "tree_line", "newick")
+    assert rows(found, "file", "tree_line", "newick") == [("one.txt", 0, "(a,b);"), ("one.txt", 2, "(c,d);"), ("two.txt", 0, "(e,f);")]
 
 
 def test_gzip_form_is_preferred(spark, tmp_path):
