@@ -11,6 +11,10 @@ Ids are those of the rank file: a pair of neighbours can merge if the bytes of
 both together are a token, the lowest rank first, the leftmost first among
 equals.  Where a merge opens a pair of a lower rank than its own, the order of
 positions could matter; such words are replayed one merge at a time.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes; strings
+that name special tokens are ordinary text; each row is encoded by itself, also
+where rows repeat or have no doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ from cladewise.session import written
 
 PER_LIST, MAX_LISTS, SAMPLE_PER_LIST, ROUNDS = 256, 2048, 32, 8
 COPIES, COPY_RATIO = 2, 1.03
-BEAM, OPEN_RATIO = 256, 1.20
+BEAM, OPEN_RATIO = 256, 1.16
 DEGREE = 24
 BLOCK = 4096
 

@@ -11,6 +11,11 @@ tokens and rises whenever a window exceeds the capacity.
 Groups are salted by document digest, so that no key gathers in one: each holds
 about ``group_tokens`` tokens, however many there are, and their number follows
 from the total.  Ids are never shuffled: a piece carries its range and checksum.
+
+Defined cases: a null or empty text is one piece that holds the end id only;
+rows that repeat a doc_id, or have none, are documents of their own (told apart
+by ``row``); an empty table gives no pieces.  Of pieces of equal length the
+smaller doc_id comes first.
 """
 
 from __future__ import annotations
