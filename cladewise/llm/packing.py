@@ -6,7 +6,7 @@ the pieces of a group are dealt to k windows by Karmarkar-Karp differencing:
 partial partitions are merged two at a time, always the two with the largest
 imbalance, the fullest windows of one on the emptiest of the other.  The result
 is k nearly equal windows; k starts at the least number that could hold the
-tokens and rises whenever a window exceeds the capacity.
+tokens, with a little room where windows are many, and rises whenever a window exceeds the capacity.
 
 Groups are salted by document digest, so that no key gathers in one: each holds
 about ``group_tokens`` tokens, however many there are, and their number follows
@@ -30,22 +30,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm.common import map_runs, text_or_empty
-from cladewise.llm.word_ids import RUN_CHARS, WordEncoder
+from cladewise.llm.word_ids import RUN_CHARS, WordEncoder, kept_encoder
 from cladewise.session import written
 
 WINDOW, GRAIN, GROUP_TOKENS, END_ID = 2048, 512, 1 << 20, 1
+#: Room that windows start with; near-equal windows hardly ever fit into less.
+SPARE = 0.004
 
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, end_id: int = END_ID) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, end_id: int = END_ID, small: bool = False,
+) -> DataFrame:
     """The ranges that each document's ids (and the end id) are cut into, with their checksums.
 
-    ``row`` tells rows apart that repeat a doc_id.
+    ``row`` tells rows apart that repeat a doc_id.  ``small`` keeps fewer words
+    and frees them with each task, where memory matters more than time.
     """
+    run_chars = RUN_CHARS // 4 if small else RUN_CHARS
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
+        encoder = WordEncoder(path, 150_000, run_chars) if small else kept_encoder(path)
         for batch in batches:
             out: list[tuple] = []
             for row, doc, ids in zip(batch["row"], batch["doc_id"], encoder.ids(batch["text"].tolist())):
@@ -62,7 +68,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN,
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         text_or_empty().alias("text"),
     )
-    return map_runs(rows, cut, PIECES, RUN_CHARS)
+    return map_runs(rows, cut, PIECES, run_chars)
 
 
 def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -111,7 +117,8 @@ def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of each piece: as few near-equal windows as the differencing can fill within the capacity."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    least = max(1, -(-int(sizes.sum()) // capacity))
+    k = least + int(least * SPARE)
     while True:
         part = differenced(sizes, k)
         if np.bincount(part, weights=sizes, minlength=1).max() <= capacity:

@@ -10,6 +10,7 @@ normalisation depends on neighbours, or special tokens) go to the library whole.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,9 +30,10 @@ PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įĲ-ɏ]*")
 class WordEncoder:
     """``ids(texts)``: for each text the ids that the library gives for it, without added tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, run_chars: int = RUN_CHARS) -> None:
         from tokenizers import Tokenizer
 
+        self.cached_words, self.run_chars = cached_words, run_chars
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -70,7 +72,7 @@ class WordEncoder:
         words = [[s] if s.isalpha() else findall(s) for s in strings]
         count = np.fromiter(map(len, words), np.int64, len(words))
         words = list(chain.from_iterable(words))
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self.forget()
         if missing := [w for w in dict.fromkeys(words) if w not in self.known]:
             self.learn(missing)
@@ -84,10 +86,16 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        for some in by_size(texts, RUN_CHARS):
+        for some in by_size(texts, self.run_chars):
             plain = [i for i in some if PLAIN.fullmatch(texts[i]) and not any(s in texts[i] for s in self.special)]
             for i, ids in zip(plain, self.plain_ids([texts[i] for i in plain])):
                 out[i] = ids
             for i in set(some).difference(plain):
                 out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u4")
         return out
+
+
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> WordEncoder:
+    """An encoder that a Python worker keeps between its tasks: less to encode, more memory."""
+    return WordEncoder(path)
