@@ -37,7 +37,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in windows of 2048."""
-    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), small=True)
     return packing.packed(cut).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
