@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.llm.common import bitmap, map_runs, may_hold, text_or_empty
-from cladewise.session import scratch_path
+from cladewise.session import scratch_path, written
 
 CACHE = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
 
@@ -105,4 +105,5 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, normalise
         .select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens")
         .write.mode("append").parquet(cache)
     )
-    return keys.join(stored(), "content_sha256", "left").select("doc_id", "n_bytes", "n_tokens", "content_sha256")
+    # Written, so that a digest that many documents share is an ordinary skewed join.
+    return keys.join(written(stored(), "counts"), "content_sha256", "left").select("doc_id", "n_bytes", "n_tokens", "content_sha256")
