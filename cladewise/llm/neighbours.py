@@ -10,9 +10,10 @@ task holds in memory.  A query opens the lists whose centroids are at most
 ``OPEN_RATIO`` times as far as the nearest.
 
 Equal vectors are one class, indexed once; its ``k`` + 1 smallest ids stand for
-it, which is exact, for no query needs more.  Posting lists are cut into blocks
-of bounded size, and the queries of a list meet each of its blocks, so a list
-that draws a third of all vectors or queries is many small groups.
+it, which is exact, for no query needs more.  Lists are put together to bins and
+bins cut into blocks of bounded size, and the queries of a bin meet each of its
+blocks list by list, so a list that draws a third of all vectors or queries is
+many small groups.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components,
 have no id or another length than the most frequent one take no part.  Rows
@@ -35,7 +36,7 @@ PER_LIST, MAX_LISTS, SAMPLE_PER_LIST, ROUNDS = 256, 2048, 32, 8
 COPIES, COPY_RATIO = 2, 1.03
 BEAM, OPEN_RATIO = 256, 1.16
 DEGREE = 24
-BLOCK = 4096
+BLOCK = 16_384
 
 
 @dataclass(frozen=True)
@@ -168,23 +169,26 @@ def _opened(index: Centroids) -> object:
 
 
 def _searched(k: int) -> object:
-    """The k best classes of a block for each of its queries, by the exact inner product."""
+    """For each query of a block its k best classes over the lists that it opened, by the exact inner product."""
 
     def run(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(block):
-            q, v = _matrix(queries["vector"]), _matrix(block["vector"])
-            q_id, v_id = queries["id"].to_numpy(), block["id"].to_numpy()
+        out = [pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})]
+        lists = dict(tuple(block.groupby("list")))
+        for name, asked in queries.groupby("list"):
+            if name not in lists:
+                continue
+            q, v = _matrix(asked["vector"]), _matrix(lists[name]["vector"])
+            q_id, v_id = asked["id"].to_numpy(), lists[name]["id"].to_numpy()
             near = q @ v.T
             near[q_id[:, None] == v_id[None, :]] = -np.inf
-            take = min(k + 8, len(block))
+            take = min(k + 8, len(v))
             top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            for i in range(len(q)):
-                at = top[i][np.isfinite(near[i, top[i]])]
-                score = (q[i] * v[at]).sum(axis=1)
-                best = np.lexsort((v_id[at], -score))[:k]
-                out.append(pd.DataFrame({"query": q_id[i], "id": v_id[at[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
+            at, column = np.nonzero(np.isfinite(np.take_along_axis(near, top, axis=1)))
+            found = top[at, column]
+            # summed over the pair alone, so that equal vectors get equal scores wherever they stand
+            out.append(pd.DataFrame({"query": q_id[at], "id": v_id[found], "score": (q[at] * v[found]).sum(axis=1)}))
+        found = pd.concat(out).drop_duplicates(["query", "id"]).sort_values(["query", "score", "id"], ascending=[True, False, True])
+        return found[found.groupby("query").cumcount() < k]
 
     return run
 
@@ -237,18 +241,21 @@ def nearest(table: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     wanted = asked.select("id").distinct()
     opened = written(packed.join(wanted, "id", "left_semi").mapInPandas(_opened(index), with_list), "opened")
 
+    # Neighbouring numbers of lists form a bin of about BLOCK vectors; a query gets k rows of a bin, not of each list.
+    in_bin = F.floor(F.col("list") / F.lit(max(1, BLOCK // (2 * PER_LIST)))).cast("int").alias("bin")
+
     def blocks(of: DataFrame, name: str) -> DataFrame:
-        """Blocks per list: one row per list, at most MAX_LISTS."""
-        return of.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+        """Blocks per bin: one row per bin, at most MAX_LISTS."""
+        return of.groupBy(in_bin).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
 
-    sizes = F.broadcast(written(blocks(postings, "v_blocks").join(blocks(opened, "q_blocks"), "list"), "blocks"))
+    sizes = F.broadcast(written(blocks(postings, "v_blocks").join(blocks(opened, "q_blocks"), "bin"), "blocks"))
 
     def dealt(of: DataFrame, own: str, other: str) -> DataFrame:
         """Each row in one block of its own kind, once for each block of the other."""
-        out = of.join(sizes, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        out = of.select("*", in_bin).join(sizes, "bin").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
         return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    keys = ["list", "v_blocks", "q_blocks"]
+    keys = ["bin", "v_blocks", "q_blocks"]
     found = (
         dealt(opened, "q_blocks", "v_blocks").groupBy(*keys)
         .cogroup(dealt(postings, "v_blocks", "q_blocks").groupBy(*keys))
