@@ -59,7 +59,7 @@ def _framed(payload: Column, chunk_bytes: int) -> Column:
     """Chunked transfer framing of a string; a chunk begins inside every ``WARC/1.1``."""
     # The expression is only tried where there is something to cut.
     parts = F.when(F.contains(payload, F.lit(VERSION)), F.split(payload, "(?<=WARC)(?=/1\\.1)")).otherwise(F.array(payload))
-    chunks = F.flatten(F.transform(parts, lambda p: _slices(F.encode(p, "UTF-8"), chunk_bytes)))
+    chunks = F.flatten(F.transform(parts, lambda p: _slices(p.cast("binary"), chunk_bytes)))
     framed = F.transform(chunks, lambda c: F.concat(F.hex(F.octet_length(c)), F.lit("\r\n"), _text(c), F.lit("\r\n")))
     return F.concat(F.array_join(framed, ""), F.lit("0\r\n\r\n"))
 
