@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows, percentiles
-from cladewise.functions.sampling import draw_order, explode_range, uniform_int
+from cladewise.functions.sampling import draw_order, explode_range
 from cladewise.session import written
 
 UNEDITED, EDITED, UNCALLED, NOT_CAPTURED = "0", "1", "?", "+"

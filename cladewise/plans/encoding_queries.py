@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as fn
 from cladewise.functions.sampling import uniform
-from cladewise.operators import encodings as en, observations as ob, organelles as og
+from cladewise.operators import encodings as en, organelles as og
 from cladewise.plans import views as v
 from cladewise.plans.registry import query
 
