@@ -27,6 +27,12 @@ CACHED_WORDS, BATCH, RUN_CHARS = 400_000, 512, 8_000_000
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įĲ-ɏ]*")
 
 
+def _part(text: str, name: str) -> dict | list:
+    """One entry of a tokenizer's file, without making objects of its vocabulary."""
+    at = regex.search(rf'"{name}"\s*:\s*', text).end()
+    return json.JSONDecoder().raw_decode(text, at)[0]
+
+
 class WordEncoder:
     """``ids(texts)``: for each text the ids that the library gives for it, without added tokens."""
 
@@ -38,12 +44,12 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
-            parts = json.load(file)
-        split = next(p for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+            text = file.read()
+        split = next(p for p in _part(text, "pre_tokenizer")["pretokenizers"] if p["type"] == "Split")
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("the tokenizer must keep the matches of one pattern")
         self.word = regex.compile(split["pattern"]["Regex"])
-        self.special = [t["content"] for t in parts["added_tokens"]]
+        self.special = [t["content"] for t in _part(text, "added_tokens")]
         self.forget()
 
     def forget(self) -> None:
