@@ -95,7 +95,8 @@ def write_archives(
         .agg(F.count("*").alias("_rows"), F.max(F.struct("key", "id"))["id"].alias("source"))
         .where("_rows > 1").select("digest", "source")
     )
-    rows = rows.join(sources, "digest", "left")
+    # Hashed, so that the payloads of the other side need no sort.
+    rows = rows.join(sources.hint("shuffle_hash"), "digest", "left")
     revisit = F.col("source").isNotNull() & (F.col("source") != F.col("id"))
     block = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(_framed(F.col("body"), chunk_bytes)))
     rows = rows.select(
