@@ -7,7 +7,8 @@ clusters.  Every vector goes to the posting list of its nearest centroid and, if
 it stands near a boundary, to up to ``COPIES`` lists at almost the same distance.
 Centroids are found by beam search in a graph of their neighbours, which each
 task holds in memory.  A query opens the lists whose centroids are at most
-``OPEN_RATIO`` times as far as the nearest.
+``OPEN_RATIO`` times as far as the nearest, however many they are: where a beam
+of ``BEAM`` is full of such centroids, all others are looked at too.
 
 Equal vectors are one class, indexed once; its ``k`` + 1 smallest ids stand for
 it, which is exact, for no query needs more.  Lists are put together to bins and
@@ -92,6 +93,26 @@ class Centroids:
             ids, far, done = (np.take_along_axis(x, order, axis=1) for x in (ids, far, done))
         return ids, far
 
+    def within(self, points: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the point, place of the centroid) for centroids at most ``ratio`` times as far as the nearest.
+
+        A beam whose worst centroid is beyond the ratio holds them.  Where it is
+        not, the point is compared with every centroid.
+        """
+        ids, far = self.nearest(points, beam)
+        near = far <= ratio * far[:, :1]
+        full = near.all(axis=1) & (ids.shape[1] < len(self.points))
+        at, column = np.nonzero(near & ~full[:, None])
+        rows, lists = [at], [ids[at, column]]
+        full = np.flatnonzero(full)
+        for start in range(0, len(full), 64):
+            some = full[start:start + 64]
+            far = np.linalg.norm(points[some, None, :] - self.points, axis=2)
+            at, place = np.nonzero(far <= ratio * far.min(axis=1, keepdims=True))
+            rows.append(some[at])
+            lists.append(place)
+        return np.concatenate(rows), np.concatenate(lists)
+
 
 def balanced_kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
     """k-means whose assignment adds to a cluster's distance what it holds above the mean size."""
@@ -159,10 +180,9 @@ def _opened(index: Centroids) -> object:
         for batch in batches:
             for start in range(0, len(batch), 512):
                 some = batch.iloc[start:start + 512]
-                ids, far = index.nearest(index.raised(_matrix(some["vector"])), BEAM)
-                at, column = np.nonzero(far <= OPEN_RATIO * far[:, :1])
+                at, lists = index.within(index.raised(_matrix(some["vector"])), OPEN_RATIO, BEAM)
                 out = some.iloc[at].copy()
-                out["list"] = ids[at, column]
+                out["list"] = lists
                 yield out
 
     return run

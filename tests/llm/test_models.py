@@ -187,3 +187,36 @@ def test_beam_search_finds_the_nearest_centroids():
     true = np.argsort(((points[:200, None] - index.points[None]) ** 2).sum(axis=2), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, true)]) > 0.97
     assert (np.diff(far, axis=1) >= 0).all()
+
+
+def unit_vectors(n, size, seed):
+    drawn = np.random.default_rng(seed).normal(size=(n, size))
+    return (drawn / np.linalg.norm(drawn, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_all_centroids_within_the_ratio_are_opened():
+    index = neighbours.fit(unit_vectors(4000, 24, 3), 800, 1.0)
+    points = unit_vectors(200, 24, 4)
+    far = np.linalg.norm(points[:, None] - index.points, axis=2)
+    for ratio in (1.05, neighbours.OPEN_RATIO, 1.5, 3.0):
+        want = far <= ratio * far.min(axis=1, keepdims=True)
+        at, lists = index.within(points, ratio, neighbours.BEAM)
+        got = np.zeros(want.shape, dtype=int)
+        np.add.at(got, (at, lists), 1)
+        assert got.max() == 1 and (got[want] == 1).mean() >= 0.99 and got[~want].sum() <= 0.01 * want.sum()
+    assert want.sum(axis=1).min() > 2 * neighbours.BEAM
+
+
+def test_neighbours_recall_with_more_lists_than_a_beam(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_LIST", 4)
+    # Short queries, mostly in dimensions that the others lack: their distances to all lists are within the ratio.
+    asked = np.concatenate([0.3 * unit_vectors(40, 32, 6), 0.95 * unit_vectors(40, 32, 7)], axis=1) / 10
+    table = np.concatenate([asked, np.pad(unit_vectors(4000, 32, 5), ((0, 0), (0, 32)))]).astype(np.float32)
+    vectors = {i: v.tolist() for i, v in enumerate(table)}
+    rows = [(i, v, 1, "x", "y") for i, v in vectors.items()]
+    found = neighbours.nearest(spark.createDataFrame(rows, VECTORS).repartition(4), "vec_id < 40", 20).collect()
+    want = plain_neighbours(vectors, range(40), 20)
+    got = {(r.query_id, r.vec_id) for r in found}
+    assert len(got) == 20 * 40
+    recall = sum((q, i) in got for q in want for i, _ in want[q]) / len(got)
+    assert recall >= 0.98, recall
