@@ -9,8 +9,14 @@ the language is itself predicted from the text, and the score is shifted so
 that 0.5 is the threshold.
 
 The fit uses at most ``PER_CLASS`` labelled texts of each class, of at most
-``LEARN_CHARS`` characters each, drawn by a hash of the doc_id; that bounds what
-the driver holds.  Scores are given for every text, whole, whatever its length.
+``LEARN_CHARS`` characters each, drawn by a hash of the doc_id, and leaves a
+quarter of them out; that bounds what the driver holds.  Thresholds rest on
+every other labelled text of the training fold, whole: they are scored in tasks
+and counted by language, label and bin of the log-odds.  Counts are weighted so
+that each class has its share of all labelled texts, fitted ones included.
+A language with fewer than ``LEAST`` texts of either class takes the threshold
+of all texts.  Where one class has no text outside the fit, thresholds rest on
+the fitted texts too.  Scores are given for every text, whole, whatever its length.
 
 Defined cases: a null or empty text has no words and takes the score of the
 bias; several labels of one document count as toxic if any says so; where
@@ -30,13 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import language_id
-from cladewise.llm.common import by_size, give_back, map_runs, runs, small_batches, training_fold
+from cladewise.llm.common import bitmap, by_size, give_back, map_runs, may_hold, runs, small_batches, training_fold
 from cladewise.session import written
 
 PER_CLASS, LEARN_CHARS = 5_000, 20_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
 STEPS, BATCH, RATE = 1_000, 32, 0.08
 CACHED_WORDS = 100_000
+BINS, FARTHEST, LEAST, LABEL_SLOTS = 64, 64.0, 10, 1 << 19
 
 
 def word_code(word: str) -> int:
@@ -174,24 +181,37 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Network
     return net
 
 
+def best_cut(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The log-odds at which the least weight of labels is wrong; the middle of the widest such gap.
+
+    Bins ascend; each has its least and greatest log-odds and the weights of its labels.
+    """
+    wrong = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    below, above = np.concatenate([[low[0] - 2], high]), np.concatenate([low, [high[-1] + 2]])
+    gaps = above - below
+    gaps[wrong > wrong.min() + 1e-9 * (toxic.sum() + clean.sum())] = -1
+    at = int(np.argmax(gaps))
+    return float((below[at] + above[at]) / 2)
+
+
 def best_threshold(odds: np.ndarray, labels: np.ndarray) -> float:
-    """The log-odds at which fewest labels are wrong; the middle of the widest such gap."""
+    """``best_cut`` of single texts."""
     order = np.argsort(odds, kind="stable")
     odds, labels = odds[order], labels[order]
-    wrong = np.concatenate([[0], np.cumsum(labels == 1)]) + np.concatenate([np.cumsum((labels == 0)[::-1])[::-1], [0]])
-    edges = np.concatenate([[odds[0] - 2], odds, [odds[-1] + 2]])
-    gaps = np.diff(edges)
-    gaps[wrong > wrong.min()] = -1
-    at = int(np.argmax(gaps))
-    return float((edges[at] + edges[at + 1]) / 2)
+    return best_cut(odds, odds, (labels == 1).astype(float), (labels == 0).astype(float))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """At most ``per_class`` labelled texts of either class, of the training fold: doc_id, text, lang, toxic."""
-    marked = (
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the training fold, one row per document."""
+    return (
         labels.where("toxic is not null and doc_id is not null").where(training_fold(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """At most ``per_class`` labelled texts of either class, of the training fold: doc_id, text, lang, toxic."""
+    marked = training_labels(labels)
     order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
     # Two top lists of bounded length.
     chosen = marked.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(
@@ -208,7 +228,7 @@ def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = WordCodes()
     for batch in batches:
         codes = [c.astype("<i4").tobytes() for c in words.texts(batch["text"].tolist())]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "lang": batch["lang"], "codes": codes})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "codes": codes})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
@@ -218,8 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     """
     sample = written(labelled_sample(docs, labels, per_class), "labelled")
     profiles = language_id.learn(sample)
-    known = language_id.identified(sample, profiles).select("doc_id", "toxic", "text", F.col("_language.lang").alias("lang"))
-    frame = map_runs(known, _coded, "doc_id long, toxic int, lang string, codes binary").toPandas().sort_values("doc_id")
+    known = sample.select("doc_id", "toxic", "text")
+    frame = map_runs(known, _coded, "doc_id long, toxic int, codes binary").toPandas().sort_values("doc_id")
     y = frame["toxic"].to_numpy(dtype=np.int64)
     if len(np.unique(y)) < 2:
         return None
@@ -229,16 +249,78 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
         apart = np.zeros(len(y), dtype=bool)
     net = train([t for t, a in zip(texts, apart) if not a], y[~apart])
     net.profiles = profiles
-    check = np.flatnonzero(apart) if apart.any() else np.arange(len(y))
-    odds, langs = np.array([net.log_odds(texts[i]) for i in check]), frame["lang"].to_numpy()[check]
-    net.thresholds = {"": best_threshold(odds, y[check])}
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        if min((y[check][own] == 1).sum(), (y[check][own] == 0).sum()) >= 10:
-            net.thresholds[lang] = best_threshold(odds[own], y[check][own])
+    net.thresholds = thresholds(label_counts(docs, labels, frame["doc_id"].to_numpy()[~apart], net))
     return net
 
 
+def judged(net: Network, batches: Iterator[pa.Array]) -> Iterator[tuple[list[float], list[str]]]:
+    """Log-odds and predicted languages of batches of texts."""
+    words, identifier = WordCodes(), language_id.Identifier(net.profiles)
+    for batch in batches:
+        odds, langs = [], []
+        for part in runs(batch):
+            texts = [x or "" for x in part.to_pylist()]
+            langs += identifier.many(texts)[0]
+            odds += [net.log_odds(codes) for codes in words.texts(texts)]
+        yield odds, langs
+    del words, identifier
+    give_back()
+
+
+def label_counts(docs: DataFrame, labels: DataFrame, fitted: np.ndarray, net: Network) -> pd.DataFrame:
+    """Labelled texts of the training fold, counted by lang, bin of the log-odds, toxic, short and fitted.
+
+    ``short`` texts are those that the fit could draw, ``fitted`` names the documents that it used.
+    Documents without a label are left out by a bitmap before they are scored, and texts are not shuffled.
+    The driver gets at most languages x 2 * ``BINS`` * ``FARTHEST`` x 8 rows.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    @F.arrow_udf("odds double, lang string")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for odds, langs in judged(net, batches):
+            yield pa.StructArray.from_arrays([pa.array(odds, pa.float64()), pa.array(langs, pa.string())], ["odds", "lang"])
+
+    marked = training_labels(labels)
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    texts = may_hold(texts, F.col("doc_id").cast("long"), bitmap(marked, F.col("doc_id").cast("long"), LABEL_SLOTS), LABEL_SLOTS)
+    found = texts.select("doc_id", (F.length("text") <= LEARN_CHARS).alias("short"), judge("text").alias("_judged"))
+    found = written(found.select("doc_id", "short", "_judged.odds", "_judged.lang"), "judged")
+    used = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": fitted, "fitted": True})))
+    level = F.floor(F.greatest(F.least("odds", F.lit(FARTHEST)), F.lit(-FARTHEST)) * BINS).alias("bin")
+    return (
+        found.join(marked, "doc_id").join(used, "doc_id", "left")
+        .groupBy("lang", level, "toxic", "short", F.coalesce("fitted", F.lit(False)).alias("fitted"))
+        .agg(F.count("*").alias("n"), F.min("odds").alias("low"), F.max("odds").alias("high"))
+        .toPandas().sort_values(["lang", "bin", "toxic", "short", "fitted"])
+    )
+
+
+def thresholds(counts: pd.DataFrame) -> dict[str, float]:
+    """The threshold of each language with ``LEAST`` texts of either class, and of all texts under ""."""
+    outside = counts[~counts["fitted"]]
+    if outside["toxic"].nunique() < 2:
+        outside = counts
+    # What the fit took of a kind of texts is made up for by the others of that kind.
+    kind = ["toxic", "short"]
+    weight = (counts.groupby(kind)["n"].sum() / outside.groupby(kind)["n"].sum()).rename("weight")
+    outside = outside.join(weight, on=kind)
+    outside["toxic_weight"] = outside["n"] * outside["weight"] * (outside["toxic"] == 1)
+    outside["clean_weight"] = outside["n"] * outside["weight"] * (outside["toxic"] == 0)
+
+    def cut(own: pd.DataFrame) -> float:
+        bins = own.groupby("bin").agg({"low": "min", "high": "max", "toxic_weight": "sum", "clean_weight": "sum"})
+        return best_cut(*(bins[c].to_numpy() for c in bins.columns))
+
+    found = {"": cut(outside)}
+    for lang, own in outside.groupby("lang"):
+        texts = own.groupby("toxic")["n"].sum()
+        if len(texts) == 2 and texts.min() >= LEAST:
+            found[lang] = cut(own)
+    return found
+
+
 def scored(docs: DataFrame, net: Network | None, text: Column | None = None) -> DataFrame:
     """``docs`` with a double column ``_toxicity`` (0 to 1, toxic from 0.5); other columns are untouched."""
     if net is None:
@@ -248,16 +330,9 @@ def scored(docs: DataFrame, net: Network | None, text: Column | None = None) ->
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, identifier = WordCodes(), language_id.Identifier(net.profiles)
         base = net.thresholds[""]
-        for batch in batches:
-            odds = []
-            for part in runs(batch):
-                texts = [x or "" for x in part.to_pylist()]
-                langs, _ = identifier.many(texts)
-                odds += [net.log_odds(codes) - net.thresholds.get(lang, base) for codes, lang in zip(words.texts(texts), langs)]
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=np.float64), -30, 30))), pa.float64())
-        del words, identifier
-        give_back()
+        for odds, langs in judged(net, batches):
+            above = np.array([x - net.thresholds.get(lang, base) for x, lang in zip(odds, langs)], dtype=np.float64)
+            yield pa.array(1 / (1 + np.exp(-np.clip(above, -30, 30))), pa.float64())
 
     return docs.withColumn("_toxicity", score(text))

@@ -127,6 +127,36 @@ def test_threshold_leaves_fewest_wrong():
     assert ((odds > toxicity.best_threshold(odds, labels)) != labels).sum() == 1
 
 
+def test_thresholds_follow_the_share_of_all_labels(spark):
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = int(i % 8 == 0)
+        words = cases.sentence(cases.EN, 30, i).split()
+        if toxic or i % 10 in (1, 3, 5):  # most texts with this word are not toxic
+            words.insert(i % 25, "nasty")
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), per_class=150)
+    marked = {r.doc_id for r in toxicity.scored(docs, network).where("_toxicity >= 0.5").collect()}
+    wrong = sum((i in marked) != bool(toxic) for i, toxic in labels)
+    assert wrong <= 1.1 * sum(toxic for _, toxic in labels)
+
+
+def test_all_labelled_texts_count_whatever_their_length(spark, monkeypatch):
+    docs, labels, rows = labelled(spark)
+    middle = int(np.median([len(text) for _, text, _ in rows]))
+    monkeypatch.setattr(toxicity, "LEARN_CHARS", middle)
+    network = toxicity.fit(docs, labels, per_class=30)
+    sample = toxicity.labelled_sample(docs, labels, 30).select("doc_id").toPandas()["doc_id"].to_numpy()
+    counts = toxicity.label_counts(docs, labels, sample, network)
+    train = docs.where(toxicity.training_fold(docs.doc_id)).where("doc_id < 400").select("doc_id", "text").collect()
+    assert counts["n"].sum() == len(train) and counts[counts["fitted"]]["n"].sum() == len(sample) < len(train)
+    long = sum(len(r.text) > middle for r in train)
+    assert 0 < long == counts[~counts["short"]]["n"].sum()
+    assert counts[counts["toxic"] == 1]["n"].sum() == sum(r.doc_id % 4 == 0 for r in train)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, id string, vector string"
 
 
