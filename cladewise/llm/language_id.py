@@ -11,7 +11,7 @@ distinct words per language and sends sums, so that frequent words are added up
 before the shuffle; the profiles themselves are languages x ``PROFILE`` rows.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
-is every text where nothing was learned.  Ties between n-grams go to the one
+is every text where nothing was learned; ``letters`` tells the two apart.  Ties between n-grams go to the one
 that is smaller as a packed number, ties between languages to the smaller name.
 The score is 1 minus the least distance over the greatest possible one.
 """
@@ -176,8 +176,9 @@ class Identifier:
         best = int(np.argmin(distance))
         return p.langs[best], 1.0 - float(distance[best]) / (p.size * len(top))
 
-    def many(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+    def many(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Languages, scores, and whether the text has a letter."""
+        langs, scores, letters = [], [], []
         texts = [t or "" for t in texts]
         for run in by_size(texts):
             distinct, codes, bounds = split_words([texts[i] for i in run])
@@ -187,27 +188,31 @@ class Identifier:
                 self.learn(fresh)
             at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
             for a, b in zip(bounds, bounds[1:]):
-                lang, score = self.one(rows_of(self.flat, self.start, self.size, at[a:b]))
+                numbers = rows_of(self.flat, self.start, self.size, at[a:b])
+                lang, score = self.one(numbers)
+                letters.append(len(numbers) > 0)
                 langs.append(lang)
                 scores.append(score)
-        return langs, scores
+        return langs, scores, letters
 
 
 def identified(docs: DataFrame, profiles: Profiles, text: Column | None = None) -> DataFrame:
-    """``docs`` with a struct column ``_language`` (lang, score); other columns are untouched."""
+    """``docs`` with a struct column ``_language`` (lang, score, letters); other columns are untouched."""
     text = F.col("text") if text is None else text
     small_batches(docs.sparkSession)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, letters boolean")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         identifier = Identifier(profiles)
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, letters = [], [], []
             for part in runs(batch):
                 some = identifier.many(part.to_pylist())
                 langs += some[0]
                 scores += some[1]
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+                letters += some[2]
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["lang", "score", "letters"])
         del identifier
         give_back()
 

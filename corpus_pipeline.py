@@ -12,9 +12,9 @@ from cladewise.session import written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or have no letter go."""
+    """Documents with a letter, whether or not a language was learned; texts that are null or have no letter go."""
     profiles = language_id.learn(docs.where(training_fold(F.col("doc_id"))))
-    kept = language_id.identified(docs, profiles).where(F.col("_language.lang") != language_id.UNKNOWN)
+    kept = language_id.identified(docs, profiles).where("_language.letters")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -168,6 +168,14 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     assert stages[4](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == len({r[0] for r in cases.rows()})
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_keeps_texts_where_no_language_is_known(spark, tmp_path, lang):
+    docs = cases.documents(spark).withColumn("lang", F.lit(lang).cast("string"))
+    kept = corpus_pipeline.language_stage(spark, docs, str(tmp_path))
+    want = Counter((d, t) for d, t, *_ in cases.rows() if t and any(c.isalpha() for c in t))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_pipeline_runs_and_survives_an_empty_table(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     found = corpus_pipeline.run(spark, folder)
