@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.llm import (
-    byte_bpe, exact_dedup, language_id, neighbours, ngram_join, packing, sharding, token_counts, toxicity, warc,
+    byte_bpe, exact_dedup, filter_audit, language_id, neighbours, ngram_join, packing, prefix_trie, quality, sharding,
+    token_counts, toxicity, warc,
 )
 from cladewise.llm.common import held_out, table, text_or_empty, training_fold
 from cladewise.session import scratch_path
@@ -188,3 +189,102 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(cut).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@_query
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, metadata = table(spark, folder, "documents"), ["n_chars"]
+    machine = quality.fit(docs, table(spark, folder, "labels"), metadata)
+    found = quality.scored(docs.select("doc_id", "text", *metadata), machine, metadata)
+    return found.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_quality").alias("score"),
+        (F.col("_quality") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(table(spark, folder, "conversations"))))
+
+
+SQL["op12_prefix_trie"] = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n,
+         sha256(strlen(role)::VARCHAR || ':' || role || text) AS k,
+         len(regexp_extract_all(text, '[^ 	-]+')) AS words
+  FROM turns),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS origin, xor(4294967295, list_reduce(
+    [4294967295] || [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')],
+    lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1]))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+taken AS (
+  SELECT i.conv_id, k.n, k.k, k.words FROM ids i JOIN keyed k ON k.conv_id = i.origin AND k.n <= i.h
+  UNION ALL
+  SELECT i.conv_id, k.n + 1000000000, k.k, k.words FROM ids i JOIN keyed k ON k.conv_id = i.conv_id AND k.n > i.h),
+paths AS (SELECT conv_id, list(k ORDER BY n) AS p, list(words ORDER BY n) AS w FROM taken GROUP BY conv_id),
+prefixes AS (
+  SELECT conv_id, d, sha256(array_to_string(p[1:d], ' ')) AS node,
+         CASE WHEN d > 0 THEN sha256(array_to_string(p[1:d - 1], ' ')) END AS parent, coalesce(w[d], 0) AS words, d = len(p) AS ends
+  FROM (SELECT conv_id, p, w, unnest(range(len(p) + 1)) AS d
+        FROM (SELECT conv_id, coalesce(p, []) AS p, coalesce(w, []) AS w FROM ids LEFT JOIN paths USING (conv_id)))),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node),
+counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT parent, count(*) AS n FROM nodes GROUP BY 1) c ON c.parent = n.node),
+under AS (
+  SELECT a.node, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(x.saved) AS saved_tokens
+  FROM counted x JOIN prefixes a ON a.conv_id = x.conv_id AND a.d <= x.depth GROUP BY a.node)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, u.n_leaves::BIGINT AS n_leaves,
+       u.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN under u USING (node) LEFT JOIN nodes p ON p.node = c.parent
+"""
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op13_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w
+  FROM documents),
+marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * length(body))::INT
+         + 8 * regexp_matches(body, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)::INT AS mask
+  FROM docs LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS b FROM fails GROUP BY ALL),
+letters AS (SELECT 1 << i AS bit, substr('ABCDE', i + 1, 1) AS l FROM range(5) r(i)),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z WHERE v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+steps AS (
+  SELECT filter_order, s AS step, bits[s] AS bit, list_sum(bits[1:s - 1])::BIGINT AS earlier
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS s FROM orders)),
+found AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (coalesce(earlier, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & coalesce(earlier, 0) <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0 THEN b ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM found
+"""
