@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.functions.asof import bracket
 from cladewise.functions.ranking import number_rows
-from cladewise.session import written
 
 
 def share_of_total(table: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
@@ -105,37 +105,23 @@ def empirical_cdf(table: DataFrame, keys: list[str], value: str, name: str) -> D
     return counts.join(totals, keys).select(*keys, value, (F.col("_upto") / F.col("_rows")).alias(name))
 
 
-def interpolate(points: DataFrame, wanted: DataFrame, x: str, y: str, at: str, name: str) -> DataFrame:
-    """Linear interpolation through a response curve, clamped at its ends.
+def interpolate(points: DataFrame, wanted: DataFrame, x: str, y: str, at: str, name: str,
+                keys: list[str] | None = None) -> DataFrame:
+    """Linear interpolation through the response curve of each group, clamped at its ends.
 
-    Of repeated x the smallest y stays; where the wanted place is null the result
-    is null.  Points and wanted rows are put in one order and cut into slices;
-    the last point before a row and the first one behind it come from its own
-    slice or from the nearest slice that holds points.
+    Of repeated x the smallest y stays; where the wanted place is null, or a
+    group has no curve, the result is null.  A group may hold any share of the
+    points and of the wanted rows.
     """
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    point = F.struct(F.col(x).cast("double").alias("x"), F.col("_y").cast("double").alias("y"))
-    curve = points.where(F.col(x).isNotNull()).groupBy(x).agg(F.min(y).alias("_y")).select(point.alias("_point"))
-    rows = wanted.select(F.struct(*wanted.columns).alias("_row"), F.col(at).cast("double").alias("_at"))
-    both = rows.unionByName(curve.withColumn("_at", F.col("_point.x")), allowMissingColumns=True)
-    order = ["_at", F.col("_row").isNotNull(), "_draw"]
-    placed = written(both.withColumn("_draw", F.rand(3)).repartitionByRange(parts, *order).withColumn(
-        "_slice", F.spark_partition_id()), "curve")
-    # one row per slice
-    ends = placed.groupBy("_slice").agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
-    near = Window.orderBy("_slice")
-    ends = ends.select(
-        "_slice", F.last("_last", True).over(near.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(near.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
-    inside = Window.partitionBy("_slice").orderBy(*order)
-    low = F.coalesce(F.last("_point", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    high = F.coalesce(F.first("_point", True).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("_behind"))
-    found = placed.join(F.broadcast(ends), "_slice").withColumn("_low", low).withColumn("_high", high).where("_row is not null")
-    share = (F.col("_at") - F.col("_low.x")) / (F.col("_high.x") - F.col("_low.x"))
-    value = F.when(F.col("_at").isNull(), None).when(F.col("_low").isNull(), F.col("_high.y")).when(
-        F.col("_high").isNull(), F.col("_low.y")).otherwise(
-        F.col("_low.y") + share * (F.col("_high.y") - F.col("_low.y")))
-    return found.select("_row.*", value.alias(name))
+    keys = keys or []
+    curve = points.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(
+        F.min(F.col(y).cast("double")).alias("_y"))
+    rows = wanted.withColumn("_x", F.col(at).cast("double"))
+    found = bracket(rows, curve, keys, "_x", "_low", "_high")
+    share = (F.col("_x") - F.col("_low._x")) / (F.col("_high._x") - F.col("_low._x"))
+    value = F.when(F.col("_low").isNull(), F.col("_high._y")).when(F.col("_high").isNull(), F.col("_low._y")).otherwise(
+        F.col("_low._y") + share * (F.col("_high._y") - F.col("_low._y")))
+    return found.withColumn("_value", value).drop("_x", "_low", "_high").withColumn(name, F.col("_value")).drop("_value")
 
 
 def apply_mask(values: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:

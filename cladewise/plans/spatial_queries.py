@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cladewise.functions import bins
-from cladewise.operators import ancestry, spatial as sp
+from cladewise.operators import ancestry, pair_bins as pb, spatial as sp
 from cladewise.plans import views as v
 from cladewise.plans.registry import query
 
@@ -44,8 +44,10 @@ def _captured(spark, sf):
 
 def _thinned(spark, sf):
     carry = ["node_id", "x", "y", "z", "plane_u", "plane_v", "spot_id", "spot_u", "spot_v"]
-    pairs = sp.pair_distances(sp.cell_pairs(_captured(spark, sf), ["slice_id"], "cell", carry, 1))
-    return sp.thin_by_bin(pairs, ["slice_id"], "distance_2d", BREAKS, CAP, 2, ["cell_a", "cell_b"])
+
+    def build():
+        return pb.stratified_pairs(_captured(spark, sf), ["slice_id"], "cell", carry, ["plane_u", "plane_v"], BREAKS, CAP, 2)
+    return sp.pair_distances(v.kept(spark, sf, "drawn_pairs", build))
 
 
 def _related(spark, sf):
@@ -80,6 +82,27 @@ def _bin_sql(value, breaks, names, right=False):
     return "case " + " ".join(parts) + " end"
 
 
+def _drawn_sql(cells, group, coords, breaks, names, cap, seed, right=False, of=""):
+    """Tables crv{of}, num{of} (pairs with their number in the bin) and thin{of} (with the drawn ones' place ``rn``)."""
+    sets = [f"least(floor(({c}-lo{i})/side*65536.0),65535)::bigint as q{i}" for i, c in enumerate(coords)]
+    bits = "+".join(f"(((q{i}>>z)&1)<<({len(coords)}*z+{i}))" for i in range(len(coords)))
+    far = "sqrt(" + "+".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in coords) + ")"
+    keyed = f"{group}||'|'||" if group != "0" else ""
+    extents = [f"max({c})-min({c})" for c in coords]
+    return f"""ext{of} as (select {group} as g, {', '.join(f'min({c}) as lo{i}' for i, c in enumerate(coords))}, greatest({', '.join(extents)}) as side from {cells} group by 1),
+grd{of} as (select c.*, {group} as g, {', '.join(sets)} from {cells} c join ext{of} e on e.g={group}),
+crv{of} as (select *, row_number() over (partition by g order by list_sum([{bits} for z in range(16)]), cell)-1 as p from grd{of}),
+num0{of} as (select a.g, a.cell as one, b.cell as two, a.p as pa, b.p as pb, {far} as d from crv{of} a join crv{of} b on a.g=b.g and a.p<b.p),
+num1{of} as (select *, {_bin_sql('d', breaks, list(range(len(breaks) - 1)), right).replace("'", "")} as bin from num0{of}),
+num{of} as (select *, {'case bin ' + ' '.join(f"when {i} then '{n}'" for i, n in enumerate(names)) + ' end'} as distance_bin, count(*) over w as candidate_pairs,
+  row_number() over (w order by pa//{pb.LEAF}, pb//{pb.LEAF}, pa, pb)-1 as m from num1{of} where bin is not null window w as (partition by g, bin)),
+riv{of} as (select distinct g, bin, candidate_pairs, case when candidate_pairs>{4 * cap}
+    then cast(floor({v.sql_uniform(str(seed), keyed.replace(group, 'g') + "bin||'|'||j")}*candidate_pairs) as bigint) else j end as m
+  from (select distinct g, bin, candidate_pairs, unnest(range(least(candidate_pairs,{4 * cap}))) as j from num{of})),
+pck{of} as (select *, row_number() over (partition by g, bin order by md5('{seed}|pick|'||{keyed.replace(group, 'g')}bin||'|'||m), m) as rn from riv{of}),
+thin{of} as (select num{of}.*, rn from num{of} join pck{of} using(g, bin, m) where rn<={cap})"""
+
+
 _SEC = f"""{v.SQL_XYZ}, ctr as (select avg(x) as cx, avg(y) as cy, avg(z) as cz from xyz),
 off(slice_id, slice_offset) as (values {_OFFSET_ROWS}),
 proj as (select xyz.*, {_dot('u')} as plane_u, {_dot('v')} as plane_v, {_dot('normal')} as plane_w from xyz, ctr),
@@ -102,19 +125,17 @@ asg as (select sec.*, s.d<={DIAMETER / 2!r} as captured, case when s.d<={DIAMETE
   from sec join near using(cell, slice_id))"""
 _REL = f"""{v.SQL_UP}, {_ASG},
 cap as (select asg.*, n.node_id, n.end_time from asg join nodes n on n.is_terminal and cast(n.cell_id as bigint)=asg.cell where captured),
-pr as (select a.slice_id, a.cell as cell_a, b.cell as cell_b, a.node_id as node_a, b.node_id as node_b, a.spot_id as spot_a, b.spot_id as spot_b,
-  sqrt((a.plane_u-b.plane_u)**2+(a.plane_v-b.plane_v)**2) as distance_2d, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) as distance_3d,
+{_drawn_sql('cap', 'slice_id', ['plane_u', 'plane_v'], BREAKS, _LABELS, CAP, 2)},
+prs as (select a.slice_id, a.cell as cell_a, b.cell as cell_b, a.node_id as node_a, b.node_id as node_b, a.spot_id as spot_a, b.spot_id as spot_b,
+  distance_bin, candidate_pairs, sqrt((a.plane_u-b.plane_u)**2+(a.plane_v-b.plane_v)**2) as distance_2d, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) as distance_3d,
   sqrt((a.spot_u-b.spot_u)**2+(a.spot_v-b.spot_v)**2) as spot_distance, a.spot_id=b.spot_id as same_spot
-  from cap a join cap b on a.slice_id=b.slice_id and a.cell<b.cell),
-binned as (select *, {_bin_sql('distance_2d', BREAKS, _LABELS)} as distance_bin from pr),
-thin as (select *, count(*) over (partition by slice_id, distance_bin) as candidate_pairs,
-  row_number() over (partition by slice_id, distance_bin order by md5('2|'||cell_a||'|'||cell_b), cell_a, cell_b) as rn from binned),
+  from thin join cap a on a.slice_id=g and a.cell=least(one,two) join cap b on b.slice_id=g and b.cell=greatest(one,two)),
 capn as (select distinct node_id, end_time from cap),
 upc as (select up.* from up join capn using(node_id)),
 lca as (select x.node_id as na, y.node_id as nb, arg_min(x.anc, x.steps) as mrca, min(x.steps+y.steps) as dd from upc x join upc y on x.anc=y.anc group by 1,2),
 lc as (select a.node_id as na, b.node_id as nb, mrca, dd, mrca is not null as same_founder, a.end_time+b.end_time-2*coalesce(m.end_time,0) as pd
   from capn a cross join capn b left join lca on lca.na=a.node_id and lca.nb=b.node_id left join nodes m on m.node_id=mrca),
-rel as (select t.*, dd as division_distance, same_founder, pd as patristic_distance, pd/2 as mrca_age from thin t join lc on lc.na=t.node_a and lc.nb=t.node_b where rn<={CAP})"""
+rel as (select t.*, dd as division_distance, same_founder, pd as patristic_distance, pd/2 as mrca_age from prs t join lc on lc.na=t.node_a and lc.nb=t.node_b)"""
 _GRID = f"grid as (select distinct slice_id, l as distance_bin, i-1 as bin_no from cap, (select unnest({_LABELS!r}) as l, unnest(range(1,{len(_LABELS) + 1})) as i))"
 
 
@@ -299,36 +320,46 @@ def _(spark, sf):
 
 
 _FB = [0.0, 100.0, 200.0, 300.0, 1000.0]
-_FOUNDER = f"""{v.SQL_XYZ}, pr as (select a.cell as cell_a, b.cell as cell_b, a.founder as fa, b.founder as fb, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) as d
-  from xyz a join xyz b on a.cell<b.cell), bn as (select *, {_bin_sql('d', _FB, bins.labels(_FB, True), True)} as distance_bin from pr),
-pos as (select cell, row_number() over (order by cell) as rk from xyz),
-perm as (select p, founder, row_number() over (partition by p order by md5('4|'||p||'|'||cell), cell) as rk from xyz, range(1,3) t(p)),
-dealt as (select p, cell, founder from perm join pos using(rk)),
-nul as (select avg(s) as s from (select a.p, avg((a.founder=b.founder)::int) as s from pr join dealt a on a.cell=cell_a join dealt b on b.cell=cell_b and b.p=a.p group by 1)),
-btw as (select distance_bin, count(*) as pairs, avg(d) as mean_distance, avg((fa=fb)::int) as same_founder_fraction, (select s from nul) as null_same_founder_fraction
- from bn where distance_bin is not null group by 1)"""
+_FL = bins.labels(_FB, True)
+_FCAP = 400
+_XYZ = ["x", "y", "z"]
 
 
-def _between(spark, sf):
-    return sp.same_founder_by_distance(v.cells_xyz(spark, sf), [], "cell", "founder", _FB, 2, 4, "all")
+def _founder_sql(group):
+    return f"""{v.SQL_XYZ}, cc as (select *, cell%4 as organoid from xyz), {_drawn_sql('cc', group, _XYZ, _FB, _FL, _FCAP, 4, True)},
+near as (select g, bin, avg(d) as mean_distance, count(*) as evaluated_pairs from thin group by 1,2),
+alls as (select g, bin, distance_bin, count(*) as pairs, avg((a.founder=b.founder)::int) as same_founder_fraction from num join xyz a on a.cell=one join xyz b on b.cell=two group by 1,2,3),
+nul as (select g, sum(n*(n-1))/(sum(n)*(sum(n)-1)) as null_same_founder_fraction from (select {group} as g, founder, count(*) as n from cc group by 1,2) group by 1),
+btw as (select * from alls join near using(g, bin) join nul using(g))"""
 
 
-@query("same_founder_by_distance", "V13 J7", f"with {_FOUNDER} select distance_bin, pairs, {_round_sql(['mean_distance', 'same_founder_fraction', 'null_same_founder_fraction'])} from btw")
+@query("same_founder_by_distance", "V13 J7", f"""with {_founder_sql('0')} select distance_bin, pairs, evaluated_pairs,
+ {_round_sql(['mean_distance', 'same_founder_fraction', 'null_same_founder_fraction'])} from btw""")
 def _(spark, sf):
-    return _r(_between(spark, sf))
+    return _r(pb.same_founder_by_distance(v.cells_xyz(spark, sf), [], "cell", "founder", _XYZ, _FB, _FCAP, 4))
 
 
-_ORG = f"""{v.SQL_XYZ}, o as (select *, cell%4 as organoid from xyz), pr as (select a.organoid, a.cell as cell_a, b.cell as cell_b, a.founder as fa, b.founder as fb, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) as d
-  from o a join o b on a.cell<b.cell and a.organoid=b.organoid), bn as (select *, {_bin_sql('d', _FB, bins.labels(_FB, True), True)} as distance_bin from pr),
-g as (select organoid, distance_bin, count(*) as pairs, avg(d) as mean_distance, avg((fa=fb)::int) as v from bn where distance_bin is not null group by 1,2)
-select distance_bin, count(*) as groups, sum(pairs)::bigint as pairs, round(avg(mean_distance),6) as mean_distance, round(avg(v),6) as value,
- round(avg(v)-1.96*stddev_samp(v)/sqrt(count(*)),6) as lower, round(avg(v)+1.96*stddev_samp(v)/sqrt(count(*)),6) as upper from g group by 1"""
+@query("same_founder_of_drawn_pairs", "V13 J5", f"""with {v.SQL_XYZ}, n as (select count(*) as n from xyz), rk as (select *, row_number() over (order by cell) as r from xyz),
+d as (select i as pair_no, 1+cast(floor({v.sql_uniform('4a', 'i')}*n) as bigint) as x, 1+cast(floor({v.sql_uniform('4b', 'i')}*(n-1)) as bigint) as y0 from n, range(0,3000) t(i)),
+e as (select pair_no, least(x, y0+(y0>=x)::int) as i, greatest(x, y0+(y0>=x)::int) as j from d),
+pr as (select a.cell as cell_a, b.cell as cell_b, a.founder as fa, b.founder as fb, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) as d from e join rk a on a.r=i join rk b on b.r=j),
+bn as (select *, {_bin_sql('d', _FB, _FL, True)} as distance_bin from pr),
+perm as (select p, founder, row_number() over (partition by p order by md5('4|'||p||'|'||cell), cell) as rk from xyz, range(1,3) t(p)),
+dealt as (select p, cell, perm.founder from perm join rk on perm.rk=rk.r),
+nul as (select avg(s) as s from (select a.p, avg((a.founder=b.founder)::int) as s from pr join dealt a on a.cell=cell_a join dealt b on b.cell=cell_b and b.p=a.p group by 1))
+select distance_bin, count(*) as pairs, round(avg(d),6) as mean_distance, round(avg((fa=fb)::int),6) as same_founder_fraction, round((select s from nul),6) as null_same_founder_fraction
+from bn where distance_bin is not null group by 1""")
+def _(spark, sf):
+    return _r(sp.same_founder_by_distance(v.cells_xyz(spark, sf), [], "cell", "founder", _FB, 2, 4, 3000))
 
 
-@query("same_founder_bin_summary", "V15 X1", f"with {_ORG}")
+@query("same_founder_bin_summary", "V15 X1", f"""with {_founder_sql('organoid')}
+select distance_bin, count(*) as groups, sum(pairs)::bigint as pairs, round(avg(mean_distance),6) as mean_distance, round(avg(same_founder_fraction),6) as value,
+ round(avg(same_founder_fraction)-1.96*stddev_samp(same_founder_fraction)/sqrt(count(*)),6) as lower,
+ round(avg(same_founder_fraction)+1.96*stddev_samp(same_founder_fraction)/sqrt(count(*)),6) as upper from btw group by 1""")
 def _(spark, sf):
     cells = v.cells_xyz(spark, sf).withColumn("organoid", F.col("cell") % 4)
-    per = sp.same_founder_by_distance(cells, ["organoid"], "cell", "founder", _FB, 1, 4, "all")
+    per = pb.same_founder_by_distance(cells, ["organoid"], "cell", "founder", _XYZ, _FB, _FCAP, 4)
     error = F.stddev_samp("same_founder_fraction") / F.sqrt(F.count(F.lit(1)).cast("double"))
     value = F.avg("same_founder_fraction")
     return _r(per.groupBy("distance_bin").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import bins, scalars as fn
+from cladewise.functions.asof import bin_by_table
 from cladewise.functions.ranking import average_rank, number_rows, spearman
 from cladewise.operators import dropout as dr, observations as ob, summaries as su, tables as tb
 from cladewise.plans import views as v
@@ -333,6 +334,30 @@ def _(spark, sf):
     return _r(tb.interpolate(points, wanted, "cumulative", "rate", "at", "rate").select("c_custkey", "rate"))
 
 
+@query("response_interpolation_by_group", "J13 F24", """with p as (select p_brand as g, cast(p_size as double) as x, min(p_retailprice) as y from part where p_size between 5 and 40 group by 1,2),
+w as (select c_custkey, 'Brand#'||(c_custkey%30+1) as g, c_acctbal/150.0 as q from customer),
+lo as (select w.*, x, y from w asof left join p on w.g=p.g and w.q>=p.x), b as (select lo.*, p.x as x1, p.y as y1 from lo asof left join p on lo.g=p.g and lo.q<p.x)
+select c_custkey, g, round(case when x is null then y1 when x1 is null then y else y+(q-x)/(x1-x)*(y1-y) end,6) as rate from b""")
+def _(spark, sf):
+    points = v.table(spark, sf, "part").where("p_size between 5 and 40").selectExpr(
+        "p_brand as g", "cast(p_size as double) as cumulative", "p_retailprice as rate")
+    wanted = v.table(spark, sf, "customer").selectExpr(
+        "c_custkey", "concat('Brand#', c_custkey % 30 + 1) as g", "c_acctbal / 150.0D as at")
+    return _r(tb.interpolate(points, wanted, "cumulative", "rate", "at", "rate", ["g"]).select("c_custkey", "g", "rate"))
+
+
+@query("bins_from_a_table", "J6", """with b as (select distinct c_mktsegment as g, floor(c_acctbal/1000.0)*1000.0 as lo, floor(c_acctbal/1000.0)*1000.0+800.0 as hi from customer where c_custkey%3=0),
+o as (select o_orderkey, c_mktsegment as g, o_totalprice/40.0-500.0 as q from orders join customer on c_custkey=o_custkey)
+select o_orderkey, o.g, 'from '||cast(lo as bigint) as bin from o left join b on b.g=o.g and q>=lo and q<hi""")
+def _(spark, sf):
+    customer, orders = v.table(spark, sf, "customer"), v.table(spark, sf, "orders")
+    breaks = customer.where("c_custkey % 3 = 0").selectExpr("c_mktsegment as g", "floor(c_acctbal / 1000.0D) * 1000.0D as lo").distinct()
+    breaks = breaks.selectExpr("g", "lo", "lo + 800.0D as hi", "concat('from ', cast(lo as bigint)) as bin")
+    rows = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).selectExpr(
+        "o_orderkey", "c_mktsegment as g", "o_totalprice / 40.0D - 500.0D as q")
+    return bin_by_table(rows, breaks, ["g"], "q", "lo", "hi", "bin").select("o_orderkey", "g", "bin")
+
+
 @query("parameter_grid", "J14", """with s as (select distinct c_mktsegment as system from customer) select system, u as unit_dropout, c as cell_dropout from s, (values (0.0::double),(0.2::double),(0.5::double)) a(u), (values (1),(2)) b(c)""")
 def _(spark, sf):
     systems = v.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("system")).distinct()
