@@ -6,7 +6,7 @@ the same rows again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEX_DIGITS = 12
@@ -49,3 +49,20 @@ def explode_range(df: DataFrame, count: str, name: str, block: int = 20_000) ->
     first = F.col("_block") * F.lit(block)
     last = F.least(first + F.lit(block - 1), F.col(count).cast("long") - 1)
     return cut.withColumn(name, F.explode(F.sequence(first, last))).drop("_block")
+
+
+def distinct_numbers(totals: DataFrame, keys: list[str], total: str, wanted: int, seed, name: str,
+                     own: list[str] | None = None) -> DataFrame:
+    """``wanted`` distinct whole numbers of ``0 .. total-1`` for each row of ``totals``; all where there are no more.
+
+    Up to ``4 * wanted`` numbers compete as a whole; of more, that many are drawn with replacement.  The first
+    ``wanted`` distinct ones in hash order stay.  ``keys`` name the row in the draws; ``own`` tell rows apart
+    (the keys, if not given).
+    """
+    own = own or keys
+    rivals = explode_range(totals.withColumn("_rivals", F.least(F.col(total), F.lit(4 * wanted))), "_rivals", "_j")
+    number = F.when(F.col(total) > 4 * wanted, uniform_int(seed, F.col(total), *keys, "_j")).otherwise(F.col("_j"))
+    rivals = rivals.withColumn(name, number).drop("_j", "_rivals").distinct().withColumn(
+        "_order", draw_order(seed, F.lit("pick"), *keys, name))
+    first = Window.partitionBy(*own).orderBy("_order", name)  # at most 4 * wanted rows
+    return rivals.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= wanted).drop("_order", "_no")

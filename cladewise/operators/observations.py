@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.functions.ranking import number_rows, percentiles
-from cladewise.functions.sampling import draw_order, explode_range
+from cladewise.functions.asof import bracket
+from cladewise.functions.ranking import number_rows, percentiles, running_total
+from cladewise.functions.sampling import distinct_numbers, draw_order
 from cladewise.session import written
 
 UNEDITED, EDITED, UNCALLED, NOT_CAPTURED = "0", "1", "?", "+"
@@ -163,45 +164,100 @@ def site_pairs(sites: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
     """Sampled site pairs within one unit or between units, without repetition.
 
     Sites are put in (unit, site) order; a site's partners are a run of later
-    ranks.  The pairs are listed by number, spread over the tasks, and the first
-    ``wanted`` in hash order are kept, whatever their number.
+    ranks, so running totals of their numbers give every pair a number.  Numbers
+    are drawn, and only drawn pairs are made.
     """
-    order = Window.orderBy("unit", "site")  # as many rows as the recorder has sites
-    unit = Window.partitionBy("unit")
-    ranked = sites.select(
-        "unit", "site", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_all"))
-    ranked = ranked.withColumn("_last", F.max("rank").over(unit))
+    return _stratum_pairs(_ranked_sites(sites), stratum, wanted, seed)
+
+
+def _ranked_sites(sites: DataFrame) -> DataFrame:
+    return written(number_rows(sites.select("unit", "site").distinct(), [], ["unit", "site"], "rank"), "sites")
+
+
+def _stratum_pairs(ranked: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
+    last = ranked.groupBy("unit").agg(F.max("rank").alias("_last"))
+    every = ranked.count()
     first, count = ((F.col("rank") + 1, F.col("_last") - F.col("rank")) if stratum == "within"
-                    else (F.col("_last") + 1, F.col("_all") - F.col("_last")))
-    ranked = ranked.withColumn("_first", first.cast("long")).withColumn("_partners", count.cast("long"))
-    indices = explode_range(ranked.select("rank", "_first", "_partners"), "_partners", "_i").select(
-        F.col("rank").alias("rank_a"), (F.col("_first") + F.col("_i")).alias("rank_b"))
-    left = ranked.select(F.col("rank").alias("rank_a"), F.col("unit").alias("unit_a"), F.col("site").alias("site_a"))
-    right = ranked.select(F.col("rank").alias("rank_b"), F.col("unit").alias("unit_b"), F.col("site").alias("site_b"))
-    found = indices.join(left, "rank_a").join(right, "rank_b")
-    same = F.col("unit_a") == F.col("unit_b")
-    found = found.where(same if stratum == "within" else ~same).withColumn(
-        "_order", draw_order(seed, "unit_a", "site_a", "unit_b", "site_b"))
-    return found.orderBy("_order", "rank_a", "rank_b").limit(wanted).select(
-        F.lit(stratum).alias("stratum"), "unit_a", "site_a", "unit_b", "site_b")
-
-
-def pair_gametes(typed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Counts of the four state combinations per site pair over common cells."""
-    seen = typed.where(F.col("edited").isNotNull()).select("cell", "unit", "site", "edited")
-    left = seen.selectExpr("cell", "unit as unit_a", "site as site_a", "edited as a")
-    right = seen.selectExpr("cell", "unit as unit_b", "site as site_b", "edited as b")
-    both = left.join(pairs, ["unit_a", "site_a"]).join(right, ["cell", "unit_b", "site_b"])
+                    else (F.col("_last") + 1, F.lit(every) - F.col("_last")))
+    runs = ranked.join(last, "unit").withColumn("_next", first).withColumn("_partners", count).where("_partners > 0")
+    return _drawn_pairs(runs, [], ranked, stratum, wanted, seed)
+
+
+def _drawn_pairs(runs: DataFrame, keys: list[str], ranked: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
+    """Drawn site pairs: ``runs`` has for each rank its number of partners, a run of ranks from ``_next`` on."""
+    placed = written(running_total(runs, keys, ["rank"], F.col("_partners"), "_upto"), "runs")
+    totals = placed.groupBy(*keys).agg(F.max("_upto").alias("_total")).where("_total > 0").withColumn("stratum", F.lit(stratum))
+    numbers = distinct_numbers(totals, ["stratum", *keys], "_total", wanted, seed, "_number")
+    starts = placed.select(*keys, (F.col("_upto") - F.col("_partners")).alias("_number"), "rank", "_next",
+                           (F.col("_upto") - F.col("_partners")).alias("_first"))
+    found = bracket(numbers, starts, keys, "_number", "_run").select(
+        "stratum", *keys, F.col("_run.rank").alias("rank_a"),
+        (F.col("_run._next") + F.col("_number") - F.col("_run._first")).alias("rank_b"))
+    for side in ("a", "b"):
+        names = ranked.select(*[F.col(k) for k in keys], F.col("rank").alias(f"rank_{side}"),
+                              F.col("unit").alias(f"unit_{side}"), F.col("site").alias(f"site_{side}"))
+        found = found.join(names, [*keys, f"rank_{side}"])
+    return found.select("stratum", "unit_a", "site_a", "unit_b", "site_b")
+
+
+#: Cells whose calls at one site are one row: this many words of 64 bits.
+PACKED_WORDS = 64
+
+
+def packed_sites(typed: DataFrame, sites: DataFrame, words: int = PACKED_WORDS) -> DataFrame:
+    """Calls of the named sites as bits: (unit, site, block, seen, ones), arrays of ``words`` words a block of cells.
+
+    Bit i of a block is its i-th cell, in no special order; ``seen`` marks cells with a call and ``ones`` edited ones.  Of repeated
+    calls of one cell an edited one counts.
+    """
+    seen = typed.where(F.col("edited").isNotNull()).select("cell", "unit", "site", "edited").join(
+        sites.select("unit", "site").distinct(), ["unit", "site"], "left_semi")
+    seen = written(seen, "calls")
+    # numbers without gaps inside a partition: blocks are full but the last of each partition
+    places = written(seen.select("cell").distinct().withColumn("_no", F.monotonically_increasing_id()), "cells")
+    at = F.col("_no")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    block = F.floor(at / (64 * words)).alias("block")
+    by_word = seen.join(places, "cell").groupBy("unit", "site", block, (F.floor(at / 64) % words).alias("_word")).agg(
+        F.bit_or(bit).alias("seen"), F.bit_or(F.when(F.col("edited") == 1, bit).otherwise(0)).alias("ones"))
+    filled = by_word.groupBy("unit", "site", "block").agg(*[
+        F.map_from_entries(F.collect_list(F.struct("_word", name))).alias(name) for name in ("seen", "ones")])  # at most ``words`` each
+    every = F.sequence(F.lit(0).cast("long"), F.lit(words - 1).cast("long"))
+
+    def dense(name: str) -> Column:
+        return F.transform(every, lambda w: F.coalesce(F.try_element_at(F.col(name), w), F.lit(0).cast("long"))).alias(name)
+    return written(filled.select("unit", "site", "block", dense("seen"), dense("ones")), "packed")
+
+
+def pair_gametes(typed: DataFrame, pairs: DataFrame, words: int = PACKED_WORDS) -> DataFrame:
+    """Counts of the four state combinations per site pair over common cells.
+
+    Both sites' bits meet block by block: a pair makes one row per ``64 * words`` cells, not one per cell.
+    """
+    ends = pairs.selectExpr("unit_a as unit", "site_a as site").unionByName(pairs.selectExpr("unit_b as unit", "site_b as site"))
+    packed = packed_sites(typed, ends, words)
+
+    def side(tag: str) -> DataFrame:
+        return packed.selectExpr(f"unit as unit_{tag}", f"site as site_{tag}", "block", f"seen as seen_{tag}", f"ones as ones_{tag}")
+    both = pairs.join(side("a"), ["unit_a", "site_a"]).join(side("b"), ["unit_b", "site_b", "block"])
+
+    def counted(x: int, y: int) -> Column:
+        def of(tag: str, state: int) -> Column:
+            ones, seen = F.col(f"ones_{tag}"), F.col(f"seen_{tag}")
+            return ones if state else F.zip_with(seen, ones, lambda s, o: s.bitwiseAND(F.bitwise_not(o)))
+        hits = F.zip_with(of("a", x), of("b", y), lambda a, b: F.bit_count(a.bitwiseAND(b)).cast("long"))
+        return F.sum(F.aggregate(hits, F.lit(0).cast("long"), lambda total, n: total + n))
     return both.groupBy("stratum", "unit_a", "site_a", "unit_b", "site_b").agg(*[
-        count_where((F.col("a") == x) & (F.col("b") == y)).alias(f"n{x}{y}") for x in (0, 1) for y in (0, 1)])
+        counted(x, y).alias(f"n{x}{y}") for x in (0, 1) for y in (0, 1)])
 
 
 def pair_statistics(typed: DataFrame, wanted: int, seed, at_least: int = 20, min_sites: int = 4) -> DataFrame:
     """Four-gamete incompatibility and mean absolute association by stratum."""
-    sites = informative_sites(typed, at_least)
-    enough = sites.select(F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"), "unit", "site").where(
-        F.col("_n") >= min_sites).drop("_n")
-    pairs = site_pairs(enough, "within", wanted, seed).unionByName(site_pairs(enough, "between", wanted, seed))
+    sites = written(informative_sites(typed, at_least), "informative")
+    enough = sites.where(sites.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() >= min_sites)
+    ranked = _ranked_sites(enough)
+    pairs = written(_stratum_pairs(ranked, "within", wanted, seed).unionByName(
+        _stratum_pairs(ranked, "between", wanted, seed)), "site_pairs")
     # a pair without any common cell still counts as a sampled pair
     found = pairs.join(pair_gametes(typed, pairs), pairs.columns, "left").na.fill(0, ["n00", "n01", "n10", "n11"])
     n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
@@ -262,20 +318,12 @@ def unit_features(typed: DataFrame, cells: DataFrame, wanted: int, seed) -> Data
 def unit_pair_statistics(typed: DataFrame, wanted: int, seed, at_least: int = 20, min_sites: int = 4) -> DataFrame:
     """Within-unit pair statistics, ``wanted`` pairs drawn per unit."""
     sites = informative_sites(typed, at_least)
-    unit = Window.partitionBy("unit")  # sites of one unit
-    ranked = sites.select("unit", "site", F.row_number().over(unit.orderBy("site")).alias("rank"),
-                          F.count(F.lit(1)).over(unit).alias("_n")).where(F.col("_n") >= min_sites)
-    totals = ranked.select("unit", "_n").distinct().withColumn("_pairs", (F.col("_n") * (F.col("_n") - 1) / 2).cast("long"))
-    listed = explode_range(totals, "_pairs", "_i").withColumn(
-        "rank_b", (F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + 8 * F.col("_i"))) / 2) + 1).cast("long")).withColumn(
-        "rank_a", (F.col("_i") - (F.col("rank_b") - 1) * (F.col("rank_b") - 2) / 2 + 1).cast("long")).select(
-        "unit", "rank_a", "rank_b")
-    named = listed.join(
-        ranked.selectExpr("unit", "rank as rank_a", "site as site_a"), ["unit", "rank_a"]).join(
-        ranked.selectExpr("unit", "rank as rank_b", "site as site_b"), ["unit", "rank_b"]).withColumn(
-        "_order", draw_order(seed, "unit", "site_a", "site_b"))
-    chosen = named.withColumn("_no", F.row_number().over(Window.partitionBy("unit").orderBy("_order"))).where(
-        F.col("_no") <= wanted).selectExpr("'within' as stratum", "unit as unit_a", "site_a", "unit as unit_b", "site_b")
+    enough = sites.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites)
+    ranked = written(number_rows(sites.join(enough, "unit"), ["unit"], ["site"], "rank"), "sites")
+    runs = ranked.select("unit", "rank", (F.col("rank") + 1).alias("_next"), (F.col("_n") - F.col("rank")).alias("_partners"))
+    names = ranked.select(F.col("unit").alias("_unit"), "unit", "site", "rank")
+    chosen = written(_drawn_pairs(
+        runs.where("_partners > 0").withColumnRenamed("unit", "_unit"), ["_unit"], names, "within", wanted, seed), "site_pairs")
     found = chosen.join(pair_gametes(typed, chosen), chosen.columns, "left").na.fill(0, ["n00", "n01", "n10", "n11"])
     usable = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= at_least
     four = (F.col("n00") > 0) & (F.col("n01") > 0) & (F.col("n10") > 0) & (F.col("n11") > 0)

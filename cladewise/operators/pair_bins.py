@@ -25,13 +25,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions import bins
 from cladewise.functions.asof import bracket
 from cladewise.functions.ranking import number_rows, running_total
-from cladewise.functions.sampling import draw_order, explode_range, uniform_int
+from cladewise.functions.sampling import distinct_numbers
 from cladewise.session import written
 
 LEAF, FAN, CURVE_BITS = 256, 8, 16
@@ -247,21 +247,14 @@ class PairBins:
     def draws(self, cap: int, seed, names: list[str] | None = None) -> DataFrame:
         """At most ``cap`` pairs of each group and bin, all where there are no more.
 
-        Up to ``4 * cap`` pairs compete as a whole; of more, ``4 * cap`` numbers are drawn with replacement.
-        The first ``cap`` distinct ones in hash order stay.  Pairs show the carried columns with ``_a`` and
+        Their numbers are drawn by ``sampling.distinct_numbers``.  Pairs show the carried columns with ``_a`` and
         ``_b`` (``_a`` is smaller in ``order``), ``distance_bin`` and ``candidate_pairs``.
         """
         numbered = running_total(self.entries, ["_g", "bin"], ["ka", "kb"], F.col("count"), "_upto")
         numbered = written(numbered.withColumn("_first", F.col("_upto") - F.col("count")), "numbered")
         totals = self._named(numbered.groupBy("_g", "bin").agg(F.max("_upto").alias("candidate_pairs")),
                              ["_g", "bin", "candidate_pairs"])
-        many = F.col("candidate_pairs") > 4 * cap
-        rivals = explode_range(totals.withColumn("_rivals", F.least(F.col("candidate_pairs"), F.lit(4 * cap))), "_rivals", "_j")
-        number = F.when(many, uniform_int(seed, F.col("candidate_pairs"), *self.keys, "bin", "_j")).otherwise(F.col("_j"))
-        rivals = rivals.withColumn("_number", number).drop("_j", "_rivals").distinct().withColumn(
-            "_order", draw_order(seed, F.lit("pick"), *self.keys, "bin", "_number"))
-        first = Window.partitionBy("_g", "bin").orderBy("_order", "_number")  # at most 4 * cap rows
-        chosen = rivals.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= cap).drop("_order", "_no")
+        chosen = distinct_numbers(totals, [*self.keys, "bin"], "candidate_pairs", cap, seed, "_number", ["_g", "bin"])
         entry = numbered.select("_g", "bin", F.col("_first").alias("_number"), "_n", "ka", "kb", "listed", F.col("_first").alias("first"))
         found = bracket(chosen, entry, ["_g", "bin"], "_number", "_entry")
         found = written(found.select("*", "_entry.ka", "_entry.kb", "_entry._n", "_entry.listed",

@@ -113,12 +113,20 @@ def _(spark, sf):
     return _rounded(ob.allele_diversity(_typed(v.dense_observations(spark, sf)), min_sites=3))
 
 
+def _drawn_sql(table, key, order, wanted, seed):
+    """The table ``picked``: distinct numbers of the rows of each key, drawn as the library draws them."""
+    return f"""nbr as (select *, row_number() over (partition by {key} order by {order})-1 as m, count(*) over (partition by {key}) as t from {table}),
+riv as (select distinct {key}, case when t>{4 * wanted} then cast(floor({v.sql_uniform(str(seed), f"{key}||'|'||j")}*t) as bigint) else j end as m
+  from (select distinct {key}, t, unnest(range(least(t,{4 * wanted}))) as j from nbr)),
+pck as (select *, row_number() over (partition by {key} order by md5('{seed}|pick|'||{key}||'|'||m), m) as r from riv),
+picked as (select nbr.* from nbr join pck using({key}, m) where r<={wanted})"""
+
+
 _PAIRS = f"""{v.SQL_DENSE}, {_TYPED},
 inf as (select unit, site from typed group by 1,2 having count(edited)>=20 and sum(edited)>0 and sum(edited)<count(edited)),
 cand as (select case when a.unit=b.unit then 'within' else 'between' end as stratum, a.unit as ua, a.site as sa, b.unit as ub, b.site as sb
   from inf a join inf b on (a.unit,a.site)<(b.unit,b.site)),
-ranked as (select *, row_number() over (partition by stratum order by md5('7|'||ua||'|'||sa||'|'||ub||'|'||sb)) as r from cand),
-picked as (select * from ranked where r<=40),
+{_drawn_sql('cand', "stratum", 'ua, sa, ub, sb', 40, 7)},
 gam as (select stratum, ua, sa, ub, sb, count(*) filter (x.edited=0 and y.edited=0) as n00, count(*) filter (x.edited=0 and y.edited=1) as n01,
   count(*) filter (x.edited=1 and y.edited=0) as n10, count(*) filter (x.edited=1 and y.edited=1) as n11,
   corr(x.edited,y.edited) as c, count(*) as n
@@ -133,6 +141,21 @@ def _(spark, sf):
     return _rounded(ob.pair_statistics(_typed(v.dense_observations(spark, sf)), 40, 7))
 
 
+_WIDE = _PAIRS.replace(v.SQL_DENSE, """obs as (select cell,unit,site,min_by(state,k||state) as state from (select l_orderkey//64 as cell,
+ 'u'||(l_partkey%4) as unit, (l_partkey//4)%30 as site, case when l_returnflag='A' then '1' when l_returnflag='R' then '0' else '?' end as state,
+ md5(l_orderkey||'|'||l_linenumber||'|'||l_partkey||'|'||l_suppkey) as k from lineitem) where state<>'?' group by 1,2,3)""")
+
+
+@query("pair_statistics_wide", "A9", f"with {_WIDE} select * from pstat")
+def _(spark, sf):
+    keyed = v.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey div 64 as cell", "concat('u', l_partkey % 4) as unit", "(l_partkey div 4) % 30 as site",
+        "case when l_returnflag='A' then '1' when l_returnflag='R' then '0' else '?' end as state",
+        "md5(concat(l_orderkey,'|',l_linenumber,'|',l_partkey,'|',l_suppkey)) as k")
+    calls = keyed.where("state <> '?'").groupBy("cell", "unit", "site").agg(F.min_by("state", F.concat("k", "state")).alias("state"))
+    return _rounded(ob.pair_statistics(_typed(calls), 40, 7))
+
+
 @query("excess_association", "A10", f"""with {_PAIRS} select 'recording' as dataset,
  round(max(mean_abs_association) filter (stratum='within')-max(mean_abs_association) filter (stratum='between'),6) as excess_association from pstat""")
 def _(spark, sf):
@@ -143,11 +166,11 @@ def _(spark, sf):
 _UNIT = f"""{_DIVERSITY.format(min_sites=5)},
 inf as (select unit, site from typed group by 1,2 having count(edited)>=20 and sum(edited)>0 and sum(edited)<count(edited)),
 okay as (select unit from inf group by 1 having count(*)>=4),
-cand as (select a.unit, a.site as sa, b.site as sb, row_number() over (partition by a.unit order by md5('7|'||a.unit||'|'||a.site||'|'||b.site)) as r
-  from inf a join inf b on a.unit=b.unit and a.site<b.site join okay on okay.unit=a.unit),
+cand as (select 'within|'||a.unit as stratum, a.unit, a.site as sa, b.site as sb from inf a join inf b on a.unit=b.unit and a.site<b.site join okay on okay.unit=a.unit),
+{_drawn_sql('cand', 'stratum', 'sa, sb', 10, 7)},
 gam as (select c.unit, sa, sb, count(distinct (x.edited, y.edited)) as g, corr(x.edited,y.edited) as c, count(*) as n
-  from cand c join typed x on x.unit=c.unit and x.site=sa join typed y on y.unit=c.unit and y.site=sb and y.cell=x.cell
-  where r<=10 and x.edited is not null and y.edited is not null group by all),
+  from picked c join typed x on x.unit=c.unit and x.site=sa join typed y on y.unit=c.unit and y.site=sb and y.cell=x.cell
+  where x.edited is not null and y.edited is not null group by all),
 pst as (select unit, avg((g=4)::int) filter (n>=20) as incompatible_fraction, avg(abs(c)) filter (n>=20) as mean_abs_association from gam group by 1),
 rt as (select unit, site, sum(edited)/nullif(count(edited),0) as rate, count(edited) as o from typed group by 1,2),
 nc as (select count(distinct cell) as n from obs),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import bins
 from cladewise.functions.asof import bin_by_table, bracket
-from cladewise.operators import pair_bins as pb, tables as tb
+from cladewise.operators import observations as ob, pair_bins as pb, tables as tb
 
 
 def _points(kind, dim, seed=1):
@@ -157,3 +157,52 @@ def test_bins_of_a_table(spark):
     found = bin_by_table(rows, breaks, ["g"], "v", "lo", "hi", "bin")
     assert found.columns == ["id", "g", "v", "bin"]
     assert {r.id: r.bin for r in found.collect()} == {1: "low", 2: None, 3: "high", 4: "high", 5: "only", 6: None, 7: None, 8: None}
+
+
+def _calls(cells, sites, seed):
+    draw = np.random.default_rng(seed)
+    table = draw.integers(-1, 2, (cells, sites))  # -1: no call
+    table[:, 0] = 1
+    return table
+
+
+@pytest.mark.parametrize("cells,words", [(50, 1), (300, 1), (700, 2), (130, 64)])
+def test_gametes_of_packed_sites_equal_plain_counts(spark, cells, words):
+    table = _calls(cells, 9, cells)
+    rows = [(c * 7, f"u{s % 2}", s, int(x) if x >= 0 else None) for c, own in enumerate(table) for s, x in enumerate(own) if x >= 0 or c % 2]
+    typed = spark.createDataFrame(rows, "cell long, unit string, site int, edited int").repartition(4)
+    wanted = [(a, b) for a in range(9) for b in range(a + 1, 9) if (a + b) % 3]
+    pairs = spark.createDataFrame([("x", f"u{a % 2}", a, f"u{b % 2}", b) for a, b in wanted],
+                                  "stratum string, unit_a string, site_a int, unit_b string, site_b int")
+    found = {(r.site_a, r.site_b): (r.n00, r.n01, r.n10, r.n11) for r in ob.pair_gametes(typed, pairs, words).collect()}
+    for a, b in wanted:
+        want = tuple(int(((table[:, a] == x) & (table[:, b] == y)).sum()) for x in (0, 1) for y in (0, 1))
+        assert found[a, b] == want
+    packed = ob.packed_sites(typed, pairs.selectExpr("unit_a as unit", "site_a as site"), words)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert packed.groupBy("unit", "site").count().agg(F.max("count")).first()[0] <= cells // (64 * words) + partitions
+
+
+def test_site_pairs_are_drawn_by_number(spark):
+    sites = spark.createDataFrame([(f"u{i % 7}", i) for i in range(700)], "unit string, site int")
+    for stratum, total in (("within", 7 * 100 * 99 // 2), ("between", 700 * 699 // 2 - 7 * 100 * 99 // 2)):
+        found = [tuple(r) for r in ob.site_pairs(sites, stratum, 300, 5).collect()]
+        assert len(found) == len(set(found)) == 300 and total > 1200
+        assert all((r[1] == r[3]) == (stratum == "within") and (r[1], r[2]) < (r[3], r[4]) for r in found)
+        assert len({r[2] for r in found}) > 200
+    few = ob.site_pairs(sites.where("site < 20"), "within", 300, 5)
+    assert few.count() == sum(n * (n - 1) // 2 for n in (3, 3, 3, 3, 3, 3, 2))
+    assert ob.site_pairs(sites.where("site < 1"), "within", 5, 1).count() == 0
+
+
+def test_unit_pairs_stay_in_their_unit(spark):
+    table = _calls(60, 12, 3)
+    rows = [(c, "a" if s < 8 else "b", s, int(x)) for c, own in enumerate(table) for s, x in enumerate(own) if x >= 0]
+    typed = spark.createDataFrame(rows, "cell long, unit string, site int, edited int")
+    found = {r.unit: r for r in ob.unit_pair_statistics(typed, 1000, 1, at_least=5).collect()}
+    for unit, sites in (("a", range(1, 8)), ("b", range(8, 12))):
+        values = []
+        for x, y in itertools.combinations(sites, 2):
+            both = (table[:, x] >= 0) & (table[:, y] >= 0)
+            values.append(abs(np.corrcoef(table[both, x], table[both, y])[0, 1]))
+        assert found[unit].mean_abs_association == pytest.approx(np.mean(values))
