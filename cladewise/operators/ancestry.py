@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.functions.asof import bracket
 from cladewise.functions.ranking import running_total
 from cladewise.functions.sampling import explode_range
 from cladewise.session import discard, written
@@ -59,6 +60,27 @@ def _doubling(links: DataFrame, payload: list[str], combine: Callable[[str], Col
     raise LineageCycle("parent links form a cycle")
 
 
+def cycle_members(nodes: DataFrame, node: str = "node_id", parent: str = "parent_node_id") -> DataFrame:
+    """Nodes that lie on a cycle of parent links: ``cycle`` (its smallest node) and ``node``.
+
+    Doubling drops every node whose way reaches a root, or a parent that is not in the table.  What is left
+    runs in a cycle or towards one; after more steps than there are nodes left, all ways end on cycles and
+    hit each of their nodes.  The least node passed on the way then names the cycle.  Nodes that only lead
+    to a cycle are not members.  A repeated node follows its smallest parent.
+    """
+    links = nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("up"))
+    state = written(links.where(F.col("up").isNotNull()).withColumn("least", F.col("node")), "cycles")
+    steps, left = 1, state.count()
+    while left and steps < 2 * left:
+        moved = state.alias("near").join(state.alias("far"), F.col("near.up") == F.col("far.node")).select(
+            "near.node", "far.up", F.least("near.least", "far.least").alias("least"))
+        before, state = state, written(moved, "cycles")
+        discard(before)
+        steps, left = 2 * steps, state.count()
+    ends = state.select(F.col("up").alias("node")).distinct()
+    return state.join(ends, "node", "left_semi").select(F.col("least").alias("cycle"), F.col("node").alias(node))
+
+
 def numbered(nodes: DataFrame, node: str, parent: str, keep: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Nodes with whole-number ids ``node_no, parent_no`` next to their names.
 
@@ -235,6 +257,35 @@ def pair_relations(pairs: DataFrame, index: DataFrame, a: str = "node_a", b: str
     )
 
 
+def ancestor_at(queries: DataFrame, index: DataFrame, at: str, time: str = "time", node: str = "node_id",
+                name: str = "ancestor") -> DataFrame:
+    """Ancestor at a time: the highest node on the way to ``node``, itself included, whose ``time`` is behind ``at``.
+
+    ``index`` is a ``chain_index`` with ``time``, which never falls from a parent to its child.  Where a segment
+    ends at its ``time`` this is the segment that was open at ``at``; null where the node itself ends before.
+    A way leaves at most log2(nodes) chains, so the chain of the answer follows from the times at which it
+    leaves them; inside the chain the place is the first time behind ``at``, an as-of lookup of distinct
+    (chain, time) pairs.  One index answers any number of times.
+    """
+    heads = index.where("place = 0").select("chain", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("_no", "_hop"))
+    hops = heads.select("chain", "_no", F.col("_hop.chain").alias("_up"), F.col("_hop.place").alias("_place"))
+    left = index.select(F.col("chain").alias("_up"), F.col("place").alias("_place"), F.col(time).alias("_left"))
+    ways = written(hops.join(left, ["_up", "_place"]).groupBy("chain").agg(
+        F.sort_array(F.collect_list(F.struct("_no", "_left", "_up"))).alias("_ways")), "ways")  # at most log2(nodes) each
+    own = index.select(F.col(node), F.col("chain").alias("_chain"), F.col(time).alias("_time"))
+    asked = queries.join(own, node, "left").join(ways.withColumnRenamed("chain", "_chain"), "_chain", "left")
+    asked = asked.withColumn("_at", F.col(at).cast("double"))
+    passed = F.try_element_at(F.filter("_ways", lambda w: w["_left"] > F.col("_at")), F.lit(1))
+    asked = written(asked.withColumn("_on", F.coalesce(passed["_up"], F.when(F.col("_time") > F.col("_at"), F.col("_chain")))).drop(
+        "_ways", "_chain", "_time"), "asked")
+    # of several nodes at one time the highest counts
+    places = index.select(F.col("chain").alias("_on"), F.col(time).cast("double").alias("_at"), (-F.col("place")).alias("_high"),
+                          F.col(node).alias("_node"))
+    spots = bracket(asked.where("_on is not null").select("_on", "_at").distinct(), places, ["_on"], "_at", None, "_found")
+    found = asked.join(spots.select("_on", "_at", F.col("_found._node").alias(name)), ["_on", "_at"], "left")
+    return found.drop("_on", "_at")
+
+
 def ancestor_closure(nodes: DataFrame, wanted: DataFrame, node: str = "node_id",
                      parent: str = "parent_node_id") -> DataFrame:
     """All (node, ancestor, steps) rows of the wanted nodes, the node itself at 0 steps.

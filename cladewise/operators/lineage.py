@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows
+from cladewise.operators.ancestry import cycle_members
 from cladewise.session import written
 
 
@@ -77,7 +78,8 @@ def node_violations(nodes: DataFrame) -> DataFrame:
     dangling = linked.where(F.col("parent_birth").isNull()).select("node_id", F.lit("parent_missing").alias("rule"))
     early = linked.where(F.col("birth_time") < F.col("parent_birth")).select(
         "node_id", F.lit("born_before_parent").alias("rule"))
-    return twice.unionByName(by_row).unionByName(dangling).unionByName(early)
+    cycles = cycle_members(nodes).select("node_id", F.lit("in_cycle").alias("rule"))
+    return twice.unionByName(by_row).unionByName(dangling).unionByName(early).unionByName(cycles)
 
 
 def build_lineage(divisions: DataFrame, end_time: float, founder_time: float = 0.0,

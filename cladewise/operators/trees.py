@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows, running_total, spearman
 from cladewise.functions.sampling import explode_range, uniform_int
-from cladewise.operators.ancestry import chain_index, collapse_unary, common_ancestor, numbered, prune, root_paths, subtree_sums
+from cladewise.operators.ancestry import (
+    ancestor_at, chain_index, collapse_unary, common_ancestor, numbered, prune, root_paths, subtree_sums,
+)
 from cladewise.operators.spatial import cell_pairs
 from cladewise.session import written
 
@@ -227,39 +229,36 @@ def adjusted_rand(labelled: DataFrame, keys: list[str], left: str, right: str) -
         F.try_divide(F.col("_s") - expected, middle - expected)).alias("adjusted_rand"))
 
 
-def cut_trees(table: DataFrame, groups: int) -> DataFrame:
-    """Group label of every tip when each tree is cut at the time that leaves k branches.
+def cut_trees(table: DataFrame, groups: int | tuple[int, ...], index: DataFrame | None = None) -> DataFrame:
+    """Group label of every tip when each tree is cut at the time that leaves k branches, for each k.
 
     Meant for trees whose tips end together.  The cut lies right after the split
     that brings the number of branches to at least k; times are told apart to
-    nine digits.
+    nine digits.  A tip's group is its ancestor right behind the cut: all k are
+    looked up in one ``tip_index``.  Columns: tree, ``groups`` (k), label, group.
     """
-    placed = table.withColumn("_time", F.round("root_distance", 9)).drop("root_distance")
-    children = placed.where(F.col("parent_no").isNotNull()).groupBy(F.col("parent_no").alias("node_no")).agg(
+    index = tip_index(table) if index is None else index
+    wanted = (groups,) if isinstance(groups, int) else tuple(groups)
+    time = F.round("root_distance", 9)
+    children = table.where(F.col("parent_no").isNotNull()).groupBy(F.col("parent_no").alias("node_no")).agg(
         (F.count(F.lit(1)) - 1).alias("_gain"))
-    steps = placed.join(children, "node_no").groupBy(*TREE, "_time").agg(F.sum("_gain").alias("_gain"))
+    steps = table.join(children, "node_no").groupBy(*TREE, time.alias("_time")).agg(F.sum("_gain").alias("_gain"))
     grown = running_total(steps, TREE, ["_time"], F.col("_gain"), "_branches")
-    cut = grown.where(F.col("_branches") + 1 >= groups).groupBy(*TREE).agg(F.min("_time").alias("_cut"))
-    parents = placed.select(F.col("node_no").alias("parent_no"), F.col("_time").alias("_parent_time"))
-    tops = placed.join(cut, TREE).join(parents, "parent_no", "left")
-    crosses = (F.col("_time") > F.col("_cut")) & (F.coalesce(F.col("_parent_time"), F.lit(float("-inf"))) <= F.col("_cut"))
-    way = tops.select("node_no", F.when(~crosses, F.col("parent_no")).alias("_next"))
-    names = placed.select(F.col("node_no").alias("root"), F.col("key").alias("group"))
-    return placed.where(F.col("label").isNotNull()).select("node_no", "key", *TREE, "label").join(
-        root_paths(way, "node_no", "_next").select("node_no", "root"), "node_no").join(names, "root").drop("node_no", "root")
+    cuts = grown.select("*", F.explode(F.array(*[F.lit(k) for k in wanted])).alias("groups")).where(
+        F.col("_branches") + 1 >= F.col("groups")).groupBy(*TREE, "groups").agg(F.min("_time").alias("_cut"))
+    timed = index.withColumn("_time", time)
+    tips = table.where(F.col("label").isNotNull()).select("key", *TREE, "label").join(cuts, TREE)
+    return ancestor_at(tips, timed, "_cut", "_time", "key", "group").where("group is not null").select(*TREE, "groups", "label", "group")
 
 
-def clone_agreement(table: DataFrame, groups: tuple[int, ...] = CLONES) -> DataFrame:
+def clone_agreement(table: DataFrame, groups: tuple[int, ...] = CLONES, index: DataFrame | None = None) -> DataFrame:
     """Adjusted Rand index of the clones of both trees, cut into each number of groups."""
-    found = tree_pairs(table)
-    for k in groups:
-        cut = cut_trees(table, k)
-        both = cut.groupBy("pair", "label").agg(*[
-            F.max(F.when(F.col("role") == r, F.col("group"))).alias(r) for r in ("truth", "estimate")])
-        shared = both.where("truth is not null and estimate is not null")
-        scores = adjusted_rand(shared, ["pair"], "truth", "estimate").select("pair", F.col("adjusted_rand").alias(f"clone_ari_k{k}"))
-        found = found.join(scores, "pair", "left")
-    return found
+    both = cut_trees(table, groups, index).groupBy("pair", "groups", "label").agg(*[
+        F.max(F.when(F.col("role") == r, F.col("group"))).alias(r) for r in ("truth", "estimate")])
+    shared = written(both.where("truth is not null and estimate is not null"), "clones")
+    scores = adjusted_rand(shared, ["pair", "groups"], "truth", "estimate").groupBy("pair").agg(*[
+        F.max(F.when(F.col("groups") == k, F.col("adjusted_rand"))).alias(f"clone_ari_k{k}") for k in groups])
+    return tree_pairs(table).join(scores, "pair", "left")
 
 
 def clade_eras(keys: DataFrame) -> DataFrame:
@@ -312,7 +311,7 @@ def score_pairs(trees: DataFrame, seed, draws: int = DRAWS) -> DataFrame:
         .join(triplet_agreement(labels, index, f"{seed}t", draws), "pair", "left")
         .join(ordering_agreement(labels, index, f"{seed}o", draws), "pair", "left")
         .join(cophenetic_spearman(labels, index, f"{seed}c", draws).withColumnRenamed("pairs", "drawn_pairs"), "pair", "left")
-        .join(clone_agreement(table), "pair", "left"))
+        .join(clone_agreement(table, CLONES, index), "pair", "left"))
 
 
 def manhattan_pairs(characters: DataFrame, pairs: DataFrame, width: Column) -> DataFrame:

@@ -115,6 +115,30 @@ def _(spark, sf):
     return lineage.active_at_checkpoints(typed, [0.0, 50.0, 400.0, 900.0, 1200.0])
 
 
+@query("open_segments_at_checkpoints", "J3", f"""with recursive {v.SQL_UP},
+tip as (select node_id from nodes join orders on cast(o_orderkey as varchar)=cell_id where is_terminal and o_orderstatus='F'),
+q as (select node_id, t::double as t from tip, (values (0.0),(50.0),(400.0),(900.0),(1200.0),(100000000.0)) c(t)),
+f as (select q.node_id, t, arg_max(up.anc, up.steps) as anc from q join up using(node_id) join nodes n on n.node_id=up.anc and n.end_time>t group by 1,2)
+select node_id, t as time, anc as segment from q left join f using(node_id, t)""")
+def _(spark, sf):
+    tips = v.sampled_tips(spark, sf).select("node_id", F.explode(F.array(*[
+        F.lit(t) for t in (0.0, 50.0, 400.0, 900.0, 1200.0, 1e8)])).alias("time_"))
+    found = ancestry.ancestor_at(tips, v.ancestry_index(spark, sf), "time_", "time", "node_id", "segment")
+    return found.withColumnRenamed("time_", "time").select("node_id", "time", "segment")
+
+
+_LOOPED = "case when o_orderkey=1 then 5 when o_orderkey=12 then 25 when o_orderkey=7 then 7 when o_orderkey>0 then {half} end"
+
+
+@query("cycle_members", "P3 L2", f"""with recursive n as (select o_orderkey as node, {_LOOPED.format(half='o_orderkey//2')} as parent from orders),
+w as (select node, parent as cur from n where parent is not null union select w.node, n.parent from w join n on n.node=w.cur where n.parent is not null),
+c as (select node from w where node=cur), m as (select w.node, min(w.cur) as cycle from w join c using(node) group by 1)
+select cycle, node from m""")
+def _(spark, sf):
+    looped = v.table(spark, sf, "orders").selectExpr("o_orderkey as node", f"{_LOOPED.format(half='o_orderkey div 2')} as parent")
+    return ancestry.cycle_members(looped, "node", "parent")
+
+
 @query("founder_clone_summary", "L2 L3", f"""with recursive {v.SQL_PATHS}
 select d.root, count(*) as terminal_cells, max(depth) as max_depth, round(avg(depth),6) as mean_depth
 from down d join nodes n using(node_id) where is_terminal group by 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cladewise.functions.sampling import uniform_int
 from cladewise.operators import trees as tr
 from cladewise.plans import views as v
-from cladewise.plans.registry import query
+from cladewise.plans.registry import SQL, query
 from cladewise.plans.spatial_queries import sql_ranked
 
 
@@ -109,16 +109,24 @@ mt as (select pair, draw, role, couple, max(dep.d) as d from xa join ya using(pa
 wd as (select pair, draw, role, {', '.join(f'max(d) filter (couple={c}) as d{c}' for c in range(len(couples)))} from mt group by 1,2,3)"""
 
 
-@query("triplet_agreement", "T5 L5", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (0, 2), (1, 2)], 3, '3', tr.DRAWS)},
+def _triplet_sql(seed):
+    return f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (0, 2), (1, 2)], 3, seed, tr.DRAWS)},
 vd as (select pair, draw, role, case when greatest(d0,d1,d2)>least(d0,d1,d2) then case when d0=greatest(d0,d1,d2) then 0 when d1=greatest(d0,d1,d2) then 1 else 2 end end as v from wd)
-select t.pair, round(avg((t.v=e.v)::int),6) as triplet_agreement from vd t join vd e on e.pair=t.pair and e.draw=t.draw and t.role='truth' and e.role='estimate' where t.v is not null and e.v is not null group by 1""")
+select t.pair, round(avg((t.v=e.v)::int),6) as triplet_agreement from vd t join vd e on e.pair=t.pair and e.draw=t.draw and t.role='truth' and e.role='estimate' where t.v is not null and e.v is not null group by 1"""
+
+
+@query("triplet_agreement", "T5 L5", _triplet_sql("3"))
 def _(spark, sf):
     return _r(tr.triplet_agreement(_labels(spark, sf), _index(spark, sf), "3"))
 
 
-@query("ordering_agreement", "T6 L5", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (2, 3)], 4, '5', tr.DRAWS)},
+def _ordering_sql(seed):
+    return f"""with recursive {v.SQL_TREE_UP}, {_LAB}, {_DEPTH}, {_meet([(0, 1), (2, 3)], 4, seed, tr.DRAWS)},
 vd as (select pair, draw, role, case when d0<>d1 then sign(d0-d1) end as v from wd)
-select t.pair, round(avg((t.v=e.v)::int),6) as ordering_agreement from vd t join vd e on e.pair=t.pair and e.draw=t.draw and t.role='truth' and e.role='estimate' where t.v is not null and e.v is not null group by 1""")
+select t.pair, round(avg((t.v=e.v)::int),6) as ordering_agreement from vd t join vd e on e.pair=t.pair and e.draw=t.draw and t.role='truth' and e.role='estimate' where t.v is not null and e.v is not null group by 1"""
+
+
+@query("ordering_agreement", "T6 L5", _ordering_sql("5"))
 def _(spark, sf):
     return _r(tr.ordering_agreement(_labels(spark, sf), _index(spark, sf), "5"))
 
@@ -126,16 +134,20 @@ def _(spark, sf):
 _COPH_SAMPLE = tr.DRAWS
 
 
-@query("cophenetic_spearman", "T7 L15 X8", f"""with recursive {v.SQL_TREE_UP}, {_LAB}, tipk as (select pair, role, label, key from tn where label is not null),
+def _cophenetic_sql(seed):
+    return f"""with recursive {v.SQL_TREE_UP}, {_LAB}, tipk as (select pair, role, label, key from tn where label is not null),
 dist as (select t.key, sum(p.length) as d from tup t join tn p on p.key=t.anc group by 1),
-dr as (select pair, i as no, 1+cast(floor({v.sql_uniform('9a', "pair||'|'||i")}*n) as bigint) as x, 1+cast(floor({v.sql_uniform('9b', "pair||'|'||i")}*(n-1)) as bigint) as y0 from cnt, range(0,{_COPH_SAMPLE}) r(i)),
+dr as (select pair, i as no, 1+cast(floor({v.sql_uniform(seed + 'a', "pair||'|'||i")}*n) as bigint) as x, 1+cast(floor({v.sql_uniform(seed + 'b', "pair||'|'||i")}*(n-1)) as bigint) as y0 from cnt, range(0,{_COPH_SAMPLE}) r(i)),
 dt as (select d.pair, d.no, a.label as a, b.label as b from (select *, y0+(y0>=x)::int as y from dr) d join lab a on a.pair=d.pair and a.no=least(x,y) join lab b on b.pair=d.pair and b.no=greatest(x,y)),
 w as (select dt.*, r as role from dt, (values ('truth'),('estimate')) z(r)),
 xa as materialized (select w.pair, w.no, w.role, p.key, p.anc from w join tipk x on x.pair=w.pair and x.role=w.role and x.label=w.a join tup p on p.key=x.key),
 ya as materialized (select w.pair, w.no, w.role, p.key, p.anc from w join tipk x on x.pair=w.pair and x.role=w.role and x.label=w.b join tup p on p.key=x.key),
 mt as (select xa.pair, xa.no, xa.role, xa.key as kx, ya.key as ky, max(m.d) as m from xa join ya on ya.pair=xa.pair and ya.no=xa.no and ya.role=xa.role and ya.anc=xa.anc join dist m on m.key=xa.anc group by all),
 wd as (select pair, no, max(round(a.d+b.d-2*m,9)) filter (role='truth') as t, max(round(a.d+b.d-2*m,9)) filter (role='estimate') as e from mt join dist a on a.key=kx join dist b on b.key=ky group by 1,2)
-select pair, count(*) as pairs, round(corr(rl,rr),6) as cophenetic_spearman from {sql_ranked('wd', 'pair', 't', 'e')} group by 1""")
+select pair, count(*) as pairs, round(corr(rl,rr),6) as cophenetic_spearman from {sql_ranked('wd', 'pair', 't', 'e')} group by 1"""
+
+
+@query("cophenetic_spearman", "T7 L15 X8", _cophenetic_sql("9"))
 def _(spark, sf):
     return _r(tr.cophenetic_spearman(_labels(spark, sf), _index(spark, sf), "9", _COPH_SAMPLE))
 
@@ -157,18 +169,38 @@ def _(spark, sf):
                           [], "lineage", "cluster")
 
 
-@query("tree_cut_groups", "T10", f"""with recursive {v.SQL_TREES},
+def _cut_sql(groups):
+    return f"""with recursive {v.SQL_TREES},
 tdn as (select key, length as d from tn where parent_key is null union all select c.key, p.d+c.length from tn c join tdn p on c.parent_key=p.key),
 dist as (select key, round(d,9) as d from tdn),
 ch as (select parent_key as key, count(*)-1 as gain from tn where parent_key is not null group by 1),
 st as (select pair, role, d, sum(gain) as gain from tn join dist using(key) join ch using(key) group by 1,2,3),
-gr as (select *, sum(gain) over (partition by pair, role order by d) as b from st), ct as (select pair, role, min(d) as cut from gr where b+1>=12 group by 1,2),
-past as (select tn.key, tn.parent_key, d>cut as crossed from tn join dist using(key) join ct using(pair, role)),
-walk as (select key, case when crossed then key end as top from past where parent_key is null
-  union all select c.key, coalesce(w.top, case when c.crossed then c.key end) from past c join walk w on c.parent_key=w.key)
-select tn.pair, tn.role, tn.label, top as "group" from tn join walk using(key) where tn.label is not null and top is not null""")
+gr as (select *, sum(gain) over (partition by pair, role order by d) as b from st),
+ct as (select pair, role, groups, min(d) as cut from gr, (select unnest({list(groups)!r}) as groups) where b+1>=groups group by 1,2,3),
+past as (select tn.key, tn.parent_key, groups, d>cut as crossed from tn join dist using(key) join ct using(pair, role)),
+walk as (select key, groups, case when crossed then key end as top from past where parent_key is null
+  union all select c.key, c.groups, coalesce(w.top, case when c.crossed then c.key end) from past c join walk w on c.parent_key=w.key and c.groups=w.groups),
+cutg as (select tn.pair, tn.role, groups, tn.label, top as "group" from tn join walk using(key) where tn.label is not null and top is not null)"""
+
+
+@query("tree_cut_groups", "T10", _cut_sql([12]) + ' select pair, role, label, "group" from cutg')
 def _(spark, sf):
-    return tr.cut_trees(_table(spark, sf), 12).select("pair", "role", "label", "group")
+    return tr.cut_trees(_table(spark, sf), 12, _index(spark, sf)).select("pair", "role", "label", "group")
+
+
+_ARI = _cut_sql(tr.CLONES) + """, both_ as (select t.pair, t.groups, t."group" as g, e."group" as h from cutg t join cutg e on e.pair=t.pair and e.groups=t.groups and e.label=t.label and t.role='truth' and e.role='estimate'),
+c as (select pair, groups, g, h, count(*)::double as n from both_ group by all),
+s as (select pair, groups, sum(n*(n-1)/2) as s, sum(n) as tips from c group by 1,2),
+a as (select pair, groups, sum(n*(n-1)/2) as a from (select pair, groups, g, sum(n) as n from c group by 1,2,3) group by 1,2),
+b as (select pair, groups, sum(n*(n-1)/2) as b from (select pair, groups, h, sum(n) as n from c group by 1,2,3) group by 1,2),
+ari as (select pair, groups, case when (a+b)/2=a*b/(tips*(tips-1)/2) then 1.0 else (s-a*b/(tips*(tips-1)/2))/((a+b)/2-a*b/(tips*(tips-1)/2)) end as v
+  from s join a using(pair, groups) join b using(pair, groups))
+select pair, """ + ", ".join(f"round(max(v) filter (groups={k}),6) as clone_ari_k{k}" for k in tr.CLONES) + " from ari group by 1"
+
+
+@query("clone_agreement", "T8 T10 T13", _ARI)
+def _(spark, sf):
+    return _r(tr.clone_agreement(_table(spark, sf), tr.CLONES, _index(spark, sf)))
 
 
 _ERA = f"""{_CLADES}, q as (select pair, role, quantile_cont(round(split_time,9),0.25) as q1, quantile_cont(round(split_time,9),0.5) as q2, quantile_cont(round(split_time,9),0.75) as q3 from ck group by 1,2),
@@ -191,7 +223,21 @@ def _(spark, sf):
     return _r(tr.era_description(_keys(spark, sf)))
 
 
-@query("tree_pair_scores", "T13")
+#: As ``unrooted_rf``, a split named by the sum of hashes of its side without the first tip.
+_SPLITS = f"""with recursive {_CLADES}, hs as (select anc as key, sum(hash(label)::hugeint) as h from tup where label is not null group by 1),
+whole as (select pair, role, sum(hash(label)::hugeint) as h from tn where label is not null group by 1,2),
+sp as (select distinct cl.pair, cl.role, case when cl.lo<>cl.first_tip then hs.h else whole.h-hs.h end as k
+  from cl join hs using(key) join whole on whole.pair=cl.pair and whole.role=cl.role where size>=2 and tips-size>=2),
+m as (select pair, k, count(*) as n from sp group by 1,2)
+select pair, round(count(*) filter (n=1)/sum(n),6) as unrooted_rf from m group by 1"""
+_SCORES = f"""with r as materialized ({SQL['rooted_tree_scores']}), u as materialized ({_SPLITS}), t as materialized ({_triplet_sql('7t')}),
+o as materialized ({_ordering_sql('7o')}), c as materialized ({_cophenetic_sql('7c')}), k as materialized ({_ARI})
+select pair, truth_clades, estimate_clades, shared_clades, rooted_rf, clade_precision, clade_recall, unrooted_rf,
+ triplet_agreement, ordering_agreement, pairs as drawn_pairs, cophenetic_spearman, {', '.join(f'clone_ari_k{k}' for k in tr.CLONES)}
+from r left join u using(pair) left join t using(pair) left join o using(pair) left join c using(pair) left join k using(pair)"""
+
+
+@query("tree_pair_scores", "T13", _SCORES)
 def _(spark, sf):
     return _r(tr.score_pairs(_trees(spark, sf), "7"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import bins
 from cladewise.functions.asof import bin_by_table, bracket
-from cladewise.operators import observations as ob, pair_bins as pb, tables as tb
+from cladewise.operators import ancestry, lineage, observations as ob, pair_bins as pb, tables as tb, trees as tr
 
 
 def _points(kind, dim, seed=1):
@@ -206,3 +206,56 @@ def test_unit_pairs_stay_in_their_unit(spark):
             both = (table[:, x] >= 0) & (table[:, y] >= 0)
             values.append(abs(np.corrcoef(table[both, x], table[both, y])[0, 1]))
         assert found[unit].mean_abs_association == pytest.approx(np.mean(values))
+
+
+def _forest(n, comb, seed=0):
+    """(node, parent, time): times never fall on the way down; ``comb`` hangs each node below the one before."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        parent = None if i % 100 == 0 else (i - 1 if comb else int(draw.integers(max(0, i - i % 100), i)))
+        above = rows[parent][2] if parent is not None else 0.0
+        rows.append((i, parent, above + float(draw.integers(0, 3))))
+    return rows
+
+
+@pytest.mark.parametrize("comb", [True, False])
+def test_ancestor_at_a_time(spark, comb):
+    rows = _forest(400, comb)
+    nodes = spark.createDataFrame(rows, "node_id long, parent_node_id long, time double")
+    index = ancestry.chain_index(nodes, time="time")
+    queries = [(i, float(t)) for i in range(0, 400, 3) for t in (-1, 0, 3, 7, 20, 500)] + [(999, 1.0), (5, None)]
+    found = ancestry.ancestor_at(spark.createDataFrame(queries, "node_id long, at double"), index, "at").collect()
+
+    def plain(node, at):
+        best = None
+        while node is not None and node < len(rows) and at is not None:
+            if rows[node][2] > at:
+                best = node
+            node = rows[node][1]
+        return best
+    assert sorted(((r.node_id, r.at, r.ancestor) for r in found), key=repr) == sorted(((n, t, plain(n, t)) for n, t in queries), key=repr)
+
+
+def test_cuts_of_several_sizes_agree_with_single_ones(spark):
+    rows = [("p", r, f"{r}{i}", f"{r}{(i - 1) // 2}" if i else None, i if i >= 31 else None, 0.0 if i == 0 else 1.0 + i % 3 / 10)
+            for r in ("truth", "estimate") for i in range(63)]
+    table = tr.tree_table(spark.createDataFrame(rows, "pair string, role string, key string, parent_key string, label long, length double"))
+    every = {(r.role, r.groups, r.label): r.group for r in tr.cut_trees(table, (2, 5, 9, 400)).collect()}
+    assert {k[1] for k in every} == {2, 5, 9}
+    for k in (2, 5, 9):
+        own = {(r.role, k, r.label): r.group for r in tr.cut_trees(table, k).collect()}
+        assert own == {key: g for key, g in every.items() if key[1] == k}
+        assert len({g for (role, _, _), g in own.items() if role == "truth"}) >= k
+
+
+def test_members_of_cycles(spark):
+    rows = [(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 6), (7, None), (8, 7), (9, 8), (10, 99), (11, 12), (12, 11), (None, 1)]
+    rows += [(100 + i, 99 + i if i else 150) for i in range(51)] + [(200 + i, 199 + i if i else 2) for i in range(40)]
+    found = ancestry.cycle_members(spark.createDataFrame(rows, "node_id long, parent_node_id long"))
+    want = [(1, 1), (1, 2), (1, 3), (6, 6), (11, 11), (11, 12)] + [(100, 100 + i) for i in range(51)]
+    assert sorted(map(tuple, found.collect())) == want
+    named = spark.createDataFrame([("a", "b", 0.0, 1.0, 1.0), ("b", "a", 0.0, 1.0, 1.0), ("c", None, 0.0, 1.0, 1.0)],
+                                  "node_id string, parent_node_id string, birth_time double, end_time double, branch_length double")
+    assert sorted(map(tuple, lineage.node_violations(named).collect())) == [("a", "in_cycle"), ("b", "in_cycle")]
+    assert ancestry.cycle_members(named.where("node_id = 'c'")).count() == 0
