@@ -58,6 +58,23 @@ def lookup_violations(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
     return missing.unionByName(repeated(left, "left_repeated")).unionByName(repeated(right, "right_repeated"))
 
 
+def attach_reference(samples: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Samples with the reference value of their key; samples without one stay, with null.
+
+    A key that the reference repeats would multiply samples: its smallest value is taken, and
+    ``reference_rows`` tells how many rows it has (0: unmatched).  ``lookup_violations`` lists such keys.
+    """
+    unique = reference.groupBy(*keys).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("reference_rows"))
+    joined = samples.join(unique, keys, "left")
+    return joined.withColumn("reference_rows", F.coalesce("reference_rows", F.lit(0)))
+
+
+def in_large_groups(rows: DataFrame, keys: list[str], at_least: int) -> DataFrame:
+    """Rows whose group has at least so many rows."""
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= at_least).select(*keys)
+    return rows.join(large, keys, "left_semi")
+
+
 def union_shared(tables: list[DataFrame]) -> DataFrame:
     """Union over the columns every table has."""
     shared = [c for c in tables[0].columns if all(c in t.columns for t in tables)]

@@ -298,6 +298,13 @@ def era_description(keys: DataFrame) -> DataFrame:
     return base.join(percentiles(placed, [*TREE, "era"], "size", {"size_median": 0.5}), [*TREE, "era"])
 
 
+def era_means(described: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of ``era_description`` over the trees of a group, per era."""
+    return described.groupBy(*keys, "era").agg(
+        F.count(F.lit(1)).alias("seeds"), F.avg("clades").alias("mean_clades"), F.avg("split_time_min").alias("mean_split_time_min"),
+        F.avg("split_time_max").alias("mean_split_time_max"), F.avg("size_median").alias("mean_clade_size_median"))
+
+
 def score_pairs(trees: DataFrame, seed, draws: int = DRAWS) -> DataFrame:
     """One row of every metric per tree pair.
 
@@ -370,6 +377,15 @@ def expression_correlation(expression: DataFrame, pairs: DataFrame, genes: Colum
     return full.select("cell_a", "cell_b", F.try_divide(top, below).alias("correlation"))
 
 
+def correlation_against_distance(correlations: DataFrame, distances: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Spearman correlation of expression correlation and path distance over cell pairs.
+
+    Both tables have ``cell_a`` and ``cell_b``; pairs without either value are left out.
+    """
+    both = correlations.join(distances, [*(keys or []), "cell_a", "cell_b"])
+    return spearman(both, keys or [], "correlation", "path_distance", "spearman", 2)
+
+
 def same_inputs(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Whether all models of a group read the same bytes."""
     return files.groupBy(*keys).agg((F.count_distinct(F.md5(F.col(content))) == 1).alias("same_content"))

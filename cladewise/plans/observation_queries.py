@@ -294,41 +294,66 @@ def _(spark, sf):
 _TWO = """two as (select case when mol%2=0 then 'real' else 'simulated' end as dataset, * from mols)"""
 
 
-@query("recorder_comparison_long", "A19 O4", f"""with {v.SQL_MOL}, {_TWO},
-c as (select dataset, mol, call, count(*) as n from two group by all),
-ms as (select dataset, mol, count(*) as d, coalesce(max(n) filter (call<>'0'),0) as s from c group by all)
-select 'per-target editing rate' as feature, target as level, dataset, round(avg((call<>'0')::int),8) as value from two group by target, dataset
-union all select 'distinct calls per molecule', d, dataset, round(count(*)/sum(count(*)) over (partition by dataset),8) from ms group by d, dataset
-union all select 'largest shared span', s, dataset, round(count(*)/sum(count(*)) over (partition by dataset),8) from ms group by s, dataset
-union all select 'distinct alleles per target', target, dataset, count(distinct call) from two group by target, dataset""")
+_MATCHED = f"""{v.SQL_MOL}, {_TWO}, cd as (select dataset, mol, target, case when call like 'R%' then '-1' else call end as call from two where dataset='real'),
+c as (select dataset, mol, call, count(*) as n from two group by all), cc as (select mol, call, count(*) as n from cd group by all),
+ms as (select dataset, mol, count(*) as d, coalesce(max(n) filter (call<>'0'),0) as s from c group by all),
+mc as (select 'real_collapsed' as dataset, mol, count(*) as d, coalesce(max(n) filter (call<>'0'),0) as s from cc group by all),
+mm as (select * from ms union all select * from mc),
+tr as (select dataset, target, avg((call<>'0')::int) as rate, count(distinct call) as da from two group by all),
+sp as (select dataset, target, count(*) as k, case when count(*)>1 then (ln(sum(n))-sum(n*ln(n))/sum(n))/ln(count(*)) else 0 end as e
+  from (select dataset, target, call, count(*) as n from two group by all) group by 1,2),
+tp as (select a.dataset, b.target-a.target as gap, count(*) filter (a.call<>'0' and b.call<>'0') as n11, count(*) filter (a.call<>'0' and b.call='0') as n10,
+  count(*) filter (a.call='0' and b.call<>'0') as n01, count(*) filter (a.call='0' and b.call='0') as n00, count(*) filter (a.call<>'0' and a.call=b.call) as same_call
+  from two a join two b on a.mol=b.mol and a.target<b.target group by a.dataset, a.target, b.target),
+pp as (select *, (n11::double*n00-n10::double*n01)/nullif(sqrt((n11+n10)::double*(n01+n00)*(n11+n01)*(n10+n00)),0) as phi, same_call/nullif(n11,0) as sb from tp)"""
+
+
+@query("recorder_comparison_long", "A19 O4", f"""with {_MATCHED}
+select 'per-target editing rate' as feature, target as level, dataset, round(rate,8) as value from tr
+union all select 'distinct calls per molecule', d, dataset, round(count(*)/sum(count(*)) over (partition by dataset),8) from mm group by d, dataset
+union all select 'largest shared span', s, dataset, round(count(*)/sum(count(*)) over (partition by dataset),8) from mm group by s, dataset
+union all select 'distinct alleles per target', target, dataset, da from tr
+union all select 'normalised entropy per target', target, dataset, round(e,8) from sp
+union all select 'pairwise phi', gap, dataset, round(phi,8) from pp
+union all select 'P(same allele | both edited)', gap, dataset, round(sb,8) from pp""")
 def _(spark, sf):
-    return _rounded(_comparison(_two(spark, sf)))
+    from cladewise.operators.comparison import long_comparison
+    two = _two(spark, sf)
+    return _rounded(long_comparison(two, "dataset", _rescored(two).withColumn("dataset", F.lit("real_collapsed")), _TARGETS))
+
+
+_TARGETS = [1, 2, 3, 4, 5, 6, 7]
 
 
 def _two(spark, sf):
     return v.molecules(spark, sf).withColumn("dataset", F.when(F.col("mol") % 2 == 0, "real").otherwise("simulated"))
 
 
-def _comparison(two):
-    from cladewise.operators.comparison import long_comparison
-    return long_comparison(two, "dataset")
+def _rescored(two):
+    """The real molecules with all calls of one kind as one state."""
+    from cladewise.operators.comparison import rescored
+    return rescored(two.where("dataset = 'real'"), F.col("call").startswith("R"))
 
 
-@query("recorder_comparison_headline", "A19", f"""with {v.SQL_MOL}, {_TWO},
-tr as (select dataset, target, avg((call<>'0')::int) as rate, count(distinct call) as da from two group by all),
-c as (select dataset, mol, call, count(*) as n from two group by all),
-ms as (select dataset, mol, count(*) as d, coalesce(max(n) filter (call<>'0'),0) as s from c group by all),
+@query("recorder_comparison_headline", "A19", f"""with {_MATCHED},
+ma as (select 'real' as dataset, d, s from mc union all select dataset, d, s from ms where dataset='simulated'),
 h as (select dataset, 'mean per-target editing rate' as metric, avg(rate) as x from tr group by 1
  union all select dataset, 'spread of per-target rate', max(rate)-min(rate) from tr group by 1
  union all select dataset, 'mean distinct calls per molecule', avg(d) from ms group by 1
  union all select dataset, 'molecules with no edited target', avg((s=0)::int) from ms group by 1
  union all select dataset, 'molecules where one event spans >= 4 targets', avg((s>=4)::int) from ms group by 1
- union all select dataset, 'median distinct alleles per target', quantile_cont(da,0.5) from tr group by 1)
+ union all select dataset, 'median distinct alleles per target', quantile_cont(da,0.5) from tr group by 1
+ union all select dataset, 'mean distinct calls, real re-scored as the simulator encodes', avg(d) from ma group by 1
+ union all select dataset, 'one event spans >= 7 targets, matched encoding', avg((s>=7)::int) from ma group by 1
+ union all select dataset, 'mean normalised entropy per target', avg(e) from sp group by 1
+ union all select dataset, 'mean pairwise phi between targets', avg(phi) from pp group by 1
+ union all select dataset, 'P(same allele | both edited)', sum(same_call)/sum(n11) from pp group by 1)
 select metric, round(max(x) filter (dataset='real'),8) as real, round(max(x) filter (dataset='simulated'),8) as simulated,
  round(max(x) filter (dataset='simulated')/nullif(max(x) filter (dataset='real'),0),6) as ratio from h group by 1""")
 def _(spark, sf):
     from cladewise.operators.comparison import headline
-    found = headline(_two(spark, sf), "dataset")
+    two = _two(spark, sf)
+    found = headline(two, "dataset", matched=_rescored(two), targets=_TARGETS)
     return found.select("metric", F.round("real", 8).alias("real"), F.round("simulated", 8).alias("simulated"),
                         F.round("ratio", 6).alias("ratio"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import bins
 from cladewise.operators import ancestry, pair_bins as pb, spatial as sp
+from cladewise.operators.tables import in_large_groups
 from cladewise.plans import views as v
 from cladewise.plans.registry import query
 
@@ -284,6 +285,22 @@ def _(spark, sf):
     return _r(sp.spot_pair_summary(sp.spot_pair_table(_related(spark, sf), ["slice_id"], PITCH), ["slice_id"], PITCH))
 
 
+@query("replicate_pooling_spots", "V9", f"""with recursive {_SPOTPAIR}, g as (select distinct slice_id, l as distance_bin from spb, (select unnest({_SPOT_NAMES!r}) as l)),
+s as (select slice_id, distance_bin, count(*) as spot_pairs, sum(contributing_cell_pairs) as contributing_cell_pairs, avg(mean_mrca_age) as m, quantile_cont(median_mrca_age,0.5) as d from spb group by 1,2),
+r as (select case when g.slice_id='s3' then 'r2' else 'r1' end as replicate, g.distance_bin, coalesce(spot_pairs,0) as spot_pairs, coalesce(contributing_cell_pairs,0) as contributing_cell_pairs, m, d
+  from g left join s on s.slice_id=g.slice_id and s.distance_bin=g.distance_bin),
+a as (select replicate, distance_bin, count(*) as slices, sum(spot_pairs) as spot_pairs, sum(contributing_cell_pairs) as contributing_cell_pairs, avg(m) as m, avg(d) as d from r group by 1,2)
+select distance_bin, count(*) as replicates, count(*) filter (spot_pairs>0) as replicates_with_pairs, sum(slices)::bigint as slices, sum(spot_pairs)::bigint as spot_pairs, sum(contributing_cell_pairs)::bigint as contributing_cell_pairs,
+ round(avg(m),6) as mean_mrca_age_mean, round(stddev_samp(m),6) as mean_mrca_age_sd, round(stddev_samp(m)/sqrt(count(m)),6) as mean_mrca_age_se,
+ round(avg(d),6) as median_mrca_age_mean, round(stddev_samp(d),6) as median_mrca_age_sd, round(stddev_samp(d)/sqrt(count(d)),6) as median_mrca_age_se from a group by 1""")
+def _(spark, sf):
+    spots = sp.spot_pair_summary(sp.spot_pair_table(_related(spark, sf), ["slice_id"], PITCH), ["slice_id"], PITCH)
+    slices = spots.withColumn("replicate", F.when(F.col("slice_id") == "s3", "r2").otherwise("r1")).select(
+        "replicate", "distance_bin", "spot_pairs", "contributing_cell_pairs", "mean_mrca_age", "median_mrca_age")
+    return _r(sp.two_stage_means(slices, ["replicate", "distance_bin"], ["distance_bin"], ["spot_pairs", "contributing_cell_pairs"],
+                                 ["mean_mrca_age", "median_mrca_age"], having="spot_pairs"))
+
+
 def sql_ranked(table, keys, left, right):
     """Average ranks of two columns in the SQL of the checks."""
     part = f"partition by {keys}" if keys else ""
@@ -367,15 +384,44 @@ def _(spark, sf):
         value.alias("value"), (value - 1.96 * error).alias("lower"), (value + 1.96 * error).alias("upper")))
 
 
-@query("within_clone_space_and_lineage", "V14 L15 X8", f"""with recursive {v.SQL_UP}, {v.SQL_XYZ},
+def _clone_cells(spark, sf):
+    """Cells of clones with at least eight, with their lineage tip and place."""
+    tips = v.nodes(spark, sf).where("is_terminal").selectExpr("cast(cell_id as bigint) as cell", "node_id")
+    paths = v.node_paths(spark, sf).select("node_id", "root", "root_distance")
+    cells = v.cells_xyz(spark, sf).join(tips, "cell").join(paths, "node_id")
+    return in_large_groups(cells.withColumn("place", F.struct("x", "y", "z")), ["root"], 8)
+
+
+def _apart(a, b):
+    return sp.distance([f"{a}.{c}" for c in "xyz"], [f"{b}.{c}" for c in "xyz"])
+
+
+def _clone_pairs(spark, sf):
+    """Every pair of cells of a clone with distances in space and along the lineage."""
+    def build():
+        paths = v.node_paths(spark, sf).select("node_id", "root", "root_distance")
+        pairs = sp.cell_pairs(_clone_cells(spark, sf), ["root"], "cell", ["node_id", "place"], 6)
+        index = v.ancestry_index(spark, sf).drop("root").join(paths, "node_id")
+        related = ancestry.common_ancestor(pairs.withColumnRenamed("root", "clone"), index, "node_id_a", "node_id_b",
+                                           carry=["root_distance"]).withColumnRenamed("clone", "root")
+        related = related.withColumn("lineage", F.expr("root_distance_a + root_distance_b - 2 * mrca_root_distance"))
+        return related.select("root", "cell_a", "cell_b", "lineage", _apart("place_a", "place_b").alias("spatial"))
+    return v.kept(spark, sf, "clone_pairs", build)
+
+
+_CLONE = f"""{v.SQL_UP}, {v.SQL_XYZ},
 dist as (select up.node_id, sum(b.branch_length) as d from up join nodes b on b.node_id=up.anc group by 1),
-m as (select xyz.*, n.node_id, d.d, r.anc as root from xyz join nodes n on n.is_terminal and cast(n.cell_id as bigint)=xyz.cell join dist d on d.node_id=n.node_id
+m0 as (select xyz.*, n.node_id, d.d, r.anc as root from xyz join nodes n on n.is_terminal and cast(n.cell_id as bigint)=xyz.cell join dist d on d.node_id=n.node_id
   join up r on r.node_id=n.node_id and r.nxt is null),
+m as (select * from m0 where root in (select root from m0 group by 1 having count(*)>=8)),
 upc as (select up.* from up join m using(node_id)),
 lca as (select x.node_id as na, y.node_id as nb, arg_min(x.anc, x.steps) as mrca from upc x join upc y on x.anc=y.anc group by 1,2),
 pr as (select a.root, a.cell as cell_a, b.cell as cell_b, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) as spatial, a.d+b.d-2*k.d as lineage
   from m a join m b on a.root=b.root and a.cell<b.cell join lca on na=a.node_id and nb=b.node_id join dist k on k.node_id=mrca),
-okay as (select root from pr group by 1 having count(*)>=10 and stddev_pop(lineage)>0),
+okay as (select root from pr group by 1 having count(*)>=10 and stddev_pop(lineage)>0)"""
+
+
+@query("within_clone_space_and_lineage", "V14 L15 X8", f"""with recursive {_CLONE},
 obs_ as (select root, count(*) as pairs, corr(rl,rr) as spearman from {sql_ranked('pr', 'root', 'spatial', 'lineage')} group by 1),
 pos as (select root, cell, row_number() over (partition by root order by cell) as rk from m),
 perm as (select p, root, x, y, z, row_number() over (partition by root, p order by md5('6|'||p||'|'||cell), cell) as rk from m, range(1,3) t(p)),
@@ -384,24 +430,19 @@ pp as (select pr.root, a.p, pr.root||'#'||a.p as rp, sqrt((a.x-b.x)**2+(a.y-b.y)
 pn as (select split_part(rp,'#',1) as root, avg(s) as null_mean, stddev_samp(s) as null_sd from (select rp, corr(rl,rr) as s from {sql_ranked('pp', 'rp', 'spatial', 'lineage')} group by 1) group by 1)
 select root, pairs, round(spearman,6) as spearman, round(null_mean,6) as null_mean, round(null_sd,6) as null_sd from obs_ join okay using(root) left join pn using(root)""")
 def _(spark, sf):
-    tips = v.nodes(spark, sf).where("is_terminal").selectExpr("cast(cell_id as bigint) as cell", "node_id")
-    paths = v.node_paths(spark, sf).select("node_id", "root", "root_distance")
-    cells = v.cells_xyz(spark, sf).join(tips, "cell").join(paths, "node_id")
-    cells = cells.withColumn("place", F.struct("x", "y", "z"))
-    pairs = sp.cell_pairs(cells, ["root"], "cell", ["node_id", "place"], 6)
-    index = v.ancestry_index(spark, sf).drop("root").join(paths, "node_id")
-    related = ancestry.common_ancestor(pairs.withColumnRenamed("root", "clone"), index, "node_id_a", "node_id_b",
-                                       carry=["root_distance"]).withColumnRenamed("clone", "root")
-    related = related.withColumn("lineage", F.expr("root_distance_a + root_distance_b - 2 * mrca_root_distance"))
-
-    def apart(a, b):
-        return sp.distance([f"{a}.{c}" for c in "xyz"], [f"{b}.{c}" for c in "xyz"])
-    pairs = v.written(related.select("root", "cell_a", "cell_b", "lineage", apart("place_a", "place_b").alias("spatial")), "clone_pairs")
+    cells, pairs = _clone_cells(spark, sf), _clone_pairs(spark, sf)
     shuffled = sp.permuted_pairs(pairs.drop("spatial"), cells, ["root"], "cell", "place", 2, 6).select(
-        "root", "permutation", "lineage", apart("permuted_a", "permuted_b").alias("spatial"))
+        "root", "permutation", "lineage", _apart("permuted_a", "permuted_b").alias("spatial"))
     return _r(sp.within_clone_correlation(pairs, shuffled, ["root"]))
 
 
+@query("within_clone_bins", "V14", f"""with recursive {_CLONE}, bn as (select pr.*, {_bin_sql('spatial', _FB, _FL, True)} as distance_bin from pr join okay using(root))
+select root, distance_bin, count(*) as pairs, round(avg(spatial),6) as mean_distance, round(avg(lineage),6) as mean_lineage_distance from bn where distance_bin is not null group by 1,2""")
+def _(spark, sf):
+    pairs = _clone_pairs(spark, sf)
+    return _r(sp.within_clone_bins(pairs.join(sp.scorable_clones(pairs, ["root"]), ["root"], "left_semi"), ["root"], _FB))
+
+
 @query("projection_distortion", "V18", f"""with recursive {_REL} select cast(least(floor(distance_2d/20.0),24) as int) as bin_x, cast(least(floor((distance_3d-distance_2d)/8.0),24) as int) as bin_y, count(*) as pairs
 from rel group by 1,2""")
 def _(spark, sf):

@@ -146,7 +146,19 @@ def _(spark, sf):
     return _r(su.paired_penalty(summary, ["size_bin"], "tier", 3, 0, "mean").withColumn("largest_spread", spread))
 
 
-@query("exact_share_interval", "X4", None)
+#: Bisection on the binomial tails: 60 halvings of [0, 1] for both bounds.
+_TAIL = "list_sum([exp(lgamma(n+1)-lgamma(z+1)-lgamma(n-z+1)+z*ln(m)+(n-z)*ln(1-m)) for z in range({first}, n+1)])"
+
+
+@query("exact_share_interval", "X4", f"""with recursive {_SCL}, z as (select *, {_SIZE_SQL} as size_bin from sl),
+b as (select size_bin, count(*) as n, avg(1-normalized_rf) as mean_accuracy, count(*) filter (normalized_rf=0) as h from z group by 1),
+cut as (select size_bin, n, h, side, 0 as step, 0.0::double as lo, 1.0::double as hi, 0.5::double as m from b, (values (0), (1)) t(side)
+  union all select size_bin, n, h, side, step+1, case when below then m else lo end, case when below then hi else m end,
+    ((case when below then m else lo end)+(case when below then hi else m end))/2
+  from (select *, coalesce({_TAIL.format(first='h+side')},0)<case side when 0 then 0.025 else 0.975 end as below from cut where step<60)),
+fin as (select size_bin, max(m) filter (side=0) as lower, max(m) filter (side=1) as upper from cut where step=60 group by 1)
+select size_bin, n as clones, round(mean_accuracy,6) as mean_accuracy, round(h/n,6) as exact_fraction,
+ round(case when h=0 then 0.0 else lower end,6) as lower, round(case when h=n then 1.0 else upper end,6) as upper from b join fin using(size_bin)""")
 def _(spark, sf):
     return _r(su.exact_share_by_bin(_sized(spark, sf), ["size_bin"], "normalized_rf"))
 
@@ -218,7 +230,16 @@ def _(spark, sf):
     return _r(su.by_suffix_number(wide, ["system"], "clone_ari_k"))
 
 
-@query("paired_t_test", "X15", None)
+#: The two-sided tail of t with whole degrees of freedom is a finite sum over powers of a cosine.
+_T_TAIL = """1-case when df%2=0 then sin(a)*list_sum([exp(lgamma(z+0.5)-lgamma(0.5)-lgamma(z+1))*cos(a)**(2*z) for z in range(df//2)])
+  when df=1 then 2/pi()*a
+  else 2/pi()*(a+sin(a)*list_sum([exp(lgamma(z+1)+lgamma(0.5)-lgamma(z+1.5))/2*cos(a)**(2*z+1) for z in range((df-1)//2)])) end"""
+
+
+@query("paired_t_test", "X15", f"""with {_SCL}, d as (select system, normalized_rf-leaves/124.0 as d from sl),
+s as (select system, count(*) as n, avg(d) as mean_difference, avg(d)/(stddev_samp(d)/sqrt(count(*))) as t, count(*)-1 as df from d group by 1),
+p as (select *, atan(abs(t)/sqrt(df)) as a from s)
+select system, n, df, round(mean_difference,6) as mean_difference, round(t,6) as t, round({_T_TAIL},6) as p_value from p""")
 def _(spark, sf):
     return _r(su.paired_t_test(_scores(spark, sf).withColumn("other", F.col("leaves") / 124.0), ["system"], "normalized_rf", "other"))
 
@@ -521,3 +542,31 @@ def _(spark, sf):
     raw = v.table(spark, sf, "part").selectExpr("p_partkey", "case when p_partkey % 3 = 0 then concat('ok_', p_partkey) when p_partkey % 3 = 1 then concat(\"it's \", p_partkey) else p_name end as raw", "p_name")
     return raw.select("p_partkey", fn.newick_label(F.col("raw")).alias("label"), F.regexp_replace("p_name", "[^A-Za-z0-9]+", "").alias("clean"),
                       F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("padded"))
+
+
+def _orders_of_nations(spark, sf):
+    """Samples (customers) and a reference that lacks some nations and repeats others."""
+    samples = v.table(spark, sf, "customer").selectExpr("c_custkey as sample", "c_nationkey as founder")
+    nation = v.table(spark, sf, "nation")
+    names = nation.where("n_nationkey % 6 <> 1").selectExpr("n_nationkey as founder", "n_name as cell_type")
+    again = nation.where("n_nationkey % 10 = 3").selectExpr("n_nationkey as founder", "lower(n_name) as cell_type")
+    return samples, names.unionByName(again)
+
+
+@query("samples_with_reference", "J18", """with r as (select n_nationkey as founder, n_name as cell_type from nation where n_nationkey%6<>1
+ union all select n_nationkey, lower(n_name) from nation where n_nationkey%10=3),
+u as (select founder, min(cell_type) as cell_type, count(*) as reference_rows from r group by 1)
+select c_custkey as sample, c_nationkey as founder, cell_type, coalesce(reference_rows,0) as reference_rows from customer left join u on u.founder=c_nationkey
+where c_nationkey in (select c_nationkey from customer group by 1 having count(*)>=60)""")
+def _(spark, sf):
+    samples, reference = _orders_of_nations(spark, sf)
+    big = tb.in_large_groups(samples, ["founder"], 60)
+    return tb.attach_reference(big, reference, ["founder"], "cell_type").select("sample", "founder", "cell_type", "reference_rows")
+
+
+@query("reference_problems", "J18 J11", """with r as (select n_nationkey as founder from nation where n_nationkey%6<>1 union all select n_nationkey from nation where n_nationkey%10=3)
+select founder, 'right_repeated' as rule from r group by 1 having count(*)>1 union all
+select distinct c_nationkey, 'no_match' from customer where c_nationkey not in (select founder from r)""")
+def _(spark, sf):
+    samples, reference = _orders_of_nations(spark, sf)
+    return tb.lookup_violations(samples, reference, ["founder"]).where("rule <> 'left_repeated'")

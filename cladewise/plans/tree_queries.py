@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.functions.sampling import uniform_int
-from cladewise.operators import trees as tr
+from cladewise.operators import ancestry, trees as tr
 from cladewise.plans import views as v
 from cladewise.plans.registry import SQL, query
 from cladewise.plans.spatial_queries import sql_ranked
@@ -223,6 +223,12 @@ def _(spark, sf):
     return _r(tr.era_description(_keys(spark, sf)))
 
 
+@query("era_means", "T12", f"""with recursive {_ERA}, e as (select pair, role, era, count(*) as n, min(st) as lo, max(st) as hi, quantile_cont(size,0.5) as m from era group by 1,2,3)
+select role, era, count(*) as seeds, round(avg(n),6) as mean_clades, round(avg(lo),6) as mean_split_time_min, round(avg(hi),6) as mean_split_time_max, round(avg(m),6) as mean_clade_size_median from e group by 1,2""")
+def _(spark, sf):
+    return _r(tr.era_means(tr.era_description(_keys(spark, sf)), ["role"]))
+
+
 #: As ``unrooted_rf``, a split named by the sum of hashes of its side without the first tip.
 _SPLITS = f"""with recursive {_CLADES}, hs as (select anc as key, sum(hash(label)::hugeint) as h from tup where label is not null group by 1),
 whole as (select pair, role, sum(hash(label)::hugeint) as h from tn where label is not null group by 1,2),
@@ -284,6 +290,32 @@ def _(spark, sf):
     return _r(tr.expression_correlation(normal, _wanted(spark, sf), genes))
 
 
+@query("expression_against_path_distance", "T16 L15 X8", f"""with recursive {v.SQL_UP}, {_CHAR}, {_WANT}, nm as (select cell, feature, ln(1+10000*value/sum(value) over (partition by cell)) as value from ch),
+g as (select cell_a, cell_b, f as feature from wt, range(0,40) r(f)),
+co as materialized (select cell_a, cell_b, round(corr(ln(1+coalesce(a.value,0)),ln(1+coalesce(b.value,0))),9) as correlation from g left join nm a on a.cell=cell_a and a.feature=g.feature left join nm b on b.cell=cell_b and b.feature=g.feature group by 1,2),
+dist as (select up.node_id, sum(b.branch_length) as d from up join nodes b on b.node_id=up.anc group by 1),
+tip as (select cast(cell_id as bigint) as cell, node_id from nodes where is_terminal),
+wn as materialized (select cell_a, cell_b, x.node_id as na, y.node_id as nb from wt join tip x on x.cell=cell_a join tip y on y.cell=cell_b),
+xa as materialized (select cell_a, cell_b, na, nb, up.anc from wn join up on up.node_id=na),
+ya as materialized (select cell_a, cell_b, up.anc from wn join up on up.node_id=nb),
+lc as (select cell_a, cell_b, na, nb, max(k.d) as k from xa join ya using(cell_a, cell_b, anc) join dist k on k.node_id=anc group by 1,2,3,4),
+pd as (select cell_a, cell_b, round(x.d+y.d-2*k,9) as path_distance from lc join dist x on x.node_id=na join dist y on y.node_id=nb),
+j as (select correlation, path_distance from co join pd using(cell_a, cell_b) where correlation is not null)
+select count(*) as pairs, round(corr(rl,rr),6) as spearman from {sql_ranked('j', '', 'correlation', 'path_distance')}""")
+def _(spark, sf):
+    normal, wanted = tr.log_normalised(_characters(spark, sf)), _wanted(spark, sf)
+    genes = _characters(spark, sf).agg(F.count_distinct("feature").alias("n")).select("n").scalar()
+    correlations = tr.expression_correlation(normal, wanted, genes).withColumn("correlation", F.round("correlation", 9))
+    tips = v.nodes(spark, sf).where("is_terminal").selectExpr("cast(cell_id as bigint) as cell", "node_id")
+    index = v.ancestry_index(spark, sf).drop("root_distance").join(v.node_paths(spark, sf).select("node_id", "root_distance"), "node_id")
+    named = wanted.join(tips.selectExpr("cell as cell_a", "node_id as node_a"), "cell_a").join(
+        tips.selectExpr("cell as cell_b", "node_id as node_b"), "cell_b")
+    met = ancestry.common_ancestor(named, index, "node_a", "node_b", carry=["root_distance"]).where("same_founder")
+    distances = met.select("cell_a", "cell_b", F.round(
+        F.col("root_distance_a") + F.col("root_distance_b") - 2 * F.col("mrca_root_distance"), 9).alias("path_distance"))
+    return _r(tr.correlation_against_distance(correlations, distances))
+
+
 @query("same_inputs", "T18", "select lang, source, count(distinct md5(text))=1 as same_content from documents group by 1,2")
 def _(spark, sf):
     return tr.same_inputs(v.table(spark, sf, "documents"), ["lang", "source"], "text")
