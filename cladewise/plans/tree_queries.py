@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.functions.sampling import uniform_int
-from cladewise.operators import ancestry, trees as tr
+from cladewise.operators import ancestry, nearest_cells as nc, trees as tr
 from cladewise.plans import views as v
 from cladewise.plans.registry import SQL, query
 from cladewise.plans.spatial_queries import sql_ranked
@@ -281,6 +281,27 @@ def _(spark, sf):
         binary.where("value > 0").selectExpr("cell as cell_b").distinct(), "cell_b", "left_semi"))
 
 
+def _inherited(spark, sf):
+    """Characters of sampled cells: the mutation events that they inherit."""
+    def build():
+        events = v.mutation_events(spark, sf).selectExpr("node_id", "xxhash64(node_key, seq, l_partkey, l_suppkey) as feature")
+        carried = ancestry.event_cells(events, v.intervals(spark, sf), v.sampled_tips(spark, sf).select("node_id", "cell_id"))
+        return carried.selectExpr("cast(cell_id as bigint) as cell", "feature", "1.0D as value").distinct()
+    return v.kept(spark, sf, "inherited", build)
+
+
+@query("nearest_cells_by_jaccard", "T15")
+def _(spark, sf):
+    return _r(nc.nearest_by_jaccard(_inherited(spark, sf), 5))
+
+
+@query("nearest_cells_by_manhattan", "T14")
+def _(spark, sf):
+    characters = _inherited(spark, sf)
+    features = characters.agg(F.count_distinct("feature").alias("n")).select("n").scalar()
+    return _r(nc.nearest_by_manhattan(characters, 5, features, 32.0, tables=20), 12)
+
+
 @query("expression_correlation", "T16 T17", f"""with {_CHAR}, {_WANT}, nm as (select cell, feature, ln(1+10000*value/sum(value) over (partition by cell)) as value from ch),
 g as (select cell_a, cell_b, f as feature from wt, range(0,40) r(f))
 select cell_a, cell_b, round(corr(ln(1+coalesce(a.value,0)),ln(1+coalesce(b.value,0))),6) as correlation from g left join nm a on a.cell=cell_a and a.feature=g.feature left join nm b on b.cell=cell_b and b.feature=g.feature group by 1,2""")

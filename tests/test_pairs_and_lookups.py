@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import bins
 from cladewise.functions.asof import bin_by_table, bracket
-from cladewise.operators import ancestry, lineage, observations as ob, pair_bins as pb, tables as tb, trees as tr
+from cladewise.operators import ancestry, lineage, nearest_cells as nc, observations as ob, pair_bins as pb, tables as tb, trees as tr
 
 
 def _points(kind, dim, seed=1):
@@ -259,3 +259,51 @@ def test_members_of_cycles(spark):
                                   "node_id string, parent_node_id string, birth_time double, end_time double, branch_length double")
     assert sorted(map(tuple, lineage.node_violations(named).collect())) == [("a", "in_cycle"), ("b", "in_cycle")]
     assert ancestry.cycle_members(named.where("node_id = 'c'")).count() == 0
+
+
+def _recorded(cells, sites, seed):
+    """Characters inherited along random divisions: (cell, feature, value), values 1 to 3."""
+    draw = np.random.default_rng(seed)
+    alive = [{}]
+    while len(alive) < cells:
+        parent = alive.pop(int(draw.integers(len(alive))))
+        for _ in range(2):
+            child = dict(parent)
+            for s in draw.integers(0, sites, 3):
+                child.setdefault(int(s), int(draw.integers(1, 4)))
+            alive.append(child)
+    alive[:40] = [alive[0]] * 40  # equal cells
+    return {i: c for i, c in enumerate(alive)}
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "manhattan"])
+def test_nearest_cells_by_characters(spark, kind):
+    table, k = _recorded(500, 120, 3), 5
+    rows = [(c, s, float(x)) for c, own in table.items() for s, x in own.items()] + [(9_000, 1, 0.0)]
+    characters = spark.createDataFrame(rows, "cell long, feature long, value double").repartition(3)
+    if kind == "jaccard":
+        marked = characters.selectExpr("cell", "feature * 10 + value as feature", "value")
+        found = nc.nearest_by_jaccard(marked, k).collect()
+        sets = {c: {(s, x) for s, x in own.items()} for c, own in table.items()}
+
+        def apart(a, b):
+            return 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    else:
+        found = nc.nearest_by_manhattan(characters, k, 120, 12.0).collect()
+
+        def apart(a, b):
+            one, two = table.get(a, {}), table.get(b, {})
+            return sum(abs(one.get(s, 0) - two.get(s, 0)) for s in set(one) | set(two)) / 120
+    got = {}
+    for r in found:
+        assert r.distance == pytest.approx(apart(r.cell, r.neighbour)) and r.cell != r.neighbour
+        got.setdefault(r.cell, []).append((r.rank, r.distance))
+    near = 0
+    for c in table:
+        others = sorted(apart(c, b) for b in table if b != c)[:k]
+        own = [d for _, d in sorted(got[c])]
+        assert own == sorted(own) and len(own) == k
+        near += sum(d <= others[-1] + 1e-12 for d in own)
+    assert near / (k * len(table)) >= 0.9, near / (k * len(table))
+    few = nc.candidates(spark.createDataFrame([(i, 0, [7]) for i in range(300)], "cell long, table int, signature array<int>"), 4)
+    assert few.count() <= 4 * 300
