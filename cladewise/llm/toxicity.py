@@ -8,15 +8,16 @@ are calibrated per language on labelled texts that the weights have not seen;
 the language is itself predicted from the text, and the score is shifted so
 that 0.5 is the threshold.
 
-The fit uses at most ``PER_CLASS`` labelled texts of each class, of at most
-``LEARN_CHARS`` characters each, drawn by a hash of the doc_id, and leaves a
-quarter of them out; that bounds what the driver holds.  Thresholds rest on
-every other labelled text of the training fold, whole: they are scored in tasks
-and counted by language, label and bin of the log-odds.  Counts are weighted so
-that each class has its share of all labelled texts, fitted ones included.
-A language with fewer than ``LEAST`` texts of either class takes the threshold
-of all texts.  Where one class has no text outside the fit, thresholds rest on
-the fitted texts too.  Scores are given for every text, whole, whatever its length.
+The fit uses at most ``PER_CLASS`` labelled texts of each class, whole, drawn by a
+hash of the doc_id, and leaves a quarter of them out; the driver holds four bytes
+for each word of the others.  Thresholds rest on every other labelled text of the
+training fold, whole: they are scored in tasks and counted by language, label and
+bin of the log-odds.  Counts are weighted so that each class has its share of all
+labelled texts, fitted ones included.  A language's counts are taken together with
+the counts of all texts, scaled to ``PRIOR`` texts, so a language with few labelled
+texts follows all texts and one with many follows its own.  Where one class has no
+text outside the fit, thresholds rest on the fitted texts too.  Scores are given for
+every text, whole, whatever its length.
 
 Defined cases: a null or empty text has no words and takes the score of the
 bias; several labels of one document count as toxic if any says so; where
@@ -39,11 +40,11 @@ from cladewise.llm import language_id
 from cladewise.llm.common import bitmap, by_size, give_back, map_runs, may_hold, runs, small_batches, training_fold
 from cladewise.session import written
 
-PER_CLASS, LEARN_CHARS = 5_000, 20_000
+PER_CLASS = 5_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
 STEPS, BATCH, RATE = 1_000, 32, 0.08
 CACHED_WORDS = 100_000
-BINS, FARTHEST, LEAST, LABEL_SLOTS = 64, 64.0, 10, 1 << 19
+BINS, FARTHEST, PRIOR, LABEL_SLOTS = 64, 64.0, 20.0, 1 << 19
 
 
 def word_code(word: str) -> int:
@@ -218,9 +219,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         marked.where("toxic = 0").orderBy(*order).limit(per_class)
     )
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", "text", lang.alias("lang")).where(
-        f"text is not null and length(text) <= {LEARN_CHARS}"
-    )
+    texts = docs.select("doc_id", "text", lang.alias("lang")).where("text is not null")
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
@@ -268,11 +267,10 @@ def judged(net: Network, batches: Iterator[pa.Array]) -> Iterator[tuple[list[flo
 
 
 def label_counts(docs: DataFrame, labels: DataFrame, fitted: np.ndarray, net: Network) -> pd.DataFrame:
-    """Labelled texts of the training fold, counted by lang, bin of the log-odds, toxic, short and fitted.
+    """Labelled texts of the training fold, counted by lang, bin of the log-odds, toxic and fitted.
 
-    ``short`` texts are those that the fit could draw, ``fitted`` names the documents that it used.
-    Documents without a label are left out by a bitmap before they are scored, and texts are not shuffled.
-    The driver gets at most languages x 2 * ``BINS`` * ``FARTHEST`` x 8 rows.
+    ``fitted`` names the documents that the fit used.  Documents without a label are left out by a bitmap before they are scored, and texts are not shuffled.
+    The driver gets at most languages x 2 * ``BINS`` * ``FARTHEST`` x 4 rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -285,40 +283,37 @@ def label_counts(docs: DataFrame, labels: DataFrame, fitted: np.ndarray, net: Ne
     marked = training_labels(labels)
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
     texts = may_hold(texts, F.col("doc_id").cast("long"), bitmap(marked, F.col("doc_id").cast("long"), LABEL_SLOTS), LABEL_SLOTS)
-    found = texts.select("doc_id", (F.length("text") <= LEARN_CHARS).alias("short"), judge("text").alias("_judged"))
-    found = written(found.select("doc_id", "short", "_judged.odds", "_judged.lang"), "judged")
+    found = texts.select("doc_id", judge("text").alias("_judged"))
+    found = written(found.select("doc_id", "_judged.odds", "_judged.lang"), "judged")
     used = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": fitted, "fitted": True})))
     level = F.floor(F.greatest(F.least("odds", F.lit(FARTHEST)), F.lit(-FARTHEST)) * BINS).alias("bin")
     return (
         found.join(marked, "doc_id").join(used, "doc_id", "left")
-        .groupBy("lang", level, "toxic", "short", F.coalesce("fitted", F.lit(False)).alias("fitted"))
+        .groupBy("lang", level, "toxic", F.coalesce("fitted", F.lit(False)).alias("fitted"))
         .agg(F.count("*").alias("n"), F.min("odds").alias("low"), F.max("odds").alias("high"))
-        .toPandas().sort_values(["lang", "bin", "toxic", "short", "fitted"])
+        .toPandas().sort_values(["lang", "bin", "toxic", "fitted"])
     )
 
 
 def thresholds(counts: pd.DataFrame) -> dict[str, float]:
-    """The threshold of each language with ``LEAST`` texts of either class, and of all texts under ""."""
+    """The threshold of each language, shrunk towards that of all texts, and of all texts under ""."""
     outside = counts[~counts["fitted"]]
     if outside["toxic"].nunique() < 2:
         outside = counts
-    # What the fit took of a kind of texts is made up for by the others of that kind.
-    kind = ["toxic", "short"]
-    weight = (counts.groupby(kind)["n"].sum() / outside.groupby(kind)["n"].sum()).rename("weight")
-    outside = outside.join(weight, on=kind)
+    # What the fit took of a class is made up for by the others of that class.
+    weight = (counts.groupby("toxic")["n"].sum() / outside.groupby("toxic")["n"].sum()).rename("weight")
+    outside = outside.join(weight, on="toxic")
     outside["toxic_weight"] = outside["n"] * outside["weight"] * (outside["toxic"] == 1)
     outside["clean_weight"] = outside["n"] * outside["weight"] * (outside["toxic"] == 0)
+    weights = ["toxic_weight", "clean_weight"]
+    prior = outside.copy()
+    prior[weights] *= PRIOR / prior[weights].to_numpy().sum()
 
     def cut(own: pd.DataFrame) -> float:
         bins = own.groupby("bin").agg({"low": "min", "high": "max", "toxic_weight": "sum", "clean_weight": "sum"})
         return best_cut(*(bins[c].to_numpy() for c in bins.columns))
 
-    found = {"": cut(outside)}
-    for lang, own in outside.groupby("lang"):
-        texts = own.groupby("toxic")["n"].sum()
-        if len(texts) == 2 and texts.min() >= LEAST:
-            found[lang] = cut(own)
-    return found
+    return {"": cut(outside), **{lang: cut(pd.concat([own, prior])) for lang, own in outside.groupby("lang")}}
 
 
 def scored(docs: DataFrame, net: Network | None, text: Column | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Language profiles, toxicity and nearest neighbours against plain versions."""
 
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 
@@ -143,18 +145,31 @@ def test_thresholds_follow_the_share_of_all_labels(spark):
     assert wrong <= 1.1 * sum(toxic for _, toxic in labels)
 
 
-def test_all_labelled_texts_count_whatever_their_length(spark, monkeypatch):
+def test_all_labelled_texts_count_whatever_their_length(spark):
     docs, labels, rows = labelled(spark)
-    middle = int(np.median([len(text) for _, text, _ in rows]))
-    monkeypatch.setattr(toxicity, "LEARN_CHARS", middle)
+    long = (cases.sentence(cases.EN, 30_000, 7), "en")
+    more = spark.createDataFrame([(20_001, *long), (20_002, *long), (20_004, *long)], "doc_id long, text string, lang string")
+    docs = docs.unionByName(more)
+    labels = labels.unionByName(spark.createDataFrame([(20_001, 0), (20_002, 0), (20_004, 1)], "doc_id long, toxic int"))
     network = toxicity.fit(docs, labels, per_class=30)
     sample = toxicity.labelled_sample(docs, labels, 30).select("doc_id").toPandas()["doc_id"].to_numpy()
+    assert len(sample) == 60
+    assert set(toxicity.labelled_sample(docs, labels, 10_000).toPandas()["doc_id"]) >= {
+        d for d in (20_001, 20_002, 20_004) if zlib.crc32(str(d).encode()) % 5}
     counts = toxicity.label_counts(docs, labels, sample, network)
-    train = docs.where(toxicity.training_fold(docs.doc_id)).where("doc_id < 400").select("doc_id", "text").collect()
+    train = docs.where(toxicity.training_fold(docs.doc_id)).where("doc_id < 400 or doc_id > 20000").select("doc_id", "text").collect()
     assert counts["n"].sum() == len(train) and counts[counts["fitted"]]["n"].sum() == len(sample) < len(train)
-    long = sum(len(r.text) > middle for r in train)
-    assert 0 < long == counts[~counts["short"]]["n"].sum()
-    assert counts[counts["toxic"] == 1]["n"].sum() == sum(r.doc_id % 4 == 0 for r in train)
+
+
+def test_few_labels_of_a_language_follow_all_texts():
+    def rows(lang, odds, toxic, n):
+        return [(lang, int(x * 64), toxic, False, n, x, x) for x in odds]
+    table = rows("en", (-3.0, -2.0), 0, 500) + rows("en", (2.0, 3.0), 1, 100)
+    columns = ["lang", "bin", "toxic", "fitted", "n", "low", "high"]
+    few = toxicity.thresholds(pd.DataFrame(table + rows("fr", (2.5,), 0, 1) + rows("fr", (3.5,), 1, 1), columns=columns))
+    assert -2 < few[""] < 2 and few["fr"] == pytest.approx(few["en"], abs=4) and few["fr"] < 3
+    many = toxicity.thresholds(pd.DataFrame(table + rows("fr", (2.5,), 0, 400) + rows("fr", (3.5,), 1, 80), columns=columns))
+    assert 2.5 < many["fr"] < 3.5 and -2 < many["en"] < 2
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, id string, vector string"

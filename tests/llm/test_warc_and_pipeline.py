@@ -176,6 +176,17 @@ def test_language_stage_keeps_texts_where_no_language_is_known(spark, tmp_path,
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
 
 
+def test_columns_named_like_an_operator_stay(spark, tmp_path):
+    docs = cases.documents(spark).withColumn("_language", F.lit("mine")).withColumn("_toxicity", F.lit("also mine")).withColumn(
+        "row", F.lit(3))
+    spark.createDataFrame([(d, i % 2) for i, d in enumerate(range(10, 30))], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert kept.select("_language", "_toxicity", "row").distinct().collect() == [("mine", "also mine", 3)], name
+    assert corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).count() > 0
+
+
 def test_pipeline_runs_and_survives_an_empty_table(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     found = corpus_pipeline.run(spark, folder)
@@ -188,10 +199,10 @@ def test_pipeline_runs_and_survives_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_eleven_queries_are_registered():
+def test_numbered_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
     assert set(queries.BUILDERS) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in queries.BUILDERS} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.BUILDERS} == set(range(1, 14))
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
