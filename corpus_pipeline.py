@@ -11,18 +11,21 @@ from cladewise.llm.common import table, training_fold
 from cladewise.session import written
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each document as one column, so that an operator's column never meets one of the documents."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter, whether or not a language was learned; texts that are null or have no letter go."""
     profiles = language_id.learn(docs.where(training_fold(F.col("doc_id"))))
-    kept = language_id.identified(docs, profiles).where("_language.letters")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return language_id.identified(_rows(docs), profiles, F.col("row.text")).where("_language.letters").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.scored(docs, network).where(F.col("_toxicity") < 0.5)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.scored(_rows(docs), network, F.col("row.text")).where("_toxicity < 0.5").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
