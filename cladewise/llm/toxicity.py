@@ -44,7 +44,7 @@ PER_CLASS = 5_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
 STEPS, BATCH, RATE = 1_000, 32, 0.08
 CACHED_WORDS = 100_000
-BINS, FARTHEST, PRIOR, LABEL_SLOTS = 64, 64.0, 20.0, 1 << 19
+BINS, FARTHEST, PRIOR, LABEL_SLOTS = 64, 64.0, 100.0, 1 << 19
 
 
 def word_code(word: str) -> int:
