@@ -127,7 +127,7 @@ class Identifier:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.grams = np.zeros(0, np.int64)  # by number
         self.order = np.zeros(0, np.int64)  # numbers by ascending gram
 
@@ -155,7 +155,7 @@ class Identifier:
         size = np.zeros(len(words), dtype=np.int64)
         size[[i for i, w in enumerate(words) if w]] = sizes
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.flat = np.concatenate([self.flat, self.number(found)])
+        self.flat = np.concatenate([self.flat, self.number(found).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
         self.start = np.cumsum(self.size) - self.size
 
@@ -176,24 +176,22 @@ class Identifier:
         best = int(np.argmin(distance))
         return p.langs[best], 1.0 - float(distance[best]) / (p.size * len(top))
 
+    def of_words(self, distinct: list[str], codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[str, float, bool]]:
+        """Language, score and whether there is a letter, for each text of ``split_words``."""
+        if len(self.known) > CACHED_WORDS or len(self.grams) > CACHED_WORDS:
+            self.forget()
+        if fresh := [w for w in distinct if w not in self.known]:
+            self.learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        for a, b in zip(bounds, bounds[1:]):
+            numbers = rows_of(self.flat, self.start, self.size, at[codes[a:b]])
+            yield *self.one(numbers), len(numbers) > 0
+
     def many(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Languages, scores, and whether the text has a letter."""
-        langs, scores, letters = [], [], []
         texts = [t or "" for t in texts]
-        for run in by_size(texts):
-            distinct, codes, bounds = split_words([texts[i] for i in run])
-            if len(self.known) > CACHED_WORDS or len(self.grams) > CACHED_WORDS:
-                self.forget()
-            if fresh := [w for w in distinct if w not in self.known]:
-                self.learn(fresh)
-            at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
-            for a, b in zip(bounds, bounds[1:]):
-                numbers = rows_of(self.flat, self.start, self.size, at[a:b])
-                lang, score = self.one(numbers)
-                letters.append(len(numbers) > 0)
-                langs.append(lang)
-                scores.append(score)
-        return langs, scores, letters
+        found = [x for run in by_size(texts) for x in self.of_words(*split_words([texts[i] for i in run]))]
+        return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
 
 
 def identified(docs: DataFrame, profiles: Profiles, text: Column | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ from cladewise.session import written
 PER_CLASS = 5_000
 BUCKETS, STEMS, STEM_LETTERS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 15, 5, 12, 16, (1, 2, 3)
 STEPS, BATCH, RATE = 1_000, 32, 0.08
-CACHED_WORDS = 100_000
+CACHED_WORDS, JUDGED_BYTES = 100_000, 1_000_000
 BINS, FARTHEST, PRIOR, LABEL_SLOTS = 64, 64.0, 100.0, 1 << 19
 
 
@@ -63,19 +63,22 @@ class WordCodes:
         self.known: dict[str, int] = {}
         self.codes = np.zeros(0, dtype=np.int32)
 
+    def of_words(self, distinct: list[str], codes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The codes of each text of ``language_id.split_words``."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.codes = {}, self.codes[:0]
+        if fresh := [w for w in distinct if w not in self.known]:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            self.codes = np.concatenate([self.codes, np.array([word_code(w) for w in fresh], dtype=np.int32)])
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        blank = distinct.index("") if "" in distinct else -1
+        for a, b in zip(bounds, bounds[1:]):
+            own = codes[a:b]
+            yield self.codes[at[own[own != blank]]]
+
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         for run in by_size(texts):
-            distinct, codes, bounds = language_id.split_words([texts[i] for i in run])
-            if len(self.known) > CACHED_WORDS:
-                self.known, self.codes = {}, self.codes[:0]
-            if fresh := [w for w in distinct if w not in self.known]:
-                self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-                self.codes = np.concatenate([self.codes, np.array([word_code(w) for w in fresh], dtype=np.int32)])
-            at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-            blank = distinct.index("") if "" in distinct else -1
-            for a, b in zip(bounds, bounds[1:]):
-                own = codes[a:b]
-                yield self.codes[at[own[own != blank]]]
+            yield from self.of_words(*language_id.split_words([texts[i] for i in run]))
 
 
 @dataclass
@@ -253,14 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
 
 
 def judged(net: Network, batches: Iterator[pa.Array]) -> Iterator[tuple[list[float], list[str]]]:
-    """Log-odds and predicted languages of batches of texts."""
+    """Log-odds and predicted languages of batches of texts, which are split into words once for both."""
     words, identifier = WordCodes(), language_id.Identifier(net.profiles)
     for batch in batches:
         odds, langs = [], []
-        for part in runs(batch):
-            texts = [x or "" for x in part.to_pylist()]
-            langs += identifier.many(texts)[0]
-            odds += [net.log_odds(codes) for codes in words.texts(texts)]
+        for part in runs(batch, JUDGED_BYTES):
+            split = language_id.split_words([x or "" for x in part.to_pylist()])
+            langs += [lang for lang, _, _ in identifier.of_words(*split)]
+            odds += [net.log_odds(codes) for codes in words.of_words(*split)]
+            del split
         yield odds, langs
     del words, identifier
     give_back()
