@@ -6,19 +6,26 @@ Centroids are fitted on a bounded sample by k-means with a penalty on full
 clusters.  Every vector goes to the posting list of its nearest centroid and, if
 it stands near a boundary, to up to ``COPIES`` lists at almost the same distance.
 Centroids are found by beam search in a graph of their neighbours, which each
-task holds in memory.  A query opens the lists whose centroids are at most
-``OPEN_RATIO`` times as far as the nearest, however many they are: where a beam
-of ``BEAM`` is full of such centroids, all others are looked at too.
+task holds in memory.  A query opens the lists whose centroids are at most a
+ratio times as far as the nearest, however many they are: where a beam of
+``BEAM`` is full of such centroids, all others are looked at too.
+
+The ratio is measured on the table itself.  ``TUNED`` queries, drawn by a hash,
+find their exact neighbours in one scan of all vectors; a neighbour needs the
+ratio at which the first of its lists opens, and the ratio taken opens a list of
+``recall`` of these neighbours.  So it follows the number of lists and the shape
+of the vectors.  ``recall`` 1 opens every list, which is the exact search.
 
 Equal vectors are one class, indexed once; its ``k`` + 1 smallest ids stand for
 it, which is exact, for no query needs more.  Lists are put together to bins and
 bins cut into blocks of bounded size, and the queries of a bin meet each of its
 blocks list by list, so a list that draws a third of all vectors or queries is
-many small groups.
+many small groups; a task multiplies at most ``CELLS`` numbers at a time.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components,
 have no id or another length than the most frequent one take no part.  Rows
-that repeat an id count once, with the least vector.
+that repeat an id count once, with the least vector.  An empty table, and one
+where no row is a query, have no neighbours.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +42,9 @@ from cladewise.session import written
 
 PER_LIST, MAX_LISTS, SAMPLE_PER_LIST, ROUNDS = 256, 2048, 32, 8
 COPIES, COPY_RATIO = 2, 1.03
-BEAM, OPEN_RATIO = 256, 1.16
-DEGREE = 24
-BLOCK = 16_384
+BEAM, DEGREE = 256, 24
+RECALL, TUNED = 0.985, 256
+BLOCK, CELLS = 16_384, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -99,6 +106,9 @@ class Centroids:
         A beam whose worst centroid is beyond the ratio holds them.  Where it is
         not, the point is compared with every centroid.
         """
+        if not np.isfinite(ratio):
+            rows, lists = np.indices((len(points), len(self.points)))
+            return rows.ravel(), lists.ravel()
         ids, far = self.nearest(points, beam)
         near = far <= ratio * far[:, :1]
         full = near.all(axis=1) & (ids.shape[1] < len(self.points))
@@ -175,12 +185,12 @@ def _assigned(index: Centroids) -> object:
     return run
 
 
-def _opened(index: Centroids) -> object:
+def _opened(index: Centroids, ratio: float) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 512):
                 some = batch.iloc[start:start + 512]
-                at, lists = index.within(index.raised(_matrix(some["vector"])), OPEN_RATIO, BEAM)
+                at, lists = index.within(index.raised(_matrix(some["vector"])), ratio, BEAM)
                 out = some.iloc[at].copy()
                 out["list"] = lists
                 yield out
@@ -188,6 +198,26 @@ def _opened(index: Centroids) -> object:
     return run
 
 
+def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """(query, id, place in ``v``, score): the k best of ``v`` for each query, itself left out, and a few more for ties."""
+    take = min(k + 8, len(v))
+    step = max(1, CELLS // max(len(v), take * v.shape[1]))
+    for start in range(0, len(q), step):
+        some, names = q[start:start + step], q_id[start:start + step]
+        near = some @ v.T
+        near[names[:, None] == v_id[None, :]] = -np.inf
+        top = np.argpartition(near, len(v) - take, axis=1)[:, len(v) - take:]
+        at, column = np.nonzero(np.isfinite(np.take_along_axis(near, top, axis=1)))
+        found = top[at, column]
+        # summed over the pair alone, so that equal vectors get equal scores wherever they stand
+        yield pd.DataFrame({"query": names[at], "id": v_id[found], "at": found, "score": (some[at] * v[found]).sum(axis=1)})
+
+
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query", "score", "id"], ascending=[True, False, True])
+    return found[found.groupby("query").cumcount() < k]
+
+
 def _searched(k: int) -> object:
     """For each query of a block its k best classes over the lists that it opened, by the exact inner product."""
 
@@ -195,24 +225,64 @@ def _searched(k: int) -> object:
         out = [pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})]
         lists = dict(tuple(block.groupby("list")))
         for name, asked in queries.groupby("list"):
-            if name not in lists:
-                continue
-            q, v = _matrix(asked["vector"]), _matrix(lists[name]["vector"])
-            q_id, v_id = asked["id"].to_numpy(), lists[name]["id"].to_numpy()
-            near = q @ v.T
-            near[q_id[:, None] == v_id[None, :]] = -np.inf
-            take = min(k + 8, len(v))
-            top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            at, column = np.nonzero(np.isfinite(np.take_along_axis(near, top, axis=1)))
-            found = top[at, column]
-            # summed over the pair alone, so that equal vectors get equal scores wherever they stand
-            out.append(pd.DataFrame({"query": q_id[at], "id": v_id[found], "score": (q[at] * v[found]).sum(axis=1)}))
-        found = pd.concat(out).drop_duplicates(["query", "id"]).sort_values(["query", "score", "id"], ascending=[True, False, True])
-        return found[found.groupby("query").cumcount() < k]
+            if name in lists:
+                own = lists[name]
+                found = _best(asked["id"].to_numpy(), _matrix(asked["vector"]), own["id"].to_numpy(), _matrix(own["vector"]), k)
+                out += [part[["query", "id", "score"]] for part in found]
+        return _first(pd.concat(out).drop_duplicates(["query", "id"]), k)
 
     return run
 
 
+def _scanned(q_id: np.ndarray, q: np.ndarray, k: int) -> object:
+    """The k best classes of a task for each of a few queries, with their vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            names, vectors = batch["id"].to_numpy(), batch["vector"].to_numpy()
+            for part in _best(q_id, q, names, _matrix(batch["vector"]), k) if len(batch) else ():
+                part["vector"] = vectors[part.pop("at").to_numpy()]
+                held = part if held is None else pd.concat([held, part])
+            held = held if held is None else _first(held, k)
+        if held is not None:
+            yield held
+
+    return run
+
+
+def needed_ratios(index: Centroids, queries: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """For each pair of a query and a neighbour of it, the ratio from which on the query opens a list that holds the neighbour."""
+    out = []
+    for start in range(0, len(queries), 256):
+        raised = index.raised(queries[start:start + 256])
+        ids, far = index.nearest(index.lifted(neighbours[start:start + 256]), 4 * COPIES)
+        held = far[:, :COPIES] <= COPY_RATIO * far[:, :1]
+        to_all = np.linalg.norm(raised[:, None, :] - index.points, axis=2)
+        to_own = np.where(held, np.take_along_axis(to_all, ids[:, :COPIES], axis=1), np.inf).min(axis=1)
+        out.append(to_own / np.maximum(to_all.min(axis=1), 1e-12))
+    return np.concatenate(out)
+
+
+def tuned_ratio(index: Centroids, packed: DataFrame, queries: pd.DataFrame, k: int, recall: float) -> float:
+    """The least opening ratio that reaches ``recall`` of the exact k neighbours of the given queries (at most ``TUNED``).
+
+    The driver gets one row of k per query.
+    """
+    if recall >= 1 or len(index.points) == 1:
+        return np.inf
+    q_id, q = queries["id"].to_numpy(), _matrix(queries["vector"])
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    found = packed.mapInPandas(_scanned(q_id, q, k), "query long, id long, score double, vector binary")
+    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("query", "vector").toPandas()
+    if found.empty:
+        return np.inf
+    place = pd.Series(np.arange(len(q_id)), index=q_id)
+    needed = np.sort(needed_ratios(index, q[place[found["query"]].to_numpy()], _matrix(found["vector"])))
+    # A little above the ratio that was measured, for distances are summed in another order elsewhere.
+    return float(needed[int(np.ceil(recall * len(needed))) - 1]) * (1 + 1e-5)
+
+
 def valid_vectors(table: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, vector array<double>) of the rows that take part, one per id."""
     rows = table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -227,10 +297,11 @@ def valid_vectors(table: DataFrame, id_column: str = "vec_id", vector: str = "em
     return written(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
 
 
-def nearest(table: DataFrame, is_query: str, k: int = 20) -> DataFrame:
+def nearest(table: DataFrame, is_query: str, k: int = 20, recall: float = RECALL) -> DataFrame:
     """The k rows of largest inner product for each row that ``is_query`` (SQL over vec_id) picks.
 
     Columns query_id, rank, vec_id, score; ties go to the smaller vec_id.
+    ``recall`` is what the opened lists hold of the neighbours of the tuning queries; 1 searches all lists.
     """
     spark = table.sparkSession
     rows = valid_vectors(table)
@@ -259,7 +330,10 @@ def nearest(table: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     with_list = "id long, vector binary, list int"
     postings = written(packed.mapInPandas(_assigned(index), with_list), "postings")
     wanted = asked.select("id").distinct()
-    opened = written(packed.join(wanted, "id", "left_semi").mapInPandas(_opened(index), with_list), "opened")
+    queries = written(packed.join(wanted, "id", "left_semi"), "queries")
+    tuning = queries.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(TUNED).toPandas()
+    ratio = tuned_ratio(index, packed, tuning, k, recall) if len(tuning) else np.inf
+    opened = written(queries.mapInPandas(_opened(index, ratio), with_list), "opened")
 
     # Neighbouring numbers of lists form a bin of about BLOCK vectors; a query gets k rows of a bin, not of each list.
     in_bin = F.floor(F.col("list") / F.lit(max(1, BLOCK // (2 * PER_LIST)))).cast("int").alias("bin")

@@ -243,7 +243,7 @@ def test_all_centroids_within_the_ratio_are_opened():
     index = neighbours.fit(unit_vectors(4000, 24, 3), 800, 1.0)
     points = unit_vectors(200, 24, 4)
     far = np.linalg.norm(points[:, None] - index.points, axis=2)
-    for ratio in (1.05, neighbours.OPEN_RATIO, 1.5, 3.0):
+    for ratio in (1.05, 1.16, 1.5, 3.0, np.inf):
         want = far <= ratio * far.min(axis=1, keepdims=True)
         at, lists = index.within(points, ratio, neighbours.BEAM)
         got = np.zeros(want.shape, dtype=int)
@@ -265,3 +265,55 @@ def test_neighbours_recall_with_more_lists_than_a_beam(spark, monkeypatch):
     assert len(got) == 20 * 40
     recall = sum((q, i) in got for q in want for i, _ in want[q]) / len(got)
     assert recall >= 0.98, recall
+
+
+def gaussian_vectors(n, seed):
+    """Unit vectors in 64 dimensions whose variance falls slowly, so that lists overlap much."""
+    drawn = np.random.default_rng(seed).normal(size=(n, 64)) * np.linspace(1.5, 0.5, 64)
+    return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+
+
+def test_tuned_ratio_keeps_recall_with_many_lists(spark):
+    table, k = gaussian_vectors(40_000, 8), 20
+    blank = neighbours.Centroids(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64), 1.0)
+    for lists in (40, 800):
+        index = neighbours.fit(blank.lifted(table[:32 * lists]), lists, 1.0)
+        ids, far = index.nearest(index.lifted(table), 4 * neighbours.COPIES)
+        held = far[:, :neighbours.COPIES] <= neighbours.COPY_RATIO * far[:, :1]
+        frame = pd.DataFrame({"id": range(len(table)), "vector": [v.tobytes() for v in table]})
+        packed = spark.createDataFrame(frame, "id long, vector binary").repartition(8)
+        ratio = neighbours.tuned_ratio(index, packed, frame.iloc[:neighbours.TUNED], k, neighbours.RECALL)
+        asked = range(1000, 1100)  # none of the tuning queries
+        got = []
+        for q in asked:
+            score = table @ table[q]
+            score[q] = -np.inf
+            _, opened = index.within(index.raised(table[q:q + 1]), ratio, neighbours.BEAM)
+            best = np.argsort(-score)[:k]
+            got.append((np.isin(ids[best, :neighbours.COPIES], opened) & held[best]).any(axis=1).mean())
+        assert np.mean(got) >= 0.95, (lists, ratio, np.mean(got))
+
+
+def test_recall_of_one_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_LIST", 40)
+    vectors = dict(enumerate(gaussian_vectors(800, 9).tolist()))
+    rows = [(i, v, 1, "x", "y") for i, v in vectors.items()]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string, vector string")
+    got = {}
+    for r in neighbours.nearest(table, "vec_id % 20 = 0", 20, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in found] for q, found in plain_neighbours(vectors, range(0, 800, 20), 20).items()}
+
+
+def test_products_of_a_hot_list_are_cut(monkeypatch):
+    import tracemalloc
+    vectors = gaussian_vectors(4000, 10)
+    names = np.arange(4000)
+    tracemalloc.start()
+    found = pd.concat(neighbours._best(names, vectors, names, vectors, 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # 4,000 x 4,000 products and their order alone would be 256 MB
+    few = neighbours._first(found, 20).groupby("query")["id"].apply(list)
+    want = plain_neighbours(dict(enumerate(vectors)), range(0, 4000, 400), 20)
+    assert all(few[q] == [i for i, _ in want[q]] for q in want)
