@@ -36,7 +36,21 @@ def position_tally(obs: DataFrame, minimum_rate: float = 0.0, generations: float
         count_where(F.col("state") == UNCALLED).alias("uncalled"),
         count_where(F.col("state") == NOT_CAPTURED).alias("not_captured"),
         count_where(~F.col("state").isin(UNEDITED, EDITED, UNCALLED, NOT_CAPTURED)).alias("unexpected"),
-    ).withColumn("observed", F.col("unedited") + F.col("edited"))
+    )
+    return tally_rates(tally, cells, minimum_rate, generations)
+
+
+#: The conditions of ``position_tally`` for states that are kept per batch.
+TALLY_CONDITIONS = {
+    "unedited": f"state = '{UNEDITED}'", "edited": f"state = '{EDITED}'", "uncalled": f"state = '{UNCALLED}'",
+    "not_captured": f"state = '{NOT_CAPTURED}'",
+    "unexpected": f"state not in ('{UNEDITED}', '{EDITED}', '{UNCALLED}', '{NOT_CAPTURED}')",
+}
+
+
+def tally_rates(tally: DataFrame, cells: Column | int, minimum_rate: float = 0.0, generations: float | None = None) -> DataFrame:
+    """Rates and flags of positions whose symbols are counted."""
+    tally = tally.withColumn("observed", F.col("unedited") + F.col("edited"))
     rate = F.when(F.col("observed") > 0, F.col("edited") / F.col("observed"))
     tally = tally.withColumn("editing_rate", rate).withColumn("observed_fraction", F.col("observed") / cells)
     tally = tally.withColumn("retained", F.coalesce(F.col("editing_rate") >= minimum_rate, F.lit(False)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladewise.operators import ancestry, lineage
+from cladewise.operators import ancestry, lineage, partial_states as ps
 from cladewise.plans import views as v
-from cladewise.plans.registry import query
+from cladewise.plans.registry import SQL, query
+from cladewise.session import scratch_path
 
 _NODE_COLUMNS = ("node_id, cell_id, segment, parent_node_id, birth_time, end_time, branch_length, "
                  "division_event, opened_as, is_terminal")
@@ -115,6 +116,19 @@ def _(spark, sf):
     return lineage.active_at_checkpoints(typed, [0.0, 50.0, 400.0, 900.0, 1200.0])
 
 
+@query("appended_checkpoints", "J3", f"select time, cell_type, active_cells from ({SQL['active_cells_at_checkpoints']})")
+def _(spark, sf):
+    times, folder = [0.0, 50.0, 400.0, 900.0, 1200.0], scratch_path(spark, "states")
+    log = v.nodes(spark, sf).select(F.expr("concat('type', cast(cell_id as bigint) % 3)").alias("cell_type"), F.inline(F.array(
+        F.struct(F.col("birth_time").alias("opened_at"), F.lit(None).cast("double").alias("closed_at")),
+        F.struct(F.lit(None).cast("double").alias("opened_at"), F.when(~F.col("is_terminal"), F.col("end_time")).alias("closed_at")))))
+    log = log.withColumn("moment", F.coalesce("opened_at", "closed_at")).where("moment is not null")
+    kept = ps.Summary(["cell_type"], ps.checkpoint_counts(times))
+    for name, days in (("early", "moment <= 400"), ("late", "moment > 400"), ("late", "moment > 400")):
+        kept.append(log.where(days), folder, name)
+    return ps.active_from_states(kept.stored(spark, folder), ["cell_type"], times)
+
+
 @query("open_segments_at_checkpoints", "J3", f"""with recursive {v.SQL_UP},
 tip as (select node_id from nodes join orders on cast(o_orderkey as varchar)=cell_id where is_terminal and o_orderstatus='F'),
 q as (select node_id, t::double as t from tip, (values (0.0),(50.0),(400.0),(900.0),(1200.0),(100000000.0)) c(t)),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.functions import bins
-from cladewise.operators import observations as ob
+from cladewise.operators import observations as ob, partial_states as ps
 from cladewise.plans import views as v
-from cladewise.plans.registry import query
+from cladewise.plans.registry import SQL, query
+from cladewise.session import scratch_path
 
 
 def _rounded(df, keep=()):
@@ -461,3 +462,46 @@ def _(spark, sf):
         "node_id", F.expr("cast(division_event % 3 = 0 as int)").alias("edited"))
     runs = v.node_paths(spark, sf).select("node_id", "root", F.col("depth").cast("double").alias("generation")).join(tips, "node_id")
     return _rounded(ob.growth_summary(runs, ["root"], 2.0))
+
+
+def _appended(spark, table, summary, key):
+    """States of a table that arrives in three batches, the second of them twice."""
+    folder = scratch_path(spark, "states")
+    for name in (0, 1, 1, 2):
+        summary.append(table.where(F.pmod(F.xxhash64(key), F.lit(3)) == name), folder, str(name))
+    return summary.stored(spark, folder)
+
+
+@query("appended_editing_rates", "A1 A2 P18", SQL["position_editing_rates"])
+def _(spark, sf):
+    obs = v.observations(spark, sf)
+    kept = ps.Summary(["unit", "site"], ob.TALLY_CONDITIONS)
+    cells = _appended(spark, obs, ps.Summary(["cell"]), "site").agg(F.count("cell").alias("n")).select("n").scalar()
+    tally = _appended(spark, obs, kept, "cell").select("unit", "site", *[F.col(f"count_{c}").alias(c) for c in ob.TALLY_CONDITIONS])
+    return _rounded(ob.tally_rates(tally, cells, 0.5, 30))
+
+
+@query("sketched_distinct_states", "A25", f"""with d as ({SQL["distinct_states"]}) select scope, distinct_states, true as within_error from d where scope<>'molecule'""")
+def _(spark, sf):
+    molecules = v.molecules(spark, sf).select(F.col("target").cast("string").alias("scope"), "mol", "call")
+    sketched = _appended(spark, molecules, ps.Summary(["scope"], distinct=["call"]), "mol")
+    exact = molecules.groupBy("scope").agg(F.count_distinct("call").alias("distinct_states"))
+    error = F.abs(ps.distinct_estimate("call") - F.col("distinct_states"))
+    return sketched.join(exact, "scope").select(
+        "scope", "distinct_states", (error <= 1 + 4 * 0.0163 * F.col("distinct_states")).alias("within_error"))
+
+
+@query("sketched_rate_quantiles", "A3 A27 W8", f"""with {_TALLY}
+select retained, count(*) as positions, p, true as within_error from t, (values (0.1),(0.25),(0.5),(0.75),(0.9)) x(p) where editing_rate is not null group by 1,3""")
+def _(spark, sf):
+    rates = _tally(spark, sf).where("editing_rate is not null").select("retained", "unit", "site", "editing_rate")
+    sketched = _appended(spark, rates, ps.Summary(["retained"], quantiles=["editing_rate"]), "site")
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), ps.quantile_estimate("editing_rate", p).alias("_cut")) for p in (0.1, 0.25, 0.5, 0.75, 0.9)])
+    cuts = sketched.select("retained", F.inline(wanted))
+    # the share of rows below the cut and up to it must enclose p, give or take the rank error
+    shares = rates.join(F.broadcast(cuts), "retained").groupBy("retained", "p").agg(
+        F.count("*").alias("positions"), F.avg((F.col("editing_rate") < F.col("_cut")).cast("int")).alias("_below"),
+        F.avg((F.col("editing_rate") <= F.col("_cut")).cast("int")).alias("_upto"))
+    slack = 0.01 + 1 / F.col("positions")
+    return shares.select("retained", "positions", F.col("p").cast("decimal(3,2)").alias("p"),
+                         ((F.col("_below") <= F.col("p") + slack) & (F.col("_upto") >= F.col("p") - slack)).alias("within_error"))

@@ -8,7 +8,7 @@ from cladewise.functions.scalars import newick_label
 from cladewise.operators import encodings as en
 from cladewise.plans import views as v
 from cladewise.plans.encoding_queries import _AL, _alleles
-from cladewise.plans.registry import query
+from cladewise.plans.registry import SQL, query
 from cladewise.session import scratch_path
 from cladewise.sources import characters as ch, files as fi, newick as nw, parameters as pa
 
@@ -57,21 +57,36 @@ def _(spark, sf):
     return fi.score_observations(fi.read_table(spark, f"{folder}/csv/scores"), "cell")
 
 
-@query("parsed_newick", "S8 F11", """with o as (select o_orderkey, o_custkey%200 as tree, o_orderstatus as g, case when o_orderkey%5=0 then 'it''s '||o_orderkey else 'c'||o_orderkey end as label from orders)
-select tree, label, cast(o_orderkey%7+0.5 as double) as length, g as parent_label, true as is_tip from o
-union all select distinct tree, g, 1.0::double, 'top', false from o union all select distinct tree, 'top', null, null, false from o""")
-def _(spark, sf):
+def _tree_texts(spark, sf):
     tips = v.table(spark, sf, "orders").selectExpr(
         "o_orderkey", "o_custkey % 200 as tree", "o_orderstatus as g",
         "case when o_orderkey % 5 = 0 then concat(\"it's \", o_orderkey) else concat('c', o_orderkey) end as label", "o_orderkey % 7 + 0.5 as length")
     groups = tips.groupBy("tree", "g").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(
         F.concat(newick_label(F.col("label")), F.lit(":"), F.col("length").cast("string")))), ","), F.lit(")"), F.col("g"), F.lit(":1")).alias("t"))
     text = groups.groupBy("tree").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("t")), ", "), F.lit(")top;")).alias("newick"))
+    return text
+
+
+@query("parsed_newick", "S8 F11", """with o as (select o_orderkey, o_custkey%200 as tree, o_orderstatus as g, case when o_orderkey%5=0 then 'it''s '||o_orderkey else 'c'||o_orderkey end as label from orders)
+select tree, label, cast(o_orderkey%7+0.5 as double) as length, g as parent_label, true as is_tip from o
+union all select distinct tree, g, 1.0::double, 'top', false from o union all select distinct tree, 'top', null, null, false from o""")
+def _(spark, sf):
+    text = _tree_texts(spark, sf)
     edges = nw.parse_newick(text, "tree", "newick")
     parents = edges.selectExpr("tree", "node as parent", "label as parent_label")
     return edges.join(parents, ["tree", "parent"], "left").select("tree", "label", "length", "parent_label", "is_tip")
 
 
+@query("newick_text_over_splits", "S8", f"select label, length, parent_label, is_tip from ({SQL['parsed_newick']})")
+def _(spark, sf):
+    path = scratch_path(spark, "trees")
+    _tree_texts(spark, sf).select("newick").write.text(path)
+    tokens = nw.read_tokens(spark, path).withColumn("tree", F.concat_ws("#", "file", "tree"))
+    edges = nw.parse_tokens(tokens, "tree")
+    parents = edges.selectExpr("tree", "node as parent", "label as parent_label")
+    return edges.join(parents, ["tree", "parent"], "left").select("label", "length", "parent_label", "is_tip")
+
+
 _WALK = f"""{v.SQL_NODES},
 r as (select node_id, parent_node_id, cell_id, branch_length, case when parent_node_id is null then cast(cell_id as bigint) when segment>0 then 0 else 1 end as no from nodes),
 w as (select node_id, [no] as path from r where parent_node_id is null union all select r.node_id, list_append(w.path, r.no) from r join w on r.parent_node_id=w.node_id),

@@ -119,12 +119,56 @@ def wide_matrix(matrix: DataFrame, features: list[str], fill=0) -> DataFrame:
     return wide.na.fill(fill, features)
 
 
+def _field(value: Column) -> Column:
+    """A CSV field, quoted where it must be; Spark's reader takes a backslash as the escape of a quote."""
+    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
+    return F.when(value.rlike(r'[",\\\r\n]') | (value == ""), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(value)
+
+
+def wide_lines(matrix: DataFrame, fill: str = "0") -> DataFrame:
+    """COO rows ``cell, feature, value`` as lines of a wide CSV: ``is_header, cell, line``.
+
+    Features are numbered by name in Spark and a line is put together from the
+    entries of its cell in that order, with fills for the gaps.  So no names
+    reach the driver and the plan does not widen with the features; only the
+    header line and the line of a cell are as long as the format makes them.
+    Of repeated entries the least value stays; null values count as absent,
+    null features and cells are left out.
+    """
+    named = matrix.where("feature is not null and cell is not null")
+    features = written(number_rows(
+        named.select(F.lit(1).alias("_all"), F.col("feature").cast("string").alias("feature")).distinct(), ["_all"], ["feature"], "_at",
+    ).select("feature", "_at"), "features")
+    width = features.agg(F.coalesce(F.max("_at"), F.lit(0)).cast("int").alias("n")).select("n").scalar()
+    entries = named.groupBy(F.col("cell").cast("string").alias("cell"), F.col("feature").cast("string").alias("feature")).agg(
+        F.min("value").cast("string").alias("value")).join(features, "feature")
+    rows = entries.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").cast("int").alias("at"), "value"))).alias("_row"))
+    gap = F.lit("," + fill)
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_row"), i - 1)["at"])
+    parts = F.transform("_row", lambda x, i: F.concat(
+        F.repeat(gap, x["at"] - before(i) - 1), F.lit(","), F.coalesce(_field(x["value"]), F.lit(fill))))
+    line = F.concat(_field(F.col("cell")), F.array_join(parts, ""), F.repeat(gap, width - F.element_at("_row", -1)["at"]))
+    names = features.agg(F.array_sort(F.collect_list(F.struct("_at", "feature"))).alias("_names"))
+    header = F.concat(F.lit("cell"), F.array_join(F.transform("_names", lambda x: F.concat(F.lit(","), _field(x["feature"]))), ""))
+    return rows.select(F.lit(False).alias("is_header"), "cell", line.alias("line")).unionByName(
+        names.select(F.lit(True).alias("is_header"), F.lit(None).cast("string").alias("cell"), header.alias("line")))
+
+
+def write_wide(matrix: DataFrame, path: str, files: int | None = None, fill: str = "0", compress: bool = True) -> None:
+    """COO rows as a folder of wide CSV files, each with the header, which Spark's reader takes once per file."""
+    lines = written(wide_lines(matrix, fill), "wide")
+    n = files or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.when(F.col("is_header"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(
+        F.array(F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")))
+    dealt = lines.withColumn("_part", F.explode(part)).repartitionById(n, F.col("_part"))
+    dealt.sortWithinPartitions(F.desc("is_header"), "cell").select("line").write.option(
+        "compression", "gzip" if compress else "none").text(path)
+
+
 def convert_matrices(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
     """Every matrix of a folder of COO Parquet tables to a CSV folder."""
     for name in names:
-        matrix = spark.read.parquet(f"{source}/{name}")
-        features = [r[0] for r in matrix.select("feature").distinct().orderBy("feature").collect()]  # the header of the output
-        write_table(wide_matrix(matrix, features), f"{target}/{name}")
+        write_wide(spark.read.parquet(f"{source}/{name}"), f"{target}/{name}")
 
 
 def with_provenance(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
