@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cladewise.functions.asof import bracket
 from cladewise.functions.ranking import number_rows, percentiles, running_total
 from cladewise.functions.sampling import distinct_numbers, draw_order
-from cladewise.session import written
+from cladewise.session import shuffled
 
 UNEDITED, EDITED, UNCALLED, NOT_CAPTURED = "0", "1", "?", "+"
 
@@ -185,7 +185,7 @@ def site_pairs(sites: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
 
 
 def _ranked_sites(sites: DataFrame) -> DataFrame:
-    return written(number_rows(sites.select("unit", "site").distinct(), [], ["unit", "site"], "rank"), "sites")
+    return shuffled(number_rows(sites.select("unit", "site").distinct(), [], ["unit", "site"], "rank"), "sites")
 
 
 def _stratum_pairs(ranked: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
@@ -199,7 +199,7 @@ def _stratum_pairs(ranked: DataFrame, stratum: str, wanted: int, seed) -> DataFr
 
 def _drawn_pairs(runs: DataFrame, keys: list[str], ranked: DataFrame, stratum: str, wanted: int, seed) -> DataFrame:
     """Drawn site pairs: ``runs`` has for each rank its number of partners, a run of ranks from ``_next`` on."""
-    placed = written(running_total(runs, keys, ["rank"], F.col("_partners"), "_upto"), "runs")
+    placed = shuffled(running_total(runs, keys, ["rank"], F.col("_partners"), "_upto"), "runs")
     totals = placed.groupBy(*keys).agg(F.max("_upto").alias("_total")).where("_total > 0").withColumn("stratum", F.lit(stratum))
     numbers = distinct_numbers(totals, ["stratum", *keys], "_total", wanted, seed, "_number")
     starts = placed.select(*keys, (F.col("_upto") - F.col("_partners")).alias("_number"), "rank", "_next",
@@ -226,9 +226,9 @@ def packed_sites(typed: DataFrame, sites: DataFrame, words: int = PACKED_WORDS)
     """
     seen = typed.where(F.col("edited").isNotNull()).select("cell", "unit", "site", "edited").join(
         sites.select("unit", "site").distinct(), ["unit", "site"], "left_semi")
-    seen = written(seen, "calls")
+    seen = shuffled(seen, "calls")
     # numbers without gaps inside a partition: blocks are full but the last of each partition
-    places = written(seen.select("cell").distinct().withColumn("_no", F.monotonically_increasing_id()), "cells")
+    places = shuffled(seen.select("cell").distinct().withColumn("_no", F.monotonically_increasing_id()), "cells")
     at = F.col("_no")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
     block = F.floor(at / (64 * words)).alias("block")
@@ -240,7 +240,7 @@ def packed_sites(typed: DataFrame, sites: DataFrame, words: int = PACKED_WORDS)
 
     def dense(name: str) -> Column:
         return F.transform(every, lambda w: F.coalesce(F.try_element_at(F.col(name), w), F.lit(0).cast("long"))).alias(name)
-    return written(filled.select("unit", "site", "block", dense("seen"), dense("ones")), "packed")
+    return shuffled(filled.select("unit", "site", "block", dense("seen"), dense("ones")), "packed")
 
 
 def pair_gametes(typed: DataFrame, pairs: DataFrame, words: int = PACKED_WORDS) -> DataFrame:
@@ -267,10 +267,10 @@ def pair_gametes(typed: DataFrame, pairs: DataFrame, words: int = PACKED_WORDS)
 
 def pair_statistics(typed: DataFrame, wanted: int, seed, at_least: int = 20, min_sites: int = 4) -> DataFrame:
     """Four-gamete incompatibility and mean absolute association by stratum."""
-    sites = written(informative_sites(typed, at_least), "informative")
+    sites = shuffled(informative_sites(typed, at_least), "informative")
     enough = sites.where(sites.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() >= min_sites)
     ranked = _ranked_sites(enough)
-    pairs = written(_stratum_pairs(ranked, "within", wanted, seed).unionByName(
+    pairs = shuffled(_stratum_pairs(ranked, "within", wanted, seed).unionByName(
         _stratum_pairs(ranked, "between", wanted, seed)), "site_pairs")
     # a pair without any common cell still counts as a sampled pair
     found = pairs.join(pair_gametes(typed, pairs), pairs.columns, "left").na.fill(0, ["n00", "n01", "n10", "n11"])
@@ -333,10 +333,10 @@ def unit_pair_statistics(typed: DataFrame, wanted: int, seed, at_least: int = 20
     """Within-unit pair statistics, ``wanted`` pairs drawn per unit."""
     sites = informative_sites(typed, at_least)
     enough = sites.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites)
-    ranked = written(number_rows(sites.join(enough, "unit"), ["unit"], ["site"], "rank"), "sites")
+    ranked = shuffled(number_rows(sites.join(enough, "unit"), ["unit"], ["site"], "rank"), "sites")
     runs = ranked.select("unit", "rank", (F.col("rank") + 1).alias("_next"), (F.col("_n") - F.col("rank")).alias("_partners"))
     names = ranked.select(F.col("unit").alias("_unit"), "unit", "site", "rank")
-    chosen = written(_drawn_pairs(
+    chosen = shuffled(_drawn_pairs(
         runs.where("_partners > 0").withColumnRenamed("unit", "_unit"), ["_unit"], names, "within", wanted, seed), "site_pairs")
     found = chosen.join(pair_gametes(typed, chosen), chosen.columns, "left").na.fill(0, ["n00", "n01", "n10", "n11"])
     usable = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= at_least
@@ -512,7 +512,7 @@ def quantile_distance(samples: DataFrame, reference: DataFrame, candidate: str,
         reference.select(F.lit(None).cast(samples.schema[candidate].dataType).alias("_who"), value, F.lit(1).alias("_reference")))
     keyed = together.withColumn("_who", F.struct("_reference", "_who"))
     points = percentiles(keyed, ["_who"], value, probabilities).select("_who", F.array(*probabilities).alias("_q"))
-    points = written(points, "quantiles")  # one row per candidate
+    points = shuffled(points, "quantiles")  # one row per candidate
     wanted = points.where("_who._reference = 1").select("_q").scalar()
     ours = points.where("_who._reference = 0").select(F.col("_who._who").alias(candidate), "_q").withColumn("_r", wanted)
     gaps = F.zip_with("_q", "_r", lambda a, b: F.abs(a - b))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladewise.functions.ranking import average_rank, percentiles
-from cladewise.session import written
+from cladewise.session import shuffled
 
 
 def summarise(table: DataFrame, keys: list[str], value: str, weight: float = 1.96) -> DataFrame:
@@ -266,7 +266,7 @@ def paired_wilcoxon(table: DataFrame, keys: list[str], first: str, second: str)
     Zero differences are left out.
     """
     gap = F.col(first) - F.col(second)
-    rows = written(table.where(gap.isNotNull() & (gap != 0)).select(*keys, gap.alias("_gap"), F.abs(gap).alias("_size")), "gaps")
+    rows = shuffled(table.where(gap.isNotNull() & (gap != 0)).select(*keys, gap.alias("_gap"), F.abs(gap).alias("_size")), "gaps")
     ranked = average_rank(rows, keys, "_size", "_rank")
     ties = rows.groupBy(*keys, "_size").agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy(*keys).agg(
         F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))

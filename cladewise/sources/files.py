@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.ranking import number_rows
 from cladewise.operators.lineage import plain_id
-from cladewise.session import written
+from cladewise.session import shuffled
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -64,7 +64,7 @@ def read_divisions(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"division log lacks {', '.join(missing)}")
     # the id only orders rows of one block, which one task reads from front to back
-    placed = written(raw.select(
+    placed = shuffled(raw.select(
         F.col("time").try_cast("double").alias("time"), F.col("parent_ID").alias("parent_id"),
         F.col("daughter_ID").alias("daughter_id"), F.col("file_path").alias("_file"),
         F.col("file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")), "log")
@@ -136,7 +136,7 @@ def wide_lines(matrix: DataFrame, fill: str = "0") -> DataFrame:
     null features and cells are left out.
     """
     named = matrix.where("feature is not null and cell is not null")
-    features = written(number_rows(
+    features = shuffled(number_rows(
         named.select(F.lit(1).alias("_all"), F.col("feature").cast("string").alias("feature")).distinct(), ["_all"], ["feature"], "_at",
     ).select("feature", "_at"), "features")
     width = features.agg(F.coalesce(F.max("_at"), F.lit(0)).cast("int").alias("n")).select("n").scalar()
@@ -156,7 +156,7 @@ def wide_lines(matrix: DataFrame, fill: str = "0") -> DataFrame:
 
 def write_wide(matrix: DataFrame, path: str, files: int | None = None, fill: str = "0", compress: bool = True) -> None:
     """COO rows as a folder of wide CSV files, each with the header, which Spark's reader takes once per file."""
-    lines = written(wide_lines(matrix, fill), "wide")
+    lines = shuffled(wide_lines(matrix, fill), "wide")
     n = files or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.when(F.col("is_header"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(
         F.array(F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.session import written
+from cladewise.session import shuffled
 
 
 def flatten_json(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,7 +21,7 @@ def flatten_json(documents: DataFrame, key: str, text: str) -> DataFrame:
     leaves = []
     while True:
         kind = F.schema_of_variant("v")
-        typed = written(level.select("doc", F.to_json("v").alias("v"), "name", "places", kind.alias("kind")), "json").withColumn("v", F.parse_json("v"))
+        typed = shuffled(level.select("doc", F.to_json("v").alias("v"), "name", "places", kind.alias("kind")), "json").withColumn("v", F.parse_json("v"))
         nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
         leaves.append(typed.where(~nested).select("doc", "name", "places", F.expr("variant_get(v, '$', 'string')").alias("value")))
         deeper = typed.where(nested)
