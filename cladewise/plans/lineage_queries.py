@@ -211,7 +211,7 @@ select pair, p.node_a, p.node_b, a.d+b.d-2*m.d as path_length
 from pairs p join met on met.node_a=p.node_a and met.node_b=p.node_b
 join dn m on m.node_id=mrca join dn a on a.node_id=p.node_a join dn b on b.node_id=p.node_b""")
 def _(spark, sf):
-    index = v.ancestry_index(spark, sf).join(v.node_paths(spark, sf).select("node_id", "root_distance"), "node_id")
+    index = v.distance_index(spark, sf)
     return ancestry.common_ancestor(_pairs(spark, sf), index, "node_a", "node_b", carry=["root_distance"]).where(
         "same_founder").selectExpr("pair", "node_a", "node_b",
                                    "root_distance_a + root_distance_b - 2 * mrca_root_distance as path_length")
