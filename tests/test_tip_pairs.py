@@ -83,6 +83,22 @@ def test_bins_of_every_pair_of_a_clone(clones):
     assert not rows
 
 
+def test_correlation_of_every_pair_of_a_clone(clones):
+    found, groups, at, path = clones
+    rows = {r.root: r for r in found.correlation(3, 6).collect()}
+    assert set(rows) == set(groups)
+    for root, cells in groups.items():
+        pairs = list(itertools.combinations(cells, 2))
+        space = [_space(at, a, b) for a, b in pairs]
+        assert rows[root].pairs == sum(s is not None for s in space)
+        assert rows[root].spearman == pytest.approx(_spearman(space, [path[p] for p in pairs]))
+        null = []
+        for q in (1, 2, 3):
+            to = _dealt(cells, 6, q)
+            null.append(_spearman(space, [path[to[a], to[b]] for a, b in pairs]))
+        assert (rows[root].null_mean, rows[root].null_sd) == pytest.approx((np.mean(null), np.std(null, ddof=1)))
+
+
 def _tables(spark, path, orders, cells):
     spark.range(orders).selectExpr("id as o_orderkey").write.parquet(f"{path}/orders.parquet")
     draw = np.random.default_rng(4)
