@@ -133,3 +133,17 @@ def test_within_clone_bins_query(spark, tmp_path, monkeypatch, large):
                 r = found.pop((root, name))
                 assert (r.pairs, r.mean_distance, r.mean_lineage_distance) == pytest.approx((len(inside), *np.mean(inside, axis=0)), abs=2e-6)
     assert groups and not found
+
+
+def test_the_null_of_a_clone_has_all_published_permutations(spark, tmp_path):
+    at = _tables(spark, str(tmp_path), 400, 100)
+    found = {r.root: r for r in registry.BUILDERS["within_clone_space_and_lineage"](spark, str(tmp_path)).collect()}
+    tip, ways, far, groups = _lineage(spark, str(tmp_path), at)
+    assert found and set(found) == set(groups)
+    for root, cells in groups.items():
+        pairs = list(itertools.combinations(cells, 2))
+        space, path = [_space(at, a, b) for a, b in pairs], {(a, b): _path(tip[a], tip[b], ways, far) for a, b in itertools.permutations(cells, 2)}
+        dealt = [_dealt(cells, 6, q) for q in range(1, 21)]
+        null = [_spearman(space, [path[to[a], to[b]] for a, b in pairs]) for to in dealt]
+        assert (found[root].pairs, found[root].spearman) == pytest.approx((len(pairs), _spearman(space, [path[p] for p in pairs])), abs=2e-6)
+        assert (found[root].null_mean, found[root].null_sd) == pytest.approx((np.mean(null), np.std(null, ddof=1)), abs=2e-6)
