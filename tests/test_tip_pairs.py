@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from cladewise.functions import bins
-from cladewise.operators import ancestry, tip_pairs as tp
+from cladewise.operators import ancestry, tip_pairs as tp, trees as tr
 from cladewise.plans import registry, views
 import __spark_entry__  # noqa: F401  registers the queries
 
@@ -147,3 +147,45 @@ def test_the_null_of_a_clone_has_all_published_permutations(spark, tmp_path):
         null = [_spearman(space, [path[to[a], to[b]] for a, b in pairs]) for to in dealt]
         assert (found[root].pairs, found[root].spearman) == pytest.approx((len(pairs), _spearman(space, [path[p] for p in pairs])), abs=2e-6)
         assert (found[root].null_mean, found[root].null_sd) == pytest.approx((np.mean(null), np.std(null, ddof=1)), abs=2e-6)
+
+
+def _path_lengths(trees, pair):
+    """Path lengths of all couples of labels that both trees of a pair have, in the truth and the estimate."""
+    own = [r for r in trees if r[0] == pair]
+    ways, far = _ways({r[2]: r[3] for r in own}, {r[2]: r[5] for r in own})
+    tips = {(r[1], r[4]): r[2] for r in own if r[4] is not None}
+    labels = sorted(label for role, label in tips if role == "truth" and ("estimate", label) in tips)
+    return [[round(_path(tips[role, a], tips[role, b], ways, far), 9) for a, b in itertools.combinations(labels, 2)] for role in ("truth", "estimate")]
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_cophenetic_correlation_of_all_tip_pairs(spark, monkeypatch, indexed):
+    monkeypatch.setattr(tp, "BLOCK", 16)
+    monkeypatch.setattr(tp, "HELD", 100)
+    draw, rows = random.Random(9), []
+    for pair, role, salt in (("p", "truth", 1), ("p", "estimate", 2), ("q", "truth", 3), ("q", "estimate", 3)):
+        above, inner = random.Random(salt), {}
+        for i in range(60):
+            inner[i] = None if i == 0 else above.randrange(max(0, i - 3), i)
+        labels = [x for x in range(90) if x % 31 != salt]
+        rows += [(pair, role, f"{pair}{role}{i}", None if up is None else f"{pair}{role}{up}", None, draw.choice([0.1, 0.7, 2.0])) for i, up in inner.items()]
+        rows += [(pair, role, f"{pair}{role}t{x}", f"{pair}{role}{above.randrange(60)}", x, draw.choice([0.3, 1.1])) for x in labels]
+    trees = spark.createDataFrame(rows, "pair string, role string, key string, parent_key string, label long, length double")
+    index = tr.tip_index(tr.tree_table(trees)) if indexed else trees
+    found = {r.pair: r for r in tr.cophenetic_spearman(tr.shared_labels(trees), index, None, "all").collect()}
+    assert set(found) == {"p", "q"}
+    for pair, r in found.items():
+        truth, estimate = _path_lengths(rows, pair)
+        assert r.pairs == len(truth) > 3000
+        assert r.cophenetic_spearman == pytest.approx(_spearman(truth, estimate))
+
+
+def test_cophenetic_query_measures_all_pairs_of_tips(spark, tmp_path):
+    spark.range(421).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    found = {r.pair: r for r in registry.BUILDERS["cophenetic_spearman"](spark, str(tmp_path)).collect()}
+    names = ["pair", "role", "key", "parent_key", "label", "length"]
+    trees = [tuple(r) for r in views.tree_nodes(spark, str(tmp_path)).select(*names).collect()]
+    for pair in ("near", "far"):
+        truth, estimate = _path_lengths(trees, pair)
+        assert found[pair].pairs == len(truth) == 211 * 210 // 2 > tr.DRAWS
+        assert found[pair].cophenetic_spearman == pytest.approx(_spearman(truth, estimate), abs=2e-6)
